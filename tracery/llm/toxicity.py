@@ -28,7 +28,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-(scores[:, None] - self.thresholds[None, :])))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-3, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int, l2: float = 3e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest likelihood, less l2; (rows, cols) are the features that occur. Thresholds rise by positive steps."""
     n = max(1, len(grade))
     share = np.array([np.clip((grade >= k).mean() if len(grade) else 0.5, 1e-3, 1 - 1e-3) for k in range(1, n_grades)])
@@ -69,9 +69,12 @@ def document_features(docs: DataFrame) -> DataFrame:
     return text_only(docs).mapInArrow(run, "doc_id bigint, features array<bigint>")
 
 
-def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 20_000, max_features: int = 4096, least_z: float = 4.0, least_docs: int = 5) -> Ordinal:
+def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 20_000, max_features: int = 4096, least_z: float = 6.0, least_docs: int = 10, severe_words: int | None = None) -> Ordinal:
     """Learn from (doc_id, grade).
 
+    Where labels only tell toxic (1) from not (0), severe_words makes a third grade: toxic
+    documents with so many distinct words among those that mark toxic ones get grade 2.
+
     Bounds: max_rows graded rows, by hash of doc_id, and max_features words, those whose share of
     documents differs most between grade 0 and the others, by at least least_z standard errors.
     Null grades are left out; without any the model gives every text the same grades.
@@ -85,7 +88,7 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 2
     counts = sample.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("int").alias("y")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("y").alias("c"))
     share = F.col("c") / F.lit(max(1, n0 + n1))
     z = (F.col("c1") / F.lit(max(1, n1)) - (F.col("c") - F.col("c1")) / F.lit(max(1, n0))) / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    top = counts.where(F.col("c") >= least_docs).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(max_features).select("f").collect()
+    top = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f", (F.col("z") > 0).alias("more")).collect()
     features = np.sort(np.array([r.f for r in top], np.int64).view(np.uint64))
     if len(features):
         wanted = spark.createDataFrame([(int(f),) for f in features.view(np.int64)], "f long")
@@ -95,7 +98,11 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 2
     place = {r.doc_id: i for i, r in enumerate(picked)}
     rows = np.array([place[r.doc_id] for r in hits], np.int64)
     cols = np.searchsorted(features, np.array([r.f for r in hits], np.int64).view(np.uint64))
-    w, t = fit_ordinal(rows, cols, np.array([min(max(r.grade, 0), n_grades - 1) for r in picked], np.int64), len(features), n_grades)
+    grade = np.array([min(max(r.grade, 0), n_grades - 1) for r in picked], np.int64)
+    if severe_words is not None:
+        marks = np.array([s for _, s in sorted((int(np.int64(r.f).view(np.uint64)), r.more) for r in top)], bool)
+        grade[(grade == 1) & (np.bincount(rows, marks[cols], len(grade)) >= severe_words)] = 2
+    w, t = fit_ordinal(rows, cols, grade, len(features), n_grades)
     return Ordinal(features, w, t)
 
 
@@ -124,12 +131,12 @@ def predict(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """0: not toxic; 1: toxic; 2: toxic and of low quality. Rows held out for testing are left out."""
-    return labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") * (1 + (F.coalesce("quality", F.lit(1)) == 0).cast("int"))).alias("grade")).where(~held_out())
+    """Grade 0: not toxic; 1: toxic. Rows held out for testing are left out."""
+    return labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("grade")).where(~held_out())
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Chance and expected severity of toxicity of every document; toxic where the chance is at least one half."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs, grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit(docs, grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), severe_words=3)
     return predict(docs, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
