@@ -155,8 +155,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = scratch.table(small)
         # done when each node has one edge and no root has one upwards
-        roots = small.select("v").distinct()
-        tangled = small.join(roots, small.u == roots.v, "left_semi").limit(1).count()
+        roots = small.select(F.col("v").alias("u")).distinct()
+        tangled = small.join(roots, "u", "left_semi").limit(1).count()
         many = 0 if tangled else small.groupBy("u").count().where("count > 1").limit(1).count()
         e = small
         if not tangled and not many:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .jaccard import op10_jaccard
 from .jpeg import op7_media
 from .langid import op1_language
 from .packing import op5_packing
@@ -12,7 +13,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    ops = [op1_language, op2_token_files, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity]
+    ops = [op1_language, op2_token_files, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity, op10_jaccard]
     return {f.__name__: f for f in ops}
 
 
