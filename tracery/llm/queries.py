@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .embeddings import op4_near_duplicates
 from .jaccard import op10_jaccard
 from .jpeg import op7_media
 from .langid import op1_language
 from .packing import op5_packing
 from .sharding import op8_sharding
+from .substrings import op3_substrings
 from .token_files import op2_token_files
 from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    ops = [op1_language, op2_token_files, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity, op10_jaccard]
+    ops = [op1_language, op2_token_files, op3_substrings, op4_near_duplicates, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity, op10_jaccard]
     return {f.__name__: f for f in ops}
 
 
