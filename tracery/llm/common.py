@@ -135,6 +135,22 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+#: Slots of a bitmap: 32 MB as bits, whatever the input. A fuller one lets more pass, never less.
+SLOTS = 1 << 28
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """Bits of the slots (column slot, 0..SLOTS-1), put together on the executors, a word of 64 a row."""
+    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64, U64)
+    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(U64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b); component is the smallest node reachable.
 

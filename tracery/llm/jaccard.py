@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, components, doc_runs, mix, rolled, text_only, words
+from .common import SLOTS, Scratch, bitmap, column_bytes, components, doc_runs, in_bitmap, mix, rolled, text_only, words
 
 #: An n-gram of so many documents in one block at most is multiplied out there; a larger column first meets its smallest document only.
 WIDE = 24
@@ -191,14 +191,24 @@ def rest(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool, scratch: Scratch) -> DataFrame:
-    """The pairs whose sets, from the whole texts, overlap enough: 100 * common >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The pairs whose sets, from the whole texts, overlap enough: 100 * common >= percent * union.
+
+    A bitmap of the documents in pairs goes to the tasks that make the sets, so that no text is shuffled.
+    """
+    slot = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {SLOTS}) as int)").alias("slot")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(slot("a")).unionByName(pairs.select(slot("b")))))
+
+    def pick(batches):
+        bits = shared.value
+        for batch in batches:
+            keep = in_bitmap(bits, batch.column(2).to_numpy())
+            yield batch.filter(pa.array(keep)).select([0, 1])
 
     def run(batches):
-        for keys, sets in _batches_of_sets(batches, n, lower):
+        for keys, sets in _batches_of_sets(pick(batches), n, lower):
             yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
-    sets = scratch.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, grams binary"))
+    sets = scratch.table(docs.select("doc_id", "text", slot("doc_id")).mapInArrow(run, "doc_id bigint, grams binary"))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").select("a", "b", "grams_a", "grams_b")
 
     def compare(batches):
@@ -234,7 +244,12 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         short = own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         postings = short.select(F.explode("prefix").alias("h"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("d"))
         pairs = s.table(overlaps(postings.repartition("h").sortWithinPartitions("h", "d"), percent))
-        links = s.table(verified(pairs, docs, n, percent, lower, s))
+        # a pair for each document first: what these join need not be compared any more
+        links = s.table(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, n, percent, lower, s))
+        comp = s.table(components(links, s))
+        named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        left = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+        links = s.table(links.unionByName(verified(s.table(left), docs, n, percent, lower, s)))
         comp = s.table(components(links, s))
         wide = postings.groupBy("h").count().where(F.col("count") > WIDE).select("h")
         open_ = postings.join(wide, "h").join(comp.withColumnRenamed("node", "d"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))

@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _powers, column_bytes, doc_runs, mix, rolled, text_only, words
+from .common import SLOTS, Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, mix, rolled, text_only, words
 from .fm_index import FMIndex
 
 #: Successive words whose hashes choose where a window is sent; the window takes the smallest such hash in it.
 ANCHOR = 8
 #: Low bits of a word run's place, below the bits of its hash.
 PLACE = np.uint64(28)
-#: Slots of the filter of anchors met more than once: 32 MB as bits, whatever the input. A fuller filter lets more pass, never less.
-SLOTS = 1 << 28
 #: Words that one index holds at least (anchors that follow one another share an index), and texts of one anchor above which its windows are sent by their own hashes.
 SHARD, MOST = 300_000, 4_000
 
@@ -72,10 +70,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
             yield flush()
 
     met = docs.mapInArrow(count, "slot int, c int").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1")
-    bits = met.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
-    out = np.zeros(SLOTS // 64, np.uint64)
-    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    return out
+    return bitmap(met)
 
 
 def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataFrame:
@@ -86,7 +81,7 @@ def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataF
         bits = shared.value
         for keys, h, first, (anchor, a, b) in _runs(batches, window):
             slot = anchor & (SLOTS - 1)
-            keep = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            keep = in_bitmap(bits, slot)
             anchor, a, b = anchor[keep], a[keep], b[keep]
             if not len(a):
                 continue
