@@ -155,6 +155,7 @@ def overlaps(postings: DataFrame, percent: int) -> DataFrame:
             first = np.repeat(start, length)
             at = np.arange(len(h))
             wide = np.flatnonzero((own > WIDE) & (at > first))
+            wide = wide[np.minimum(size[wide], size[first[wide]]) * 100 >= np.maximum(size[wide], size[first[wide]]) * percent]
             pairs = [np.stack([d[first[wide]], d[wide]])]
             narrow = (own > 1) & (own <= WIDE)
             for k in range(1, WIDE):
@@ -190,11 +191,38 @@ def rest(postings: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool, scratch: Scratch) -> DataFrame:
+def possible(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes overlap so much that the sets may link, from (d, n, prefix).
+
+    Of two prefixes, all that the one which ends earlier in the order has in common with the other
+    set lies within the other's prefix. So the sets have no more in common than the prefixes have,
+    and what comes after that prefix: the larger of the two remainders at most.
+    """
+    side = lambda x: short.select(F.col("d").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+
+    def compare(batches):
+        for batch in batches:
+            n = [batch.column(k).to_numpy() for k in (2, 3)]
+            lists = [batch.column(k) for k in (4, 5)]
+            size = [x.value_lengths().to_numpy() for x in lists]
+            values = np.concatenate([x.flatten().to_numpy() for x in lists])
+            row = np.concatenate([np.repeat(np.arange(len(x)), k) for x, k in zip(lists, size, strict=True)])
+            order = np.lexsort((values, row))
+            v, r = values[order], row[order]
+            common = np.bincount(r[1:][(v[1:] == v[:-1]) & (r[1:] == r[:-1])], minlength=len(batch))
+            most = common + np.maximum(n[0] - size[0], n[1] - size[1])
+            yield batch.select([0, 1]).filter(pa.array(most * (100 + percent) >= percent * (n[0] + n[1])))
+
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, short: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool, scratch: Scratch) -> DataFrame:
     """The pairs whose sets, from the whole texts, overlap enough: 100 * common >= percent * union.
 
     A bitmap of the documents in pairs goes to the tasks that make the sets, so that no text is shuffled.
     """
+    pairs = scratch.table(possible(pairs, short, percent))
     slot = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {SLOTS}) as int)").alias("slot")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(slot("a")).unionByName(pairs.select(slot("b")))))
 
@@ -241,21 +269,21 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         member = own.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
         member = s.table(member)
         lead = member.where("doc_id = d").select("doc_id").distinct()
-        short = own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        postings = short.select(F.explode("prefix").alias("h"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("d"))
+        short = s.table(own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "prefix"))
+        postings = short.select(F.explode("prefix").alias("h"), "n", "d")
         pairs = s.table(overlaps(postings.repartition("h").sortWithinPartitions("h", "d"), percent))
         # a pair for each document first: what these join need not be compared any more
-        links = s.table(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, n, percent, lower, s))
+        links = s.table(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), short, docs, n, percent, lower, s))
         comp = s.table(components(links, s))
         named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
         left = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-        links = s.table(links.unionByName(verified(s.table(left), docs, n, percent, lower, s)))
+        links = s.table(links.unionByName(verified(s.table(left), short, docs, n, percent, lower, s)))
         comp = s.table(components(links, s))
         wide = postings.groupBy("h").count().where(F.col("count") > WIDE).select("h")
         open_ = postings.join(wide, "h").join(comp.withColumnRenamed("node", "d"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
         more = s.table(rest(open_.repartition("h").sortWithinPartitions("h", "d"), percent))
         if more.limit(1).count():
-            links = links.unionByName(s.table(verified(more, docs, n, percent, lower, s)))
+            links = links.unionByName(s.table(verified(more, short, docs, n, percent, lower, s)))
             comp = s.table(components(links, s))
         out = member.join(comp.withColumnRenamed("node", "d"), "d", "left").select("doc_id", "n_shingles", F.coalesce("component", "d").alias("component_id"))
         empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
