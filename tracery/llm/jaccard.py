@@ -12,7 +12,7 @@ from .common import SLOTS, Scratch, bitmap, column_bytes, components, doc_runs,
 #: An n-gram of so many documents in one block at most is multiplied out there; a larger column first meets its smallest document only.
 WIDE = 24
 #: N-grams of more documents than FREQUENT go last in each document's order; so many of them at most.
-FREQUENT, MOST_FREQUENT = 48, 200_000
+FREQUENT, MOST_FREQUENT = 24, 500_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int, lower: bool = True) -> list[np.ndarray]:
@@ -59,7 +59,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def frequent_ngrams(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
     """N-grams of the most documents, rarest first.
 
-    A task reports those that four of its documents or more share. Which n-grams come last
+    A task reports those that two of its documents or more share. Which n-grams come last
     changes how many candidates there are, never which pairs are found, so the bound on their
     number and what a task leaves out cost no result.
     """
@@ -69,7 +69,7 @@ def frequent_ngrams(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
 
         def flush():
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= 4
+            often = c >= 2
             return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["h", "c"])
 
         for _, sets in _batches_of_sets(batches, n, lower):
@@ -177,6 +177,7 @@ def rest(postings: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for h, size, d, c in _blocks(batches, 4):
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            pairs = []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True):
                 if j - i <= WIDE or (c[i:j] == c[i]).all():
                     continue
@@ -186,7 +187,10 @@ def rest(postings: DataFrame, percent: int) -> DataFrame:
                 for k, end in enumerate(ends.tolist()):
                     other = e[k + 1 : end][g[k + 1 : end] != g[k]]
                     if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, e[k])), pa.array(np.maximum(other, e[k]))], ["a", "b"])
+                        pairs.append(np.stack([np.minimum(other, e[k]), np.maximum(other, e[k])]))
+            if pairs:
+                p = np.unique(np.concatenate(pairs, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
 
     return postings.mapInArrow(run, "a bigint, b bigint").distinct()
 
