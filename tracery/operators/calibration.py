@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +65,6 @@ def none_rate(scored: DataFrame, tau: float) -> DataFrame:
 
 def score_states(states: DataFrame, scorer, column: str = "state") -> DataFrame:
     """With p: scorer, made once a worker, maps a list of states to a list of probabilities; a wrong number of answers is an error."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = scorer()

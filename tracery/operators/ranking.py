@@ -71,7 +71,7 @@ def confidence(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     top = ranked.where("rank <= 2").groupBy("query_id").agg(F.max("score").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     exact = ranked.groupBy("query_id").agg(F.bool_or(F.col("kind") == "SymbolExact").alias("has_exact"))
     c = F.least(F.lit(100), F.expr("top div 10 + (top - coalesce(second, 0)) div 20"))
-    return queries.select("query_id").join(top, "query_id", "left").join(exact, "query_id", "left").select("query_id", F.coalesce(c.cast("int"), F.lit(0)).alias("confidence"), F.coalesce("has_exact", F.lit(False)).alias("has_exact"))
+    return queries.select("query_id").join(top, "query_id", "left").join(exact, "query_id", "left").select("query_id", F.when(F.col("top").isNull(), 0).otherwise(c.cast("int")).alias("confidence"), F.coalesce("has_exact", F.lit(False)).alias("has_exact"))
 
 
 def route(rows: DataFrame, early: int = 90, fallback: int = 30) -> DataFrame:

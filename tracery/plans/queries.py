@@ -117,7 +117,7 @@ def ranked_candidates(spark, sf):
 
 
 @query(f"""WITH {RANKED}, two AS (SELECT query_id, max(score) AS top, max(CASE WHEN rank = 2 THEN score END) AS second FROM ranked WHERE rank <= 2 GROUP BY 1)
-SELECT q.query_id, coalesce(least(100, top // 10 + (top - coalesce(second, 0)) // 20), 0) AS confidence, false AS has_exact, CASE WHEN coalesce(least(100, top // 10 + (top - coalesce(second, 0)) // 20), 0) >= 30 THEN 'verify' ELSE 'fallback' END AS route FROM q LEFT JOIN two USING (query_id)""")
+SELECT q.query_id, CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END AS confidence, false AS has_exact, CASE WHEN CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END >= 30 THEN 'verify' ELSE 'fallback' END AS route FROM q LEFT JOIN two USING (query_id)""")
 def confidence(spark, sf):
     return ranking.route(ranking.confidence(_ranked(spark, sf), _literals(spark, sf)))
 

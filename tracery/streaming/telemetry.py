@@ -29,7 +29,8 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # as a pattern, since a stream takes a single file for no other path
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def first_findings(events: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
