@@ -114,7 +114,7 @@ def decode_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarr
     return (out + low.astype(np.uint32)[:, None]).reshape(-1)[first - b0 * BLOCK : last - b0 * BLOCK]
 
 
-FILE_SCHEMA = "part int, seq int, doc_ids array<bigint>, n_tokens array<int>, n bigint, ids binary"
+FILE_SCHEMA = "part int, seq int, before bigint, doc_ids array<bigint>, n_tokens array<int>, n bigint, ids binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, ids_per_file: int = 1 << 20) -> None:
@@ -131,13 +131,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), itertools.count()
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        names, ids, size = [], [], 0
+        names, ids, size, before = [], [], 0, 0
 
         def flush():
+            nonlocal before
             n = [len(x) // 4 for x in ids]
             all_ids = np.frombuffer(b"".join(ids), "<u4")
+            before += len(all_ids)
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([next(seq)], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "n_tokens": pa.array([n], pa.list_(pa.int32())), "n": pa.array([len(all_ids)], pa.int64()), "ids": pa.array([encode_ids(all_ids)], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "seq": pa.array([next(seq)], pa.int32()), "before": pa.array([before - len(all_ids)], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "n_tokens": pa.array([n], pa.list_(pa.int32())), "n": pa.array([len(all_ids)], pa.int64()), "ids": pa.array([encode_ids(all_ids)], pa.binary())}
             )
 
         for batch in batches:
@@ -162,13 +164,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the table written; ids are unpacked from the files, start counts all ids before.
 
-    The sum over parts is one row per part, that within a part one row per file.
+    A file knows the ids before it in its part; what comes before each part is one row a part, as
+    many as the range partitions, and is broadcast, so that no file is shuffled.
     """
     parts = files.groupBy("part").agg(F.sum("n").alias("in_part"))
-    before = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("base"))
-    inner = Window.partitionBy("part").orderBy("seq")
-    at = files.select("part", "seq", (F.sum("n").over(inner) - F.col("n")).alias("inner")).join(before, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("base"))
-    rows = files.join(at, ["part", "seq"]).select("base", "doc_ids", "n_tokens", "ids")
+    base = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("base"))
+    rows = files.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "n_tokens", "ids")
 
     def decode(batches):
         for batch in batches:
