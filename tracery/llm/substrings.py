@@ -16,6 +16,8 @@ from .fm_index import FMIndex
 ANCHOR = 8
 #: Low bits of a word run's place, below the bits of its hash.
 PLACE = np.uint64(28)
+#: Bytes of a word's hash that go with a run: windows are taken as equal if these agree for each of their words.
+WIDTH = 5
 #: Words that one index holds at least (anchors that follow one another share an index), and texts of one anchor above which its windows are sent by their own hashes.
 SHARD, MOST = 300_000, 4_000
 
@@ -74,7 +76,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataFrame:
-    """(key, anchor, doc_id, start, n, words binary): runs of windows whose anchor may be met again; key is a digest of the words, n the number of windows."""
+    """(key, anchor, doc_id, start, n, words binary): runs of windows whose anchor may be met again; key is a digest of the words, n the number of windows. With words, equal runs of a slice of the input are one row."""
     names = ["key", "anchor", "doc_id", "start", "n"] + ["words"] * with_words
 
     def run(batches):
@@ -93,10 +95,15 @@ def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataF
             doc = np.searchsorted(first, a, "right") - 1
             cols = [pa.array(key), pa.array(anchor), keys.take(pa.array(doc)), pa.array((a - first[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32))]
             if with_words:
-                size = ends - a
-                flat = h[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                offsets = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
-                cols.append(pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]))
+                # of equal runs the earliest does: a passage in many documents is one row of a slice
+                place = np.lexsort((a, keys.to_numpy(zero_copy_only=False)[doc], key))
+                lead = np.sort(place[np.concatenate([[True], key[place][1:] != key[place][:-1]])])
+                size = (ends - a)[lead]
+                flat = h[np.repeat(a[lead] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                flat = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :])
+                offsets = np.concatenate([[0], np.cumsum(size * WIDTH)]).astype(np.int32)
+                cols = [c.take(pa.array(lead)) for c in cols]
+                cols.append(pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, "key bigint, anchor bigint, doc_id bigint, start int, n int" + ", words binary" * with_words)
@@ -122,30 +129,56 @@ def _indexed(doc: np.ndarray, start: np.ndarray, parts: list[np.ndarray], window
     return mask
 
 
-def shared_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(key, mask) from (key, anchor, doc_id, start, words), sorted by anchor within partitions: an index of each shard, streamed by its own texts."""
+def _numbers(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return wide.view(np.uint64).ravel()
+
+
+def shared_windows(texts: DataFrame, window: int, most: int | None) -> DataFrame:
+    """(key, doc_id, start, shift, mask, words) from (key, anchor, doc_id, start, shift, words): of each distinct text its first place and which of its windows an earlier place has.
+
+    Texts of an anchor meet, and anchors share an index until it is large enough; the index is
+    streamed by its own texts. Of an anchor with more than ``most`` texts none is indexed: these
+    rows keep their words, and a null mask.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, size, begun, late = [], 0, 0, None  # rows of whole anchors, and from begun on those of the present one
 
-        def flush(cut: int):
-            rows = held[:cut]
-            mask = _indexed(np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[4], np.uint64) for r in rows], window)
-            late = np.flatnonzero(mask)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in late], pa.int64()), pa.array([rows[i][5] for i in late], pa.int32()), pa.array(mask[late])], ["key", "shift", "mask"])
+        def flush(rows, deferred=False):
+            mask = None if deferred else _indexed(np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [_numbers(r[5]) for r in rows], window)
+            key, _, doc, start, shift, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(shift, pa.int32()), pa.array(mask if mask is not None else [None] * len(rows), pa.int64()), pa.array(data if deferred else [None] * len(rows), pa.binary())], ["key", "doc_id", "start", "shift", "mask", "words"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD and row[1] != held[-1][1]:
-                    yield flush(len(held))
-                    held, size = [], 0
+                if held and row[1] != held[-1][1]:
+                    if late is not None and held[-1][1] == late:
+                        yield flush(held, True)
+                        held, size = [], 0
+                    elif size >= SHARD:
+                        yield flush(held)
+                        held, size = [], 0
+                    begun = len(held)
+                if len(held) > begun and row[0] == held[-1][0] and row[4] == held[-1][4]:
+                    continue
                 held.append(row)
-                size += len(row[4]) // 8
+                size += len(row[5]) // WIDTH
+                if most and len(held) - begun > most:
+                    if late != row[1] and begun:
+                        yield flush(held[:begun])
+                        held, begun = held[begun:], 0
+                    late = row[1]
+                    if len(held) > 4 * most:
+                        yield flush(held[:-1], True)
+                        held = held[-1:]
+                    size = 0
         if held:
-            yield flush(len(held))
+            yield flush(held, late is not None and held[-1][1] == late)
 
-    got = texts.select("key", "anchor", "doc_id", "start", "words", "shift").mapInArrow(run, "key bigint, shift int, mask bigint")
-    return got.groupBy("key").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask"))
+    rows = texts.select("key", "anchor", "doc_id", "start", "shift", "words").repartition("anchor").sortWithinPartitions("anchor", "key", "shift", "doc_id", "start")
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, start int, shift int, mask bigint, words binary")
 
 
 def _single_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -154,30 +187,32 @@ def _single_windows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for key, _, doc, start, data, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for j in range(len(data) // 8 - window + 1):
-                    own = data[8 * j : 8 * (j + window)]
-                    rows.append((key, int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), doc, start + j, own, j))
+            for key, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j in range(len(data) // WIDTH - window + 1):
+                    own = data[WIDTH * j : WIDTH * (j + window)]
+                    rows.append((key, int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), doc, start + j, j, own))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), batch.schema, strict=True)], names=batch.schema.names)
+                cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["key", "anchor", "doc_id", "start", "shift", "words"])
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.select("key", "doc_id", "start", "words").mapInArrow(run, "key bigint, anchor bigint, doc_id bigint, start int, shift int, words binary")
 
 
 def repeated_windows(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
-    """(doc_id, start, n, mask): runs of windows; bit j of mask tells that window start + j also starts at an earlier place of the corpus."""
+    """(doc_id, start, mask): runs of windows; bit j of mask tells that window start + j also starts at an earlier place of the corpus.
+
+    A run whose words also are a run at an earlier place is repeated in all its windows; the
+    first run of its words has the mask that the index gave.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
-    texts = occurrences(docs, window, shared, True).groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("words").alias("words"))
-    texts = s.table(texts.select("key", "anchor", "at.doc_id", "at.start", "words", F.lit(0).alias("shift")))
-    hot = texts.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor")
-    plain = texts.join(hot, "anchor", "left_anti").select(texts.columns)
-    single = _single_windows(texts.join(hot, "anchor", "left_semi").select(texts.columns), window)
-    masks = shared_windows(plain.unionByName(single).repartition("anchor").sortWithinPartitions("anchor"), window)
-    known = s.table(texts.select("key", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start")).join(masks, "key", "left"))
-    every = F.expr("shiftleft(1L, n) - 1")
+    texts = occurrences(docs, window, shared, True).withColumn("shift", F.lit(0))
+    first = s.table(shared_windows(texts, window, MOST))
+    single = shared_windows(_single_windows(first.where("words is not null"), window), window, None).where("mask <> 0").groupBy("key").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("own"))
+    deferred = first.where("words is not null").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("key", "at.*").join(single, "key", "left").select("key", "doc_id", "start", F.col("own").alias("mask"))
+    known = first.where("words is null").select("key", "doc_id", "start", "mask").unionByName(deferred).select("key", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     found = occurrences(docs, window, shared, False).select("key", "doc_id", "start", "n").join(known, "key")
-    found = found.withColumn("mask", F.when((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start")), F.coalesce("mask", F.lit(0).cast("long"))).otherwise(every))
-    return found.where("mask <> 0").select("doc_id", "start", "mask")
+    own = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+    return found.select("doc_id", "start", F.when(own, F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1")).alias("mask")).where("mask <> 0")
 
 
 def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
