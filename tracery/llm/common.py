@@ -41,7 +41,7 @@ class Scratch:
             root = "file://" + tempfile.mkdtemp(prefix="tracery-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root}/tracery-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.shared = 0, []
 
     def __enter__(self) -> Scratch:
         return self
@@ -58,7 +58,14 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self._write(df, "kept/t")
 
+    def share(self, value):
+        """A broadcast that goes with the tables: what is kept doesn't need it."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def __exit__(self, *_) -> None:
+        for x in self.shared:
+            x.destroy()
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/work")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -135,14 +142,14 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-#: Slots of a bitmap: 32 MB as bits, whatever the input. A fuller one lets more pass, never less.
-SLOTS = 1 << 28
+#: Slots of a bitmap of anchors, 32 MB as bits, and of one of documents, 8 MB, whatever the input. A fuller one lets more pass, never less.
+SLOTS, DOC_SLOTS = 1 << 28, 1 << 26
 
 
-def bitmap(slots: DataFrame) -> np.ndarray:
-    """Bits of the slots (column slot, 0..SLOTS-1), put together on the executors, a word of 64 a row."""
+def bitmap(slots: DataFrame, size: int) -> np.ndarray:
+    """Bits of the slots (column slot, 0..size-1), put together on the executors, a word of 64 a row."""
     bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
-    out = np.zeros(SLOTS // 64, U64)
+    out = np.zeros(size // 64, U64)
     out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(U64)
     return out
 

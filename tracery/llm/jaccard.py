@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, Scratch, bitmap, column_bytes, components, doc_runs, in_bitmap, mix, rolled, text_only, words
+from .common import DOC_SLOTS, Scratch, bitmap, column_bytes, components, doc_runs, in_bitmap, mix, rolled, text_only, words
 
 #: An n-gram of so many documents in one block at most is multiplied out there; a larger column first meets its smallest document only.
 WIDE = 24
@@ -91,15 +91,14 @@ def _needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, key, prefix): the size, a digest of the set, and the n-grams of which linked documents share one.
 
     N-grams are ordered by hash, the frequent ones after all others. If two sets overlap in at
     least percent of the larger, the first size - needed + 1 of each share one.
     """
-    spark = docs.sparkSession
     place = np.argsort(frequent)
-    shared = spark.sparkContext.broadcast((frequent[place], place))
+    shared = scratch.share((frequent[place], place))
 
     def run(batches):
         known, rank = shared.value
@@ -227,8 +226,8 @@ def verified(pairs: DataFrame, short: DataFrame, docs: DataFrame, n: int, percen
     A bitmap of the documents in pairs goes to the tasks that make the sets, so that no text is shuffled.
     """
     pairs = scratch.table(possible(pairs, short, percent))
-    slot = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {SLOTS}) as int)").alias("slot")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(slot("a")).unionByName(pairs.select(slot("b")))))
+    slot = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {DOC_SLOTS}) as int)").alias("slot")
+    shared = scratch.share(bitmap(pairs.select(slot("a")).unionByName(pairs.select(slot("b"))), DOC_SLOTS))
 
     def pick(batches):
         bits = shared.value
@@ -268,7 +267,7 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
     docs = text_only(docs)
     with Scratch(spark) as s:
         frequent = frequent_ngrams(docs, n, lower)
-        own = s.table(prefixes(docs, n, percent, lower, frequent))
+        own = s.table(prefixes(docs, n, percent, lower, frequent, s))
         heads = own.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("d"))
         member = own.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
         member = s.table(member)

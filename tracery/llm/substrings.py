@@ -72,7 +72,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
             yield flush()
 
     met = docs.mapInArrow(count, "slot int, c int").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1")
-    return bitmap(met)
+    return bitmap(met, SLOTS)
 
 
 def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataFrame:
@@ -204,7 +204,7 @@ def repeated_windows(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
     A run whose words also are a run at an earlier place is repeated in all its windows; the
     first run of its words has the mask that the index gave.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window))
+    shared = s.share(repeated_anchors(docs, window))
     texts = occurrences(docs, window, shared, True).withColumn("shift", F.lit(0))
     first = s.table(shared_windows(texts, window, MOST))
     single = shared_windows(_single_windows(first.where("words is not null"), window), window, None).where("mask <> 0").groupBy("key").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("own"))
