@@ -82,7 +82,10 @@ class Model:
         self.letters, self.langs = letters, langs
         sizes = [len(t) for t in tables]
         self.base = np.cumsum([0, *sizes[:-1]]).astype(np.int32)
-        self.moves = np.concatenate([t + b for t, b in zip(tables, self.base, strict=True)]).ravel()
+        self.moves = np.concatenate(tables) if tables else np.zeros((0, ALPHABET), np.int32)
+        for b, n in zip(self.base.tolist(), sizes, strict=False):
+            self.moves[b : b + n] += np.int32(b)
+        self.moves = self.moves.ravel()
         self.cost = np.array([math.log2(n + 2) for n in lengths])
         self._table = None
 
