@@ -25,13 +25,17 @@ _P_INV = pow(_P, -1, 2**64)
 _MUL = [U64(int(x) | 1) for x in _RNG.integers(2**62, 2**63, 8, dtype=np.int64)]
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Bytes of a batch that goes to Python; its buffers on both sides are a few times this.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
     """Tables under spark.checkpoint.dir: they cut lineage and outlive a lost executor.
 
     ``table`` writes a frame there and reads it again; ``keep`` does so for the result. Leaving
-    the block drops all but what was kept.
+    the block drops all but what was kept. Within it, batches for Python hold BATCH_BYTES, not
+    10,000 rows whatever their length.
     """
 
     def __init__(self, spark: SparkSession):
@@ -44,6 +48,8 @@ class Scratch:
         self.n, self.shared = 0, []
 
     def __enter__(self) -> Scratch:
+        self.batch_bytes = self.spark.conf.get(_BATCH_CONF, None)
+        self.spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
         return self
 
     def _write(self, df: DataFrame, place: str) -> DataFrame:
@@ -64,6 +70,10 @@ class Scratch:
         return self.shared[-1]
 
     def __exit__(self, *_) -> None:
+        if self.batch_bytes is None:
+            self.spark.conf.unset(_BATCH_CONF)
+        else:
+            self.spark.conf.set(_BATCH_CONF, self.batch_bytes)
         for x in self.shared:
             x.destroy()
         jvm = self.spark._jvm

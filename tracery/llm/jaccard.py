@@ -124,18 +124,19 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.nd
 
 def _blocks(batches, width: int):
     """Columns of a sorted block in turn: arrays that end with a column's end, a column never cut."""
-    held = None
+    parts, rows = [], 0
     for batch in batches:
-        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
-        held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
-        if len(held[0]) < 200_000:
+        parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+        rows += len(batch)
+        if rows < 200_000:
             continue
+        held = [np.concatenate(x) for x in zip(*parts, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1], "left"))
         if cut:
             yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+        parts, rows = [[x[cut:] for x in held]], len(held[0]) - cut
+    if rows:
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def overlaps(postings: DataFrame, percent: int) -> DataFrame:
