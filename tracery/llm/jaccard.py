@@ -13,6 +13,8 @@ from .common import DOC_SLOTS, Scratch, bitmap, column_bytes, components, doc_ru
 WIDE = 24
 #: N-grams of more documents than FREQUENT go last in each document's order; so many of them at most.
 FREQUENT, MOST_FREQUENT = 24, 500_000
+#: Bits of a set's parity signature; each n-gram flips one.
+SIGNATURE = 512
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int, lower: bool = True) -> list[np.ndarray]:
@@ -91,8 +93,14 @@ def _needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def _signature(grams: np.ndarray) -> bytes:
+    """Parity of the n-grams of each bit. Common n-grams cancel out, so two sets differ in at least as many n-grams as their signatures do in bits."""
+    slot = (grams >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=SIGNATURE) & 1).astype(bool)).tobytes()
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, key, prefix): the size, a digest of the set, and the n-grams of which linked documents share one.
+    """(doc_id, n_shingles, key, sig, prefix): the size, a digest of the set, its signature, and the n-grams of which linked documents share one.
 
     N-grams are ordered by hash, the frequent ones after all others. If two sets overlap in at
     least percent of the larger, the first size - needed + 1 of each share one.
@@ -103,9 +111,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.nd
     def run(batches):
         known, rank = shared.value
         for keys, sets in _batches_of_sets(batches, n, lower):
-            short, digest = [], []
+            short, digest, sig = [], [], []
             for s in sets:
                 take = len(s) - int(_needed(np.int64(len(s)), percent)) + 1 if len(s) else 0
+                sig.append(_signature(s))
                 digest.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).view(np.int64)) if len(s) else 0)
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -117,9 +126,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.nd
                     short.append(plain[:take])
                 else:
                     short.append(s[:take])
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.int64()), _lists(short)], ["doc_id", "n_shingles", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.int64()), pa.array(sig, pa.binary()), _lists(short)], ["doc_id", "n_shingles", "key", "sig", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, sig binary, prefix array<bigint>")
 
 
 def _blocks(batches, width: int):
@@ -172,25 +181,36 @@ def overlaps(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def rest(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates that ``overlaps`` left open, from (h, n, d, c) of its wide columns: pairs of documents that still lie in different components c."""
+    """(a, b) candidates that ``overlaps`` left open, from (h, n, d, c, p, sig) of its wide columns: pairs of documents that still lie in different components c.
+
+    p is the column's place in the document's order. What two sets have in common begins, at the
+    first column they share, with no more than what either has from there on; and they differ in
+    no fewer n-grams than their signatures in bits. Pairs that either bound rules out aren't made.
+    """
 
     def run(batches):
-        for h, size, d, c in _blocks(batches, 4):
+        for h, size, d, c, p, sig in _blocks(batches, 6):
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             pairs = []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True):
                 if j - i <= WIDE or (c[i:j] == c[i]).all():
                     continue
-                order = np.argsort(size[i:j], kind="stable")
-                s, e, g = size[i:j][order], d[i:j][order], c[i:j][order]
+                order = np.argsort(size[i:j], kind="stable") + i
+                s, e, g, left = size[order], d[order], c[order], size[order] - p[order]
+                bits = np.frombuffer(b"".join(sig[order]), np.uint64).reshape(len(order), -1)
                 ends = np.searchsorted(s, s * 100 // percent, "right")
-                for k, end in enumerate(ends.tolist()):
-                    other = e[k + 1 : end][g[k + 1 : end] != g[k]]
+                # a document's bound with a partner of its least size; most have none
+                for k in np.flatnonzero((ends > np.arange(len(s)) + 1) & (left * (100 + percent) >= 2 * percent * s)).tolist():
+                    end = int(ends[k])
+                    both = s[k] + s[k + 1 : end]
+                    at = k + 1 + np.flatnonzero((g[k + 1 : end] != g[k]) & (np.minimum(left[k], left[k + 1 : end]) * (100 + percent) >= percent * both))
+                    differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+                    other = e[at[differ * (100 + percent) <= (100 - percent) * (s[k] + s[at])]]
                     if len(other):
                         pairs.append(np.stack([np.minimum(other, e[k]), np.maximum(other, e[k])]))
             if pairs:
-                p = np.unique(np.concatenate(pairs, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+                found = np.unique(np.concatenate(pairs, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     return postings.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -273,7 +293,7 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         member = own.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
         member = s.table(member)
         lead = member.where("doc_id = d").select("doc_id").distinct()
-        short = s.table(own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "prefix"))
+        short = s.table(own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sig", "prefix"))
         postings = short.select(F.explode("prefix").alias("h"), "n", "d")
         pairs = s.table(overlaps(postings.repartition("h").sortWithinPartitions("h", "d"), percent))
         # a pair for each document first: what these join need not be compared any more
@@ -283,8 +303,10 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         left = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
         links = s.table(links.unionByName(verified(s.table(left), short, docs, n, percent, lower, s)))
         comp = s.table(components(links, s))
-        wide = postings.groupBy("h").count().where(F.col("count") > WIDE).select("h")
-        open_ = postings.join(wide, "h").join(comp.withColumnRenamed("node", "d"), "d", "left").select("h", "n", "d", F.coalesce("component", "d").alias("c"))
+        # wide columns of documents in different components; the signature joins these rows alone
+        placed = short.join(comp.withColumnRenamed("node", "d"), "d", "left").select(F.posexplode("prefix").alias("p", "h"), "n", "d", F.coalesce("component", "d").alias("c"))
+        mixed = placed.groupBy("h").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("count") > WIDE).where("low < high").select("h")
+        open_ = s.table(placed.join(mixed, "h")).join(short.select("d", "sig"), "d").select("h", "n", "d", "c", F.col("p").cast("long").alias("p"), "sig")
         more = s.table(rest(open_.repartition("h").sortWithinPartitions("h", "d"), percent))
         if more.limit(1).count():
             links = links.unionByName(s.table(verified(more, short, docs, n, percent, lower, s)))
