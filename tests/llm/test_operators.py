@@ -71,6 +71,26 @@ def test_op2_files_round_trip(spark, sf):
         start += len(ids)
 
 
+def test_op2_and_op5_match_added_tokens_in_text(spark):
+    from tokenizers import Tokenizer
+
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/op2-{random.random()}"
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    extra = [(20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "x  <|endoftext|><|endoftext|>\x85y <|endoftext|"), (23, "<|ENDOFTEXT|> after"), (24, "w " * 3000 + "é<|endoftext|>日 " * 3)]
+    docs = edge(spark, extra)
+    want = {k: tok.encode(t or "", add_special_tokens=False).ids for k, t in [*EDGE, *extra]}
+    assert want[20] == [64, 220, 50256, 275]
+    token_files.write_token_files(docs, path, P.path("byte_bpe_50k.json"), ids_per_file=500)
+    got = by_id(token_files.read_token_files(spark.read.parquet(path)))
+    start = 0
+    for k in sorted(want):
+        assert (got[k].start, bytes(got[k].ids)) == (start, np.array([*want[k], 2], "<u4").tobytes())
+        start += len(want[k]) + 1
+    for r in packing.packed(spark, docs, P.path("byte_bpe_50k.json")).collect():
+        ids = np.array([*want[r.doc_id], 0], "<u4")
+        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
 def test_frame_of_reference_exceptions():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):

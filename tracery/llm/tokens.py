@@ -34,7 +34,8 @@ class WordEncoder:
     ``most`` bounds each of two memories: of pieces between spaces, and of matches of the
     tokenizer's own pattern. A full memory starts anew. Only what neither holds goes to the
     library's model: many words at once, one a line; the byte lengths of tokens tell which ids
-    belong to which word.
+    belong to which word. Texts that hold an added token go to the library whole, which matches
+    these before it looks for words.
     """
 
     def __init__(self, tokenizer_path: str, most: int = 700_000):
@@ -43,10 +44,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True
         self.model = Tokenizer(self.tok.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.chars = byte_chars()
         self.most, self.memory, self.known = most, {}, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -76,14 +77,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [pieces(x) for x in texts]
+        whole = {i for i, x in enumerate(texts) if any(a in x for a in self.added)}
+        split = [[] if i in whole else pieces(x) for i, x in enumerate(texts)]
         if len(self.memory) > self.most:
             self.memory.clear()
         new = set().union(*split).difference(self.memory)
         if new:
             self._learn(list(new))
         get = self.memory.__getitem__
-        return [b"".join(map(get, p)) for p in split]
+        out = [b"".join(map(get, p)) for p in split]
+        for i in whole:
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
