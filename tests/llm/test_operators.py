@@ -130,6 +130,39 @@ def test_op3_against_brute_force(spark, sf, monkeypatch, most):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_op3_common_passage_is_never_one_index(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST", 3)
+    real, bounds = substrings.shared_windows, []
+
+    def spy(texts, window, most):
+        bounds.append(most)
+        return real(texts, window, most)
+
+    monkeypatch.setattr(substrings, "shared_windows", spy)
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    passage = [rng.choice(vocab) for _ in range(26)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = [(i, " ".join(some(12) + passage + some(12))) for i in range(2, 60)]
+    # one id with two texts that begin alike: neither repeats the other; then windows that repeat in their own text
+    rows += [(1, " ".join(passage + some(15))), (1, " ".join(passage + some(15))), (70, " ".join(["x"] * 45 + passage * 2)), (71, " ".join(["x"] * 30))]
+    first = {}
+    split = [(k, t.split()) for k, t in rows]
+    for k, w in split:
+        for i in range(len(w) - 19):
+            q = tuple(w[i : i + 20])
+            first[q] = min(first.get(q, (k, i)), (k, i))
+    gone = collections.defaultdict(set)
+    for k, w in split:
+        for i in range(len(w) - 19):
+            if (k, i) > first[tuple(w[i : i + 20])]:
+                gone[k].update(range(i, i + 20))
+    want = sorted((k, " ".join(x for i, x in enumerate(w) if i not in gone[k])) for k, w in split)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((r.doc_id, r.kept) for r in substrings.without_repeats(docs).collect()) == want
+    assert bounds and all(bounds)
+
+
 def test_fm_index_statistics():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 4, 400)

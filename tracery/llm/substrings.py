@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLOTS, Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, mix, rolled, text_only, words
@@ -18,7 +18,7 @@ ANCHOR = 8
 PLACE = np.uint64(28)
 #: Bytes of a word's hash that go with a run: windows are taken as equal if these agree for each of their words.
 WIDTH = 5
-#: Words that one index holds at least (anchors that follow one another share an index), and texts of one anchor above which its windows are sent by their own hashes.
+#: Words that one index holds at least (anchors that follow one another share an index), and texts of one anchor above which its windows are looked up by their own digests.
 SHARD, MOST = 300_000, 4_000
 
 
@@ -135,8 +135,8 @@ def _numbers(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def shared_windows(texts: DataFrame, window: int, most: int | None) -> DataFrame:
-    """(key, doc_id, start, shift, mask, words) from (key, anchor, doc_id, start, shift, words): of each distinct text its first place and which of its windows an earlier place has.
+def shared_windows(texts: DataFrame, window: int, most: int) -> DataFrame:
+    """(key, doc_id, start, mask, words) from (key, anchor, doc_id, start, words): of each distinct text its first place and which of its windows an earlier place has.
 
     Texts of an anchor meet, and anchors share an index until it is large enough; the index is
     streamed by its own texts. Of an anchor with more than ``most`` texts none is indexed: these
@@ -147,9 +147,9 @@ def shared_windows(texts: DataFrame, window: int, most: int | None) -> DataFrame
         held, size, begun, late = [], 0, 0, None  # rows of whole anchors, and from begun on those of the present one
 
         def flush(rows, deferred=False):
-            mask = None if deferred else _indexed(np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [_numbers(r[5]) for r in rows], window)
-            key, _, doc, start, shift, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(shift, pa.int32()), pa.array(mask if mask is not None else [None] * len(rows), pa.int64()), pa.array(data if deferred else [None] * len(rows), pa.binary())], ["key", "doc_id", "start", "shift", "mask", "words"])
+            mask = None if deferred else _indexed(np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [_numbers(r[4]) for r in rows], window)
+            key, _, doc, start, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(mask if mask is not None else [None] * len(rows), pa.int64()), pa.array(data if deferred else [None] * len(rows), pa.binary())], ["key", "doc_id", "start", "mask", "words"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -161,11 +161,11 @@ def shared_windows(texts: DataFrame, window: int, most: int | None) -> DataFrame
                         yield flush(held)
                         held, size = [], 0
                     begun = len(held)
-                if len(held) > begun and row[0] == held[-1][0] and row[4] == held[-1][4]:
+                if len(held) > begun and row[0] == held[-1][0]:
                     continue
                 held.append(row)
-                size += len(row[5]) // WIDTH
-                if most and len(held) - begun > most:
+                size += len(row[4]) // WIDTH
+                if len(held) - begun > most:
                     if late != row[1] and begun:
                         yield flush(held[:begun])
                         held, begun = held[begun:], 0
@@ -177,12 +177,16 @@ def shared_windows(texts: DataFrame, window: int, most: int | None) -> DataFrame
         if held:
             yield flush(held, late is not None and held[-1][1] == late)
 
-    rows = texts.select("key", "anchor", "doc_id", "start", "shift", "words").repartition("anchor").sortWithinPartitions("anchor", "key", "shift", "doc_id", "start")
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, start int, shift int, mask bigint, words binary")
+    rows = texts.select("key", "anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "start")
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, start int, mask bigint, words binary")
 
 
-def _single_windows(texts: DataFrame, window: int) -> DataFrame:
-    """The windows of texts one by one, each with the hash of its words as its anchor."""
+def _first_windows(texts: DataFrame, window: int) -> DataFrame:
+    """(key, firsts): bit j of firsts tells that no earlier place of these texts has window j of the text.
+
+    Windows are told apart by a digest of 128 bits of their words. Of a digest only its first
+    place is wanted: others are dropped before the shuffle, and no task holds the places of one.
+    """
 
     def run(batches):
         for batch in batches:
@@ -190,12 +194,15 @@ def _single_windows(texts: DataFrame, window: int) -> DataFrame:
             for key, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for j in range(len(data) // WIDTH - window + 1):
                     own = data[WIDTH * j : WIDTH * (j + window)]
-                    rows.append((key, int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), doc, start + j, j, own))
+                    rows.append((key, hashlib.blake2b(own, digest_size=16).digest(), doc, start + j, j))
             if rows:
-                cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["key", "anchor", "doc_id", "start", "shift", "words"])
+                cols = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["key", "digest", "doc_id", "place", "shift"])
 
-    return texts.select("key", "doc_id", "start", "words").mapInArrow(run, "key bigint, anchor bigint, doc_id bigint, start int, shift int, words binary")
+    windows = texts.select("key", "doc_id", "start", "words").mapInArrow(run, "key bigint, digest binary, doc_id bigint, place int, shift int")
+    # rank, not row_number: rows that repeat a doc_id may have the same first place
+    place = F.rank().over(Window.partitionBy("digest").orderBy("doc_id", "place"))
+    return windows.withColumn("rank", place).where("rank = 1").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, shift)")).alias("firsts"))
 
 
 def repeated_windows(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
@@ -205,10 +212,12 @@ def repeated_windows(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
     first run of its words has the mask that the index gave.
     """
     shared = s.share(repeated_anchors(docs, window))
-    texts = occurrences(docs, window, shared, True).withColumn("shift", F.lit(0))
+    texts = occurrences(docs, window, shared, True)
     first = s.table(shared_windows(texts, window, MOST))
-    single = shared_windows(_single_windows(first.where("words is not null"), window), window, None).where("mask <> 0").groupBy("key").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("own"))
-    deferred = first.where("words is not null").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("key", "at.*").join(single, "key", "left").select("key", "doc_id", "start", F.col("own").alias("mask"))
+    late = first.where("words is not null")
+    n = F.max(F.octet_length("words")) / WIDTH - window + 1
+    deferred = late.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"), n.cast("int").alias("n")).join(_first_windows(late, window), "key", "left")
+    deferred = deferred.select("key", "at.*", F.expr("(shiftleft(1L, n) - 1) & ~coalesce(firsts, 0L)").alias("mask"))
     known = first.where("words is null").select("key", "doc_id", "start", "mask").unionByName(deferred).select("key", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     found = occurrences(docs, window, shared, False).select("key", "doc_id", "start", "n").join(known, "key")
     own = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
