@@ -41,6 +41,25 @@ def test_op1_held_out_accuracy_and_edges(spark, sf):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_op1_most_frequent_languages_and_all_letters(spark):
+    rng = random.Random(9)
+    scripts = {"latin": range(0x61, 0x7B), "greek": range(0x3B1, 0x3CA), "cyrillic": range(0x430, 0x450), "georgian": range(0x10D0, 0x10F0), "armenian": range(0x561, 0x581), "han": range(0x4E00, 0x5000), "kana": range(0x3041, 0x3091)}
+    many = {"latin": 90, "greek": 85, "cyrillic": 80, "georgian": 30, "armenian": 29, "han": 28, "kana": 27}
+    word = lambda x: "".join(chr(rng.choice(x)) for _ in range(rng.randint(2, 6)))
+    words = {k: [word(x) for _ in range(40)] for k, x in scripts.items()}
+    langs = [k for k, n in many.items() for _ in range(n)]
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = by_id(langid.predict(docs, langid.fit(docs)))
+    assert all(got[i].lang_pred == k for i, _, k in rows)
+    assert set(langid.fit(docs, max_langs=3).langs) == {"latin", "greek", "cyrillic"}
+    for n in (62, 63, 100, 1054, 1055, 40_000):
+        letters = "".join(chr(i) for i in range(0x20000) if chr(i).isalpha())[:n]
+        table = langid.symbol_table(letters)
+        codes = {tuple(langid.symbols(c, table).tolist()) for c in letters if c.lower() == c}
+        assert len(codes) == sum(c.lower() == c for c in letters) and all(x and 0 < min(x) and max(x) < langid.UNKNOWN for x in codes)
+
+
 def test_cross_parsing_against_a_plain_search():
     rng = random.Random(2)
     ref = [rng.choice([0, 1, 2, 3]) for _ in range(300)]

@@ -31,14 +31,34 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = s != 0
     keep[1:] |= s[:-1] != 0
-    return s[keep]
+    s = s[keep]
+    if s.dtype != np.uint8:
+        # six bits a symbol, the first ones lowest; a 0 within a code is no symbol
+        s = (s[:, None] >> np.arange(0, 30, 6)) & (ALPHABET - 1)
+        used = s != 0
+        used[:, 0] = True
+        s = s[used].astype(np.uint8)
+    return s
 
 
 def symbol_table(letters: str) -> np.ndarray:
-    """Symbol of each code point: 1.. for the letters given, UNKNOWN for other letters, 0 for the rest."""
-    table = np.where(_letters(), UNKNOWN, 0).astype(np.uint8)
-    for i, c in enumerate(letters[: UNKNOWN - 1], 1):
-        table[ord(c)] = i
+    """Symbol of each code point: 1.. for the letters given, UNKNOWN for other letters, 0 for the rest.
+
+    Of more letters than there are symbols, the last ones take several each: digits, from symbols
+    that are kept for this, as few as do with two digits if two are enough.
+    """
+    table, most = np.where(_letters(), UNKNOWN, 0).astype(np.uint8), UNKNOWN - 1
+    if len(letters) <= most:
+        base, digits = 0, 0
+    else:
+        table = table.astype(np.int32)
+        base = next((b for b in range(2, 33) if b**2 >= len(letters) - most + b), 32)
+        digits = next(d for d in range(2, 6) if base**d >= len(letters) - most + base)
+    for i, c in enumerate(letters):
+        if i < most - base:
+            table[ord(c)] = i + 1
+        else:
+            table[ord(c)] = sum(((i - most + base) // base**d % base + most - base + 1) << 6 * d for d in range(digits))
     return table
 
 
@@ -139,19 +159,21 @@ def fit(docs: DataFrame, docs_per_lang: int = 200, symbols_per_lang: int = 40_00
     """Learn from labelled rows that aren't held out.
 
     Bounds: docs_per_lang whole documents of each language, by hash of doc_id, joined until
-    symbols_per_lang; the max_langs most frequent languages (the tables broadcast grow with these
-    bounds alone). Null and empty langs are no labels. Texts without letters teach nothing.
+    symbols_per_lang; the max_langs most frequent languages, of equal ones those first by name (the
+    tables broadcast grow with these bounds alone). Null and empty langs are no labels. Texts without letters teach nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and lang <> ''").where(~held_out())
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    rows = rows.where(F.col("lang").isin(langs))
     pick = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_lang)
     spark = docs.sparkSession
-    wanted = [(r.doc_id, r.lang, r.h) for r in pick.select("doc_id", "lang", "h").limit(docs_per_lang * max_langs).collect()]
+    wanted = [(r.doc_id, r.lang, r.h) for r in pick.select("doc_id", "lang", "h").collect()]
     if not wanted:
         return Model("", [], [], [])
     ids = spark.createDataFrame(wanted, "doc_id long, lang string, h long")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
     # letters by frequency in the sample, from the characters of its texts
-    chars = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(UNKNOWN - 1)
+    chars = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count().orderBy(F.desc("count"), "c")
     letters = "".join(r.c for r in chars.collect() if len(r.c) == 1)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
