@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracery.functions import text as fn
-from tracery.operators import calibration, evaluation, incremental, labels, ranking
+from tracery.operators import calibration, evaluation, incremental, labels, ranking, retrieval
 from tracery.sources import corpus
 
 CANDIDATE = "query_id string, raw_seq long, path string, line_start int, line_end int, symbol string, kind string, snippet string"
@@ -159,3 +160,15 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = [("q", i, p, s, s + 2, None, "ContentHit", "x") for i, (p, s) in enumerate(itertools.product("ab", range(1, 12)))]
     a, b = (ranked(spark, r).orderBy("rank").collect() for r in (rows, rows[::-1]))
     assert a == b
+
+
+def test_file_leg_without_a_nested_loop(spark):
+    names = [f"a/b/{x}" for x in ("12", "121", "x12y", "main.rs", "domain.rs", "mainé日本語.txt", "z\nq", "aaaa", "Main")] + ["c/12/d"]
+    tokens = ["", "1", "12", "121", "main", "main.rs", "é", "日本", "語.txt", "é日本語", "aaa", "\nq", "none", "b/", None]
+    files = spark.createDataFrame([(x,) for x in names], "path string")
+    got = retrieval.file_leg(files, spark.createDataFrame(list(enumerate(tokens)), "query_id long, token string"))
+    base = {x: x.split("/")[-1] for x in names}
+    want = {(i, x) for i, t in enumerate(tokens) if t is not None for x in names if (base[x] == t if re.match(r"^.+\.[^.]+$", t) else t in base[x])}
+    assert {(r.query_id, r.path) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -58,10 +58,17 @@ def symbol_leg(symbols: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def file_leg(files: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Candidates of files whose names match a token (query_id, token): an equi-join for names with an extension or equal, containment for the few tokens that are parts."""
+    """Candidates of files whose names match a token (query_id, token): an equi-join for names with an extension or equal; parts are looked up by their rarest trigram, or by themselves if shorter, and compared. An empty token is part of every name."""
     paths = files.select("path").distinct().withColumn("base", F.element_at(F.split("path", "/"), -1))
     exact = paths.join(tokens.withColumn("base", F.col("token")), "base").select("query_id", "path")
-    part = paths.join(F.broadcast(tokens.where(~F.col("token").rlike(r"^.+\.[^.]+$"))), glob_match(F.col("token"), F.col("path"))).select("query_id", "path")
+    parts = tokens.where(~F.col("token").rlike(r"^.+\.[^.]+$")).select("query_id", "token")
+    gram = lambda c, n: F.regexp_extract_all(F.col(c), F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
+    wanted = parts.where("token <> ''").select("query_id", "token", F.explode(F.when(F.char_length("token") < 3, F.array("token")).otherwise(F.array_distinct(gram("token", 3)))).alias("gram"))
+    posts = paths.select("path", F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    best = wanted.join(posts.groupBy("gram").count(), "gram").groupBy("query_id", "token").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    part = posts.join(best, "gram").where(glob_match(F.col("token"), F.col("path"))).select("query_id", "path")
+    first = paths.select("path").orderBy(path_order()).limit(LEG_LIMIT).withColumn("n", F.row_number().over(Window.orderBy(path_order())))
+    part = part.union(parts.where("token = ''").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(LEG_LIMIT))).alias("n")).join(first, "n").select("query_id", "path"))
     w = Window.partitionBy("query_id").orderBy(path_order())
     hits = exact.union(part).distinct().withColumn("raw_seq", F.row_number().over(w).cast("long")).where(F.col("raw_seq") <= LEG_LIMIT)
     one, none = F.lit(1), F.lit(None).cast("string")
