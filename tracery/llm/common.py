@@ -137,10 +137,16 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray =
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return a, b, piece_hashes(raw, a, b), np.searchsorted(a, offsets)
+
+
+def piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end."""
+    n = len(raw)
     up, down = _powers(max(CHUNK, 1 << int(n - 1).bit_length()) if n > 1 else CHUNK)
     sums = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
-    return a, b, mix((sums[b] - sums[a]) * down[a]), np.searchsorted(a, offsets)
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -152,15 +158,30 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-#: Slots of a bitmap of anchors, 32 MB as bits, and of one of documents, 8 MB, whatever the input. A fuller one lets more pass, never less.
-SLOTS, DOC_SLOTS = 1 << 28, 1 << 26
+#: Slots of a bitmap: DOC_SLOTS for one of documents, 8 MB as bits, whatever the input; at most MOST_SLOTS, 128 MB, for one that follows it. A fuller one lets more pass, never less.
+DOC_SLOTS, MOST_SLOTS = 1 << 26, 1 << 30
+_BLOCK_BITS = 18
+
+
+def slots_for(n: int) -> int:
+    """Slots of a bitmap of n entries: eight for each, a power of two, within the bounds."""
+    return min(MOST_SLOTS, max(1 << _BLOCK_BITS, 1 << int(8 * max(n, 1) - 1).bit_length()))
 
 
 def bitmap(slots: DataFrame, size: int) -> np.ndarray:
-    """Bits of the slots (column slot, 0..size-1), put together on the executors, a word of 64 a row."""
-    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    """Bits of the slots (column slot, 0..size-1): blocks of 2**18 are made on the executors, and only those that have any reach the driver."""
+
+    def fill(table: pa.Table) -> pa.Table:
+        slot = table.column("slot").to_numpy()
+        bits = np.zeros(1 << _BLOCK_BITS, np.uint8)
+        bits[slot & (1 << _BLOCK_BITS) - 1] = 1
+        return pa.table({"block": pa.array([int(slot[0]) >> _BLOCK_BITS], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    rows = slots.select(F.col("slot").cast("long").alias("slot")).distinct().groupBy(F.shiftright("slot", _BLOCK_BITS).alias("block_of")).applyInArrow(fill, "block bigint, bits binary").toArrow()
     out = np.zeros(size // 64, U64)
-    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(U64)
+    wide = (1 << _BLOCK_BITS) // 64
+    for block, bits in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        out[block * wide : (block + 1) * wide] = np.frombuffer(bits.as_buffer(), U64)
     return out
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_only
-from .tokens import encoder
+from .common import Scratch, column_bytes, doc_runs, text_only
+from .tokens import encoder, with_end
 
 CAPACITY = 2048
 
@@ -74,20 +74,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """(doc_id, piece, start, length, ids_crc32, ids binary): every document's ids with end_id, cut only if longer than capacity; then the first piece takes the remainder."""
 
     def cut(batches):
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(keys), 200):
-                rows = []
-                for k, x in zip(keys[i : i + 200], enc.encode([t or "" for t in texts[i : i + 200]]), strict=True):
-                    x, a, piece = x + end, 0, 0
-                    n = len(x) // 4
-                    size = n % capacity or capacity
-                    while a < n:
-                        own = x[4 * a : 4 * (a + size)]
-                        rows.append((k, piece, a, size, zlib.crc32(own), own))
-                        a, piece, size = a + size, piece + 1, capacity
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            raw, offsets = column_bytes(batch.column(1))
+            for i, j in doc_runs(offsets):
+                ids, ends = with_end(*enc.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
+                n = np.diff(ends, prepend=0)
+                parts = -(-n // capacity)
+                doc = np.repeat(np.arange(j - i), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                head = (n - (parts - 1) * capacity)[doc]
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                size = np.where(piece == 0, head, capacity)
+                data, upto = ids.astype("<u4").tobytes(), np.cumsum(size * 4)
+                sums = [zlib.crc32(data[x:y]) for x, y in zip((upto - size * 4).tolist(), upto.tolist(), strict=True)]
+                own = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], upto]).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(sums, pa.int64()), own.cast(pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return text_only(docs).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
 

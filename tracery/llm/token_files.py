@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_only
-from .tokens import encoder
+from .common import Scratch, column_bytes, doc_runs, text_only
+from .tokens import encoder, with_end
 
 #: Ids a block holds.
 BLOCK = 512
@@ -122,39 +122,45 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     One row is one file image: successive documents whose ids together reach ids_per_file, each
     closed by end_id. Rows of a partition follow one another by seq, partitions by part. Null and
-    empty texts are the end id alone (nothing, without one); equal doc_ids stay next to each other;
-    an empty table gives an empty one.
+    empty texts are the end id alone (nothing, without one); equal doc_ids stay next to each other,
+    null ones come first; an empty table gives an empty one.
     """
 
     def encode(batches):
         from pyspark import TaskContext
 
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), itertools.count()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        names, ids, size, before = [], [], 0, 0
-
-        def flush():
-            nonlocal before
-            n = [len(x) // 4 for x in ids]
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            before += len(all_ids)
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([next(seq)], pa.int32()), "before": pa.array([before - len(all_ids)], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "n_tokens": pa.array([n], pa.list_(pa.int32())), "n": pa.array([len(all_ids)], pa.int64()), "ids": pa.array([encode_ids(all_ids)], pa.binary())}
-            )
+        names, numbers, ids, before = [], [], [], 0
+
+        def files(last: bool):
+            """Images of the documents held, but for those at the end that don't make a whole one yet."""
+            nonlocal names, numbers, ids, before
+            key, n, flat = pa.concat_arrays(names), np.concatenate(numbers), np.concatenate(ids)
+            ends, i, a = np.cumsum(n), 0, 0
+            while i < len(n):
+                j = int(np.searchsorted(ends, a + ids_per_file, "left")) + 1
+                if j > len(n):
+                    if not last:
+                        break
+                    j = len(n)
+                b = int(ends[j - 1])
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (key.slice(i, j - i), pa.array(n[i:j], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([next(seq)], pa.int32()), pa.array([before], pa.int64()), *lists, pa.array([b - a], pa.int64()), pa.array([encode_ids(flat[a:b])], pa.binary())], ["part", "seq", "before", "doc_ids", "n_tokens", "n", "ids"])
+                before += b - a
+                i, a = j, b
+            names, numbers, ids = [key.slice(i)], [n[i:]], [flat[a:]]
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(keys), 200):
-                got = enc.encode([x or "" for x in texts[i : i + 200]])
-                for k, x in zip(keys[i : i + 200], got, strict=True):
-                    names.append(k)
-                    ids.append(x + end)
-                    size += len(ids[-1]) // 4
-                    if size >= ids_per_file:
-                        yield flush()
-                        names, ids, size = [], [], 0
+            raw, offsets = column_bytes(batch.column(1))
+            for i, j in doc_runs(offsets):
+                flat, ends = with_end(*enc.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
+                names.append(batch.column(0).slice(i, j - i))
+                numbers.append(np.diff(ends, prepend=0))
+                ids.append(flat)
+                if sum(map(len, ids)) >= ids_per_file:
+                    yield from files(False)
         if names:
-            yield flush()
+            yield from files(True)
 
     rows = text_only(docs)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -173,13 +179,12 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for base, names, n, data in zip(*(batch.column(i) for i in range(4)), strict=True):
-                ids = decode_ids(data.as_buffer().to_pybytes()).astype("<u4")
-                n = np.array(n.as_py(), np.int64)
+            for k, base in enumerate(batch.column(0).to_pylist()):
+                ids = decode_ids(batch.column(3)[k].as_buffer().to_pybytes()).astype("<u4")
+                names, n = batch.column(1)[k].values, batch.column(2)[k].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(n)
-                raw = ids.tobytes()
-                cut = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names.as_py(), pa.int64()), "start": pa.array(ends - n + base.as_py()), "n_tokens": pa.array(n), "ids": pa.array(cut, pa.binary())})
+                cut = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([names, pa.array(ends - n + base), pa.array(n), cut.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return rows.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
