@@ -1,7 +1,9 @@
-"""A compressed full-text index over word ids: suffix order, wavelet matrix, matching statistics."""
+"""A compressed full-text index over word ids: wavelet matrix, backward search, matching statistics."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -36,36 +38,38 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over a text of numbers 1.. with 0 between its parts; matches of up to ``depth`` symbols."""
+    """Backward search over a text of numbers 1.. with 0 between its parts; matches of up to ``depth`` symbols.
+
+    What stays is the wavelet matrix of the transformed text, and of the suffix order one sample
+    for each interval of suffixes that agree on ``depth`` symbols: where it begins, and the
+    smallest of ``places`` in it. The text, the suffix order and the ranks go once it is built.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, places: np.ndarray):
         self.depth, n = depth, len(text)
-        self.text = text
-        sigma = int(text.max(initial=0)) + 1
+        self.n, sigma = n, int(text.max(initial=0)) + 1
         rank, span = text.astype(np.int64), 1
         at_half, half = rank, 1
-        self.order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable")
         while span <= depth:  # ranks by the first ``span`` symbols
             if span <= depth < 2 * span:
                 at_half, half = rank, span
             ahead = np.zeros(n, np.int64)
             ahead[: n - span] = rank[span:] + 1 if span < n else 0
             key = rank * (int(rank.max(initial=0)) + 2) + ahead
-            self.order = np.argsort(key, kind="stable")
-            sorted_key = key[self.order]
+            order = np.argsort(key, kind="stable")
+            sorted_key = key[order]
             rank = np.empty(n, np.int64)
-            rank[self.order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]])) if n else 0
+            rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]])) if n else 0
             span *= 2
-        # suffixes that agree on ``depth`` symbols are a block of the order
         other = np.full(n, -1, np.int64)
         back = depth - half
         other[: n - back] = at_half[back:] if back < n else 0
-        a, b = at_half[self.order], other[self.order]
+        a, b = at_half[order], other[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if n else np.zeros(0, bool)
-        self.block_start = np.flatnonzero(new)
-        self.block = np.cumsum(new) - 1
-        self.block_end = np.append(self.block_start[1:], n)
-        bwt = text[self.order - 1]
+        self.start = np.flatnonzero(new).astype(np.int32)
+        self.least = np.minimum.reduceat(places[order], self.start) if n else places
+        bwt = text[order - 1]
         self.matrix = WaveletMatrix(bwt, max(1, int(sigma - 1).bit_length()))
         symbols = np.arange(sigma)
         self.base = self.matrix.descend(symbols, np.zeros(sigma, np.int64))
@@ -78,24 +82,36 @@ class FMIndex:
         shift = self.less[c] - self.base[c]
         return got[:k] + shift, got[k:] + shift
 
-    def statistics(self, streams: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
-        """Reads parts of ``streams``, each from its end, side by side; yields (part, place, interval) wherever ``depth`` symbols from place on match.
+    def statistics(self, streams: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Reads parts of ``streams``, of any documents, each from its end, side by side; yields (part, place in streams, interval) wherever ``depth`` symbols from place on match.
 
-        A match that has grown past depth symbols goes back to the block of its first depth.
+        ``start`` and ``least`` tell where an interval begins and its smallest place. Symbols that the text lacks are 0 in
+        streams. A match that has grown past depth symbols goes back to the interval of its first
+        depth; one that can't go on gives up its last symbol and is read anew.
         """
-        n = len(self.text)
-        order = np.argsort(-lengths, kind="stable")
-        ends, lengths = ends[order], lengths[order]
-        low, high, matched = np.zeros(len(order), np.int64), np.full(len(order), n, np.int64), np.zeros(len(order), np.int64)
-        for step in range(int(lengths.max(initial=0))):
-            k = int(np.searchsorted(-lengths, -step, "left"))
-            c = streams[ends[:k] - 1 - step]
-            low[:k], high[:k] = self.extend(c, low[:k], high[:k])
-            lost = high[:k] <= low[:k]
-            low[:k][lost], high[:k][lost] = 0, n  # words that the text lacks start anew
-            matched[:k] = np.where(lost, 0, matched[:k] + 1)
-            whole = np.flatnonzero(matched[:k] >= self.depth)
+        at, stop = ends - 1, ends - lengths
+        low, high, matched = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64), np.zeros(len(ends), np.int64)
+        upto = np.append(self.start[1:], np.int32(self.n))
+        live = np.flatnonzero(at >= stop)
+        while len(live):
+            c = streams[at[live]]
+            lo, hi = self.extend(c, low[live], high[live])
+            lost = (hi <= lo) | (c == 0)
+            if lost.any():
+                fail = live[lost]
+                again = (c[lost] != 0) & (matched[fail] > 0)
+                at[fail] += np.where(again, matched[fail] - 1, -1)
+                low[fail], high[fail], matched[fail] = 0, self.n, 0
+                own, lo, hi = live[~lost], lo[~lost], hi[~lost]
+            else:
+                own = live
+            matched[own] += 1
+            whole = np.flatnonzero(matched[own] >= self.depth)
             if len(whole):
-                block = self.block[low[whole]]
-                low[whole], high[whole] = self.block_start[block], self.block_end[block]
-                yield order[whole], ends[whole] - 1 - step, block
+                block = np.searchsorted(self.start, lo[whole], "right") - 1
+                lo[whole], hi[whole] = self.start[block], upto[block]
+                matched[own[whole]] = self.depth
+                yield own[whole], at[own[whole]], block
+            low[own], high[own] = lo, hi
+            at[own] -= 1
+            live = live[at[live] >= stop[live]]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, mix, rolled, text_only, words
+from .common import Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, mix, rolled, slots_for, text_only, words
 from .fm_index import FMIndex
 
 #: Successive words whose hashes choose where a window is sent; the window takes the smallest such hash in it.
@@ -18,8 +16,9 @@ ANCHOR = 8
 PLACE = np.uint64(28)
 #: Bytes of a word's hash that go with a run: windows are taken as equal if these agree for each of their words.
 WIDTH = 5
-#: Words that one index holds at least (anchors that follow one another share an index), and texts of one anchor above which its windows are looked up by their own digests.
+#: Words that one index holds at least (anchors that follow one another share an index), and places of one anchor above which its windows are told apart by digests instead.
 SHARD, MOST = 300_000, 4_000
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def anchored(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,26 +43,26 @@ def anchored(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def _runs(batches, window: int):
-    """Of each slice of rows: ids, word hashes, first words, runs."""
+    """Of each slice of rows (doc_id, text, t): ids, text digests, word hashes, first words, runs."""
     for batch in batches:
         raw, offsets = column_bytes(batch.column(1))
         for i, j in doc_runs(offsets):
             _, _, h, first = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], False)
-            yield batch.column(0).slice(i, j - i), h, first, anchored(h, first, window)
+            yield batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), h, first, anchored(h, first, window)
 
 
-def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
-    """Bits of the slots of anchors that were met at two places or more."""
+def repeated_anchors(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
+    """(anchor, c) of the anchors that are met at c places, two or more: counted on the executors, combined before the shuffle."""
 
     def count(batches):
         held, size = [], 0
 
         def flush():
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(np.minimum(c, 2).astype(np.int32))], ["slot", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(c.astype(np.int64))], ["anchor", "c"])
 
-        for _, _, _, (anchor, _, _) in _runs(batches, window):
-            held.append(anchor & (SLOTS - 1))
+        for *_, (anchor, _, _) in _runs(batches, window):
+            held.append(anchor)
             size += len(anchor)
             if size > 2_000_000:
                 yield flush()
@@ -71,62 +70,39 @@ def repeated_anchors(docs: DataFrame, window: int) -> np.ndarray:
         if held:
             yield flush()
 
-    met = docs.mapInArrow(count, "slot int, c int").groupBy("slot").agg(F.sum("c").alias("c")).where("c > 1")
-    return bitmap(met, SLOTS)
+    return s.table(docs.mapInArrow(count, "anchor bigint, c bigint").groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1"))
+
+
+def _slot_bits(anchors: DataFrame, slots: int) -> np.ndarray:
+    return bitmap(anchors.select(F.col("anchor").bitwiseAND(F.lit(slots - 1)).alias("slot")), slots)
+
 
+def _flat(h: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return h[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
-def occurrences(docs: DataFrame, window: int, shared, with_words: bool) -> DataFrame:
-    """(key, anchor, doc_id, start, n, words binary): runs of windows whose anchor may be met again; key is a digest of the words, n the number of windows. With words, equal runs of a slice of the input are one row."""
-    names = ["key", "anchor", "doc_id", "start", "n"] + ["words"] * with_words
+
+def occurrences(docs: DataFrame, window: int, shared) -> DataFrame:
+    """(anchor, doc_id, t, start, words binary): the runs of windows whose anchor may be met again, but for common anchors."""
 
     def run(batches):
-        bits = shared.value
-        for keys, h, first, (anchor, a, b) in _runs(batches, window):
-            slot = anchor & (SLOTS - 1)
+        bits, common = shared.value
+        for keys, digests, h, first, (anchor, a, b) in _runs(batches, window):
+            slot = anchor & (len(bits) * 64 - 1)
             keep = in_bitmap(bits, slot)
+            if common is not None:
+                keep &= ~in_bitmap(common, slot)
             anchor, a, b = anchor[keep], a[keep], b[keep]
             if not len(a):
                 continue
-            ends = b + window - 1
-            up, down = _powers(max(1 << 20, 1 << len(h).bit_length()))
-            sums = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * up[: len(h)], out=sums[1:])
-            key = mix((sums[ends] - sums[a]) * down[a] + (ends - a).astype(np.uint64)).view(np.int64)
+            size = b + window - 1 - a
             doc = np.searchsorted(first, a, "right") - 1
-            cols = [pa.array(key), pa.array(anchor), keys.take(pa.array(doc)), pa.array((a - first[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32))]
-            if with_words:
-                # of equal runs the earliest does: a passage in many documents is one row of a slice
-                place = np.lexsort((a, keys.to_numpy(zero_copy_only=False)[doc], key))
-                lead = np.sort(place[np.concatenate([[True], key[place][1:] != key[place][:-1]])])
-                size = (ends - a)[lead]
-                flat = h[np.repeat(a[lead] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                flat = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :])
-                offsets = np.concatenate([[0], np.cumsum(size * WIDTH)]).astype(np.int32)
-                cols = [c.take(pa.array(lead)) for c in cols]
-                cols.append(pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]))
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.mapInArrow(run, "key bigint, anchor bigint, doc_id bigint, start int, n int" + ", words binary" * with_words)
-
-
-def _indexed(doc: np.ndarray, start: np.ndarray, parts: list[np.ndarray], window: int) -> np.ndarray:
-    """Of texts with their places: bits of the windows whose words also occur at an earlier place in these texts."""
-    n = np.array([len(p) for p in parts])
-    _, ids = np.unique(np.concatenate(parts), return_inverse=True)
-    text = np.zeros(int(n.sum()) + len(n), np.int64)
-    ends = np.cumsum(n + 1) - 1
-    text[np.repeat(ends - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = ids + 1
-    index = FMIndex(text, window)
-    # places in the order of documents
-    _, rank = np.unique(doc, return_inverse=True)
-    part = np.repeat(np.arange(len(n)), n + 1)
-    place = (rank[part].astype(np.int64) << 32) + start[part] + np.arange(len(text)) - (ends - n)[part]
-    earliest = np.minimum.reduceat(place[index.order], index.block_start)
-    mask = np.zeros(len(n), np.int64)
-    for owner, at, block in index.statistics(text, ends, n):
-        late = place[at] > earliest[block]
-        mask[owner[late]] |= np.int64(1) << (at - (ends - n)[owner])[late]
-    return mask
+            flat = np.ascontiguousarray(_flat(h, a, size).view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :])
+            offsets = np.concatenate([[0], np.cumsum(size * WIDTH)]).astype(np.int32)
+            own = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), keys.take(at), digests.take(at), pa.array((a - first[doc]).astype(np.int32)), own], ["anchor", "doc_id", "t", "start", "words"])
+
+    return docs.mapInArrow(run, "anchor bigint, doc_id bigint, t bigint, start int, words binary")
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -135,93 +111,120 @@ def _numbers(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def shared_windows(texts: DataFrame, window: int, most: int) -> DataFrame:
-    """(key, doc_id, start, mask, words) from (key, anchor, doc_id, start, words): of each distinct text its first place and which of its windows an earlier place has.
+def _searched(doc: np.ndarray, start: np.ndarray, parts: list[bytes], window: int) -> np.ndarray:
+    """Of runs with their places: bits of the windows whose words also occur at an earlier place.
 
-    Texts of an anchor meet, and anchors share an index until it is large enough; the index is
-    streamed by its own texts. Of an anchor with more than ``most`` texts none is indexed: these
-    rows keep their words, and a null mask.
+    Each distinct run is indexed once, at its first place. Every document's runs are then searched
+    for in the index: the interval that a window matches knows the earliest place of its words.
     """
+    known: dict[bytes, int] = {}
+    own = np.array([known.setdefault(x, len(known)) for x in parts])
+    _, rank = np.unique(doc, return_inverse=True)
+    place = (rank.astype(np.int64) << 32) + start
+    lead = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(lead, own, place)
+    n = np.array([len(x) // WIDTH for x in known])
+    _, ids = np.unique(_numbers(b"".join(known)), return_inverse=True)
+    text = np.zeros(int(n.sum()) + len(n), np.int64)
+    ends = np.cumsum(n + 1) - 1
+    text[np.repeat(ends - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = ids + 1
+    index = FMIndex(text, window, np.repeat(lead - (ends - n), n + 1) + np.arange(len(text)))
+    least = np.zeros(len(text), np.int64)
+    for _, at, block in index.statistics(text, ends, n):
+        least[at] = index.least[block]
+    # windows of every run, against the earliest place of the words at that distance in its text
+    many = n[own] - window + 1
+    row = np.repeat(np.arange(len(own)), many)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    late = least[(ends - n)[own][row] + shift] < place[row] + shift
+    mask = np.zeros(len(own), np.int64)
+    np.bitwise_or.at(mask, row[late], np.int64(1) << shift[late])
+    return mask
 
-    def run(batches):
-        held, size, begun, late = [], 0, 0, None  # rows of whole anchors, and from begun on those of the present one
 
-        def flush(rows, deferred=False):
-            mask = None if deferred else _indexed(np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [_numbers(r[4]) for r in rows], window)
-            key, _, doc, start, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(mask if mask is not None else [None] * len(rows), pa.int64()), pa.array(data if deferred else [None] * len(rows), pa.binary())], ["key", "doc_id", "start", "mask", "words"])
+def repeated_runs(runs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, t, start, mask) from the occurrences: bit j of mask tells that window start + j also starts at an earlier place.
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[1] != held[-1][1]:
-                    if late is not None and held[-1][1] == late:
-                        yield flush(held, True)
-                        held, size = [], 0
-                    elif size >= SHARD:
-                        yield flush(held)
-                        held, size = [], 0
-                    begun = len(held)
-                if len(held) > begun and row[0] == held[-1][0]:
-                    continue
-                held.append(row)
-                size += len(row[4]) // WIDTH
-                if len(held) - begun > most:
-                    if late != row[1] and begun:
-                        yield flush(held[:begun])
-                        held, begun = held[begun:], 0
-                    late = row[1]
-                    if len(held) > 4 * most:
-                        yield flush(held[:-1], True)
-                        held = held[-1:]
-                    size = 0
-        if held:
-            yield flush(held, late is not None and held[-1][1] == late)
+    Runs of an anchor meet in a shard, MOST at most but for anchors that share a slot with no
+    common one; anchors share an index until it is large enough.
+    """
 
-    rows = texts.select("key", "anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "start")
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, start int, mask bigint, words binary")
+    def run(batches):
+        held, size, last = [], 0, None  # columns of slices of rows, whole anchors until the last slice
 
+        def flush(cols):
+            anchor, doc, t, start, data = cols
+            mask = _searched(doc, start, data, window)
+            hit = np.flatnonzero(mask)
+            return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(t[hit]), pa.array(start[hit].astype(np.int32)), pa.array(mask[hit])], ["doc_id", "t", "start", "mask"])
 
-def _first_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(key, firsts): bit j of firsts tells that no earlier place of these texts has window j of the text.
+        def joined():
+            return [np.concatenate([x[i] for x in held]) for i in range(4)] + [[y for x in held for y in x[4]]]
 
-    Windows are told apart by a digest of 128 bits of their words. Of a digest only its first
-    place is wanted: others are dropped before the shuffle, and no task holds the places of one.
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(4)] + [batch.column(4).to_pylist()])
+            size += sum(map(len, held[-1][4])) // WIDTH
+            if size < SHARD:
+                continue
+            cols = joined()
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if cut:
+                # whole anchors, as many to an index as make its size
+                done, upto = 0, np.cumsum([len(x) // WIDTH for x in cols[4][:cut]])
+                while done < cut:
+                    goal = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + SHARD))
+                    end = cut if goal >= cut else int(np.searchsorted(cols[0][:cut], cols[0][goal], "right"))
+                    yield flush([x[done:end] for x in cols])
+                    done = end
+            held = [[x[cut:] for x in cols]]
+            size = sum(map(len, held[0][4])) // WIDTH
+        if held and len(held[0][0]):
+            yield flush(joined())
+
+    rows = runs.repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(run, "doc_id bigint, t bigint, start int, mask bigint")
+
+
+def _window_digests(h: np.ndarray, a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the windows that start at words a."""
+    up, down = _powers(max(1 << 20, 1 << len(h).bit_length()))
+    out = []
+    for x in (h, mix(h ^ _OTHER)):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(x * up[: len(h)], out=sums[1:])
+        out.append(mix((sums[a + window] - sums[a]) * down[a]).view(np.int64))
+    return out[0], out[1]
+
+
+def _common_windows(anchor: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """First words of the windows whose anchor is common."""
+    own = np.flatnonzero(in_bitmap(common, anchor & (len(common) * 64 - 1)))
+    size = (b - a)[own]
+    return np.repeat(a[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def first_places(docs: DataFrame, window: int, shared) -> DataFrame:
+    """(doc_id, place, tag): where each distinct window of a common anchor starts first; tag is half its digest.
+
+    Of a window only the first place is wanted: a task drops the others of each slice, the
+    aggregate those of a task before the shuffle, so no task holds the places of one.
     """
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for key, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for j in range(len(data) // WIDTH - window + 1):
-                    own = data[WIDTH * j : WIDTH * (j + window)]
-                    rows.append((key, hashlib.blake2b(own, digest_size=16).digest(), doc, start + j, j))
-            if rows:
-                cols = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["key", "digest", "doc_id", "place", "shift"])
-
-    windows = texts.select("key", "doc_id", "start", "words").mapInArrow(run, "key bigint, digest binary, doc_id bigint, place int, shift int")
-    # rank, not row_number: rows that repeat a doc_id may have the same first place
-    place = F.rank().over(Window.partitionBy("digest").orderBy("doc_id", "place"))
-    return windows.withColumn("rank", place).where("rank = 1").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, shift)")).alias("firsts"))
-
-
-def repeated_windows(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
-    """(doc_id, start, mask): runs of windows; bit j of mask tells that window start + j also starts at an earlier place of the corpus.
-
-    A run whose words also are a run at an earlier place is repeated in all its windows; the
-    first run of its words has the mask that the index gave.
-    """
-    shared = s.share(repeated_anchors(docs, window))
-    texts = occurrences(docs, window, shared, True)
-    first = s.table(shared_windows(texts, window, MOST))
-    late = first.where("words is not null")
-    n = F.max(F.octet_length("words")) / WIDTH - window + 1
-    deferred = late.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"), n.cast("int").alias("n")).join(_first_windows(late, window), "key", "left")
-    deferred = deferred.select("key", "at.*", F.expr("(shiftleft(1L, n) - 1) & ~coalesce(firsts, 0L)").alias("mask"))
-    known = first.where("words is null").select("key", "doc_id", "start", "mask").unionByName(deferred).select("key", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    found = occurrences(docs, window, shared, False).select("key", "doc_id", "start", "n").join(known, "key")
-    own = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    return found.select("doc_id", "start", F.when(own, F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1")).alias("mask")).where("mask <> 0")
+        _, common = shared.value
+        for keys, _, h, first, (anchor, a, b) in _runs(batches, window):
+            at = _common_windows(anchor, a, b, common)
+            if not len(at):
+                continue
+            x, y = _window_digests(h, at, window)
+            row = np.searchsorted(first, at, "right") - 1
+            doc, place = keys.to_numpy()[row], at - first[row]
+            order = np.lexsort((place, doc, y, x))
+            lead = order[np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])]
+            yield pa.RecordBatch.from_arrays([pa.array(v[lead]) for v in (x, y, doc, place.astype(np.int32))], ["x", "y", "doc_id", "place"])
+
+    rows = docs.mapInArrow(run, "x bigint, y bigint, doc_id bigint, place int")
+    return rows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("at.doc_id", "at.place", F.col("y").alias("tag"))
 
 
 def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -229,34 +232,74 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
 
     Earlier is: in a document of smaller doc_id, or before in the same one. Windows are judged on
     the input. Null and empty texts have no words; shorter texts lose none. Rows that repeat a
-    doc_id count as one document and don't make each other repeats. An empty table gives none.
+    doc_id count as one document: a window at the same place of another of them is no repeat. Rows
+    without a doc_id have no place: they lose nothing and make nothing a repeat. An empty table
+    gives none.
     """
     if not ANCHOR <= window <= 50:
         raise ValueError(f"windows are {ANCHOR} to 50 words long")
     spark = docs.sparkSession
-    rows = text_only(docs, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    docs = rows.select("doc_id", "text")
+    all_rows = text_only(docs, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry))).withColumn("t", F.xxhash64("text"))
+    docs = all_rows.where("doc_id is not null").select("doc_id", "text", "t")
     with Scratch(spark) as s:
-        marks = s.keep(repeated_windows(docs, window, s).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+        met = repeated_anchors(docs, window, s)
+        often = met.where(F.col("c") > MOST)
+        slots = slots_for(met.count())
+        any_common = often.limit(1).count() > 0
+        shared = s.share((_slot_bits(met, slots), _slot_bits(often, slots) if any_common else None))
+        marks = repeated_runs(occurrences(docs, window, shared), window).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
+        marks = s.keep(marks)
+        firsts = s.keep(first_places(docs, window, shared).groupBy("doc_id").agg(F.collect_list(F.struct("place", "tag")).alias("firsts"))) if any_common else None
+        common = shared.value[1]
+    rows = all_rows.join(marks, ["doc_id", "t"], "left")
+    if firsts is not None:
+        # a bitmap of the common anchors goes with the function: small, as most of its bits are 0
+        packed = np.flatnonzero(common), common[common != 0], len(common)
+        rows = rows.join(firsts, "doc_id", "left")
+    else:
+        packed = None
+        rows = rows.withColumn("firsts", F.lit(None).cast("array<struct<place:int,tag:bigint>>"))
+
+    def gone_words(h, first, anchors, marked, leads, known, bits) -> np.ndarray:
+        """Which words of the slice's documents go."""
+        edge = np.zeros(int(first[-1]) + 1, np.int64)
+        doc = np.repeat(np.arange(len(marked)), marked.value_lengths().fill_null(0).to_numpy())
+        flat = marked.flatten()
+        if len(flat):
+            begin = flat.field("start").to_numpy().astype(np.int64) + first[doc]
+            row, bit = np.nonzero((flat.field("mask").to_numpy()[:, None] >> np.arange(window)) & 1)
+            np.add.at(edge, begin[row] + bit, 1)
+            np.add.at(edge, begin[row] + bit + window, -1)
+        if bits is not None:
+            at = _common_windows(*anchors, bits)
+            if len(at):
+                _, tag = _window_digests(h, at, window)
+                row = np.searchsorted(first, at, "right") - 1
+                own = np.stack([row, at - first[row], tag], 1)
+                lead_doc = np.repeat(np.arange(len(leads)), leads.value_lengths().fill_null(0).to_numpy())
+                flat = leads.flatten()
+                lead = np.stack([lead_doc, flat.field("place").to_numpy().astype(np.int64), flat.field("tag").to_numpy()], 1)
+                both = np.concatenate([lead, own]) if len(lead) else own
+                _, inverse = np.unique(both, axis=0, return_inverse=True)
+                inverse = inverse.ravel()
+                late = at[~np.isin(inverse[len(lead) :], inverse[: len(lead)]) & known[row]]
+                np.add.at(edge, late, 1)
+                np.add.at(edge, late + window, -1)
+        return np.cumsum(edge)[:-1] > 0
 
     def cut(batches):
+        bits = None
+        if packed is not None:
+            bits = np.zeros(packed[2], np.uint64)
+            bits[packed[0]] = packed[1]
         for batch in batches:
             raw, offsets = column_bytes(batch.column(1))
-            marked = batch.column(2)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j in doc_runs(offsets):
                 data = raw[offsets[i] : offsets[j]]
-                a, b, _, first = words(data, offsets[i : j + 1] - offsets[i], False)
-                gone = np.zeros(len(a), bool)
-                for k in range(i, j):
-                    got = marked[k].as_py()
-                    if got:
-                        begin = np.array([m["start"] for m in got], np.int64)
-                        mask = np.array([m["mask"] for m in got], np.int64)
-                        row, bit = np.nonzero((mask[:, None] >> np.arange(64)) & 1)
-                        edge = np.zeros(first[k - i + 1] - first[k - i] + 1, np.int64)
-                        np.add.at(edge, begin[row] + bit, 1)
-                        np.add.at(edge, begin[row] + bit + window, -1)
-                        gone[first[k - i] : first[k - i + 1]] = np.cumsum(edge)[:-1] > 0
+                a, b, h, first = words(data, offsets[i : j + 1] - offsets[i], False)
+                anchors = anchored(h, first, window) if bits is not None else None
+                gone = gone_words(h, first, anchors, batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i), known[i:j], bits)
                 kept = np.flatnonzero(~gone)
                 size = b[kept] - a[kept] + 1  # a space after each
                 to = np.cumsum(size)
@@ -270,11 +313,11 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
                 texts = [body[x : max(x, y - 1)].decode() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                 n = np.diff(first)
                 left = np.diff(np.searchsorted(kept, first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(texts, pa.string()), *(batch.column(3 + k).slice(i, j - i) for k in range(len(carry)))], ["doc_id", "n_words", "n_removed", "kept", *carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(texts, pa.string()), *(batch.column(4 + k).slice(i, j - i) for k in range(len(carry)))], ["doc_id", "n_words", "n_removed", "kept", *carry])
 
-    carried = rows.columns[2:]
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {rows.schema[x].dataType.simpleString()}" for c, x in zip(carry, carried, strict=True))
-    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *carried).mapInArrow(cut, schema)
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {all_rows.schema[x].dataType.simpleString()}" for c, x in zip(carry, carried, strict=True))
+    return rows.select("doc_id", "text", "marks", "firsts", *carried).mapInArrow(cut, schema)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
