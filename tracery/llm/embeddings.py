@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -16,11 +15,8 @@ from .common import Scratch, components
 TILE = 8192
 
 
-@functools.lru_cache(maxsize=8)
-def rotation(dim: int) -> np.ndarray:
-    """A fixed random rotation, so that no block of coordinates is special."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+#: Vectors that the rotation is fitted to.
+SAMPLE = 10_000
 
 
 def bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
@@ -29,37 +25,68 @@ def bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, unit binary): rotated unit vectors in doubles; both null for null, empty or zero vectors and those with null or non-finite components. Equal vectors have equal keys."""
+def _by_length(col: pa.ListArray):
+    """Of an Arrow column of lists: for each length the rows of it, their values as a matrix of doubles, and which of them are vectors: not zero, without null or non-finite components."""
+    n = col.value_lengths().fill_null(0).to_numpy()
+    flat = col.flatten()
+    bad = flat.is_null().to_numpy(zero_copy_only=False)
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    first = np.cumsum(n) - n
+    for dim in np.unique(n[n > 0]).tolist():
+        rows = np.flatnonzero(n == dim)
+        at = first[rows][:, None] + np.arange(dim)
+        yield rows, values[at], ~bad[at].any(1) & np.isfinite(values[at]).all(1) & (values[at] != 0).any(1)
+
+
+def scaled_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, key, dim, vector binary): doubles, divided by the power of two that brings the largest component to 0.5..1, which is exact. The others are null for rows without a vec_id and for null, empty or zero vectors and those with null or non-finite components. Equal vectors have equal keys."""
 
     def run(batches):
         for batch in batches:
-            keys, units = [], []
-            for x in batch.column(1):
-                v = None
-                if x.is_valid and len(x.values) and not x.values.null_count:
-                    v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if not np.isfinite(v).all() or not v.any():
-                        v = None
-                if v is None:
-                    keys.append(None)
-                    units.append(None)
-                    continue
-                keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-                v = v / np.abs(v).max()
-                units.append(v / np.sqrt((v * v).sum()))
-            for dim in {len(u) for u in units if u is not None}:
-                own = [i for i, u in enumerate(units) if u is not None and len(u) == dim and not isinstance(u, bytes)]
-                for i, row in zip(own, np.stack([units[i] for i in own]) @ rotation(dim), strict=True):
-                    units[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "key", "unit"])
+            keys, dims, data = ([None] * len(batch) for _ in range(3))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for rows, x, good in _by_length(batch.column(1)):
+                rows, x = rows[good & known[rows]], x[good & known[rows]]
+                y = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=1e-300))[1][:, None])
+                for i, own, to in zip(rows.tolist(), x, y, strict=True):
+                    keys[i], dims[i], data[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), x.shape[1], to.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "key", "dim", "vector"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id bigint, key binary, unit binary")
+    return rows.mapInArrow(run, "vec_id bigint, key binary, dim int, vector binary")
+
+
+def _matrix(col, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def cells(heads: DataFrame, least: float, blocks: int) -> DataFrame:
-    """(dim, block, x, y, home, d, m, unit): each vector in the grid cell of each block, and as a guest in those neighbours that come later.
+def _rotated(x: np.ndarray, bases: dict[int, np.ndarray]) -> np.ndarray:
+    """Unit vectors of the rows, rotated where their length has a rotation."""
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    return u @ bases[x.shape[1]] if x.shape[1] in bases else u
+
+
+def rotations(heads: DataFrame, blocks: int) -> dict[int, np.ndarray]:
+    """Of each length of vectors in a sample, the rotation to its principal axes, dealt to the blocks in turn, so that each begins with the widest.
+
+    The sample is that of the SAMPLE smallest keys, which are digests. The rotation changes how
+    many candidates there are, never which pairs are found.
+    """
+    sample = heads.orderBy("key").limit(SAMPLE).select("dim", "vector").toArrow()
+    dims, out = sample.column(0).to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        x = _matrix(sample.column(1).filter(pa.array(dims == dim)), dim)
+        u = _rotated(x, {})
+        _, axes = np.linalg.eigh(u.T @ u)
+        axes, parts = axes[:, ::-1], bounds(dim, blocks)
+        order = sorted(range(dim), key=lambda i: (i % len(parts), i))
+        # as many axes to each block as it has coordinates
+        out[dim] = axes[:, order]
+    return out
+
+
+def cells(heads: DataFrame, least: float, blocks: int, bases: dict[int, np.ndarray]) -> DataFrame:
+    """(dim, block, x, y, home, d, m, vector): each vector in the grid cell of each block, and as a guest in those neighbours that come later.
 
     Two vectors whose block distance is within the block's share of the budget differ by at most
     one cell's side in each coordinate.
@@ -67,20 +94,20 @@ def cells(heads: DataFrame, least: float, blocks: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i, unit in enumerate(batch.column(2)):
-                v = np.frombuffer(unit.as_buffer(), np.float64)
-                for b, (first, end) in enumerate(bounds(len(v), blocks)):
-                    side = np.sqrt((2 - 2 * least) * (end - first) / len(v) + 1e-9)
-                    x = int(np.floor(v[first] / side))
-                    y = int(np.floor(v[first + 1] / side)) if end > first + 1 else 0
-                    out += [(i, len(v), b, x + dx, y + dy, dx == dy == 0) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
-            at, *cols = zip(*out, strict=True) if out else [()] * 6
-            cols = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k).take(at) for k in range(3))], ["dim", "block", "x", "y", "home", "d", "m", "unit"])
-
-    return heads.select("d", "m", "unit").mapInArrow(run, "dim int, block int, x int, y int, home boolean, d bigint, m bigint, unit binary")
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                r = _rotated(_matrix(batch.column(3).take(pa.array(at)), dim), bases)
+                for b, (first, end) in enumerate(bounds(dim, blocks)):
+                    side = np.sqrt((2 - 2 * least) * (end - first) / dim + 1e-9)
+                    x = np.floor(r[:, first] / side).astype(np.int32)
+                    y = np.floor(r[:, first + 1] / side).astype(np.int32) if end > first + 1 else np.zeros(len(at), np.int32)
+                    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+                        n = len(at)
+                        rows = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(x + np.int32(dx)), pa.array(y + np.int32(dy)), pa.array(np.full(n, dx == dy == 0)), *(rows.column(k) for k in (1, 2, 3))], ["dim", "block", "x", "y", "home", "d", "m", "vector"])
+
+    return heads.select("dim", "d", "m", "vector").mapInArrow(run, "dim int, block int, x int, y int, home boolean, d bigint, m bigint, vector binary")
 
 
 def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -96,25 +123,27 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def linked(tiles: DataFrame, least: float, blocks: int) -> DataFrame:
+def linked(tiles: DataFrame, least: float, blocks: int, bases: dict[int, np.ndarray]) -> DataFrame:
     """(d, links, root) of the vectors that link with others in a tile: how many, copies counted, and the smallest one that they reach there.
 
     A pair is a candidate if it is within a block's share of the budget; the first such block
-    counts it, so a pair counts once. The cosine is then taken in doubles.
+    counts it, so a pair counts once. The cosine is then taken of the vectors themselves, in
+    doubles: their product over that of their lengths.
     """
 
     def tile(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
+        dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
         same = table.column("s")[0].as_py() == table.column("t")[0].as_py()
         table = table.sort_by("d")
         d, m, row = (table.column(c).to_numpy() for c in ("d", "m", "is_row"))
-        units = np.stack([np.frombuffer(u.as_buffer(), np.float64) for u in table.column("unit")])
-        parts = bounds(units.shape[1], blocks)
-        budget = [(2 - 2 * least) * (b - a) / units.shape[1] + 1e-9 for a, b in parts]
+        x = _matrix(table.column("vector"), dim)
+        size, r = np.sqrt((x * x).sum(1)), _rotated(x, bases)
+        parts = bounds(dim, blocks)
+        budget = [(2 - 2 * least) * (b - a) / dim + 1e-9 for a, b in parts]
         a, b = parts[block]
         left = np.flatnonzero(row)
         right = left if same else np.flatnonzero(~row)
-        low = units[:, a:b].astype(np.float32)
+        low = r[:, a:b].astype(np.float32)
         norm = (low * low).sum(1)
         links, pi, pj = np.zeros(len(d), np.int64), [], []
         for i0 in range(0, len(left), 1024):
@@ -126,18 +155,17 @@ def linked(tiles: DataFrame, least: float, blocks: int) -> DataFrame:
                 if same:
                     i, j = i[i < j], j[i < j]
                 for k in range(0, len(i), 200_000):
-                    x, y = i[k : k + 200_000], j[k : k + 200_000]
-                    u, w = units[x], units[y]
-                    gap = (u - w) ** 2
+                    u, w = i[k : k + 200_000], j[k : k + 200_000]
+                    gap = (r[u] - r[w]) ** 2
                     own = gap[:, a:b].sum(1) <= budget[block]
                     for p in range(block):
                         own &= gap[:, parts[p][0] : parts[p][1]].sum(1) > budget[p]
-                    own &= (u * w).sum(1) >= least
-                    x, y = x[own], y[own]
-                    np.add.at(links, x, m[y])
-                    np.add.at(links, y, m[x])
-                    if len(x):
-                        keep = _roots(x, y, len(d))
+                    own &= (x[u] * x[w]).sum(1) / (size[u] * size[w]) >= least
+                    u, w = u[own], w[own]
+                    np.add.at(links, u, m[w])
+                    np.add.at(links, w, m[u])
+                    if len(u):
+                        keep = _roots(u, w, len(d))
                         moved = np.flatnonzero(keep != np.arange(len(d)))
                         pi.append(moved)
                         pj.append(keep[moved])
@@ -152,29 +180,35 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, blocks: int = 2) ->
     """(vec_id, n_links, component_id, kept): vectors linked by cosine >= least.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
-    nor do vectors of different lengths. Equal vectors link and are searched once, with their
-    number. Cells of the grid are dealt into tiles of TILE by TILE vectors, so that no task grows
-    with a dense region; links are counted where they are found, and only as many edges leave a
-    tile as join its vectors.
+    nor do vectors of different lengths, nor rows without a vec_id, which are their own component
+    and are kept. Rows that repeat a vec_id are vectors of their own: if near, they link like
+    others. Equal vectors link and are searched once, with their number. An empty table gives
+    none; other columns are left out. Cells of the grid are dealt into tiles of TILE by TILE
+    vectors, so that no task grows with a dense region; links are counted where they are found,
+    and only as many edges leave a tile as join its vectors.
     """
     with Scratch(vectors.sparkSession) as s:
-        units = s.table(unit_vectors(vectors))
+        units = s.table(scaled_vectors(vectors))
         good = units.where("key is not null")
-        heads = s.table(good.groupBy("key").agg(F.min("vec_id").alias("d"), F.count("*").alias("m"), F.first("unit").alias("unit")))
+        heads = good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+        heads = s.table(heads.withColumn("d", F.monotonically_increasing_id()))
+        bases = rotations(heads, blocks)
         cell = ["dim", "block", "x", "y"]
-        rows = s.table(cells(heads, least, blocks))
+        rows = s.table(cells(heads, least, blocks, bases))
         size = rows.groupBy(cell).agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("n_home"), F.ceil(F.count_if(~F.col("home")) / TILE).cast("int").alias("n_guest")).where("n_home > 0")
         dealt = rows.join(size, cell).withColumn("k", F.pmod(F.xxhash64("d"), F.when(F.col("home"), F.col("n_home")).otherwise(F.greatest("n_guest", F.lit(1)))).cast("int"))
         as_row = F.expr("transform(sequence(k, n_home + n_guest - 1), i -> struct(k as s, i as t, true as is_row))")
         as_column = F.expr("transform(filter(sequence(0, k), i -> i < k), i -> struct(i as s, k as t, false as is_row))")
         as_guest = F.expr("transform(sequence(0, n_home - 1), i -> struct(i as s, n_home + k as t, false as is_row))")
-        tiles = dealt.withColumn("to", F.explode(F.when(F.col("home"), F.concat(as_row, as_column)).otherwise(as_guest))).select(*cell, "to.s", "to.t", "to.is_row", "d", "m", "unit")
-        found = s.table(linked(tiles, least, blocks))
+        tiles = dealt.withColumn("to", F.explode(F.when(F.col("home"), F.concat(as_row, as_column)).otherwise(as_guest))).select(*cell, "to.s", "to.t", "to.is_row", "d", "m", "vector")
+        found = s.table(linked(tiles, least, blocks, bases))
         links = found.groupBy("d").agg(F.sum("links").alias("links"))
         comp = s.table(components(found.select(F.col("d").alias("a"), F.col("root").alias("b")), s))
-        own = heads.select("key", "d", "m").join(links, "d", "left").join(comp.withColumnRenamed("node", "d"), "d", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "d").alias("component_id"))
+        named = comp.withColumnRenamed("node", "d").join(heads.select("d", "id"), "d")
+        named = named.select("d", "component").join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component")
+        own = heads.select("key", "d", "m", "id").join(links, "d", "left").join(named, "d", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         out = units.select("vec_id", "key").join(own, "key", "left")
-        return s.keep(out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id")))
+        return s.keep(out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
