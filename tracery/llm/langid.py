@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_only
+from .common import column_bytes, doc_runs, text_only
 
 #: Letters told apart, the separator and the unknown letter included.
 ALPHABET = 64
 UNKNOWN = ALPHABET - 1
 #: A parse starts anew after so many symbols, so that long texts are parsed in parallel.
 BLOCK = 512
-COUNT = np.int32(1 << 30)
+#: Bits of a letter by itself, and of one that the language's text lacks.
+LITERAL, ESCAPE = math.log2(ALPHABET), 12.0
 
 
 @functools.lru_cache(maxsize=1)
@@ -62,8 +63,13 @@ def symbol_table(letters: str) -> np.ndarray:
     return table
 
 
-def automaton(seq: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence, state by symbol; where there is none, the transition that a new phrase takes from the root, plus COUNT."""
+@functools.lru_cache(maxsize=2)
+def _table(letters: str) -> np.ndarray:
+    return symbol_table(letters)
+
+
+def automaton(seq: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix automaton of a sequence: of each state the symbols that lead on, as bits, and its first transition; the transitions, by symbol within a state."""
     go, link, length, last = [{}], [-1], [0], 0
     for c in seq:
         cur, p = len(go), last
@@ -87,35 +93,59 @@ def automaton(seq: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = new
         last = cur
-    out = np.full((len(go), ALPHABET), -1, np.int32)
-    for i, moves in enumerate(go):
-        if moves:
-            out[i, list(moves)] = list(moves.values())
-    root = np.where(out[0] < 0, 0, out[0])
-    return np.where(out < 0, root[None, :] + COUNT, out)
+    degree = np.array([len(x) for x in go])
+    symbol = np.fromiter((c for x in go for c in x), np.uint64, int(degree.sum()))
+    target = np.fromiter((t for x in go for t in x.values()), np.int32, int(degree.sum()))
+    state = np.repeat(np.arange(len(go)), degree)
+    order = np.lexsort((symbol, state))
+    first = np.cumsum(degree) - degree
+    used = np.zeros(len(go), np.uint64)
+    np.bitwise_or.at(used, state, np.uint64(1) << symbol)
+    return used, first.astype(np.int32), target[order]
+
+
+@functools.lru_cache(maxsize=2)
+def _automata(seqs: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The automata of all sequences in one: symbols and first transition of each state, transitions, and each one's root. Made once a Python worker."""
+    base, edges, parts = 0, 0, []
+    for seq in seqs:
+        used, first, target = automaton(seq)
+        parts.append((used, first + np.int32(edges), target + np.int32(base), [base]))
+        base, edges = base + len(used), edges + len(target)
+    used, first, target, roots = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return used, first, np.append(target, np.int32(0)), roots.astype(np.int32)
 
 
 class Model:
-    """Automata of all languages in one table. Small: its size follows the sample's bound and the number of languages."""
-
-    def __init__(self, letters: str, langs: list[str], lengths: list[int], tables: list[np.ndarray]):
-        self.letters, self.langs = letters, langs
-        sizes = [len(t) for t in tables]
-        self.base = np.cumsum([0, *sizes[:-1]]).astype(np.int32)
-        self.moves = np.concatenate(tables) if tables else np.zeros((0, ALPHABET), np.int32)
-        for b, n in zip(self.base.tolist(), sizes, strict=False):
-            self.moves[b : b + n] += np.int32(b)
-        self.moves = self.moves.ravel()
-        self.cost = np.array([math.log2(n + 2) for n in lengths])
-        self._table = None
-
-    def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Phrases, by language, that parse each sequence: each is the longest match in the language's text."""
+    """Bounded labelled text of each language, as symbols, the most frequent language first: what is sent to the workers, where automata are made of it."""
+
+    def __init__(self, letters: str, langs: list[str], seqs: list[bytes]):
+        self.letters, self.langs, self.seqs = letters, langs, tuple(seqs)
+
+    def bits(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Bits, by language, of the phrases that parse each sequence: each is the longest match in the language's text.
+
+        A phrase takes the bits of a place in the text, no fewer than a letter takes, or of its
+        letters one by one if that is less; so little text is no advantage. A letter that the
+        text lacks takes ESCAPE.
+        """
         n = np.array([len(s) for s in seqs])
         blocks = -(-n // BLOCK)
         owner = np.repeat(np.arange(len(seqs)), blocks)
-        if not len(owner):
+        if not len(owner) or not self.langs:
             return np.zeros((len(self.langs), len(seqs)))
+        used, first, target, roots = _automata(self.seqs)
+        pointer = np.array([max(LITERAL, math.log2(len(s) + 2)) for s in self.seqs])
+        longest = int(np.ceil(pointer.max() / LITERAL))
+        cost = np.minimum(np.arange(longest + 1)[None, :] * LITERAL, pointer[:, None]).astype(np.float32).ravel()
+        row = np.arange(len(self.langs))[:, None] * (longest + 1)
+        symbol = np.arange(ALPHABET, dtype=np.uint64)
+        has = (used[roots][:, None] >> symbol[None, :] & np.uint64(1)).astype(bool)
+        at = first[roots][:, None] + np.bitwise_count(used[roots][:, None] & (np.uint64(1) << symbol)[None, :] - np.uint64(1))
+        anew = np.where(has, target[np.minimum(at, len(target) - 1)], roots[:, None]).ravel()
+        lost = np.where(has, 0, ESCAPE).astype(np.float32).ravel()
+        begun = has.astype(np.int32).ravel()
+        lang = np.arange(len(self.langs))[:, None] * ALPHABET
         size = np.full(len(owner), BLOCK)
         last = np.cumsum(blocks)[blocks > 0] - 1
         size[last] = (n - (blocks - 1) * BLOCK)[blocks > 0]
@@ -123,26 +153,36 @@ class Model:
         start = np.cumsum(size) - size
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        state = np.repeat(self.base[:, None], len(order), 1).astype(np.int32)
-        count = np.zeros(state.shape, np.int32)
+        state = np.repeat(roots[:, None], len(order), 1)
+        length = np.zeros(state.shape, np.int32)
+        total = np.zeros(state.shape, np.float32)
         active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # blocks longer than the step
         for step, k in enumerate(active.tolist()):
-            v = self.moves[state[:, :k] * np.int32(ALPHABET) + flat[start[:k] + step]]
-            count[:, :k] += v >> 30
-            state[:, :k] = v & (COUNT - 1)
-        total = np.zeros((len(self.langs), len(seqs)))
+            c = flat[start[:k] + step]
+            u = used[state[:, :k]]
+            bit = np.uint64(1) << c.astype(np.uint64)
+            on = (u & bit) != 0
+            to = target[first[state[:, :k]] + np.bitwise_count(u & (bit - np.uint64(1)))]
+            i, j = np.nonzero(~on)
+            new = lang[i, 0] + c[j]
+            to[i, j] = anew[new]
+            total[i, j] += cost[row[i, 0] + np.minimum(length[i, j], longest)] + lost[new]
+            length[:, :k] += 1
+            length[i, j] = begun[new]
+            state[:, :k] = to
+        total += cost[row + np.minimum(length, longest)]
+        out = np.zeros((len(self.langs), len(seqs)))
         for i in range(len(self.langs)):
-            total[i] = np.bincount(owner[order], count[i] + 1.0, len(seqs))
-        return total
+            out[i] = np.bincount(owner[order], total[i], len(seqs))
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language of fewest bits, and its share when bits are taken as evidence; `und`, 0 without letters."""
-        if self._table is None:
-            self._table = symbol_table(self.letters)
-        seqs = [symbols(x, self._table) for x in texts]
+        """Language of fewest bits, of equals the more frequent one, and its share when bits are taken as evidence; `und`, 0 without letters."""
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        bits = self.phrases(seqs) * self.cost[:, None]
+        table = _table(self.letters)
+        seqs = [symbols(x, table) for x in texts]
+        bits = self.bits(seqs)
         best = bits.argmin(0)
         odds = np.exp2(np.maximum(bits.min(0) - bits, -1000) / 4)
         score = 1 / odds.sum(0)
@@ -159,62 +199,76 @@ def fit(docs: DataFrame, docs_per_lang: int = 200, symbols_per_lang: int = 40_00
     """Learn from labelled rows that aren't held out.
 
     Bounds: docs_per_lang whole documents of each language, by hash of doc_id, joined until
-    symbols_per_lang; the max_langs most frequent languages, of equal ones those first by name (the
-    tables broadcast grow with these bounds alone). Null and empty langs are no labels. Texts without letters teach nothing.
+    symbols_per_lang; the max_langs most frequent languages, of equal ones those first by name.
+    What reaches the driver and the workers grows with these bounds alone. Null and empty langs
+    are no labels. Texts without letters teach nothing. Rows with a null doc_id are not learnt from.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and lang <> ''").where(~held_out())
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    rows = rows.where(F.col("lang").isin(langs))
-    pick = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_lang)
-    spark = docs.sparkSession
+    pick = rows.where(F.col("lang").isin(langs)).distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_lang)
     wanted = [(r.doc_id, r.lang, r.h) for r in pick.select("doc_id", "lang", "h").collect()]
     if not wanted:
-        return Model("", [], [], [])
+        return Model("", [], [])
     ids = spark.createDataFrame(wanted, "doc_id long, lang string, h long")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
     # letters by frequency in the sample, from the characters of its texts
     chars = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count().orderBy(F.desc("count"), "c")
     letters = "".join(r.c for r in chars.collect() if len(r.c) == 1)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = symbol_table(letters)
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = _table(letters)
         parts, n = [], 0
-        for text in pdf.sort_values(["h", "doc_id"]).text:
+        for text in pdf.sort_values(["h", "doc_id", "text"]).text:
             s = symbols(text, table)
             if n < symbols_per_lang and s.any():
                 parts += [s[: symbols_per_lang - n], np.zeros(1, np.uint8)]
                 n += len(parts[-2])
         if not parts:
-            return pd.DataFrame({"lang": [], "n": [], "moves": []})
+            return pd.DataFrame({"lang": [], "seq": []})
         seq = np.concatenate(parts)
-        seq = seq[seq != UNKNOWN]
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "n": [len(seq)], "moves": [automaton(seq.tolist()).tobytes()]})
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "seq": [seq[seq != UNKNOWN].tobytes()]})
+
+    found = {r.lang: bytes(r.seq) for r in sample.groupBy("lang").applyInPandas(join, "lang string, seq binary").collect()}
+    langs = [x for x in langs if x in found]
+    return Model(letters, langs, [found[x] for x in langs])
 
-    found = sorted(sample.groupBy("lang").applyInPandas(build, "lang string, n long, moves binary").collect(), key=lambda r: r.lang)
-    return Model(letters, [r.lang for r in found], [r.n for r in found], [np.frombuffer(r.moves, np.int32).reshape(-1, ALPHABET) for r in found])
+
+def _predicted(batches, at: int, model: Model):
+    """Of each slice of rows: the batch, its first and end row, languages and scores; texts are column ``at``."""
+    for batch in batches:
+        col = batch.column(at)
+        _, offsets = column_bytes(col)
+        for i, j in doc_runs(offsets):
+            yield batch, i, j, *model.predict([x or "" for x in col.slice(i, j - i).to_pylist()])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; only the text is read. Null, empty and letterless texts: `und`, 0. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, lang_pred, score) of every whole text; only the text is read.
+
+    Null, empty and letterless texts: `und`, 0. A model without languages gives `und` for all.
+    Rows that repeat a doc_id, or have none, are predicted one by one. An empty table gives none.
+    No shuffle; the model travels with the function.
+    """
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") < 1 << 20):
-                    size += len(texts[j] or "")
-                    j += 1
-                lang, score = m.predict([x or "" for x in texts[i:j]])
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
-                i = j
+        for batch, i, j, lang, score in _predicted(batches, 1, model):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return text_only(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language: no shuffle and no join."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch, i, j, lang, _ in _predicted(batches, at, model):
+            yield batch.slice(i, j - i).filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the labelled ones that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
