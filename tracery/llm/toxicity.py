@@ -69,12 +69,9 @@ def document_features(docs: DataFrame) -> DataFrame:
     return text_only(docs).mapInArrow(run, "doc_id bigint, features array<bigint>")
 
 
-def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 20_000, max_features: int = 4096, least_z: float = 6.0, least_docs: int = 10, severe_words: int | None = None) -> Ordinal:
+def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 20_000, max_features: int = 4096, least_z: float = 4.0, least_docs: int = 5) -> Ordinal:
     """Learn from (doc_id, grade).
 
-    Where labels only tell toxic (1) from not (0), severe_words makes a third grade: toxic
-    documents with so many distinct words among those that mark toxic ones get grade 2.
-
     Bounds: max_rows graded rows, by hash of doc_id, and max_features words, those whose share of
     documents differs most between grade 0 and the others, by at least least_z standard errors.
     Null grades are left out; without any the model gives every text the same grades.
@@ -88,55 +85,77 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 2
     counts = sample.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("int").alias("y")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("y").alias("c"))
     share = F.col("c") / F.lit(max(1, n0 + n1))
     z = (F.col("c1") / F.lit(max(1, n1)) - (F.col("c") - F.col("c1")) / F.lit(max(1, n0))) / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    top = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f", (F.col("z") > 0).alias("more")).collect()
+    top = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f").collect()
     features = np.sort(np.array([r.f for r in top], np.int64).view(np.uint64))
+    ids_ = np.array([r.doc_id for r in picked], np.int64)
+    order = np.argsort(ids_)
+    rows = cols = np.zeros(0, np.int64)
     if len(features):
         wanted = spark.createDataFrame([(int(f),) for f in features.view(np.int64)], "f long")
-        hits = sample.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(wanted), "f").collect()
-    else:
-        hits = []
-    place = {r.doc_id: i for i, r in enumerate(picked)}
-    rows = np.array([place[r.doc_id] for r in hits], np.int64)
-    cols = np.searchsorted(features, np.array([r.f for r in hits], np.int64).view(np.uint64))
+        hits = sample.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(wanted), "f").select("doc_id", "f").distinct().toArrow()
+        rows = order[np.searchsorted(ids_[order], hits.column(0).to_numpy())]
+        cols = np.searchsorted(features, hits.column(1).to_numpy().view(np.uint64))
     grade = np.array([min(max(r.grade, 0), n_grades - 1) for r in picked], np.int64)
-    if severe_words is not None:
-        marks = np.array([s for _, s in sorted((int(np.int64(r.f).view(np.uint64)), r.more) for r in top)], bool)
-        grade[(grade == 1) & (np.bincount(rows, marks[cols], len(grade)) >= severe_words)] = 2
     w, t = fit_ordinal(rows, cols, grade, len(features), n_grades)
     return Ordinal(features, w, t)
 
 
+def _scores(raw: np.ndarray, offsets: np.ndarray, m: Ordinal) -> np.ndarray:
+    score = np.zeros(len(offsets) - 1)
+    if len(m.features):
+        _, _, h, first = words(raw, offsets, True, PARTS)
+        at = np.minimum(np.searchsorted(m.features, h), len(m.features) - 1)
+        hit = np.flatnonzero(m.features[at] == h)
+        doc = np.searchsorted(first, hit, "right") - 1
+        pair = np.unique(doc * len(m.features) + at[hit])
+        score = np.bincount(pair // len(m.features), m.weights[pair % len(m.features)], len(score))
+    return score
+
+
 def predict(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """(doc_id, p_toxic, severity, grade) of every whole text: chance of grade 1 or more, expected grade, most likely grade. Null and empty texts have no features. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, p_toxic, severity, grade) of every whole text: chance of grade 1 or more, expected grade, and the highest grade that is reached with a chance of one half.
+
+    Null and empty texts have no features. Rows that repeat a doc_id, or have none, are graded one
+    by one; an empty table gives none. No shuffle; the model, bounded by its features, travels
+    with the function.
+    """
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             raw, offsets = column_bytes(batch.column(1))
             for i, j in doc_runs(offsets):
-                score = np.zeros(j - i)
-                if len(m.features):
-                    _, _, h, first = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], True, PARTS)
-                    at = np.minimum(np.searchsorted(m.features, h), len(m.features) - 1)
-                    hit = np.flatnonzero(m.features[at] == h)
-                    doc = np.searchsorted(first, hit, "right") - 1
-                    pair = np.unique(doc * len(m.features) + at[hit])
-                    score = np.bincount(pair // len(m.features), m.weights[pair % len(m.features)], j - i)
-                p = m.at_least(score)
-                each = np.concatenate([np.ones((j - i, 1)), p], 1) - np.concatenate([p, np.zeros((j - i, 1))], 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32))], ["doc_id", "p_toxic", "severity", "grade"])
+                p = model.at_least(_scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32))], ["doc_id", "p_toxic", "severity", "grade"])
 
     return text_only(docs).mapInArrow(run, "doc_id bigint, p_toxic double, severity double, grade int")
 
 
+def without_toxic(docs: DataFrame, model: Ordinal, most: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose chance of toxicity is below ``most``: no shuffle and no join."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = column_bytes(batch.column(at))
+            for i, j in doc_runs(offsets):
+                p = model.at_least(_scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model))
+                yield batch.slice(i, j - i).filter(pa.array(p[:, 0] < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
-    """Grade 0: not toxic; 1: toxic. Rows held out for testing are left out."""
-    return labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("grade")).where(~held_out())
+    """(doc_id, grade) from labels (doc_id, toxic, quality). Grade 0: not toxic; 1: toxic, in bad text; 2: toxic in text that is good otherwise, which is read and passed on. Rows held out for testing are left out.
+
+    The grades come from the labels alone, none from the text. A null toxic is no label; a null quality counts as bad.
+    """
+    worse = F.coalesce(F.col("quality").cast("int") > 0, F.lit(False)).cast("int")
+    toxic = (F.col("toxic").cast("int") > 0).cast("int")
+    return labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (toxic * (1 + worse)).alias("grade")).where(~held_out())
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Chance and expected severity of toxicity of every document; toxic where the chance is at least one half."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs, grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), severe_words=3)
+    model = fit(docs, grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return predict(docs, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
