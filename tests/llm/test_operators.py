@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracery.llm import bpe, common, embeddings, fm_index, jaccard, jpeg, langid, packing, sharding, substrings, token_files, tokens, toxicity
 
@@ -60,21 +62,65 @@ def test_op1_most_frequent_languages_and_all_letters(spark):
         assert len(codes) == sum(c.lower() == c for c in letters) and all(x and 0 < min(x) and max(x) < langid.UNKNOWN for x in codes)
 
 
-def test_cross_parsing_against_a_plain_search():
-    rng = random.Random(2)
-    ref = [rng.choice([0, 1, 2, 3]) for _ in range(300)]
-    text = [rng.choice([0, 1, 2, 3]) for _ in range(700)]
-    m = langid.Model("", ["x"], [300], [langid.automaton(ref)])
-    s = "".join(map(chr, ref))
-    count = 0
+def plain_bits(ref, text, n_letters=64):
+    """What the phrases of a text cost against ref, by plain search."""
+    s, pointer, bits = "".join(map(chr, ref)), max(6.0, math.log2(len(ref) + 2)), 0.0
     for a in range(0, len(text), langid.BLOCK):
         block, i = "".join(map(chr, text[a : a + langid.BLOCK])), 0
         while i < len(block):
+            if block[i] not in s:
+                bits, i = bits + langid.ESCAPE, i + 1
+                continue
             j = i + 1
             while j < len(block) and block[i : j + 1] in s:
                 j += 1
-            count, i = count + 1, j
-    assert m.phrases([np.array(text, np.uint8)])[0][0] == count
+            bits, i = bits + min(pointer, 6.0 * (j - i)), j
+    return bits
+
+
+def test_cross_parsing_against_a_plain_search():
+    rng = random.Random(2)
+    refs = {"x": [rng.choice([0, 1, 2, 3]) for _ in range(300)], "y": [rng.choice([0, 2, 5]) for _ in range(40)], "z": [7, 8]}
+    texts = [[rng.choice([0, 1, 2, 3, 5, 9]) for _ in range(n)] for n in (700, 3, 512, 1025)]
+    m = langid.Model("", list(refs), [np.array(x, np.uint8).tobytes() for x in refs.values()])
+    got = m.bits([np.array(t, np.uint8) for t in texts])
+    for i, ref in enumerate(refs.values()):
+        assert np.allclose(got[i], [plain_bits(ref, t) for t in texts], atol=1e-2)
+
+
+def test_op1_whole_choice_against_a_plain_search(spark, sf):
+    docs = documents(spark, sf)
+    model = langid.fit(docs, docs_per_lang=10, symbols_per_lang=1500)
+    table, refs = langid.symbol_table(model.letters), [list(x) for x in model.seqs]
+    got = by_id(langid.predict(docs, model))
+    for r in docs.where("length(text) < 2500").limit(40).collect():
+        seq = langid.symbols(r.text or "", table)
+        bits = [plain_bits(ref, seq.tolist()) for ref in refs]
+        near = [k for k, x in enumerate(bits) if x <= min(bits) + 0.05]
+        if not seq.any():
+            assert got[r.doc_id].lang_pred == "und"
+        else:
+            assert got[r.doc_id].lang_pred in {model.langs[k] for k in near}
+            assert abs(got[r.doc_id].score - 1 / sum(2 ** ((min(bits) - x) / 4) for x in bits)) < 0.02
+
+
+def test_op1_a_tiny_label_takes_no_texts(spark, sf):
+    docs = documents(spark, sf)
+    tiny = spark.createDataFrame([(900_000 + i, t, "zz", "s", 2) for i, t in enumerate(["a", "ab", "e", "tn", "o", "is"])], docs.schema)
+    both = docs.unionByName(tiny)
+    model = langid.fit(both)
+    assert "zz" in model.langs
+    before, after = by_id(langid.predict(docs, langid.fit(docs))), by_id(langid.predict(docs, model))
+    assert all(after[k].lang_pred == r.lang_pred for k, r in before.items())
+
+
+def test_op1_ties_repeats_and_null_ids(spark):
+    rows = [(1, "aa bb", "x"), (1, "aa bb", "x"), (None, "aa", "x"), (3, "cc dd", "y"), (4, "", "y"), (5, None, "x"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(1)).withColumn("score", F.lit("x"))
+    got = langid.predict(docs, langid.fit(docs))
+    assert got.count() == len(rows) and got.columns == ["doc_id", "lang_pred", "score"]
+    none = langid.fit(docs.where("lang = 'none'"))
+    assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
 
 def test_op2_files_round_trip(spark, sf):
@@ -82,7 +128,7 @@ def test_op2_files_round_trip(spark, sf):
     docs = edge(spark)
     token_files.write_token_files(docs, path, P.path("byte_bpe_50k.json"), ids_per_file=500)
     got = by_id(token_files.read_token_files(spark.read.parquet(path)))
-    tok = tokens.encoder(P.path("byte_bpe_50k.json")).tok
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     start = 0
     for k, t in sorted(EDGE):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
@@ -91,8 +137,6 @@ def test_op2_files_round_trip(spark, sf):
 
 
 def test_op2_and_op5_match_added_tokens_in_text(spark):
-    from tokenizers import Tokenizer
-
     path = f"{spark.conf.get('spark.checkpoint.dir')}/op2-{random.random()}"
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     extra = [(20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "x  <|endoftext|><|endoftext|>\x85y <|endoftext|"), (23, "<|ENDOFTEXT|> after"), (24, "w " * 3000 + "é<|endoftext|>日 " * 3)]
@@ -136,28 +180,26 @@ def brute_op3(rows, window=20):
 
 
 @pytest.mark.parametrize("most", [4000, 3])
-def test_op3_against_brute_force(spark, sf, monkeypatch, most):
+@pytest.mark.parametrize("shard", [300_000, 100])
+def test_op3_against_brute_force(spark, sf, monkeypatch, most, shard):
     monkeypatch.setattr(substrings, "MOST", most)
+    monkeypatch.setattr(substrings, "SHARD", shard)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(40)]
     passage = [rng.choice(vocab) for _ in range(60)]
     extra = [(100 + i, " ".join([rng.choice(vocab) for _ in range(rng.randint(0, 30))] + passage[rng.randint(0, 20) :] + [rng.choice(vocab)] * rng.randint(0, 30))) for i in range(40)]
+    extra += [(200 + i, " ".join(passage)) for i in range(3)]
     docs = edge(spark, extra)
     got = by_id(substrings.without_repeats(docs, carry=("source",)))
     for k, want in brute_op3([*EDGE, *extra]).items():
         assert (got[k].n_words, got[k].n_removed, got[k].kept) == want
-    assert substrings.without_repeats(docs.limit(0)).count() == 0
-
-
-def test_op3_common_passage_is_never_one_index(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "MOST", 3)
-    real, bounds = substrings.shared_windows, []
+    empty = substrings.without_repeats(docs.limit(0))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_words", "n_removed", "kept"]
 
-    def spy(texts, window, most):
-        bounds.append(most)
-        return real(texts, window, most)
 
-    monkeypatch.setattr(substrings, "shared_windows", spy)
+@pytest.mark.parametrize("most", [4000, 3])
+def test_op3_common_passages_repeated_and_missing_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST", most)
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(5000)]
     passage = [rng.choice(vocab) for _ in range(26)]
@@ -165,33 +207,50 @@ def test_op3_common_passage_is_never_one_index(spark, monkeypatch):
     rows = [(i, " ".join(some(12) + passage + some(12))) for i in range(2, 60)]
     # one id with two texts that begin alike: neither repeats the other; then windows that repeat in their own text
     rows += [(1, " ".join(passage + some(15))), (1, " ".join(passage + some(15))), (70, " ".join(["x"] * 45 + passage * 2)), (71, " ".join(["x"] * 30))]
+    # one id with two texts, of which one repeats another document at a place where the other doesn't
+    other = some(40)
+    rows += [(80, " ".join(other)), (81, " ".join(other)), (81, " ".join(some(40))), (81, " ".join(other))]
+    lost = [(None, " ".join(passage)), (None, " ".join(passage)), (None, None)]
     first = {}
     split = [(k, t.split()) for k, t in rows]
     for k, w in split:
         for i in range(len(w) - 19):
             q = tuple(w[i : i + 20])
             first[q] = min(first.get(q, (k, i)), (k, i))
-    gone = collections.defaultdict(set)
+    want = []
     for k, w in split:
+        gone = set()
         for i in range(len(w) - 19):
             if (k, i) > first[tuple(w[i : i + 20])]:
-                gone[k].update(range(i, i + 20))
-    want = sorted((k, " ".join(x for i, x in enumerate(w) if i not in gone[k])) for k, w in split)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted((r.doc_id, r.kept) for r in substrings.without_repeats(docs).collect()) == want
-    assert bounds and all(bounds)
+                gone.update(range(i, i + 20))
+        want.append((k, " ".join(x for i, x in enumerate(w) if i not in gone)))
+    docs = spark.createDataFrame([*rows, *lost], "doc_id long, text string").withColumns({c: F.lit(9) for c in ("start", "mask", "marks", "t", "anchor")}).repartition(5)
+    got = [(r.doc_id, r.kept) for r in substrings.without_repeats(docs).collect()]
+    assert sorted(x for x in got if x[0] is not None) == sorted(want)
+    assert sorted(x[1] for x in got if x[0] is None) == sorted(t or "" for _, t in lost)
 
 
-def test_fm_index_statistics():
+def test_fm_index_statistics_of_other_texts():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 4, 400)
     text[::50] = 0
-    index = fm_index.FMIndex(text, 5)
-    s = text.tolist()
-    hits = {(int(o), int(a)): int(b) for o, a, b in ((o, a, b) for os, as_, bs in index.statistics(text, np.array([49, 149]), np.array([48, 48])) for o, a, b in zip(os, as_, bs, strict=True))}
-    for (_, at), block in hits.items():
-        n = sum(s[i : i + 5] == s[at : at + 5] for i in range(len(s) - 4))
-        assert index.block_end[block] - index.block_start[block] == n
+    places = rng.permutation(400).astype(np.int64)
+    index = fm_index.FMIndex(text, 5, places)
+    assert not {"text", "order", "block"} & set(vars(index))
+    stream = np.concatenate([rng.integers(0, 4, 300), text[100:190]])
+    s, q = text.tolist(), stream.tolist()
+    for parts in ([(0, 390)], [(0, 100), (100, 250), (250, 390), (390, 390)]):
+        ends, lengths = np.array([b for _, b in parts]), np.array([b - a for a, b in parts])
+        hits = {int(a): int(b) for _, at, block in index.statistics(stream, ends, lengths) for a, b in zip(at, block, strict=True)}
+        for a, b in parts:
+            for i in range(a, b):
+                own = q[i : i + 5]
+                where = [k for k in range(len(s) - 4) if s[k : k + 5] == own] if i + 5 <= b and 0 not in own else []
+                assert (i in hits) == bool(where)
+                if where:
+                    k = hits[i]
+                    upto = index.start[k + 1] if k + 1 < len(index.start) else len(s)
+                    assert upto - index.start[k] == len(where) and index.least[k] == min(places[k] for k in where)
 
 
 def test_op4_against_brute_force(spark, monkeypatch):
@@ -215,6 +274,25 @@ def test_op4_against_brute_force(spark, monkeypatch):
         assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k, *_ in odd)
 
 
+def test_op4_exact_bound_repeats_and_edges(spark):
+    schema = "vec_id long, embedding array<double>, label int, n_links int"
+    a, b = [1.0, 0.0], [0.9, float(np.sqrt(0.19))]
+    rows = [(1, a), (2, b), (3, [0.0, 7.0]), (3, [0.0, 7.0]), (3, [7.0, 0.0]), (4, [0.0, -1e-200]), (5, [0.0, -3e200]), (None, a), (6, [1.0, 0.0, 0.0]), (7, None)]
+    assert np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)) == 0.9
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, 0, 1) for r in rows], schema)).collect()
+    want = {(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (None, 0, None, True), (6, 0, 6, True), (7, 0, 7, True)}
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == want and len(got) == len(rows)
+    none = embeddings.near_duplicates(spark.createDataFrame([], schema))
+    assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((120, 6))
+    y = x - (x * rng.standard_normal((120, 6))).sum(1)[:, None] * 0.02
+    z = np.concatenate([x, y])
+    cos = (z[:, None, :] * z[None, :, :]).sum(2) / (np.linalg.norm(z, axis=1)[:, None] * np.linalg.norm(z, axis=1)[None, :])
+    got = by_id(embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0, 1) for i, v in enumerate(z)], schema), blocks=3), "vec_id")
+    assert [got[i].n_links for i in range(240)] == [int((c >= 0.9).sum()) - 1 for c in cos]
+
+
 def test_op5_packs_all_without_gaps(spark, sf):
     docs = documents(spark, sf)
     rows = packing.packed(spark, docs, P.path("byte_bpe_50k.json")).collect()
@@ -228,7 +306,7 @@ def test_op5_packs_all_without_gaps(spark, sf):
             end += n
         assert end <= 2048
     assert len(by) <= -(-sum(r.length for r in rows) // 2048) * 1.02 + 1
-    tok = tokens.encoder(P.path("byte_bpe_50k.json")).tok
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     text = {r.doc_id: r.text for r in docs.collect()}
     for k in list(text)[:20]:
         ids = np.array(tok.encode(text[k] or "", add_special_tokens=False).ids + [0], "<u4")
@@ -308,7 +386,7 @@ def test_op9_ordinal_fit_and_rows(spark, sf):
     w, t = toxicity.fit_ordinal(r, c, grade, 3, 3, l2=1e-5)
     assert np.allclose(w, [3, 0, -2], atol=0.4) and np.allclose(t, [1, 3], atol=0.4)
     docs = documents(spark, sf)
-    model = toxicity.fit(docs, toxicity.grades(spark.read.parquet(f"{sf}/labels.parquet")), severe_words=3)
+    model = toxicity.fit(docs, toxicity.grades(spark.read.parquet(f"{sf}/labels.parquet")))
     rows = by_id(toxicity.predict(edge(spark), model))
     assert len(rows) == len(EDGE) and all(0 <= x.p_toxic <= 1 and 0 <= x.severity <= 2 for x in rows.values())
     assert toxicity.predict(docs.limit(0), model).count() == 0
