@@ -16,17 +16,15 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters, thus no language (null and empty texts among them)."""
+    """Without documents that have no letters, thus no language (null and empty texts among them). Rows that repeat a doc_id are judged one by one."""
     model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    good = langid.predict(docs, model).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(COLUMNS)
+    return langid.with_language(docs.select(COLUMNS), model)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that are more likely toxic than not."""
-    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), toxicity.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), severe_words=3)
-    bad = toxicity.predict(docs, model).where("p_toxic >= 0.5").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    """Without documents that are more likely toxic than not. Rows that repeat a doc_id are judged one by one."""
+    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), toxicity.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.without_toxic(docs.select(COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
