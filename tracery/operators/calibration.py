@@ -8,13 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 
-def auroc(scored: DataFrame) -> DataFrame:
-    """One row: pairs won over pairs, ties half; null with one class only. The window runs over distinct scores, not rows."""
-    by = scored.groupBy("p").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return won.agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
+# What a model has to reach.
+GATES = {"query_top1": (">=", 0.90), "auroc": (">=", 0.90), "ece": ("<=", 0.10), "precision": (">=", 0.85)}
+
+
+def auroc(scored: DataFrame, by: str | None = None) -> DataFrame:
+    """Pairs won over pairs, ties half; null with one class only; one row, or one for each value of by.
+
+    Scores are counted first. Without by, distinct scores are dealt out by range: a task sums its
+    own, and the sums of the ranges below come from one row a range, so that no task orders all.
+    """
+    key = [by] if by else []
+    counts = scored.groupBy(*key, "p").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
+    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if by:
+        below = F.coalesce(F.sum("neg").over(frame(Window.partitionBy(by).orderBy("p"))), F.lit(0))
+    else:
+        counts = cut(counts.repartitionByRange("p").withColumn("part", F.spark_partition_id()))
+        parts = counts.groupBy("part").agg(F.sum("neg").alias("in_part"))
+        parts = parts.select("part", F.coalesce(F.sum("in_part").over(frame(Window.orderBy("part"))), F.lit(0)).alias("before"))
+        counts = counts.join(F.broadcast(parts), "part")
+        below = F.col("before") + F.coalesce(F.sum("neg").over(frame(Window.partitionBy("part").orderBy("p"))), F.lit(0))
+    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    return won.groupBy(*key).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
 def ece(scored: DataFrame, bins: int = 15) -> DataFrame:
@@ -75,3 +93,56 @@ def score_states(states: DataFrame, scorer, column: str = "state") -> DataFrame:
             yield pd.Series(out, dtype="float64")
 
     return states.withColumn("p", run(column))
+
+
+def metric_breakdown(scored: DataFrame, tau: float, keys: list[str], bins: int = 15) -> DataFrame:
+    """(key, value, n_rows, n_queries, auroc, ece, query_top1, none_rate, precision, recall, selected) over all rows (key overall) and for each value of each key.
+
+    Every row is stacked once a key, then all measures are aggregates by (key, value).
+    """
+    stack = F.array(F.struct(F.lit("overall").alias("key"), F.lit("all").alias("value")), *(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys))
+    rows = scored.select("query_id", "rank", "positive", "p", F.explode(stack).alias("g")).withColumn("g", F.to_json("g"))
+    chosen = F.col("p") >= tau
+    base = rows.groupBy("g").agg(F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.count_if(chosen).alias("selected"), F.sum(F.when(chosen, F.col("positive"))).alias("hits"), F.sum("positive").alias("all_pos"))
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.col("p") * bins) - 1))
+    by_bin = rows.groupBy("g", bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("conf"), F.avg(F.col("positive").cast("double")).alias("acc"))
+    errors = by_bin.groupBy("g").agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
+    by_query = rows.groupBy("g", "query_id").agg(F.max("positive").alias("any"), F.min_by("positive", F.struct(-F.col("p"), "rank")).alias("top"), F.max("p").alias("best"))
+    queries = by_query.groupBy("g").agg(F.avg(F.when(F.col("any") == 1, F.col("top").cast("double"))).alias("query_top1"), F.avg(F.when(F.col("any") == 0, (F.col("best") < tau).cast("double"))).alias("none_rate"))
+    out = base.join(errors, "g").join(queries, "g").join(auroc(rows, "g"), "g")
+    g = F.from_json("g", "key string, value string")
+    return out.select(g.key.alias("key"), g.value.alias("value"), "n_rows", "n_queries", "auroc", "ece", "query_top1", "none_rate", F.try_divide(F.col("hits"), F.col("selected").cast("double")).alias("precision"), F.try_divide(F.col("hits"), F.col("all_pos").cast("double")).alias("recall"), "selected")
+
+
+def acceptance_gate(metrics: DataFrame) -> DataFrame:
+    """(metric, value, threshold, passed) of one row of metrics; missing values and NaN fail."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(f"{op} {t:.2f}").alias("threshold"), (F.coalesce(F.col(m) >= t if op == ">=" else F.col(m) <= t, F.lit(False)) & ~F.isnan(F.coalesce(F.col(m).cast("double"), F.lit(0.0)))).alias("passed")) for m, (op, t) in GATES.items()]
+    return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def bake_off(scored: DataFrame, least_precision: float = 0.9) -> DataFrame:
+    """(model, tau, ..): measures of each model (column model) at the threshold that suits it best."""
+    taus = list(range(30, 95, 5))
+    reached = scored.select("model", "positive", F.explode(F.filter(F.array(*map(F.lit, taus)), lambda t: t / 100 <= F.col("p"))).alias("tau"))
+    good = reached.groupBy("model", "tau").agg(F.avg(F.col("positive").cast("double")).alias("precision")).where(F.col("precision") >= least_precision).groupBy("model").agg(F.min("tau").alias("tau"))
+    picked = scored.join(scored.select("model").distinct().join(good, "model", "left").select("model", F.coalesce("tau", F.lit(90)).alias("tau")), "model")
+    chosen = F.col("p") >= F.col("tau") / 100
+    base = picked.groupBy("model").agg(F.first("tau").alias("tau"), F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.count_if(chosen).alias("selected"), F.try_divide(F.sum(F.when(chosen, F.col("positive"))), F.count_if(chosen).cast("double")).alias("precision"), F.try_divide(F.sum(F.when(chosen, F.col("positive"))), F.sum("positive").cast("double")).alias("recall"))
+    return base.join(auroc(scored, "model"), "model")
+
+
+def calibrated_gate(val: DataFrame, test: DataFrame) -> DataFrame:
+    """Temperature from the logits z of val, its threshold, and with both the gate on test: (metric, value, threshold, passed)."""
+    t = fit_temperature(val.select("z", "positive")).head().temperature
+    p = 1 / (1 + F.exp(-F.col("z") / F.lit(t)))
+    tau = pick_threshold(val.withColumn("p", p)).head().tau / 100
+    return acceptance_gate(metric_breakdown(test.withColumn("p", p), tau, []))
+
+
+def permille(p):
+    """A probability in thousandths, rounded and kept within 0..1000."""
+    return F.least(F.lit(1000), F.greatest(F.lit(0), F.round(p * 1000))).cast("int")
+
+
+def clamped_temperature(t):
+    return F.least(F.lit(5.0), F.greatest(F.lit(0.5), t))

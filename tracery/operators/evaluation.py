@@ -24,8 +24,8 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def cost_per_query(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """(query_id, calls, priced_calls, tokens, usd) from calls (query_id, model, tokens) and prices (model, usd_per_1m); usd is null if any model has no price. prices is one row a model."""
-    rows = calls.join(F.broadcast(prices), "model", "left")
+    """(query_id, calls, priced_calls, tokens, usd) from calls (query_id, model, tokens) and prices (model, usd_per_1m); usd is null if any model has no price. prices is one row a model; Spark broadcasts it if its size allows."""
+    rows = calls.join(prices, "model", "left")
     usd = F.sum(F.col("tokens") * F.col("usd_per_1m") / 1e6)
     return rows.groupBy("query_id").agg(F.count("*").alias("calls"), F.count("usd_per_1m").alias("priced_calls"), F.sum("tokens").alias("tokens"), F.when(F.bool_and(F.col("usd_per_1m").isNotNull()), usd).alias("usd"))
 
@@ -39,18 +39,13 @@ def hit_at_k(ranked: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFra
     return queries.select("query_id").join(first, "query_id", "left").select("query_id", "file_rank", F.coalesce(rank <= 1, F.lit(False)).alias("hit_1"), F.coalesce(rank <= 3, F.lit(False)).alias("hit_3"), rank.isNotNull().alias("hit_any"))
 
 
-def attribution(rows: DataFrame) -> DataFrame:
-    """With failure: why a query without a hit failed, the first that holds."""
-    return rows.withColumn("failure", F.when(F.col("hit_1"), "none").when(F.col("hit_any"), "ranked-low").when(F.col("n_candidates") > 0, "retrieval-miss").otherwise("no-candidates"))
+def files_by_hits(hits: DataFrame) -> DataFrame:
+    """(query_id, path, n, rank): files by how often a plain search hits them."""
+    by = hits.groupBy("query_id", "path").agg(F.count("*").alias("n"))
+    return by.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path")))
 
 
 def pass_classes(runs: DataFrame) -> DataFrame:
     """(query_id, n, passed, class) of repeated runs (query_id, ok)."""
     got = runs.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
     return got.withColumn("class", F.when(F.col("passed") == F.col("n"), "pass").when(F.col("passed") > 0, "flaky").otherwise("deterministic_failure"))
-
-
-def shadow_class(a: Column, b: Column) -> Column:
-    """Agreement of two sets of indexes."""
-    x, y = F.array_sort(F.array_distinct(a)), F.array_sort(F.array_distinct(b))
-    return F.when(x == y, "exact").when(F.size(F.array_intersect(a, b)) > 0, "overlap").otherwise("disjoint")

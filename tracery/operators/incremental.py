@@ -79,3 +79,67 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; a struct minimum combines before the shuffle, so hot keys cost nothing."""
     others = [c for c in rows.columns if c not in key and c not in order]
     return rows.groupBy(*key).agg(F.min(F.struct(*order, *others)).alias("row")).select(*key, "row.*")
+
+
+def still_valid(entries: DataFrame, deps: DataFrame, files: DataFrame, snapshot: DataFrame, by_paths: bool = True) -> DataFrame:
+    """Entries (key, repo, snapshot) with valid: of the current snapshot (repo, now), or, by paths, if all files that they depend on (key, path, digest) are unchanged in files (repo, path, digest); without dependencies only the snapshot counts."""
+    state = deps.join(entries.select("key", "repo"), "key").join(files.select("repo", "path", F.col("digest").alias("is")), ["repo", "path"], "left")
+    same = state.groupBy("key").agg(F.bool_and(F.coalesce(F.col("digest") == F.col("is"), F.lit(False))).alias("same"))
+    rows = entries.join(snapshot, "repo", "left").join(same, "key", "left")
+    by = F.coalesce("same", F.lit(False)) if by_paths else F.lit(False)
+    return rows.withColumn("valid", F.coalesce(F.col("snapshot") == F.col("now"), F.lit(False)) | by).drop("now", "same")
+
+
+def index_covers(changed: DataFrame, index: DataFrame) -> DataFrame:
+    """(repo, covered): whether the index knows each changed file (repo, path) as it is: freshness (repo, path, freshness) metadata_match or not_tracked; what it doesn't tell counts as not."""
+    rows = changed.join(index, ["repo", "path"], "left")
+    return rows.groupBy("repo").agg(F.bool_and(F.coalesce(F.col("freshness").isin("metadata_match", "not_tracked"), F.lit(False))).alias("covered"))
+
+
+def freshness(probes: DataFrame, now, staleness_seconds: int) -> DataFrame:
+    """Probes (repo, exists, changed_files, indexed_at) with decision: reindex where there is no index, a change, an unknown, or too great an age; a time to come is none."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("indexed_at")
+    fresh = F.col("exists") & (F.col("changed_files") == 0) & F.col("indexed_at").isNotNull() & (age <= staleness_seconds)
+    return probes.withColumn("decision", F.when(F.coalesce(fresh, F.lit(False)), "up-to-date").otherwise("reindex"))
+
+
+def may_skip_refresh(current, mark, age_seconds, ttl_seconds: int):
+    """Whether a repeated call may trust the last refresh: same known state, younger than the time."""
+    return F.coalesce((current == mark) & (age_seconds < ttl_seconds), F.lit(False))
+
+
+def response_cap(detailed, cap, detailed_cap):
+    """Characters of a snippet in an answer; 0 is no bound. A detailed answer never has less than another."""
+    return F.when(~detailed, cap).when((cap == 0) | (detailed_cap == 0), 0).otherwise(F.greatest(cap, detailed_cap))
+
+
+def store_stats(entries: DataFrame) -> DataFrame:
+    """(schema_version, entries, bytes, oldest, newest) of a cache table."""
+    return entries.groupBy("schema_version").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.min("last_hit").alias("oldest"), F.max("last_hit").alias("newest"))
+
+
+def latest_inserted(entries: DataFrame, group: str, cap: int) -> DataFrame:
+    """The last ``cap`` entries of each group by insertion (inserted, key)."""
+    w = Window.partitionBy(group).orderBy(F.desc("inserted"), F.desc("key"))
+    return entries.withColumn("age", F.row_number().over(w)).where(F.col("age") <= cap).drop("age")
+
+
+def written_through(old: DataFrame, new: DataFrame, schema_version: int, budget: int) -> DataFrame:
+    """The cache after new entries (grp, key, bytes, last_hit, schema_version): those of other versions go, of a key the one hit last stays, then each group keeps the latest within a budget of bytes."""
+    rows = old.unionByName(new).where(F.col("schema_version") == schema_version)
+    kept = rows.groupBy("grp", "key").agg(F.max(F.struct("last_hit", "bytes")).alias("m")).select("grp", "key", "m.bytes", "m.last_hit")
+    return within_budget(kept, "grp", budget)
+
+
+def write_cache(entries: DataFrame, path: str) -> None:
+    """Cache rows, a folder a version."""
+    entries.write.partitionBy("schema_version").mode("overwrite").parquet(path)
+
+
+def architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n) of a graph of nodes (node, label) and edges (src, dst, type): nodes by label, edges by type, edges that reach each Package, and Functions that nothing calls."""
+    labels = nodes.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n")
+    types = edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), F.col("type").alias("name"), "n")
+    fan_in = nodes.where("label = 'Package'").join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")), "node", "left").select(F.lit("fan_in").alias("kind"), F.col("node").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    entry = nodes.where("label = 'Function'").join(edges.where("type = 'CALLS'").select(F.col("dst").alias("node")), "node", "left_anti").select(F.lit("entry").alias("kind"), F.col("node").alias("name"), F.lit(1).cast("long").alias("n"))
+    return labels.unionByName(types).unionByName(fan_in).unionByName(entry)

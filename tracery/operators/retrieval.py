@@ -10,6 +10,8 @@ from ..functions.text import glob_match, last_segment, smart_contains
 #: Rows of a leg for each query.
 LEG_LIMIT = 20
 GRAMS = r"(?=([\s\S]{3}))"
+#: Patterns that travel with a scan of the lines, in one automaton: some 10 MB at most for ordinary ones.
+MOST_PATTERNS = 20_000
 
 
 def path_order(path: str = "path"):
@@ -17,51 +19,140 @@ def path_order(path: str = "path"):
     return F.split(path, "/")
 
 
-def substring_hits(lines: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows of lines joined with the patterns (query_id, pattern) that they contain, by smart case.
+def _searched(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFrame:
+    """All matches by one pass over the lines: an automaton of all patterns, made once a task."""
+    rows = patterns.select("query_id", "pattern", F.lower("pattern").alias("low"), F.col("pattern").rlike(r"\p{Lu}").alias("exact")).collect()
+    by_low: dict[str, list[tuple]] = {}
+    for r in rows:
+        by_low.setdefault(r.low, []).append((r.query_id, r.pattern, r.exact))
+    kinds = dict(patterns.dtypes)
+    columns = lines.columns
+    schema = ", ".join([f"query_id {kinds['query_id']}", "pattern string", *(f"`{c}` {t}" for c, t in lines.dtypes)])
 
-    Each pattern is looked up by its rarest trigram; what shares it is compared. Trigrams of lines
-    are met only if some pattern has them. Empty patterns find nothing; those of one or two
-    characters are compared with all lines, and are to be few.
-    """
-    long = patterns.where("char_length(pattern) >= 3")
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        tree = ahocorasick.Automaton()
+        for low in by_low:
+            tree.add_word(low, low)
+        tree.make_automaton()
+        at_line = columns.index("line")
+        for batch in batches:
+            queries, found, row = [], [], []
+            for i, (low, line) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(at_line).to_pylist(), strict=True)):
+                for hit in {x for _, x in tree.iter(low)} if low else ():
+                    for query, pattern, exact in by_low[hit]:
+                        if not exact or pattern in line:
+                            queries.append(query)
+                            found.append(pattern)
+                            row.append(i)
+            kept = batch.select(range(len(columns))).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64() if kinds["query_id"] in ("bigint", "int") else pa.string()), pa.array(found, pa.string()), *kept.columns], ["query_id", "pattern", *columns])
+
+    if not by_low:
+        return lines.limit(0).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.lit(None).cast("string").alias("pattern"), *columns)
+    return lines.withColumn("_low", F.lower("line")).mapInArrow(run, schema.replace(f"query_id {kinds['query_id']}", "query_id " + ("bigint" if kinds["query_id"] in ("bigint", "int") else "string"), 1)).select(names)
+
+
+def _by_trigram(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFrame:
+    """All matches by equi-joins: each pattern is looked up by its rarest trigram, and what shares it is compared."""
     gram = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(GRAMS), F.lit(1)))
-    wanted = long.select("query_id", "pattern", F.explode(gram("pattern")).alias("gram"))
-    keyed = lines.withColumn("line_id", F.xxhash64("path", "line_no"))
-    posts = keyed.select("line_id", "path", "line_no", F.explode(gram("line")).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    often = posts.groupBy("gram").count()
-    best = wanted.join(often, "gram").groupBy("query_id", "pattern").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    near = posts.join(best, "gram").select("path", "line_no", "query_id", "pattern")
-    found = near.join(lines, ["path", "line_no"])
-    short = lines.join(F.broadcast(patterns.where("char_length(pattern) between 1 and 2")), smart_contains(F.col("line"), F.col("pattern")))
+    some = F.when(F.char_length("pattern") >= 3, gram("pattern")).otherwise(F.array(F.lower("pattern")))
+    wanted = patterns.select("query_id", "pattern", F.explode(some).alias("gram"))
+    low = F.lower("line")
+    each = F.concat(gram("line"), *(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))) for n in (1, 2)))
+    posts = lines.select(*lines.columns, F.explode(each).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    best = wanted.join(posts.groupBy("gram").count(), "gram").groupBy("query_id", "pattern").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    return posts.join(best, "gram").where(smart_contains(F.col("line"), F.col("pattern"))).select(names)
+
+
+def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """Rows of lines joined with the distinct patterns (query_id, pattern) that they contain, by smart case.
+
+    Up to most_patterns patterns travel with the scan, which finds all of them in one pass and
+    shuffles nothing; more are joined by trigrams. Equal lines are hits of their own. Empty
+    patterns find nothing.
+    """
+    patterns = patterns.where("pattern <> ''").distinct()
     names = ["query_id", "pattern", *lines.columns]
-    return found.where(smart_contains(F.col("line"), F.col("pattern"))).select(names).unionByName(short.select(names))
+    few = len(patterns.limit(most_patterns + 1).select(F.lit(1).alias("one")).collect()) <= most_patterns
+    return (_searched if few else _by_trigram)(lines, patterns, names)
 
 
 def limited(hits: DataFrame, most: int = LEG_LIMIT) -> DataFrame:
-    """The first rows of each query by path and line."""
-    w = Window.partitionBy("query_id").orderBy(path_order(), "line_no")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """The first rows of each query and pattern by path and line, numbered over the query."""
+    each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_no")
+    w = Window.partitionBy("query_id").orderBy(path_order(), "line_no", "pattern")
+    return hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= most).drop("n").withColumn("rank", F.row_number().over(w))
 
 
 def grep_leg(lines: DataFrame, patterns: DataFrame, context: int = 0) -> DataFrame:
     """Candidates (query_id, raw_seq, path, line_start, line_end, symbol, kind, snippet) of the literal search."""
-    hits = limited(substring_hits(lines, patterns))
+    return grep_candidates(substring_hits(lines, patterns), context)
+
+
+def grep_candidates(hits: DataFrame, context: int = 0) -> DataFrame:
+    """The same from hits that were found before."""
+    hits = limited(hits)
     return hits.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "path", F.greatest(F.lit(1), F.col("line_no") - context).alias("line_start"), (F.col("line_no") + context).alias("line_end"), F.lit(None).cast("string").alias("symbol"), F.lit("ContentHit").alias("kind"), F.col("line").alias("snippet"))
 
 
-def symbol_leg(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """Candidates of symbols whose last segment is a name (query_id, name), the first LEG_LIMIT by path and line."""
-    hits = symbols.withColumn("name", last_segment(F.col("qualified_name"))).join(names, "name")
-    w = Window.partitionBy("query_id").orderBy(path_order(), "line_start")
-    return hits.withColumn("raw_seq", F.row_number().over(w).cast("long")).where(F.col("raw_seq") <= LEG_LIMIT).select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SymbolExact").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """Candidates of symbols by name (query_id, name), the first LEG_LIMIT of a query and name by path and line, numbered over the query.
+
+    A symbol whose last segment is the name is an exact hit; with fuzzy, one whose qualified name
+    holds the name, whatever the case, is a fuzzy one.
+    """
+    last = last_segment(F.col("qualified_name"))
+    if fuzzy:
+        found = substring_hits(symbols.withColumn("line", F.lower("qualified_name")), names.select("query_id", F.lower("name").alias("pattern")))
+        hits = found.join(names.select("query_id", "name", F.lower("name").alias("pattern")).distinct(), ["query_id", "pattern"]).drop("pattern", "line")
+    else:
+        hits = symbols.withColumn("name", last).join(names.distinct(), "name")
+    kind = F.when(last == F.col("name"), "SymbolExact").otherwise("SymbolFuzzy")
+    order = [path_order(), "line_start", "qualified_name"]
+    each = Window.partitionBy("query_id", "name").orderBy(*order)
+    w = Window.partitionBy("query_id").orderBy(*order, "name")
+    hits = hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= LEG_LIMIT).withColumn("raw_seq", F.row_number().over(w).cast("long"))
+    if not fuzzy:
+        hits = hits.where(F.col("raw_seq") <= LEG_LIMIT)
+    return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), kind.alias("kind"), F.lit(None).cast("string").alias("snippet"))
+
+
+def body_leg(symbols: DataFrame, files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Candidates of symbols whose body, the lines from its start to its end, holds a pattern (query_id, pattern): the first LEG_LIMIT of each by path and line."""
+    split = files.select("path", F.split("content", "\n").alias("rows"))
+    bodies = symbols.join(split, "path").withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
+    hits = substring_hits(bodies.select("path", "line_start", "line_end", "qualified_name", "line"), patterns)
+    each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_start", "qualified_name")
+    w = Window.partitionBy("query_id").orderBy(path_order(), "line_start", "qualified_name", "pattern")
+    hits = hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= LEG_LIMIT).withColumn("raw_seq", F.row_number().over(w).cast("long"))
+    return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+
+
+def bm25_leg(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates of the symbols whose names suit a query's words best."""
+    names = symbols.withColumn("doc_id", F.xxhash64("path", "line_start", "qualified_name"))
+    best = bm25(names.select("doc_id", F.regexp_replace("qualified_name", "_", " ").alias("text")), queries.select("query_id", F.regexp_replace("text", "_", " ").alias("text")))
+    hits = best.join(names, "doc_id")
+    return hits.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+
+
+def union_of_legs(*legs: DataFrame) -> DataFrame:
+    """The candidates of all legs, numbered by leg and then by their place in it: the order in which equals are merged."""
+    out = None
+    for i, leg in enumerate(legs):
+        rows = leg.withColumn("raw_seq", F.col("raw_seq") + i * 1_000_000)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def file_leg(files: DataFrame, tokens: DataFrame) -> DataFrame:
     """Candidates of files whose names match a token (query_id, token): an equi-join for names with an extension or equal; parts are looked up by their rarest trigram, or by themselves if shorter, and compared. An empty token is part of every name."""
     paths = files.select("path").distinct().withColumn("base", F.element_at(F.split("path", "/"), -1))
     exact = paths.join(tokens.withColumn("base", F.col("token")), "base").select("query_id", "path")
-    parts = tokens.where(~F.col("token").rlike(r"^.+\.[^.]+$")).select("query_id", "token")
+    parts = tokens.where(~F.contains("token", F.lit("."))).select("query_id", "token")
     gram = lambda c, n: F.regexp_extract_all(F.col(c), F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
     wanted = parts.where("token <> ''").select("query_id", "token", F.explode(F.when(F.char_length("token") < 3, F.array("token")).otherwise(F.array_distinct(gram("token", 3)))).alias("gram"))
     posts = paths.select("path", F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
@@ -75,22 +166,144 @@ def file_leg(files: DataFrame, tokens: DataFrame) -> DataFrame:
     return hits.select("query_id", "raw_seq", "path", one.alias("line_start"), one.alias("line_end"), none.alias("symbol"), F.lit("FileNameHit").alias("kind"), none.alias("snippet"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k best documents (doc_id, text) for each query (query_id, text). Only terms of queries leave the scan's stage."""
-    terms = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    split = docs.select("doc_id", terms("text").alias("terms")).withColumn("len", F.size("terms"))
+def _terms(c: str):
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, most_terms: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents (doc_id, text) for each query (query_id, text).
+
+    Up to most_terms terms of queries travel with the scan: a task scores whole documents and
+    keeps its k best of each query, so that only these are shuffled. More are joined by term.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(_terms("text"))).alias("term"))
+    split = docs.select("doc_id", _terms("text").alias("terms")).withColumn("len", F.size("terms"))
     stats = split.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = split.select("doc_id", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    wanted = asked.groupBy("term").agg(F.collect_set("query_id").alias("queries"))
+    each = split.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term"), "term", "left_semi")
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    rows = asked.limit(most_terms + 1).toArrow().to_pydict()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    if len(rows["term"]) > most_terms:
+        tf = split.select("doc_id", "len", F.explode("terms").alias("term")).join(wanted.select("term"), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+        total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    weights = {r.term: r.idf for r in df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf")).collect()}
+    mean = stats.head().avg_len or 1.0
+    ids = sorted(set(rows["query_id"]))
+    place = {q: i for i, q in enumerate(ids)}
+    by_term: dict[str, list[int]] = {}
+    for q, t in zip(rows["query_id"], rows["term"], strict=True):
+        if t in weights:
+            by_term.setdefault(t, []).append(place[q])
+
+    def best(batches):
+        import heapq
+
+        import pyarrow as pa
+
+        heaps: list[list] = [[] for _ in ids]
+        for batch in batches:
+            for doc, terms, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tf: dict[str, int] = {}
+                for t in terms or ():
+                    if t in by_term:
+                        tf[t] = tf.get(t, 0) + 1
+                score: dict[int, float] = {}
+                for t, c in tf.items():
+                    part = weights[t] * c * (k1 + 1) / (c + k1 * (1 - b + b * n / mean))
+                    for q in by_term[t]:
+                        score[q] = score.get(q, 0.0) + part
+                for q, x in score.items():
+                    item = (round(x, 6), -doc)
+                    if len(heaps[q]) < k:
+                        heapq.heappush(heaps[q], item)
+                    elif item > heaps[q][0]:
+                        heapq.heapreplace(heaps[q], item)
+        found = [(ids[q], -d, x) for q, heap in enumerate(heaps) for x, d in heap]
+        cols = zip(*found, strict=True) if found else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
+
+    total = split.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "len").mapInArrow(best, "query_id bigint, doc_id bigint, score double")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def verified_locations(candidates: DataFrame, stats: DataFrame) -> DataFrame:
     """Candidates whose files exist and whose start lies in them, cut at the last line."""
     return candidates.join(stats.select("path", "line_count"), "path").where("line_start <= line_count").withColumn("line_end", F.least("line_end", F.greatest("line_count", "line_start"))).drop("line_count")
+
+
+def body_window(candidates: DataFrame, files: DataFrame, before: int = 3, after: int = 5) -> DataFrame:
+    """With body: the lines around each candidate, from one array of lines a file, cut at the file's ends; unknown places and files give null."""
+    split = files.select("path", F.split("content", "\n").alias("rows"))
+    first = F.greatest(F.col("line_start") - before, F.lit(1))
+    last = F.least(F.greatest("line_end", "line_start") + after, F.size("rows"))
+    body = F.when((F.col("line_start") > 0) & (first <= last), F.array_join(F.slice("rows", first, last - first + 1), "\n"))
+    return candidates.join(split, "path", "left").withColumn("body", body).drop("rows")
+
+
+def context_lines(hits: DataFrame, files: DataFrame, width: int = 2) -> DataFrame:
+    """With before and after: up to ``width`` lines on each side of every hit (path, line_no, ..).
+
+    A line between two hits goes to the earlier hit's tail if it is within width of it, else to
+    the next hit's head; hits' own lines belong to neither.
+    """
+    places = hits.select("path", "line_no").distinct()
+    w = Window.partitionBy("path").orderBy("line_no")
+    near = places.withColumns({"prev": F.lag("line_no").over(w), "next": F.lead("line_no").over(w)})
+    split = files.select("path", F.split("content", "\n").alias("rows"))
+    # the last empty piece of a text that ends with a line end is no line
+    rows = split.withColumn("rows", F.when(F.element_at("rows", -1) == "", F.slice("rows", 1, F.size("rows") - 1)).otherwise(F.col("rows")))
+    head = F.greatest(F.col("line_no") - width, F.coalesce(F.col("prev") + width, F.lit(0)) + 1, F.lit(1))
+    tail = F.least(F.col("line_no") + width, F.coalesce(F.col("next") - 1, F.size("rows")), F.size("rows"))
+    lines = lambda a, n: F.slice("rows", a, F.greatest(n, F.lit(0)))
+    cut = near.join(rows, "path").select("path", "line_no", lines(head, F.col("line_no") - head).alias("before"), lines(F.col("line_no") + 1, tail - F.col("line_no")).alias("after"))
+    return hits.join(cut, ["path", "line_no"], "left")
+
+
+def snippets(wanted: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path, line_start, line_end, body) of symbols by qualified name (name)."""
+    found = wanted.join(symbols.withColumnRenamed("qualified_name", "name"), "name")
+    return body_window(found.select("name", "path", "line_start", "line_end"), files, 0, 0)
+
+
+def graph_edges(nodes: DataFrame, edges: DataFrame, label: str | None = None, name: str | None = None, path: str | None = None) -> DataFrame:
+    """(src, dst, type) of edges whose source has a label, a name that matches and a path that holds a part; each is optional."""
+    rows = nodes
+    for column, test in (("label", label and F.col("label") == label), ("name", name and F.col("name").rlike(name)), ("path", path and F.contains("path", F.lit(path)))):
+        rows = rows.where(test) if test is not None else rows
+    return edges.join(rows.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "type")
+
+
+def legs_overlap(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Findings (query_id, path, line_start, line_end) that overlap a candidate of the query."""
+    c = candidates.select("query_id", "path", F.col("line_start").alias("c_start"), F.col("line_end").alias("c_end"))
+    return findings.join(c, (findings.query_id == c.query_id) & (findings.path == c.path) & (findings.line_start <= c.c_end) & (c.c_start <= findings.line_end), "left_semi")
+
+
+def attributed(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """With symbol: that of the one candidate which a finding (finding_id, query_id, path, line_start, line_end) overlaps; null for none or several."""
+    c = candidates.select("query_id", "path", F.col("line_start").alias("c_start"), F.col("line_end").alias("c_end"), "symbol")
+    hit = findings.join(c, ["query_id", "path"]).where("line_start <= c_end and c_start <= line_end")
+    one = hit.groupBy("finding_id").agg(F.count("*").alias("n"), F.first("symbol").alias("symbol")).where("n = 1").select("finding_id", "symbol")
+    return findings.join(one, "finding_id", "left")
+
+
+def resolved_citations(findings: DataFrame, registry: DataFrame, strict: bool = False) -> DataFrame:
+    """Findings (query_id, finding_id, candidate_id, line_start, line_end) with the place of the candidate that they cite, from registry (query_id, candidate_id, path, c_start, c_end), and valid.
+
+    A range that is unknown (0), or overlaps the candidate's without lying strictly inside, becomes
+    the candidate's; one that lies apart is kept. Findings that cite nothing known are invalid:
+    they go, or with strict all findings of their query go.
+    """
+    rows = findings.join(registry, ["query_id", "candidate_id"], "left").withColumn("valid", F.col("path").isNotNull())
+    overlaps = (F.col("line_start") <= F.col("c_end")) & (F.col("c_start") <= F.col("line_end"))
+    inside = (F.col("line_start") > F.col("c_start")) & (F.col("line_end") < F.col("c_end"))
+    snap = (F.col("line_start") == 0) | (overlaps & ~inside)
+    rows = rows.withColumns({"line_start": F.when(snap, F.col("c_start")).otherwise(F.col("line_start")), "line_end": F.when(snap, F.col("c_end")).otherwise(F.col("line_end"))})
+    if strict:
+        rows = rows.withColumn("valid", F.bool_and("valid").over(Window.partitionBy("query_id")))
+    return rows.where("valid").select("query_id", "finding_id", "candidate_id", "path", "line_start", "line_end")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import calibration, evaluation, incremental, labels, ranking, retrieval
+from ..operators import retrieve as retrieve_job
 from ..sources import corpus
+from ..sources.scratch import cut
 from ..streaming import telemetry
 
 QUERIES: dict = {}
@@ -40,9 +42,14 @@ def _lines(spark, sf) -> DataFrame:
     return corpus.corpus_lines(_files(spark, sf))
 
 
+def _items(spark, sf) -> DataFrame:
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _literals(spark, sf) -> DataFrame:
-    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^((?:\S+ ){5}\S+)", 1).alias("pattern"))
-    return items.where("pattern <> ''")
+    """Every line of every item is a literal to look for."""
+    rows = _items(spark, sf).select("query_id", F.explode(F.split("text", "\n")).alias("pattern"))
+    return rows.select("query_id", F.trim("pattern").alias("pattern")).where("pattern <> ''").distinct()
 
 
 def _keys(spark, sf) -> DataFrame:
@@ -51,15 +58,25 @@ def _keys(spark, sf) -> DataFrame:
     return _literals(spark, sf).select("query_id", keys.alias("keys"), keys.alias("strong"))
 
 
-def _ranked(spark, sf) -> DataFrame:
-    return ranking.merge_and_rank(retrieval.grep_leg(_lines(spark, sf), _literals(spark, sf), context=2), _keys(spark, sf))
+def _hits(spark, sf) -> DataFrame:
+    """What the literal search finds, written once for all that a query makes of it."""
+    return cut(retrieval.substring_hits(_lines(spark, sf), _literals(spark, sf)))
+
 
+def _ranked(spark, sf, hits: DataFrame | None = None) -> DataFrame:
+    found = retrieval.grep_candidates(_hits(spark, sf) if hits is None else hits, context=2)
+    return ranking.merge_and_rank(found, _keys(spark, sf))
 
-def _truth(spark, sf) -> DataFrame:
-    hits = retrieval.substring_hits(_lines(spark, sf), _literals(spark, sf))
+
+def _truth(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.min(F.struct(F.split("path", "/").alias("p"), "line_no", "path")).alias("m")).select("query_id", "m.path", F.col("m.line_no").alias("span_start"), (F.col("m.line_no") + 1).alias("span_end"))
 
 
+def _labelled(spark, sf) -> DataFrame:
+    hits = _hits(spark, sf)
+    return labels.interval_labels(_ranked(spark, sf, hits), _truth(hits))
+
+
 def _draw(column: str):
     return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 6), 16, 10).cast("long") / 16777216
 
@@ -74,17 +91,22 @@ def _scored(spark, sf) -> DataFrame:
 LINES = """f AS (SELECT source AS repo, source||'/'||lang||'/'||doc_id AS path, text, string_split(text, chr(10)) AS p FROM documents),
 g AS (SELECT repo, path, CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END AS p FROM f),
 lines AS (SELECT repo, path, unnest(generate_series(1, len(p))) AS line_no, rtrim(unnest(p), chr(13)) AS line FROM g)"""
-HITS = f"""{LINES}, q AS (SELECT item_id AS query_id, regexp_extract(text, '^((?:\\S+ ){{5}}\\S+)', 1) AS pattern FROM benchmark WHERE regexp_extract(text, '^((?:\\S+ ){{5}}\\S+)', 1) <> ''),
-hits AS (SELECT query_id, pattern, path, line_no, line FROM lines JOIN q ON CASE WHEN regexp_matches(pattern, '\\p{{Lu}}') THEN contains(line, pattern) ELSE contains(lower(line), lower(pattern)) END)"""
-RANKED = f"""{HITS}, h20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_no) AS rn FROM hits) WHERE rn <= 20),
-c AS (SELECT query_id, pattern, path, greatest(1, line_no - 2) AS s, line_no + 2 AS e, rn, line FROM h20),
-i AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY query_id, path ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS fresh FROM c),
-j AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, path ORDER BY s, e, rn) AS island FROM i),
-m AS (SELECT query_id, path, island, min(s) AS line_start, max(e) AS line_end, arg_min(line, rn) AS snippet FROM j GROUP BY ALL),
-sc AS (SELECT *, 680 + 15 * least(4, count(*) OVER (PARTITION BY query_id, path) - 1) AS score FROM m),
+ALNUM = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ_', 'abcdefghijklmnopqrstuvwxyz'"
+HITS = f"""{LINES}, q AS (SELECT DISTINCT item_id AS query_id, trim(unnest(string_split(text, chr(10)))) AS pattern FROM benchmark), qp AS (SELECT * FROM q WHERE pattern <> ''),
+hits AS (SELECT query_id, pattern, path, line_no, line FROM lines JOIN qp ON CASE WHEN regexp_matches(pattern, '\\p{{Lu}}') THEN contains(line, pattern) ELSE contains(lower(line), lower(pattern)) END)"""
+# from c (query_id, raw_seq, path, s, e, symbol, kind, snippet) and kk (query_id, keys, strong)
+MERGED = f"""cb AS (SELECT c.*, kk.keys, CASE kind WHEN 'SymbolExact' THEN 700 WHEN 'SymbolFuzzy' THEN 400 WHEN 'FileNameHit' THEN 300 WHEN 'SemanticHit' THEN 260 ELSE CASE WHEN len([k FOR k IN kk.strong IF contains(translate(snippet, {ALNUM}), k)]) > 0 THEN 650 ELSE 150 END END AS base FROM c LEFT JOIN kk USING (query_id)),
+ci AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY query_id, path ORDER BY s, e, raw_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS fresh FROM cb),
+cj AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, path ORDER BY s, e, raw_seq) AS island FROM ci),
+cp AS (SELECT *, row_number() OVER w AS pos, coalesce(base > max(base) OVER (PARTITION BY query_id, path, island ORDER BY s, e, raw_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS rec FROM cj WINDOW w AS (PARTITION BY query_id, path, island ORDER BY s, e, raw_seq)),
+m AS (SELECT query_id, path, island, min(s) AS line_start, max(e) AS line_end, max(base) AS base, any_value(keys) AS keys, arg_max(kind, pos) FILTER (rec) AS kind, coalesce(arg_max(symbol, pos) FILTER (rec AND symbol IS NOT NULL), arg_min(symbol, pos) FILTER (symbol IS NOT NULL)) AS symbol, coalesce(arg_max(snippet, pos) FILTER (rec AND snippet IS NOT NULL), arg_min(snippet, pos) FILTER (snippet IS NOT NULL)) AS snippet FROM cp GROUP BY query_id, path, island),
+sc AS (SELECT *, least(1000, base + least(120, 30 * coalesce(len([k FOR k IN keys IF contains(translate(concat_ws(chr(10), symbol, path, snippet), {ALNUM}), k)]), 0)) + 15 * least(4, count(*) OVER (PARTITION BY query_id, path) - 1)) AS score FROM m),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, line_start) AS in_file FROM sc),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_file > 3, score DESC, string_split(path, '/'), line_start) AS place FROM b),
-ranked AS (SELECT query_id, path, line_start, line_end, snippet, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, string_split(path, '/'), line_start) AS rank FROM t WHERE place <= 12),
+ranked AS (SELECT query_id, path, line_start, line_end, symbol, kind, snippet, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, string_split(path, '/'), line_start) AS rank FROM t WHERE place <= 12)"""
+RANKED = f"""{HITS}, h20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pattern ORDER BY string_split(path, '/'), line_no) AS rn FROM hits) WHERE rn <= 20),
+c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_no, pattern) AS raw_seq, path, greatest(1, line_no - 2) AS s, line_no + 2 AS e, NULL::VARCHAR AS symbol, 'ContentHit' AS kind, line AS snippet FROM h20),
+kk AS (SELECT query_id, list(k) AS keys, list(k) AS strong FROM (SELECT DISTINCT query_id, translate(pattern, {ALNUM}) AS k FROM qp) WHERE octet_length(encode(k)) >= 4 GROUP BY 1), {MERGED},
 truth AS (SELECT query_id, path, line_no AS span_start, line_no + 1 AS span_end FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_no) AS first FROM hits) WHERE first = 1)"""
 SCORED = """scored AS (SELECT source||'/'||toxic AS query_id, doc_id AS rank, quality AS positive, round(0.35::DOUBLE * quality + 0.65::DOUBLE * (('0x'||substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT / 16777216::DOUBLE), 3) AS p FROM labels JOIN documents USING (doc_id))"""
 OUTLINE = f"""{LINES}, o AS (SELECT repo, path, line_no, line, lead(line_no) OVER (PARTITION BY repo, path ORDER BY line_no) - 1 AS e, regexp_extract(line, '^(\\w+)', 1) AS name FROM lines WHERE trim(line) <> ''),
@@ -113,13 +135,13 @@ def grep_hits(spark, sf):
 
 @query(f"WITH {RANKED} SELECT * FROM ranked")
 def ranked_candidates(spark, sf):
-    return _ranked(spark, sf).select("query_id", "path", "line_start", "line_end", "snippet", "score", "rank")
+    return _ranked(spark, sf)
 
 
 @query(f"""WITH {RANKED}, two AS (SELECT query_id, max(score) AS top, max(CASE WHEN rank = 2 THEN score END) AS second FROM ranked WHERE rank <= 2 GROUP BY 1)
-SELECT q.query_id, CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END AS confidence, false AS has_exact, CASE WHEN CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END >= 30 THEN 'verify' ELSE 'fallback' END AS route FROM q LEFT JOIN two USING (query_id)""")
+SELECT i.item_id AS query_id, CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END AS confidence, false AS has_exact, false AS unique_trusted, CASE WHEN CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END >= 30 THEN 'verify' ELSE 'fallback' END AS route FROM benchmark i LEFT JOIN two ON item_id = query_id""")
 def confidence(spark, sf):
-    return ranking.route(ranking.confidence(_ranked(spark, sf), _literals(spark, sf)))
+    return ranking.route(ranking.confidence(_ranked(spark, sf), _items(spark, sf)))
 
 
 @query(f"""WITH {OUTLINE}, n AS (SELECT item_id AS query_id, regexp_extract(text, '^(\\w+)', 1) AS name FROM benchmark WHERE regexp_extract(text, '^(\\w+)', 1) <> '')
@@ -153,14 +175,14 @@ def verified_locations(spark, sf):
 
 @query(f"""WITH {RANKED} SELECT r.query_id, r.rank, r.path, CASE WHEN t.query_id IS NOT NULL THEN 'A' ELSE 'B' END AS label FROM ranked r LEFT JOIN truth t ON r.query_id = t.query_id AND r.path = t.path AND line_start <= span_end AND span_start <= line_end""")
 def interval_labels(spark, sf):
-    return labels.interval_labels(_ranked(spark, sf), _truth(spark, sf)).select("query_id", "rank", "path", "label")
+    return _labelled(spark, sf).select("query_id", "rank", "path", "label")
 
 
 @query(f"""WITH {RANKED}, l AS (SELECT r.query_id, r.rank, CASE WHEN t.query_id IS NOT NULL THEN 'A' ELSE 'B' END AS label FROM ranked r LEFT JOIN truth t ON r.query_id = t.query_id AND r.path = t.path AND line_start <= span_end AND span_start <= line_end),
 lm AS (SELECT *, bool_or(label = 'A') OVER (PARTITION BY query_id) AS has, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS nth FROM l)
 SELECT query_id, rank, label FROM lm WHERE label = 'A' OR nth <= CASE WHEN has THEN 4 ELSE 2 END""")
 def negatives_capped(spark, sf):
-    return labels.capped_negatives(labels.interval_labels(_ranked(spark, sf), _truth(spark, sf))).select("query_id", "rank", "label")
+    return labels.capped_negatives(_labelled(spark, sf)).select("query_id", "rank", "label")
 
 
 @query("""SELECT CASE WHEN lang = 'en' THEN 'train' WHEN lang = 'de' THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality <> 1) AS n_neg, count(DISTINCT source) AS n_queries, count(DISTINCT CASE WHEN quality = 1 THEN source END) AS n_with_pos FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
@@ -183,12 +205,47 @@ def decontaminated_pages(spark, sf):
     return labels.decontaminated(pages.select("page_id", "url"), "url", bad, "url").select("page_id", "norm_url")
 
 
-@query(f"""WITH {RANKED}, p AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS file_rank FROM ranked GROUP BY query_id, path), h AS (SELECT p.query_id, min(file_rank) AS file_rank FROM p JOIN truth USING (query_id, path) GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM ranked GROUP BY 1)
-SELECT q.query_id, file_rank, coalesce(file_rank <= 1, false) AS hit_1, coalesce(file_rank <= 3, false) AS hit_3, file_rank IS NOT NULL AS hit_any, coalesce(n, 0) AS n_candidates, CASE WHEN coalesce(file_rank <= 1, false) THEN 'none' WHEN file_rank IS NOT NULL THEN 'ranked-low' WHEN n > 0 THEN 'retrieval-miss' ELSE 'no-candidates' END AS failure FROM q LEFT JOIN h USING (query_id) LEFT JOIN n USING (query_id)""")
+@query(f"""WITH {RANKED}, p AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS file_rank FROM ranked GROUP BY query_id, path), h AS (SELECT p.query_id, min(file_rank) AS file_rank FROM p JOIN truth USING (query_id, path) GROUP BY 1)
+SELECT i.item_id AS query_id, file_rank, coalesce(file_rank <= 1, false) AS hit_1, coalesce(file_rank <= 3, false) AS hit_3, file_rank IS NOT NULL AS hit_any FROM benchmark i LEFT JOIN h ON item_id = query_id""")
 def hit_at_k(spark, sf):
-    ranked = _ranked(spark, sf)
-    got = evaluation.hit_at_k(ranked, _truth(spark, sf), _literals(spark, sf)).join(ranked.groupBy("query_id").agg(F.count("*").alias("n_candidates")), "query_id", "left").fillna(0, ["n_candidates"])
-    return evaluation.attribution(got)
+    hits = _hits(spark, sf)
+    return evaluation.hit_at_k(cut(_ranked(spark, sf, hits)), _truth(hits), _items(spark, sf))
+
+
+RETRIEVE = f"""{OUTLINE}, qs AS (SELECT item_id AS query_id, upper(w[1])||lower(w[2:]) AS w FROM (SELECT item_id, regexp_extract(text, '^([A-Za-z]+)', 1) AS w FROM benchmark)),
+ids AS (SELECT query_id, unnest([x FOR x IN [w, 'handled'] IF lower(x) NOT IN ({', '.join(f"'{x}'" for x in fn.STOPWORDS)}) AND (len(x) >= 4 OR len(x) = 3 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]'))]) AS name FROM qs),
+n_ids AS (SELECT query_id, count(*) AS n_original FROM ids GROUP BY 1),
+sy AS (SELECT i.query_id, i.name AS asked, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM symbols s JOIN ids i ON contains(lower(qualified_name), lower(i.name))),
+bodies AS (SELECT s.*, array_to_string(list_slice(f.p, line_start, line_end), chr(10)) AS body FROM symbols s JOIN f USING (path)),
+bo AS (SELECT i.query_id, i.name AS asked, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM bodies s JOIN ids i ON CASE WHEN i.name = 'handled' THEN contains(lower(body), 'handled') ELSE contains(body, i.name) END),
+gr AS (SELECT i.query_id, i.name AS asked, l.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_no) AS n FROM lines l JOIN ids i ON CASE WHEN i.name = 'handled' THEN contains(lower(line), 'handled') ELSE contains(line, i.name) END),
+fi AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/')) AS n FROM (SELECT DISTINCT q.query_id, f.path FROM f JOIN qs q ON contains(string_split(f.path, '/')[-1], q.query_id::VARCHAR))),
+c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start, qualified_name, asked) AS raw_seq, path, line_start AS s, line_end AS e, qualified_name AS symbol, CASE WHEN name = asked THEN 'SymbolExact' ELSE 'SymbolFuzzy' END AS kind, NULL::VARCHAR AS snippet FROM sy WHERE n <= 20
+UNION ALL SELECT query_id, 1000000 + row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start, qualified_name, asked), path, line_start, line_end, qualified_name, 'SemanticHit', NULL FROM bo WHERE n <= 20
+UNION ALL SELECT query_id, 2000000 + row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_no, asked), path, line_no, line_no, NULL, 'ContentHit', line FROM gr WHERE n <= 20
+UNION ALL SELECT query_id, 3000000 + n, path, 1, 1, NULL, 'FileNameHit', NULL FROM fi WHERE n <= 20),
+kk AS (SELECT query_id, list(lower(name)) AS keys, []::VARCHAR[] AS strong FROM ids WHERE len(name) >= 4 GROUP BY 1), {MERGED}"""
+
+
+def _retrieved(spark, sf):
+    w = F.regexp_extract("text", "^([A-Za-z]+)", 1)
+    asked = F.concat(F.lit("where is "), F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.char_length(w))), F.lit(" handled in src/"), F.col("query_id").cast("string"))
+    queries = _items(spark, sf).select("query_id", asked.alias("text"))
+    return retrieve_job.retrieve(queries, _files(spark, sf), cut(corpus.outline(_files(spark, sf))), legs=("symbol", "semantic", "grep", "file"))
+
+
+@query(f"WITH {RETRIEVE} SELECT * FROM ranked")
+def retrieve(spark, sf):
+    return _retrieved(spark, sf).ranked
+
+
+@query(f"""WITH {RETRIEVE}, two AS (SELECT query_id, max(score) AS top, max(CASE WHEN rank = 2 THEN score END) AS second FROM ranked WHERE rank <= 2 GROUP BY 1),
+trusted AS (SELECT c.query_id, symbol FROM c JOIN n_ids USING (query_id) WHERE kind = 'SymbolExact' AND n_original <= 2), dt AS (SELECT query_id, count(DISTINCT symbol) AS n FROM trusted GROUP BY 1),
+rt AS (SELECT query_id, count(*) AS n FROM ranked WHERE kind = 'SymbolExact' GROUP BY 1),
+d AS (SELECT i.query_id, CASE WHEN top IS NULL THEN 0 ELSE least(100, top // 10 + (top - coalesce(second, 0)) // 20) END AS confidence, coalesce(rt.n, 0) > 0 AS has_exact, coalesce(rt.n, 0) = 1 AND coalesce(dt.n, 0) <= 1 AS unique_trusted FROM qs i LEFT JOIN two USING (query_id) LEFT JOIN dt USING (query_id) LEFT JOIN rt USING (query_id))
+SELECT *, CASE WHEN confidence >= 90 AND has_exact THEN 'confidence' WHEN unique_trusted THEN 'unique-symbol' WHEN confidence >= 30 THEN 'verify' ELSE 'fallback' END AS route FROM d""")
+def retrieve_routes(spark, sf):
+    return _retrieved(spark, sf).decisions
 
 
 @query("""WITH s AS (SELECT source, count(*)::DOUBLE AS n, sum(toxic)::DOUBLE AS h FROM labels JOIN documents USING (doc_id) GROUP BY 1), z AS (SELECT *, h / n AS p, 1.959963984540054::DOUBLE AS z FROM s)
@@ -306,22 +363,35 @@ def case_variants(spark, sf):
     return names.withColumn("variant", fn.case_variant(F.col("name")))
 
 
-@query()
+PATTERNS = f"""p0 AS (SELECT item_id, text, string_split_regex(text, '\\s+') AS raw FROM benchmark),
+p1 AS (SELECT item_id, [regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}_/.]+', ''), '[^\\p{{L}}\\p{{N}}_/]+$', '') FOR t IN raw] AS toks FROM p0),
+p2 AS (SELECT item_id, i, unnest(string_split_regex(toks[i], '[^\\p{{L}}\\p{{N}}_]+')) AS x, generate_subscripts(string_split_regex(toks[i], '[^\\p{{L}}\\p{{N}}_]+'), 1) AS j FROM (SELECT item_id, toks, unnest(generate_series(1, len(toks))) AS i FROM p1)),
+p3 AS (SELECT item_id, x, i, j FROM p2 WHERE lower(x) NOT IN ({', '.join(f"'{x}'" for x in fn.STOPWORDS)}) AND NOT regexp_matches(x, '^[0-9]*$') AND (octet_length(encode(x)) >= 4 OR octet_length(encode(x)) = 3 AND (regexp_matches(x, '[_0-9]') OR regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]')))),
+p4 AS (SELECT item_id, x, min((i, j)) AS first FROM p3 GROUP BY ALL), p5 AS (SELECT item_id, list(x ORDER BY first) AS identifiers FROM p4 GROUP BY 1)"""
+
+
+@query(f"""WITH {PATTERNS} SELECT item_id, array_to_string(coalesce(identifiers, []), ' ') AS identifiers, array_to_string(coalesce(identifiers, [])[1:6], ' ') AS grep_patterns, coalesce(len(identifiers), 0) AS n_original, 0 AS n_literals, len([t FOR t IN toks IF contains(t, '/') OR regexp_matches(t, '^.+\\.[^.]+$')]) > 0 AS has_paths FROM p1 LEFT JOIN p5 USING (item_id)""")
 def query_patterns(spark, sf):
-    return _t(spark, sf, "benchmark").select("item_id", fn.derive_patterns(F.col("text")).alias("p")).select("item_id", "p.*")
+    p = F.col("p")
+    text = lambda xs: F.array_join(xs, " ")
+    rows = _t(spark, sf, "benchmark").select("item_id", fn.derive_patterns(F.col("text")).alias("p"))
+    return rows.select("item_id", text(p.identifiers).alias("identifiers"), text(p.grep_patterns).alias("grep_patterns"), p.n_original.alias("n_original"), F.size(p.literals).alias("n_literals"), (F.size(p.path_tokens) > 0).alias("has_paths"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def telemetry_rollup(spark, sf):
     return telemetry.rollup(_t(spark, sf, "events"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def telemetry_stream(spark, sf):
     got = telemetry.run_available(telemetry.rollup(telemetry.event_stream(spark, f"{sf}/events.parquet")))
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH s AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS fresh FROM events), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts) AS begin, count(*) AS n, round(sum(value), 2) AS total FROM g GROUP BY user_id, k""")
 def sessions(spark, sf):
     return telemetry.sessions(_t(spark, sf, "events"))
+
+
+from . import runs, state, training  # noqa: E402, F401

@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from ..sources.scratch import folder
 
 
-def rollup(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """(window_start, event_type, n, total) by tumbling windows; works on streams, where later events than ``late`` are dropped, and on tables."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def rollup(events: DataFrame, width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """(window_start, event_type, n, total, p50, p95) by tumbling windows, or sliding ones; works on tables, and on streams, where quantiles are approximate.
+
+    In append mode a window's row comes once the watermark has passed its end; events that are
+    later than ``late`` are dropped, and so is the state of windows that are done. In complete
+    mode nothing is dropped and all windows stay in the state.
+    """
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    by = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return by.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    quantile = (lambda q: F.percentile_approx("value", q, 10_000)) if events.isStreaming else (lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)"))
+    by = rows.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
+    return by.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"), "p50", "p95")
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and reads its table: the last state (complete) or all that was appended."""
+def run_available(stream: DataFrame, mode: str = "complete", state_store: bool = False) -> DataFrame:
+    """Runs a stream over what is there now and reads its table: the last state (complete) or all that was appended. Keyed processors need the store named, which is set for this run alone."""
     spark: SparkSession = stream.sparkSession
+    if state_store:
+        before = spark.conf.get(_STORE, None)
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            return run_available(stream, mode)
+        finally:
+            spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     path = folder(spark)
 
     def write(batch: DataFrame, n: int) -> None:
