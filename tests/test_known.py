@@ -24,7 +24,26 @@ def test_patterns(spark):
     assert got.literals == ["merge_and_rank", "it isn't"]
     assert got.path_tokens == ["Session.request", "src/search.rs"]
     assert "HTTPServer" in got.identifiers and "http_server" in got.identifiers
-    assert "where" not in got.identifiers and got.n_original == 2
+    assert "where" not in got.identifiers and got.identifiers[: got.n_original] == ["call", "Session", "request", "search", "HTTPServer"]
+    got = one(spark, "where is Session::request in src/my_search.rs", fn.derive_patterns)
+    assert got.identifiers == ["Session", "request", "my_search", "mySearch"] and got.n_original == 3 and got.path_tokens == ["src/my_search.rs"]
+    assert one(spark, "", fn.derive_patterns).grep_patterns == []
+
+
+def test_leg_identifiers_keep_variants_with_their_originals(spark):
+    p = spark.createDataFrame([("find_one getTwo three four five_six",)], "x string").select(fn.derive_patterns(F.col("x")).alias("p"))
+    got = p.select(fn.leg_identifiers(F.col("p"), F.lit(2)).alias("y")).head().y
+    assert got == ["find_one", "getTwo", "findOne", "get_two"]
+
+
+def test_names_scopes_and_keys(spark):
+    assert [one(spark, x, fn.short_name) for x in ("a::b.c", "a/b#c$", "...", "x")] == ["c", "c", "...", "x"]
+    assert [one(spark, x, fn.is_strong_identifier) for x in ("Wilson", "HTTPBasicAuth", "merge_and_rank", "gemini3", "plain")] == [False, True, True, True, False]
+    assert [one(spark, x, fn.scope_escapes) for x in ("/etc", "../x", "a/../../x", "a/../x", "src")] == [True, True, True, False, False]
+    assert [one(spark, x, lambda s: fn.in_scope(F.lit("src/a.rs"), s)) for x in ("src", "./src/", "sr", "", None, "/src", "src/a.rs")] == [True, True, False, True, True, True, True]
+    assert one(spark, " Where IS ", lambda t: fn.cache_key(t, F.lit("../up"))) == "8:where is0:"
+    assert one(spark, "a.b(c)", fn.escape_regex) == r"a\.b\(c\)"
+    assert one(spark, "ab\ncdef\ng", lambda x: fn.cap_lines(x, 2, 3)) == "ab\ncde" and one(spark, "abcd", lambda x: fn.cap_snippet(x, 3)) == "abc…"
 
 
 @pytest.mark.parametrize(("name", "want"), [("HTTPServer", ["http", "server"]), ("snake_case-x", ["snake", "case", "x"]), ("parseURL2Path", ["parse", "url2path"]), ("", []), ("fooBar", ["foo", "bar"])])
@@ -48,19 +67,69 @@ def ranked(spark, rows, keys=(), k=12):
     return ranking.merge_and_rank(c, kk, k)
 
 
+def decided(spark, rows, text, keys=("sessionrun",)):
+    """The route of one query with these candidates."""
+    c = spark.createDataFrame(rows, CANDIDATE)
+    p = spark.createDataFrame([("q", text), ("none", "other words")], "query_id string, text string")
+    patterns = p.select("query_id", fn.derive_patterns(F.col("text")).alias("p"))
+    got = ranked(spark, rows, list(keys))
+    rows = ranking.route(ranking.confidence(got, p, ranking.trusted_symbols(c, got, patterns))).collect()
+    return {r.query_id: r for r in rows}
+
+
 def test_lone_exact_symbol(spark):
-    got = ranked(spark, [("q", 1, "a.rs", 3, 9, "session_run", "SymbolExact", None)], ["sessionrun"])
-    queries = spark.createDataFrame([("q",), ("none",)], "query_id string")
-    rows = {r.query_id: r for r in ranking.route(ranking.confidence(got, queries)).collect()}
-    assert got.head().score == 730
-    assert (rows["q"].confidence, rows["q"].route) == (100, "early-exit")
-    assert (rows["none"].confidence, rows["none"].route) == (0, "fallback")
+    rows = [("q", 1, "a.rs", 3, 9, "session_run", "SymbolExact", None)]
+    assert ranked(spark, rows, ["sessionrun"]).head().score == 730
+    got = decided(spark, rows, "where is session_run")
+    assert (got["q"].confidence, got["q"].route, got["q"].unique_trusted) == (100, "confidence", True)
+    assert (got["none"].confidence, got["none"].route) == (0, "fallback")
+
+
+def test_symbols_that_are_not_trusted(spark):
+    rows = [("q", 1, "a.rs", 3, 9, "server", "SymbolExact", None)]
+    # a plain word in a long query, a name that is only part of a path, an unknown place
+    assert decided(spark, rows, "why does the server answer slowly under load", ["server"])["q"].has_exact is False
+    assert decided(spark, [("q", 1, "a.rs", 3, 9, "verify", "SymbolExact", None)], "src/verify.rs:35 constant", ["verify"])["q"].has_exact is False
+    assert decided(spark, rows, "explain server", ["server"])["q"].has_exact is True
+    lost = decided(spark, [("q", 1, "a.rs", 0, 0, "session_run", "SymbolExact", None)], "where is session_run")["q"]
+    assert lost.has_exact and not lost.unique_trusted
+
+
+def test_distinct_trusted_symbols_count_qualified_names(spark):
+    text = "who calls session_run"
+    patterns = spark.createDataFrame([("q", text)], "query_id string, text string").select("query_id", fn.derive_patterns(F.col("text")).alias("p"))
+    count = lambda names: ranking.trusted_symbols(c := spark.createDataFrame([("q", i, f"{i}.rs", 3, 9, n, "SymbolExact", None) for i, n in enumerate(names)], CANDIDATE), c, patterns).head().distinct_trusted
+    assert [count(x) for x in (["session_run"], ["A::session_run", "session_run"], ["A::session_run", "B::session_run", "session_run"])] == [1, 1, 2]
 
 
 def test_two_equal_exact_symbols_are_verified(spark):
-    got = ranked(spark, [("q", i, f"{i}.rs", 3, 9, "session_run", "SymbolExact", None) for i in (1, 2)], ["sessionrun"])
-    row = ranking.route(ranking.confidence(got, spark.createDataFrame([("q",)], "query_id string"))).head()
-    assert (row.confidence, row.route) == (73, "verify")
+    got = decided(spark, [("q", i, f"{i}.rs", 3, 9, "session_run", "SymbolExact", None) for i in (1, 2)], "where is session_run")["q"]
+    assert (got.confidence, got.route) == (73, "verify")
+
+
+def test_early_exit_is_taken_back_without_its_candidate(spark):
+    routes = spark.createDataFrame([("a", "confidence"), ("b", "unique-symbol"), ("c", "verify")], "query_id string, route string")
+    place = spark.createDataFrame([("a", "p", 1), ("b", "p", 1)], "query_id string, path string, line_start int")
+    got = ranking.reauthorised(routes, place, place.where("query_id = 'a'")).collect()
+    assert {r.query_id: r.route for r in got} == {"a": "confidence", "b": "verify", "c": "verify"}
+
+
+def test_candidates_without_keys_and_with_repeated_ones(spark):
+    c = spark.createDataFrame([("q", 1, "a", 1, 2, None, "ContentHit", "x foo"), ("lost", 1, "a", 1, 2, None, "ContentHit", "x")], CANDIDATE)
+    keys = spark.createDataFrame([("q", ["foo0"], []), ("q", ["x foo"], [])], "query_id string, keys array<string>, strong array<string>")
+    assert {r.query_id: r.score for r in ranking.merge_and_rank(c, keys).collect()} == {"q": 180, "lost": 150}
+
+
+def test_findings_and_responses(spark):
+    rows = [("q", 1, "a.rs", 3, 9, "f", "SymbolExact", None), ("q", 2, "b.rs", 0, 0, None, "ContentHit", "code")]
+    found = ranking.findings(ranked(spark, rows))
+    assert {r.note for r in found.collect()} == {"exact symbol match: `f`", "text match"}
+    import json
+
+    got = json.loads(ranking.response(found).head().response)["findings"]
+    assert got == [{"location": {"path": "a.rs", "line_start": 3, "line_end": 9}, "note": "exact symbol match: `f`", "symbol": "f"}, {"location": {"path": "b.rs"}, "snippet": "code", "note": "text match"}]
+    twice = found.unionByName(found.withColumn("rank", F.col("rank") + 5))
+    assert sorted(r["rank"] for r in ranking.first_findings(twice, 9).collect()) == [1, 2] and ranking.first_findings(twice, 1).count() == 1
 
 
 def test_overlaps_merge_and_unknown_places_do_not(spark):

@@ -15,10 +15,15 @@ def test_query(spark, sf, name):
         assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["grep_hits", "bm25_topk", "auroc", "first_wins"])
+@pytest.mark.parametrize("name", ["grep_hits", "file_hits", "bm25_topk", "hit_at_k", "retrieve", "auroc", "first_wins", "score_run"])
 def test_no_nested_loop_over_the_corpus(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_grep_reads_the_lines_once(spark, sf):
+    plan = QUERIES["grep_hits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1 and "Exchange" not in plan
 
 
 def test_entry(spark):

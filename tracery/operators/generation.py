@@ -123,7 +123,7 @@ def with_query(symbols: DataFrame, seed: str) -> DataFrame:
 def generated_queries(symbols: DataFrame, files: DataFrame, seed: str = "7", max_queries: int = 400) -> DataFrame:
     """Of each repository up to max_queries symbols with a query, numbered in their order: a seeded sample of three times as many, of which the first are taken."""
     picked = labels.sampled(query_symbols(symbols), 3 * max_queries, seed).where(F.col("query_index") < max_queries)
-    split = files.select("repo", "path", F.transform(F.split("content", "\n"), lambda t: F.regexp_replace(t, "\r$", "")).alias("rows"))
+    split = files.select("repo", "path", F.transform(F.split("content", "\n"), lambda t: F.regexp_replace(t, r"\r\z", "")).alias("rows"))
     start, end = F.col("line_start").cast("int"), F.col("line_end").cast("int")
     rows = picked.join(split, ["repo", "path"]).withColumns({"doc": doc_sentence(F.col("rows"), start, end, F.endswith("path", F.lit(".py"))), "literal": error_literal(F.col("rows"), start, end)}).drop("rows")
     return with_query(rows, seed)
@@ -136,7 +136,7 @@ def rendered_state(query: Column, path: Column, start: Column, end: Column, kind
     named = F.when(symbol.isNotNull(), F.concat(F.lit(", symbol `"), symbol, F.lit("`"))).otherwise("")
     place = F.concat(F.lit("candidate: "), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(" ("), kind, named, F.lit(")"))
     source = F.coalesce(filled(body), filled(snippet))
-    code = F.concat(F.lit("code:\n"), F.array_join(F.transform(lines(source, most_lines), lambda t: F.concat(F.lit("  "), F.substring(F.regexp_replace(t, "\r$", ""), 1, most_chars))), "\n"))
+    code = F.concat(F.lit("code:\n"), F.array_join(F.transform(lines(source, most_lines), lambda t: F.concat(F.lit("  "), F.substring(F.regexp_replace(t, r"\r\z", ""), 1, most_chars))), "\n"))
     view = F.concat(F.lit("outline:\n"), F.array_join(lines(filled(outline), most_outline), "\n"))
     return F.concat_ws("\n", F.concat(F.lit("query: "), F.trim(F.translate(query, "\r\n", "  "))), place, F.coalesce(code, F.lit("code: (unavailable)")), view)
 

@@ -27,7 +27,8 @@ def _searched(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFr
         by_low.setdefault(r.low, []).append((r.query_id, r.pattern, r.exact))
     kinds = dict(patterns.dtypes)
     columns = lines.columns
-    schema = ", ".join([f"query_id {kinds['query_id']}", "pattern string", *(f"`{c}` {t}" for c, t in lines.dtypes)])
+    own = "bigint" if kinds["query_id"] in ("bigint", "int") else "string"
+    schema = ", ".join([f"query_id {own}", "pattern string", *(f"`{c}` {t}" for c, t in lines.dtypes)])
 
     def run(batches):
         import ahocorasick
@@ -48,11 +49,11 @@ def _searched(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFr
                             found.append(pattern)
                             row.append(i)
             kept = batch.select(range(len(columns))).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64() if kinds["query_id"] in ("bigint", "int") else pa.string()), pa.array(found, pa.string()), *kept.columns], ["query_id", "pattern", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64() if own == "bigint" else pa.string()), pa.array(found, pa.string()), *kept.columns], ["query_id", "pattern", *columns])
 
     if not by_low:
         return lines.limit(0).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.lit(None).cast("string").alias("pattern"), *columns)
-    return lines.withColumn("_low", F.lower("line")).mapInArrow(run, schema.replace(f"query_id {kinds['query_id']}", "query_id " + ("bigint" if kinds["query_id"] in ("bigint", "int") else "string"), 1)).select(names)
+    return lines.withColumn("_low", F.lower("line")).mapInArrow(run, schema).withColumn("query_id", F.col("query_id").cast(kinds["query_id"])).select(names)
 
 
 def _by_trigram(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFrame:
@@ -193,6 +194,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
         return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     weights = {r.term: r.idf for r in df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf")).collect()}
     mean = stats.head().avg_len or 1.0
+    kind = dict(queries.dtypes)["query_id"]
+    own = "bigint" if kind in ("bigint", "int") else "string"
     ids = sorted(set(rows["query_id"]))
     place = {q: i for i, q in enumerate(ids)}
     by_term: dict[str, list[int]] = {}
@@ -225,9 +228,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
                         heapq.heapreplace(heaps[q], item)
         found = [(ids[q], -d, x) for q, heap in enumerate(heaps) for x, d in heap]
         cols = zip(*found, strict=True) if found else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64() if own == "bigint" else pa.string(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
 
-    total = split.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "len").mapInArrow(best, "query_id bigint, doc_id bigint, score double")
+    total = split.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "len").mapInArrow(best, f"query_id {own}, doc_id bigint, score double").withColumn("query_id", F.col("query_id").cast(kind))
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

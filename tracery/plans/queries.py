@@ -90,7 +90,7 @@ def _scored(spark, sf) -> DataFrame:
 
 LINES = """f AS (SELECT source AS repo, source||'/'||lang||'/'||doc_id AS path, text, string_split(text, chr(10)) AS p FROM documents),
 g AS (SELECT repo, path, CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END AS p FROM f),
-lines AS (SELECT repo, path, unnest(generate_series(1, len(p))) AS line_no, rtrim(unnest(p), chr(13)) AS line FROM g)"""
+lines AS (SELECT repo, path, unnest(generate_series(1, len(p))) AS line_no, unnest([regexp_replace(x, '\\r$', '') FOR x IN p]) AS line FROM g)"""
 ALNUM = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ_', 'abcdefghijklmnopqrstuvwxyz'"
 HITS = f"""{LINES}, q AS (SELECT DISTINCT item_id AS query_id, trim(unnest(string_split(text, chr(10)))) AS pattern FROM benchmark), qp AS (SELECT * FROM q WHERE pattern <> ''),
 hits AS (SELECT query_id, pattern, path, line_no, line FROM lines JOIN qp ON CASE WHEN regexp_matches(pattern, '\\p{{Lu}}') THEN contains(line, pattern) ELSE contains(lower(line), lower(pattern)) END)"""

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, content) of the text files under root; files with a NUL byte and hidden paths are left out."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return rows.where(~F.contains("content", F.char(F.lit(0))) & ~F.col("path").rlike(r"/\.[^/]"))
 
 
@@ -23,7 +23,7 @@ def corpus_lines(files: DataFrame) -> DataFrame:
     """(repo, path, line_no, line): lines from 1, without line ends; a last empty line is none."""
     parts = F.split("content", "\n")
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select("repo", "path", F.posexplode(parts).alias("p", "line")).select("repo", "path", (F.col("p") + 1).alias("line_no"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
+    return files.select("repo", "path", F.posexplode(parts).alias("p", "line")).select("repo", "path", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 def file_stats(files: DataFrame) -> DataFrame:
@@ -49,6 +49,24 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("split").mode("overwrite").json(path)
 
 
+def read_outline(rows: DataFrame) -> DataFrame:
+    """(repo, path, qualified_name, label, line_start, line_end) of symbol rows whose columns go by several names.
+
+    Names: qualified_name, qn, name or symbol, the first that isn't null; paths: file, path or
+    file_path; lines: a "start-end" cell (lines), or line_start or start_line and line_end or
+    end_line. The end of a whole file's Module is one past its last line and put right. Rows
+    without a path or a name go; unknown lines are 0.
+    """
+    first = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in rows.columns), F.lit(None).cast("string"))
+    cell = lambda i: F.regexp_extract(first("lines"), r"^(\d+)(?:-(\d+))?$", i)
+    number = lambda x: x.try_cast("int")
+    start = F.coalesce(number(cell(1)), number(first("line_start", "start_line")), F.lit(0))
+    end = F.coalesce(number(cell(2)), number(cell(1)), number(first("line_end", "end_line")), start)
+    label = first("label")
+    out = rows.select(first("repo").alias("repo"), first("file", "path", "file_path").alias("path"), first("qualified_name", "qn", "name", "symbol").alias("qualified_name"), label.alias("label"), start.alias("line_start"), F.when((label == "Module") & (end > start), end - 1).otherwise(end).alias("line_end"))
+    return out.where("path is not null and qualified_name is not null")
+
+
 def outline(files: DataFrame) -> DataFrame:
     """(repo, path, qualified_name, line_start, line_end): a symbol for each line that begins a section, up to the line before the next."""
     from pyspark.sql import Window

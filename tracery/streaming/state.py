@@ -77,11 +77,12 @@ class _Cache(StatefulProcessor):
         out = []
         for at, snapshot in zip(all_["at"], all_["snapshot"], strict=True):
             now = at.timestamp()
-            hit = last is not None and last[0] == snapshot and now - last[1] <= self.ttl
+            hit = last is not None and isinstance(snapshot, str) and last[0] == snapshot and now - last[1] <= self.ttl
             out.append("hit" if hit else "miss")
             if not hit:
-                last = (snapshot, now)
-        self.last.update(last)
+                last = (snapshot if isinstance(snapshot, str) else None, now)
+        if last is not None:
+            self.last.update(last)
         yield all_.assign(layer=out)[["key", "at", "request_id", "snapshot", "layer"]]
 
     def close(self) -> None:
