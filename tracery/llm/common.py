@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import root_of
+
 U64 = np.uint64
 #: `[^\x20\x09-\x0D]+` is a word: every other byte belongs to one.
 SPACE = np.zeros(256, bool)
@@ -40,10 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tracery-")
-            spark.sparkContext.setCheckpointDir(root)
+        root = root_of(spark)
         self.root = f"{root}/tracery-{uuid.uuid4().hex}"
         self.n, self.shared = 0, []
 
