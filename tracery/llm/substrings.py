@@ -247,27 +247,27 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
         slots = slots_for(met.count())
         any_common = often.limit(1).count() > 0
         shared = s.share((_slot_bits(met, slots), _slot_bits(often, slots) if any_common else None))
-        marks = repeated_runs(occurrences(docs, window, shared), window).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-        marks = s.keep(marks)
-        firsts = s.keep(first_places(docs, window, shared).groupBy("doc_id").agg(F.collect_list(F.struct("place", "tag")).alias("firsts"))) if any_common else None
+        marks = repeated_runs(occurrences(docs, window, shared), window).groupBy("doc_id").agg(F.collect_set(F.struct("t", "start", "mask")).alias("marks"))
+        if any_common:
+            # what is known of a document meets before its text does, so that the text is shuffled once
+            firsts = first_places(docs, window, shared).groupBy("doc_id").agg(F.collect_list(F.struct("place", "tag")).alias("firsts"))
+            side = s.keep(marks.join(firsts, "doc_id", "full"))
+        else:
+            side = s.keep(marks.withColumn("firsts", F.lit(None).cast("array<struct<place:int,tag:bigint>>")))
         common = shared.value[1]
-    rows = all_rows.join(marks, ["doc_id", "t"], "left")
-    if firsts is not None:
-        # a bitmap of the common anchors goes with the function: small, as most of its bits are 0
-        packed = np.flatnonzero(common), common[common != 0], len(common)
-        rows = rows.join(firsts, "doc_id", "left")
-    else:
-        packed = None
-        rows = rows.withColumn("firsts", F.lit(None).cast("array<struct<place:int,tag:bigint>>"))
-
-    def gone_words(h, first, anchors, marked, leads, known, bits) -> np.ndarray:
+    rows = all_rows.join(side, "doc_id", "left")
+    # a bitmap of the common anchors goes with the function: small, as most of its bits are 0
+    packed = (np.flatnonzero(common), common[common != 0], len(common)) if any_common else None
+
+    def gone_words(h, first, anchors, marked, leads, texts, known, bits) -> np.ndarray:
         """Which words of the slice's documents go."""
         edge = np.zeros(int(first[-1]) + 1, np.int64)
         doc = np.repeat(np.arange(len(marked)), marked.value_lengths().fill_null(0).to_numpy())
         flat = marked.flatten()
         if len(flat):
-            begin = flat.field("start").to_numpy().astype(np.int64) + first[doc]
-            row, bit = np.nonzero((flat.field("mask").to_numpy()[:, None] >> np.arange(window)) & 1)
+            own = flat.field("t").to_numpy() == texts[doc]
+            begin = (flat.field("start").to_numpy().astype(np.int64) + first[doc])[own]
+            row, bit = np.nonzero((flat.field("mask").to_numpy()[own][:, None] >> np.arange(window)) & 1)
             np.add.at(edge, begin[row] + bit, 1)
             np.add.at(edge, begin[row] + bit + window, -1)
         if bits is not None:
@@ -295,11 +295,12 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
         for batch in batches:
             raw, offsets = column_bytes(batch.column(1))
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            texts_of = batch.column(4).to_numpy()
             for i, j in doc_runs(offsets):
                 data = raw[offsets[i] : offsets[j]]
                 a, b, h, first = words(data, offsets[i : j + 1] - offsets[i], False)
                 anchors = anchored(h, first, window) if bits is not None else None
-                gone = gone_words(h, first, anchors, batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i), known[i:j], bits)
+                gone = gone_words(h, first, anchors, batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i), texts_of[i:j], known[i:j], bits)
                 kept = np.flatnonzero(~gone)
                 size = b[kept] - a[kept] + 1  # a space after each
                 to = np.cumsum(size)
@@ -313,11 +314,11 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
                 texts = [body[x : max(x, y - 1)].decode() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                 n = np.diff(first)
                 left = np.diff(np.searchsorted(kept, first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(texts, pa.string()), *(batch.column(4 + k).slice(i, j - i) for k in range(len(carry)))], ["doc_id", "n_words", "n_removed", "kept", *carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(texts, pa.string()), *(batch.column(5 + k).slice(i, j - i) for k in range(len(carry)))], ["doc_id", "n_words", "n_removed", "kept", *carry])
 
     carried = [f"carried_{i}" for i in range(len(carry))]
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {all_rows.schema[x].dataType.simpleString()}" for c, x in zip(carry, carried, strict=True))
-    return rows.select("doc_id", "text", "marks", "firsts", *carried).mapInArrow(cut, schema)
+    return rows.select("doc_id", "text", "marks", "firsts", "t", *carried).mapInArrow(cut, schema)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
