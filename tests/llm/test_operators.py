@@ -425,6 +425,44 @@ def test_op10_against_brute_force(spark, sf, n, percent):
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == {k: (len(sets[k]), find(k)) for k in sets}
 
 
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_op10_wide_columns_repeats_and_missing_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "WIDE", 3)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(common)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = f"z{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(5, "another text of this very document here"), (200, "another text of this very document here"), (200, rows[3][1]), (300, "one"), (300, "one"), (301, "ONE")]
+    lost = [(None, rows[0][1]), (None, None)]
+    sets = collections.defaultdict(list)
+    for k, t in rows:
+        w = t.lower().split()
+        sets[k].append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)})
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([*rows, *lost], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("h", "key", "d", "n", "c")}).repartition(4)
+    got = jaccard.jaccard_groups(docs, 4, 85).collect()
+    assert len(got) == len(rows) + 2 and {r.component_id for r in got if r.doc_id is None} == {None}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(k, find(k)) for k in sets}
+    assert sorted(r.n_shingles for r in got if r.doc_id is not None) == sorted(len(x) for xs in sets.values() for x in xs)
+    assert jaccard.jaccard_groups(docs.limit(0), 4, 85).count() == 0
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (300, 300), (205, 201)]
     with common.Scratch(spark) as s:

@@ -11,6 +11,8 @@ from .common import DOC_SLOTS, Scratch, bitmap, column_bytes, components, doc_ru
 
 #: An n-gram of so many documents in one block at most is multiplied out there; a larger column first meets its smallest document only.
 WIDE = 24
+#: Documents of a wide column that meet those of another part of it, or themselves, in one tile.
+TILE = 4096
 #: N-grams of more documents than FREQUENT go last in each document's order; so many of them at most.
 FREQUENT, MOST_FREQUENT = 24, 500_000
 #: Bits of a set's parity signature; each n-gram flips one.
@@ -132,7 +134,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.nd
 
 
 def _blocks(batches, width: int):
-    """Columns of a sorted block in turn: arrays that end with a column's end, a column never cut."""
+    """Columns of a sorted block in turn: arrays that end with the end of a key, none of which has more rows than a column up to WIDE or a tile."""
     parts, rows = [], 0
     for batch in batches:
         parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
@@ -148,27 +150,34 @@ def _blocks(batches, width: int):
         yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def overlaps(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates from (h, n, d): rows of the sparse product that no bound rules out.
+def shared_columns(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, n, d, c, first, n_first) of the postings (h, n, d) of n-grams that c documents share, two or more, the first of them being ``first``.
+
+    Columns are counted in an aggregate that combines before the shuffle; the join back is one that
+    Spark splits where a column is long.
+    """
+    counts = postings.groupBy("h").agg(F.count("*").alias("c"), F.min("d").alias("first"), F.min_by("n", "d").alias("n_first")).where("c > 1")
+    return scratch.table(postings.join(counts, "h"))
+
+
+def _fits(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def overlaps(columns: DataFrame, percent: int) -> DataFrame:
+    """(a, b) candidates from the shared columns: rows of the sparse product that no bound rules out.
 
     A task multiplies a block of columns. Columns up to WIDE give all their pairs whose sizes can
-    go together; wider ones join each document to the column's first, which is the same for all
-    columns of a group of copies. What these leave open is for ``rest``.
+    go together; wider ones, which never meet in one task, join each document to the column's
+    first, which is the same for all columns of a group of copies. What these leave open is for
+    ``rest``.
     """
 
     def run(batches):
         for h, size, d in _blocks(batches, 3):
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            length = np.diff(np.concatenate([start, [len(h)]]))
-            own = np.repeat(length, length)
-            first = np.repeat(start, length)
-            at = np.arange(len(h))
-            wide = np.flatnonzero((own > WIDE) & (at > first))
-            wide = wide[np.minimum(size[wide], size[first[wide]]) * 100 >= np.maximum(size[wide], size[first[wide]]) * percent]
-            pairs = [np.stack([d[first[wide]], d[wide]])]
-            narrow = (own > 1) & (own <= WIDE)
+            pairs = [np.zeros((2, 0), np.int64)]
             for k in range(1, WIDE):
-                i = np.flatnonzero(narrow[:-k] & (h[:-k] == h[k:])) if len(h) > k else at[:0]
+                i = np.flatnonzero(h[:-k] == h[k:]) if len(h) > k else np.zeros(0, np.int64)
                 if not len(i):
                     break
                 fits = np.minimum(size[i], size[i + k]) * 100 >= np.maximum(size[i], size[i + k]) * percent
@@ -177,33 +186,47 @@ def overlaps(postings: DataFrame, percent: int) -> DataFrame:
             p = np.unique(np.stack([p.min(0), p.max(0)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
 
-    return postings.mapInArrow(run, "a bigint, b bigint").distinct()
+    narrow = columns.where(F.col("c") <= WIDE).select("h", "n", "d").repartition("h").sortWithinPartitions("h", "d")
+    wide = columns.where((F.col("c") > WIDE) & (F.col("d") != F.col("first")) & _fits("n", "n_first", percent)).select(F.col("first").alias("a"), F.col("d").alias("b"))
+    return narrow.mapInArrow(run, "a bigint, b bigint").unionByName(wide).distinct()
+
+
+def tiled(postings: DataFrame) -> DataFrame:
+    """The postings (h, d, count, ..) of wide columns with tile and side: a column of more than TILE documents is cut into parts by hash, and each two parts meet in a tile of their own, so that every pair meets once and no task holds a column."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / TILE)).cast("int")
+    rows = postings.withColumn("parts", parts).withColumn("k", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
+    as_row = F.expr("transform(sequence(k, parts - 1), i -> struct(k as s, i as t, if(i = k, 2, 0) as side))")
+    as_column = F.expr("transform(filter(sequence(0, k), i -> i < k), i -> struct(i as s, k as t, 1 as side))")
+    to = rows.withColumn("to", F.explode(F.concat(as_row, as_column)))
+    return to.withColumns({"tile": F.xxhash64("h", "to.s", "to.t"), "side": F.col("to.side").cast("long")}).drop("to", "parts", "k", "count")
 
 
-def rest(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates that ``overlaps`` left open, from (h, n, d, c, p, sig) of its wide columns: pairs of documents that still lie in different components c.
+def rest(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b) candidates that ``overlaps`` left open, from (tile, n, d, c, p, side, sig) of wide columns: pairs of documents that still lie in different components c.
 
     p is the column's place in the document's order. What two sets have in common begins, at the
     first column they share, with no more than what either has from there on; and they differ in
     no fewer n-grams than their signatures in bits. Pairs that either bound rules out aren't made.
+    Sides of a tile meet each other; 2 stands for both.
     """
 
     def run(batches):
-        for h, size, d, c, p, sig in _blocks(batches, 6):
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        for tile, size, d, c, p, side, sig in _blocks(batches, 7):
+            start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
             pairs = []
-            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(h)], strict=True):
-                if j - i <= WIDE or (c[i:j] == c[i]).all():
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(tile)], strict=True):
+                if j - i < 2 or (c[i:j] == c[i]).all():
                     continue
                 order = np.argsort(size[i:j], kind="stable") + i
-                s, e, g, left = size[order], d[order], c[order], size[order] - p[order]
+                s, e, g, left, of = size[order], d[order], c[order], size[order] - p[order], side[order]
                 bits = np.frombuffer(b"".join(sig[order]), np.uint64).reshape(len(order), -1)
                 ends = np.searchsorted(s, s * 100 // percent, "right")
                 # a document's bound with a partner of its least size; most have none
                 for k in np.flatnonzero((ends > np.arange(len(s)) + 1) & (left * (100 + percent) >= 2 * percent * s)).tolist():
                     end = int(ends[k])
                     both = s[k] + s[k + 1 : end]
-                    at = k + 1 + np.flatnonzero((g[k + 1 : end] != g[k]) & (np.minimum(left[k], left[k + 1 : end]) * (100 + percent) >= percent * both))
+                    open_ = (g[k + 1 : end] != g[k]) & ((of[k] == 2) | (of[k + 1 : end] != of[k]))
+                    at = k + 1 + np.flatnonzero(open_ & (np.minimum(left[k], left[k + 1 : end]) * (100 + percent) >= percent * both))
                     differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
                     other = e[at[differ * (100 + percent) <= (100 - percent) * (s[k] + s[at])]]
                     if len(other):
@@ -212,7 +235,8 @@ def rest(postings: DataFrame, percent: int) -> DataFrame:
                 found = np.unique(np.concatenate(pairs, 1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-    return postings.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = tiles.select("tile", "n", "d", "c", "p", "side", "sig").repartition("tile").sortWithinPartitions("tile", "d")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def possible(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
@@ -281,23 +305,28 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
 
     component_id is the smallest doc_id of those reachable. Sets without n-grams (null or empty
     text) link with nothing. Documents of equal sets are linked and stand for each other in all
-    that follows; so equal rows, however many, cost one. Repeated doc_ids give repeated rows,
-    as if one document. An empty table gives none.
+    that follows; so equal rows, however many, cost one. Rows that repeat a doc_id are one document,
+    linked if any of its texts is; each gives a row with its own size. Rows without a doc_id link with nothing and have no component. An empty
+    table gives none; other columns are left out.
     """
     spark = docs.sparkSession
     docs = text_only(docs)
     with Scratch(spark) as s:
         frequent = frequent_ngrams(docs, n, lower)
         own = s.table(prefixes(docs, n, percent, lower, frequent, s))
-        heads = own.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("d"))
-        member = own.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
+        known = own.where("n_shingles > 0 and doc_id is not null")
+        heads = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("d"))
+        member = known.select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
         member = s.table(member)
+        # what stands for the texts of one doc_id is linked
+        low = member.groupBy("doc_id").agg(F.min("d").alias("a"), F.max("d").alias("high")).where("a < high").select("doc_id", "a")
+        same = s.table(member.join(low, "doc_id").where("d <> a").select("a", F.col("d").alias("b")).distinct())
         lead = member.where("doc_id = d").select("doc_id").distinct()
-        short = s.table(own.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sig", "prefix"))
+        short = s.table(known.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sig", "prefix"))
         postings = short.select(F.explode("prefix").alias("h"), "n", "d")
-        pairs = s.table(overlaps(postings.repartition("h").sortWithinPartitions("h", "d"), percent))
+        pairs = s.table(overlaps(shared_columns(postings, s), percent))
         # a pair for each document first: what these join need not be compared any more
-        links = s.table(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), short, docs, n, percent, lower, s))
+        links = s.table(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), short, docs, n, percent, lower, s).unionByName(same))
         comp = s.table(components(links, s))
         named = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
         left = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
@@ -305,14 +334,14 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         comp = s.table(components(links, s))
         # wide columns of documents in different components; the signature joins these rows alone
         placed = short.join(comp.withColumnRenamed("node", "d"), "d", "left").select(F.posexplode("prefix").alias("p", "h"), "n", "d", F.coalesce("component", "d").alias("c"))
-        mixed = placed.groupBy("h").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("count") > WIDE).where("low < high").select("h")
-        open_ = s.table(placed.join(mixed, "h")).join(short.select("d", "sig"), "d").select("h", "n", "d", "c", F.col("p").cast("long").alias("p"), "sig")
-        more = s.table(rest(open_.repartition("h").sortWithinPartitions("h", "d"), percent))
+        mixed = placed.groupBy("h").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("count") > WIDE).where("low < high").select("h", "count")
+        open_ = s.table(placed.join(mixed, "h")).join(short.select("d", "sig"), "d").select("h", "count", "n", "d", "c", F.col("p").cast("long").alias("p"), "sig")
+        more = s.table(rest(tiled(open_), percent))
         if more.limit(1).count():
             links = links.unionByName(s.table(verified(more, short, docs, n, percent, lower, s)))
             comp = s.table(components(links, s))
         out = member.join(comp.withColumnRenamed("node", "d"), "d", "left").select("doc_id", "n_shingles", F.coalesce("component", "d").alias("component_id"))
-        empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        empty = own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return s.keep(out.unionByName(empty))
 
 
