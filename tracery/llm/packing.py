@@ -97,15 +97,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, group: int = 50_000) -> DataFrame:
     """The pieces (doc_id, piece, length, more) with sequence_id and offset.
 
-    Pieces as long as a sequence are one each and need no company. The others are dealt by hash
-    into groups of about ``group``, packed each by itself; a group leaves a few sequences less than
+    Pieces as long as a sequence are one each and need no company. The others are dealt by their
+    place in the table, so that no doc_id, however often it repeats, fills a group, into groups of about ``group``, packed each by itself; a group leaves a few sequences less than
     full, whatever its size, so the loss against one global packing is about one in ``group``.
     """
     n = pieces.where(F.col("length") < capacity).count()
     groups = max(1, -(-n // group))
     full = pieces.where(F.col("length") >= capacity)
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    rest = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     fields = [f for f in rest.schema.fields if f.name != "group"]
 
     def pack_group(table: pa.Table) -> pa.Table:
