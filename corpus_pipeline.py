@@ -28,9 +28,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest doc_id, of each group; documents without words are no group."""
+    """One document, the one of smallest doc_id, of each group; documents without words, and rows without a doc_id, are no group and stay. Rows that repeat a doc_id stay or go together."""
     groups = jaccard.jaccard_groups(docs, SHINGLE, PERCENT)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
