@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sharding
 from .bpe import op6_bpe
 from .embeddings import op4_near_duplicates
 from .jaccard import op10_jaccard
@@ -19,5 +20,35 @@ def queries() -> dict:
     return {f.__name__: f for f in ops}
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+OP3 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS n, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS words FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM d WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM k) WHERE nth > 1),
+g AS (SELECT w.*, max((l.i IS NOT NULL)::INT) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM w LEFT JOIN late l ON l.doc_id = w.doc_id AND l.i = w.i),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+#: From pairs (a, b) of linked ids, both ways: the smallest id that each reaches.
+REACH = "reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), low AS (SELECT node, min(other) AS least FROM reach GROUP BY 1)"
+OP4 = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), good AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE x IS NOT NULL AND len([y FOR y IN x IF y IS NULL OR NOT isfinite(y)]) = 0 AND len([y FOR y IN x IF y <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.9::DOUBLE), {REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept FROM v LEFT JOIN low ON node = vec_id"""
+
+OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), gn AS (SELECT g.*, n FROM g JOIN n USING (doc_id)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM gn a JOIN gn b ON a.h = b.h AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 GROUP BY 1, 2),
+linked AS (SELECT a, b FROM c WHERE 100 * common >= 85 * (na + nb - common)), links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked), {REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON node = d.doc_id"""
+
+
+def op8_sql() -> str:
+    """The table of slots as one string, a character a slot."""
+    table = "".join(chr(48 + k) for k in sharding.lookup_table([f"shard-{i:03d}" for i in range(64)]))
+    return f"""WITH s AS (SELECT doc_id, source, octet_length(encode(text)) AS n_bytes, (('0x'||substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents)
+SELECT doc_id, source, n_bytes, slot, 'shard-'||lpad((ascii(substr('{table}', slot + 1, 1)) - 48)::VARCHAR, 3, '0') AS shard FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substrings": OP3, "op4_near_duplicates": OP4, "op8_sharding": op8_sql(), "op10_jaccard": OP10}
