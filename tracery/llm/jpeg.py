@@ -125,7 +125,8 @@ class Image:
     restart: int = 0
     scan: list[tuple[int, int]] = field(default_factory=list)  # component, tables
     start: int = 0
-    end: int = 0
+    stop: int = 0  # of the scan
+    end: int = 0  # where EOI is
 
     def blocks(self) -> list[tuple[int, int, int, int, int]]:
         """(component, its DC table, AC table, x, y) of each block of an MCU."""
@@ -133,35 +134,63 @@ class Image:
         alone = len(self.scan) == 1
         return [(c, t >> 4, t & 15, x, y) for c, t in self.scan for y in range(1 if alone else by[c][2]) for x in range(1 if alone else by[c][1])]
 
+    def size_in_blocks(self) -> tuple[int, int]:
+        """Blocks of the first component side by side and one below the other."""
+        h, v = (max(c[i] for c in self.components) for i in (1, 2))
+        _, own_h, own_v, _ = self.components[0]
+        return -(-(-(-self.width * own_h // h)) // 8), -(-(-(-self.height * own_v // v)) // 8)
+
     def mcus(self) -> tuple[int, int]:
+        if len(self.scan) == 1:
+            return self.size_in_blocks()
         h, v = (max(c[i] for c in self.components) for i in (1, 2))
         return -(-self.width // (8 * h)), -(-self.height // (8 * v))
 
 
+def _check(image: Image) -> None:
+    """A header is not trusted: what it says has to be sound, and a block takes two bits of the scan at least."""
+    sound = image.width and image.height and image.components and all(1 <= c[1] <= 4 and 1 <= c[2] <= 4 for c in image.components)
+    if not sound or not {c for c, _ in image.scan} <= {c[0] for c in image.components}:
+        raise ValueError("the frame is not sound")
+    if image.components[0][3] not in image.quant:
+        raise ValueError("a quantiser is missing")
+    w, h = image.mcus()
+    if w * h * len(image.blocks()) > 4 * (image.stop - image.start):
+        raise ValueError("the scan is too short for the frame")
+
+
 def parse(data: bytes, at: int = 0) -> Image:
-    """Markers of one image, from SOI to EOI; ValueError for what isn't baseline or is cut off."""
+    """Markers of one image, from SOI to EOI, and where the scan of its first component lies; ValueError for what isn't baseline or is cut off."""
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no JPEG image here")
-    image, i = Image(), at + 2
+    image, tables, restart, i = Image(), {}, 0, at + 2
     while True:
-        if i + 4 > len(data) or data[i] != 0xFF:
+        if i + 2 > len(data) or data[i] != 0xFF:
             raise ValueError("the image is cut off or has no marker where one is due")
         marker = data[i + 1]
-        if marker == 0xFF:
-            i += 1
+        if marker == 0xD9:
+            if not image.scan:
+                raise ValueError("the image has no scan of its first component")
+            image.end = i
+            _check(image)
+            return image
+        if marker in (0x01, 0xFF):
+            i += 1 + (marker == 0x01)
             continue
+        if i + 4 > len(data):
+            raise ValueError("the image is cut off")
         (n,) = struct.unpack_from(">H", data, i + 2)
         body = data[i + 4 : i + 2 + n]
         i += 2 + n
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
-                image.quant[body[0] & 15] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
+                image.quant.setdefault(body[0] & 15, struct.unpack_from(">H", body, 1)[0] if wide else body[1])
                 body = body[129 if wide else 65 :]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                image.tables[body[0]] = (body[1:17], body[17 : 17 + n])
+                tables[body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC0:
             _, image.height, image.width, n = struct.unpack_from(">BHHB", body)
@@ -169,40 +198,87 @@ def parse(data: bytes, at: int = 0) -> Image:
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("only baseline images are read")
         elif marker == 0xDD:
-            (image.restart,) = struct.unpack(">H", body)
+            (restart,) = struct.unpack(">H", body)
         elif marker == 0xDA:
-            image.scan = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
-            image.start = i
-            break
-    i = image.start
+            scan = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            stop = _end_of_scan(data, i)
+            if not image.scan and image.components and image.components[0][0] in {c for c, _ in scan}:
+                image.scan, image.start, image.stop, image.tables, image.restart = scan, i, stop, dict(tables), restart
+            i = stop
+
+
+def _end_of_scan(data: bytes, i: int) -> int:
     while True:
         i = data.find(b"\xff", i)
         if i < 0 or i + 1 >= len(data):
             raise ValueError("the scan has no end")
-        if data[i + 1] == 0 or 0xD0 <= data[i + 1] <= 0xD7:
-            i += 2
-            continue
-        image.end = i
-        return image
+        if data[i + 1] != 0 and not 0xD0 <= data[i + 1] <= 0xD7:
+            return i
+        i += 2
+
 
+#: MCUs of all lanes that are decoded side by side.
+LANES = 1 << 24
 
-def thumbnails(files: list[bytes]) -> list[list[tuple[Image, np.ndarray]]]:
-    """The images of each file, one after another, each with the DC-only thumbnail of its first component."""
+
+def thumbnails(files: list[bytes], strict: bool = True) -> list[list[tuple[Image, np.ndarray]]]:
+    """The images of each file, one after another, each with the DC-only thumbnail of its first component; what follows the last image is no part of it.
+
+    Images of equal tables and sampling are decoded side by side, whichever files they are of. An
+    unreadable file raises ValueError, or without strict has no images.
+    """
     found: list[list[tuple[Image, np.ndarray | None]]] = [[] for _ in files]
     groups: dict[tuple, list[tuple[int, int, bytes]]] = {}
     for f, data in enumerate(files):
-        at = 0
-        while at < len(data):
-            image = parse(data, at)
-            at = image.end + 2
+        own, at = [], 0
+        try:
+            while not own or data[at : at + 2] == b"\xff\xd8":
+                own.append(parse(data, at))
+                at = own[-1].end + 2
+        except (ValueError, IndexError, struct.error) as e:
+            if strict:
+                raise ValueError(str(e)) from e
+            continue
+        found[f] = [(image, None) for image in own]
+        for k, image in enumerate(own):
             key = (tuple(image.blocks()), tuple(sorted(image.tables.items())), image.restart)
-            groups.setdefault(key, []).append((f, len(found[f]), data[image.start : image.end]))
-            found[f].append((image, None))
+            groups.setdefault(key, []).append((f, k, data[image.start : image.stop]))
     for (blocks, tables, _), members in groups.items():
-        own = [found[f][k][0] for f, k, _ in members]
-        for (f, k, _), image, pixels in zip(members, own, _decode([m[2] for m in members], own, blocks, dict(tables)), strict=True):
-            found[f][k] = (image, pixels)
-    return found
+        count = [int(np.prod(found[f][k][0].mcus())) for f, k, _ in members]
+        order = sorted(range(len(members)), key=lambda i: count[i])
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j + 1 - i) * count[order[j]] <= LANES:
+                j += 1
+            some = [members[x] for x in order[i:j]]
+            for part in [some] if strict else _parts(some):
+                own = [found[f][k][0] for f, k, _ in part]
+                try:
+                    got = _decode([m[2] for m in part], own, blocks, dict(tables))
+                except (ValueError, IndexError):
+                    if strict:
+                        raise
+                    got = _one_by_one(part, own, blocks, dict(tables))
+                for (f, k, _), image, pixels in zip(part, own, got, strict=True):
+                    found[f][k] = (image, pixels)
+            i = j
+    return [x if all(p is not None for _, p in x) else [] for x in found]
+
+
+def _parts(members: list) -> list[list]:
+    """At most 256 images that fail or pass together."""
+    return [members[i : i + 256] for i in range(0, len(members), 256)]
+
+
+def _one_by_one(members: list, images: list[Image], blocks: tuple, tables: dict) -> list[np.ndarray | None]:
+    out = []
+    for (_, _, scan), image in zip(members, images, strict=True):
+        try:
+            out += _decode([scan], [image], blocks, tables)
+        except (ValueError, IndexError):
+            out.append(None)
+    return out
 
 
 def _decode(scans: list[bytes], images: list[Image], blocks: tuple, tables: dict) -> list[np.ndarray]:
@@ -287,6 +363,8 @@ def _decode(scans: list[bytes], images: list[Image], blocks: tuple, tables: dict
         if len(image.scan) == 1:
             ch = cv = 1
         grid = seq.reshape(h, w, cv, ch).transpose(0, 2, 1, 3).reshape(h * cv, w * ch)
+        wide, high = image.size_in_blocks()
+        grid = grid[:high, :wide]
         pixels = (grid.astype(np.int32) * image.quant[q] + 4 + 1024) >> 3
         out.append(np.clip(pixels, 0, 255).astype(np.uint8))
     return out
@@ -305,17 +383,14 @@ def average_hash(pixels: np.ndarray) -> str:
 
 
 def media_columns(files: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, width, height, n_images, thumb_hash, thumb_sha256) of binary files; a null, empty or unreadable one has nulls (n_images 0)."""
+    """(key, width, height, n_images, thumb_hash, thumb_sha256) of binary files; a null, empty or unreadable one has nulls (n_images 0), and spoils no other. Keys may repeat or be null."""
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    got = thumbnails([x or b""])[0]
-                except (ValueError, IndexError, struct.error, StopIteration, KeyError):
-                    got = []
+            read = thumbnails([x or b"" for x in batch.column(1).to_pylist()], strict=False)
+            for k, got in zip(batch.column(0).to_pylist(), read, strict=True):
                 rows.append((k, got[0][0].width, got[0][0].height, len(got), average_hash(got[0][1]), hashlib.sha256(b"".join(p.tobytes() for _, p in got)).hexdigest()) if got else (k, None, None, 0, None, None))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["key", "width", "height", "n_images", "thumb_hash", "thumb_sha256"])
