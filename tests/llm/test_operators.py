@@ -320,6 +320,71 @@ def test_op5_edges(spark):
     assert packing.packed(spark, edge(spark).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def fewest(lengths, capacity):
+    """Fewest bins, by trying everything."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for g in set(gaps):
+            if g >= lengths[i]:
+                k = gaps.index(g)
+                place(i + 1, gaps[:k] + [g - lengths[i]] + gaps[k + 1 :])
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_op5_against_all_packings():
+    rng = random.Random(13)
+    worse = 0
+    for _ in range(300):
+        lengths = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 8))), reverse=True)
+        bins, offsets, n = packing.pack(lengths, 12)
+        for b in range(n):
+            own = sorted((o, x) for o, x, k in zip(offsets, lengths, bins, strict=True) if k == b)
+            assert sum(x for _, x in own) <= 12 and [o for o, _ in own] == [sum(x for _, x in own[:i]) for i in range(len(own))]
+        want = fewest(lengths, 12)
+        assert n <= want + 1
+        worse += n > want
+    assert worse <= 15
+
+
+def test_op5_repeated_and_missing_ids_in_small_groups(spark):
+    rows = [(1, "a b c")] * 30 + [(None, "x y")] * 30 + [(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("piece", "offset", "group")})
+    with common.Scratch(spark) as s:
+        pieces = s.table(packing.token_pieces(docs, P.path("byte_bpe_50k.json")).drop("ids"))
+        got = packing.assign_sequences(pieces, group=10).collect()
+    assert len(got) == len(rows) and max(collections.Counter(r.sequence_id >> 40 for r in got).values()) < 30
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(x)[:i]) for x in by.values() for i, (o, _) in enumerate(sorted(x)))
+
+
+def test_op2_and_op6_repeats_missing_ids_and_other_columns(spark):
+    rows = [(5, "b"), (5, "a"), (None, "z"), (2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_tokens", "part", "seq", "ids")}).repartition(3)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/op2-{random.random()}"
+    token_files.write_token_files(docs, path, P.path("byte_bpe_50k.json"))
+    got = token_files.read_token_files(spark.read.parquet(path)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 2, 2, 5, 5] and [r.start for r in got] == [0, 2, 3, 4, 6]
+    none = f"{path}-none"
+    token_files.write_token_files(docs.limit(0), none, P.path("byte_bpe_50k.json"))
+    assert token_files.read_token_files(spark.read.schema(token_files.FILE_SCHEMA).parquet(none)).count() == 0
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    assert sorted((r.doc_id is None, r.n_tokens) for r in bpe.round_trip_digests(docs, ranks, P.PATTERN).collect()) == [(False, 0), (False, 0), (False, 1), (False, 1), (True, 1)]
+    assert bpe.round_trip_digests(docs.limit(0), ranks, P.PATTERN).count() == 0
+    assert jpeg.stored_features(docs).count() == len(rows) and jpeg.stored_features(docs.limit(0)).count() == 0
+
+
 def test_op6_is_what_the_library_does(spark, sf):
     tiktoken = pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_multi_50k.tiktoken")
@@ -335,6 +400,26 @@ def test_op6_is_what_the_library_does(spark, sf):
     assert all(bytes(back[k].data) == (t or "").encode() for k, t in texts.items())
 
 
+def test_both_encoders_on_odd_strings():
+    tiktoken = pytest.importorskip("tiktoken")
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(23)
+    parts = [*"abcXYZ019  ,.'’\n\t\r-()é×÷ß\x1c\x1f\x85\xa0\u2003\u3000\u180e日本語🙂ñ«»½²ª", "'s", "'re", " '", "'t ", "<|endoftext|>", "\n\n", "  "]
+    for most in (1_600_000, 30):
+        one, two = bpe.Codec(path, P.PATTERN, most), tokens.WordEncoder(P.path("byte_bpe_50k.json"), most)
+        for _ in range(60):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+            raw, offsets = common.column_bytes(pa.array(texts, pa.string()))
+            for enc, own in ((one, want.encode_ordinary), (two, lambda t: lib.encode(t, add_special_tokens=False).ids)):
+                ids, ends = enc.encode(raw, offsets)
+                got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                assert got == [own(t) for t in texts]
+
+
 def test_utf8_machine_never_cuts_a_character():
     data = "aé日🙂".encode() * 5
     for step in (1, 2, 3, 5):
@@ -356,6 +441,108 @@ def test_op7_reads_back_what_it_stores(spark):
     assert [rows[i].n_images for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and rows[4].width == 1536
 
 
+class PlainEncoder:
+    """Writes baseline images from quantised coefficients, a bit at a time; independent of the module tested."""
+
+    DC = ([0, 1, 4, 2, 2, 1, 1, 1] + [0] * 8, [3, 1, 0, 2, 4, 5, 6, 7, 8, 9, 10, 11])
+    AC = ([0, 2, 1, 3, 3, 2] + [0] * 10, [0x01, 0x02, 0x00, 0x11, 0x12, 0xF0, 0x03, 0x21, 0x31, 0x41, 0x51])
+
+    def __init__(self, rng):
+        self.rng, self.bits, self.out = rng, "", b""
+
+    @staticmethod
+    def code_of(table):
+        out, code, k = {}, 0, 0
+        for n, count in enumerate(table[0], 1):
+            for _ in range(count):
+                out[table[1][k]] = format(code, f"0{n}b")
+                code, k = code + 1, k + 1
+            code *= 2
+        return out
+
+    def flush(self):
+        self.bits += "1" * (-len(self.bits) % 8)
+        data = bytes(int(self.bits[i : i + 8], 2) for i in range(0, len(self.bits), 8))
+        self.out += data.replace(b"\xff", b"\xff\x00")
+        self.bits = ""
+
+    @staticmethod
+    def value(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def block(self, difference):
+        dc, ac = self.code_of(self.DC), self.code_of(self.AC)
+        n, extra = self.value(difference)
+        self.bits += dc[n] + extra
+        k = 1
+        for _ in range(self.rng.randint(0, 6)):
+            run, size = self.rng.choice([(0, 1), (0, 2), (1, 1), (1, 2), (15, 0), (0, 3), (2, 1), (5, 1)])
+            if k + run + (size > 0) > 62:
+                break
+            self.bits += ac[run * 16 + size] + (self.value(self.rng.choice([1, -1]) * ((1 << size) - 1))[1] if size else "")
+            k += run + 1
+        self.bits += ac[0x00]
+
+    def image(self, width, height, sampling, restart=0, alone=False):
+        """(file, DC terms of the first component) of random coefficients; sampling is (h, v) of each component."""
+        seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+        hm, vm = max(h for h, _ in sampling), max(v for _, v in sampling)
+        head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0] + [3 + i for i in range(64)])) + seg(0xDB, bytes([1] + [5] * 64))
+        head += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([i + 1, h * 16 + v, i > 0]) for i, (h, v) in enumerate(sampling)))
+        for kind, t in ((0, self.DC), (16, self.AC)):
+            head += seg(0xC4, bytes([kind, *t[0], *t[1]]))
+        if restart:
+            head += seg(0xDD, restart.to_bytes(2, "big"))
+        size = [(-(-(-(-width * h // hm)) // 8), -(-(-(-height * v // vm)) // 8)) for h, v in sampling]
+        dc, body = {}, b""
+        scans = [[c] for c in range(len(sampling))] if alone else [list(range(len(sampling)))]
+        for scan in scans:
+            self.out, pred = b"", dict.fromkeys(scan, 0)
+            w, h = size[scan[0]] if len(scan) == 1 else (-(-width // (8 * hm)), -(-height // (8 * vm)))
+            for m in range(w * h):
+                if restart and m and m % restart == 0:
+                    self.flush()
+                    self.out += bytes([0xFF, 0xD0 + (m // restart - 1) % 8])
+                    pred = dict.fromkeys(scan, 0)
+                for c in scan:
+                    ch, cv = (1, 1) if len(scan) == 1 else sampling[c]
+                    for y in range(cv):
+                        for x in range(ch):
+                            v = self.rng.randint(-60, 60)
+                            dc[c, m // w * cv + y, m % w * ch + x] = v
+                            self.block(v - pred[c])
+                            pred[c] = v
+            self.flush()
+            body += seg(0xDA, bytes([len(scan)]) + b"".join(bytes([c + 1, 0]) for c in scan) + bytes([0, 63, 0])) + self.out
+        want = np.array([[dc[0, y, x] for x in range(size[0][0])] for y in range(size[0][1])])
+        return head + body + b"\xff\xd9", want
+
+
+def test_op7_images_of_another_encoder(spark):
+    enc = PlainEncoder(random.Random(21))
+    cases = [((33, 20), [(1, 1)], 0, False), ((33, 20), [(2, 2)], 0, False), ((50, 41), [(2, 2), (1, 1), (1, 1)], 0, False), ((50, 41), [(2, 1), (1, 1), (1, 1)], 3, False), ((47, 70), [(2, 2), (1, 1), (1, 1)], 0, True), ((16, 16), [(1, 1), (1, 1), (1, 1)], 1, False)]
+    files = [(i, *enc.image(w, h, s, r, alone)) for i, ((w, h), s, r, alone) in enumerate(cases * 3)]
+    for _, data, want in files:
+        for tail in (b"", b"\0\0", b"text"):
+            (image, got), = jpeg.thumbnails([data + tail])[0]
+            assert (got == np.clip((want * 3 + 4 + 1024) >> 3, 0, 255)).all()
+    huge = bytearray(files[0][1])
+    at = huge.index(b"\xff\xc0") + 5
+    huge[at : at + 4] = b"\xff\xff\xff\xff"
+    rows = [(i, d) for i, d, _ in files] + [(100, bytes(huge)), (101, files[2][1][:-40]), (102, files[2][1][:200]), (103, b"\xff\xd8\xff\xd9"), (103, None), (None, files[0][1])]
+    got = jpeg.media_columns(spark.createDataFrame(rows, "id long, data binary").repartition(2), "id", "data").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.id is not None and r.id < 100:
+            (w, h), *_ = (cases * 3)[r.id]
+            want = np.clip((files[r.id][2] * 3 + 4 + 1024) >> 3, 0, 255).astype(np.uint8)
+            assert (r.width, r.height, r.n_images, r.thumb_sha256) == (w, h, 1, hashlib.sha256(want.tobytes()).hexdigest())
+        elif r.id is not None:
+            assert r.n_images == 0 and r.width is None
+    assert jpeg.media_columns(spark.createDataFrame([], "id long, data binary"), "id", "data").count() == 0
+
+
 def test_op8_against_a_plain_fill(spark, sf):
     shards, slots = [f"s{i}" for i in range(7)], 211
     table = sharding.lookup_table(shards, slots)
@@ -376,6 +563,54 @@ def test_op8_against_a_plain_fill(spark, sf):
     assert len(rows) == 3 and len({r.shard for r in rows if r.k == 1}) == 1
 
 
+def test_op8_slots_shards_and_files(spark):
+    shards, slots = [f"s{i}" for i in range(5)], 101
+    table = sharding.lookup_table(shards, slots)
+    rows = [(i if i % 7 else None, "hot") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, shard string").repartition(4)
+    slot = lambda k: 0 if k is None else int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) % slots
+    got = sharding.place(df, "k", shards, slots).collect()
+    assert len(got) == 400 and all((r.slot, r.shard) == (slot(r.k), shards[table[slot(r.k)]]) for r in got)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/shards-{random.random()}"
+    sharding.write_shards(df, "k", shards, path, slots)
+    back = spark.read.parquet(path)
+    assert sorted(r.k or -1 for r in back.collect()) == sorted(k or -1 for k, _ in rows) and {r.shard for r in back.collect()} <= set(shards)
+    assert sharding.place(df.limit(0), "k", shards, slots).count() == 0
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError, match="distinct"):
+            sharding.lookup_table(bad, slots)
+
+
+def test_op9_catches_planted_documents_and_leaves_clean_ones(spark):
+    rng = random.Random(17)
+    plain, marks = [f"word{i}" for i in range(300)], ["vile", "nasty", "rotten", "foul", "mean"]
+    docs, tags = [], []
+    for i in range(3000):
+        w = [rng.choice(plain) for _ in range(rng.randint(10, 40))]
+        toxic = i % 6 == 0
+        if toxic:
+            w += rng.sample(marks, rng.randint(1, 4))
+        rng.shuffle(w)
+        docs.append((i, " ".join(w)))
+        tags.append((i, int(toxic), int(i % 5 > 0)))
+    docs += [(9001, None), (9002, ""), (9003, "vile " * 5000), (9003, "word1 word2"), (None, "vile nasty foul")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("grade", F.lit("x")).repartition(4)
+    labels = spark.createDataFrame([*tags, (9004, None, 1)], "doc_id long, toxic int, quality int")
+    graded = {r.doc_id: r.grade for r in toxicity.grades(labels).collect()}
+    assert set(graded.values()) == {0, 1, 2} and 9004 not in graded and all(g == t * (1 + q) for (k, t, q), g in ((x, graded[x[0]]) for x in tags if x[0] in graded))
+    model = toxicity.fit(d, toxicity.grades(labels))
+    rows = toxicity.predict(d, model).collect()
+    assert len(rows) == len(docs) and all(0 <= r.severity <= 2 and (r.grade > 0) == (r.p_toxic >= 0.5) for r in rows)
+    by = {r.doc_id: r for r in rows if r.doc_id is not None and r.doc_id < 9000}
+    held = [k for k, *_ in tags if k not in graded]
+    truth = {k: t for k, t, _ in tags}
+    assert len(held) > 500 and sum(by[k].grade > 0 for k in held if truth[k]) >= 0.9 * sum(truth[k] for k in held) and not any(by[k].grade for k in held if not truth[k])
+    kept = toxicity.without_toxic(d, model)
+    assert kept.columns == d.columns and kept.count() == sum(r.p_toxic < 0.5 for r in rows)
+    nothing = toxicity.fit(d, toxicity.grades(labels).where("grade > 5"))
+    assert {r.grade for r in toxicity.predict(d, nothing).collect()} <= {0, 1, 2}
+
+
 def test_op9_ordinal_fit_and_rows(spark, sf):
     rng = np.random.default_rng(6)
     n = 2000
@@ -483,3 +718,63 @@ def test_pipeline_stages_do_what_they_say(spark, sf):
     got = {r.doc_id: r.text for r in cut.collect()}
     assert set(got) == {k for k, (n, gone, _) in want.items() if gone < n or not n}
     assert all(got[k] == kept for k, (_, gone, kept) in want.items() if k in got and gone)
+
+
+def test_pipeline_as_a_whole(spark, sf):
+    import corpus_pipeline as cp
+
+    rng = random.Random(19)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/sf-{random.random()}"
+    base = documents(spark, sf)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    passage, near = some(60), some(120)
+    bad = ["idiot", "moron", "scum", "trash", "loser", "stupid"]
+    planted = [(50_001, " ".join(some(30) + bad)), (50_002, " ".join(near)), (50_003, " ".join([*near[:60], "changed", *near[61:]])), (50_004, " ".join(some(15) + passage + some(15))), (50_005, " ".join(some(20) + passage + some(20))), (50_006, "123 456"), (50_007, None), (50_008, " ".join(passage)), (50_009, " ".join(some(3000)))]
+    extra = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in planted], base.schema)
+    base.unionByName(extra).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stages = {}
+    with common.Scratch(spark) as s:
+        for name, stage in cp.STAGES:
+            docs = s.keep(stage(spark, docs, path))
+            stages[name] = docs.collect()
+    got = sorted(map(tuple, cp.run(spark, path).drop("sequence_id", "offset").collect()))
+    assert got == sorted(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in stages["packing"])
+    text = {k: t for k, t in [*((r.doc_id, r.text) for r in base.collect()), *planted]}
+    first = {k for k, t in text.items() if any(c.isalpha() for c in t or "")}
+    assert {r.doc_id for r in stages["language"]} == first
+    second = {r.doc_id for r in stages["toxicity"]}
+    assert 50_001 not in second and {50_002, 50_003, 50_004, 50_009} <= second <= first
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    sets = {}
+    for k in second:
+        w = WORD.findall(text[k].translate(low))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    third = {k for k in sets if find(k) == k}
+    assert {r.doc_id for r in stages["near_duplicates"]} == third and 50_003 not in third
+    cut = brute_op3([(k, text[k]) for k in third])
+    left = {r.doc_id: r.text for r in stages["passages"]}
+    assert left == {k: kept if gone else text[k] for k, (n, gone, kept) in cut.items() if gone < n or not n} and 50_008 not in left
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {k: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in left.items()}
+    assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in stages["packing"])
+    assert collections.Counter({k: len(x) for k, x in ids.items()}) == sum((collections.Counter({r.doc_id: r.length}) for r in stages["packing"]), collections.Counter())
+    empty = docs.limit(0)
+    for name, stage in cp.STAGES:
+        blank = spark.createDataFrame([], base.schema)
+        assert stage(spark, blank, path).count() == 0, name
+    del empty

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_only
-from .tokens import pieces
+from .common import column_bytes, doc_runs, lean, text_only
+from .tokens import PieceMemory
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -236,29 +236,17 @@ class Decoder:
         yield machine.end()
 
 
-class Codec:
-    """Whole texts to ids, with a bounded memory of the pieces between spaces."""
-
-    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000):
-        import regex
+class Codec(PieceMemory):
+    """Whole texts to ids, with a bounded memory of what pieces encode to; new matches go through the transducer."""
 
+    def __init__(self, ranks_path: str, pattern: str, most: int = 800_000):
+        super().__init__(pattern, most)
         ranks = read_ranks(ranks_path)
-        self.find, self.transducer, self.decoder = regex.compile(pattern).findall, Transducer(ranks), Decoder(ranks)
-        self.most, self.memory, self.known = most, {}, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [pieces(x) for x in texts]
-        memory, known, encode = self.memory, self.known, self.transducer.encode
-        for x in (memory, known):
-            if len(x) > self.most:
-                x.clear()
-        new = list(set().union(*split).difference(memory))
-        matches = [self.find(x) for x in new]
-        for x in set().union(*matches).difference(known):
-            known[x] = np.array(encode(x.encode()), "<u4").tobytes()
-        memory.update((x, b"".join([known[m] for m in p])) for x, p in zip(new, matches, strict=True))
-        get = memory.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in split]
+        self.transducer, self.decoder = Transducer(ranks), Decoder(ranks)
+
+    def word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.transducer.encode(w) for w in words]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -271,19 +259,18 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text; null and empty texts have no ids. No shuffle."""
+    """(doc_id, ids array<int>) of every whole text; null and empty texts have no ids, repeated and missing doc_ids stay as they are, an empty table gives none. No shuffle."""
 
     def run(batches):
         c = codec(ranks_path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                ids = c.encode([x or "" for x in texts[i : i + 200]])
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([keys.slice(i, 200), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+            raw, offsets = column_bytes(batch.column(1))
+            for i, j in doc_runs(offsets):
+                ids, ends = c.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["doc_id", "ids"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -295,29 +282,31 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
             data = [b"".join(c.decoder.stream(x.values.to_numpy())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, data binary")
+    return encoded.mapInArrow(lean(run), "doc_id bigint, data binary")
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding in one pass so that ids need not travel."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding in one pass so that ids need not travel. Null texts count as empty; repeated and missing doc_ids stay as they are; an empty table gives none."""
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        decimal = np.array([f"{i}," for i in range(len(c.decoder.length))], object)
+        decimal = Decoder({f"{i},".encode(): i for i in range(len(c.decoder.length))})
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                n, a, b = [], [], []
-                for ids in c.encode([x or "" for x in texts[i : i + 200]]):
-                    n.append(len(ids))
-                    a.append(hashlib.sha256("".join(decimal[ids].tolist())[:-1].encode()).hexdigest())
+            raw, offsets = column_bytes(batch.column(1))
+            for i, j in doc_runs(offsets):
+                ids, ends = c.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                written, sums = decimal.decode(ids), np.concatenate([[0], np.cumsum(decimal.length[ids])])
+                a, b, begin = [], [], 0
+                for end in ends.tolist():
+                    a.append(hashlib.sha256(written[sums[begin] : max(sums[begin], sums[end] - 1)]).hexdigest())
                     h = hashlib.sha256()
-                    for part in c.decoder.stream(ids):
+                    for part in c.decoder.stream(ids[begin:end], 1 << 16):
                         h.update(part)
                     b.append(h.hexdigest())
-                yield pa.RecordBatch.from_arrays([keys.slice(i, 200), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    begin = end
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends, prepend=0)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

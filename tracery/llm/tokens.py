@@ -12,9 +12,9 @@ from .common import U64, piece_hashes
 ODD = re.compile("[\x1c-\x1f\x85]")
 LETTER, DIGIT, MARK, QUOTE, WHITE, SOLID, UNSURE = range(7)
 #: Slots of the memory, a power of two; it starts anew before half of them are in use.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Pieces looked up at once, and ids that the memory holds at most before it starts anew.
-STEP, MOST_IDS = 1 << 18, 1 << 24
+STEP, MOST_IDS = 1 << 17, 1 << 23
 
 
 def _ascii_classes() -> np.ndarray:
@@ -82,34 +82,28 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """Encodes whole texts as the library does, piece by piece.
+class PieceMemory:
+    """Ids of whole texts, piece by piece, with a bounded memory of what pieces encode to.
 
     The memory has an entry for each piece met, by a 64-bit hash of its bytes: its ids lie
     together in one array. Of ``most`` entries, or too many ids, it starts anew. Only new pieces
-    go to the library's model: many words at once, one a line; the byte lengths of tokens tell
-    which ids belong to which word. Texts that hold an added token go to the library whole, which
-    matches these before it looks for words.
+    are parted into matches of the pattern and encoded, by ``word_ids``.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 1_600_000):
-        import public_tokenizers
+    def __init__(self, pattern: str, most: int = 800_000):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(tokenizer_path)
-        self.model = Tokenizer(self.tok.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
-        self.chars = byte_chars()
-        self.most = most
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.length[i] = len(token)
+        self.find, self.most = regex.compile(pattern).findall, most
         self._forget()
 
+    def word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches, one after another, and how many each has."""
+        raise NotImplementedError
+
+    def odd_ids(self, piece: str) -> np.ndarray | None:
+        """Ids of a piece whose matches the pattern here does not tell."""
+        return None
+
     def _forget(self) -> None:
         self.keys, self.entry = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
         self.n, self.used = 0, 0
@@ -160,26 +154,19 @@ class WordEncoder:
         h, a, b, plain = h[order], a[order], b[order], int(single.sum())
         size = (b - a)[:plain]
         ends = np.cumsum(size)
-        flat = raw[np.repeat(a[:plain] - (ends - size), size) + np.arange(int(size.sum()))]
-        line = flat.tobytes().decode("latin1").translate(self.chars)
+        line = raw[np.repeat(a[:plain] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
         words = [line[x:y] for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         per, odd = [1] * plain, {}
         for k in range(plain, len(h)):
             piece = raw[a[k] : b[k]].tobytes().decode("utf-8", "replace")
-            found = [] if ODD.search(piece) else self.find(piece)
+            own = self.odd_ids(piece)
+            found = self.find(piece) if own is None else []
             if not found:
-                odd[k] = np.array(self.tok.encode(piece, add_special_tokens=False).ids, np.uint32)
-            words += [w.encode().decode("latin1").translate(self.chars) for w in found]
+                odd[k] = np.zeros(0, np.uint32) if own is None else own
+            words += [w.encode() for w in found]
             per.append(len(found))
-        got, number = [], []
-        for i in range(0, len(words), 8192):
-            some = words[i : i + 8192]
-            ids = np.array(self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            upto = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x) for x in some])) + 1
-            got.append(ids)
-            number.append(np.diff(upto, prepend=0))
-        ids = np.concatenate([*got, np.zeros(0, np.uint32)])
-        sums = np.concatenate([[0], np.cumsum(np.concatenate([*number, np.zeros(0, np.int64)]))])
+        ids, number = self.word_ids(words)
+        sums = np.concatenate([[0], np.cumsum(number)])
         upto = np.cumsum(per)
         counts = sums[upto] - sums[upto - per]
         known = np.ones(len(h), bool)
@@ -215,11 +202,54 @@ class WordEncoder:
             counts.append(n)
         ids, sums = np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         upto = sums[np.searchsorted(starts, offsets)]
+        return ids, upto[1:]
+
+
+class WordEncoder(PieceMemory):
+    """Encodes whole texts as the tokenizers library does.
+
+    New words go to the library's model many at once, one a line; the byte lengths of tokens tell
+    which ids belong to which word. Texts that hold an added token go to the library whole, which
+    matches these before it looks for words.
+    """
+
+    def __init__(self, tokenizer_path: str, most: int = 800_000):
+        import public_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(public_tokenizers.PATTERN, most)
+        self.tok = Tokenizer.from_file(tokenizer_path)
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
+        self.chars = byte_chars()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token)
+
+    def word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got, number = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 8192):
+            some = words[i : i + 8192]
+            ends = np.cumsum([len(x) for x in some])
+            line = b"".join(some).decode("latin1").translate(self.chars)
+            lines = "\n".join([line[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+            ids = np.array(self.model.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            got.append(ids)
+            number.append(np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends) + 1, prepend=0))
+        return np.concatenate(got), np.concatenate(number)
+
+    def odd_ids(self, piece: str) -> np.ndarray | None:
+        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, np.uint32) if ODD.search(piece) else None
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends = super().encode(raw, offsets)
         whole = self._with_added(raw, offsets)
         if whole:
-            parts = [whole.get(k, ids[x:y]) for k, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True))]
+            parts = [whole.get(k, ids[x:y]) for k, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
             return np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        return ids, upto[1:]
+        return ids, ends
 
     def _with_added(self, raw: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
         """Ids, from the library, of the rows that hold an added token's text."""
