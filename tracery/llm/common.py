@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import uuid
 
 import numpy as np
@@ -79,6 +82,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run):
+    """The same function of batches; once a partition is done, what it used goes back to the system, since Python workers outlive their tasks and share an executor's memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator needs under fixed names; others, whatever their names, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

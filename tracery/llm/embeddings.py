@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, lean
 
 #: Vectors of a cell that one task takes as rows, and as columns.
 TILE = 8192
@@ -53,7 +53,7 @@ def scaled_vectors(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "key", "dim", "vector"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id bigint, key binary, dim int, vector binary")
+    return rows.mapInArrow(lean(run), "vec_id bigint, key binary, dim int, vector binary")
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def cells(heads: DataFrame, least: float, blocks: int, bases: dict[int, np.ndarr
                         rows = batch.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(x + np.int32(dx)), pa.array(y + np.int32(dy)), pa.array(np.full(n, dx == dy == 0)), *(rows.column(k) for k in (1, 2, 3))], ["dim", "block", "x", "y", "home", "d", "m", "vector"])
 
-    return heads.select("dim", "d", "m", "vector").mapInArrow(run, "dim int, block int, x int, y int, home boolean, d bigint, m bigint, vector binary")
+    return heads.select("dim", "d", "m", "vector").mapInArrow(lean(run), "dim int, block int, x int, y int, home boolean, d bigint, m bigint, vector binary")
 
 
 def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_SLOTS, Scratch, bitmap, column_bytes, components, doc_runs, in_bitmap, mix, rolled, text_only, words
+from .common import DOC_SLOTS, Scratch, bitmap, column_bytes, components, doc_runs, in_bitmap, lean, mix, rolled, text_only, words
 
 #: An n-gram of so many documents in one block at most is multiplied out there; a larger column first meets its smallest document only.
 WIDE = 24
@@ -85,7 +85,7 @@ def frequent_ngrams(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
         if held:
             yield flush()
 
-    rows = docs.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
+    rows = docs.mapInArrow(lean(count), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT)
     got = rows.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).select("h").toArrow().column(0).to_numpy()
     return got[::-1].view(np.uint64)
 
@@ -130,7 +130,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: np.nd
                     short.append(s[:take])
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.int64()), pa.array(sig, pa.binary()), _lists(short)], ["doc_id", "n_shingles", "key", "sig", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, sig binary, prefix array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, key bigint, sig binary, prefix array<bigint>")
 
 
 def _blocks(batches, width: int):
@@ -188,7 +188,7 @@ def overlaps(columns: DataFrame, percent: int) -> DataFrame:
 
     narrow = columns.where(F.col("c") <= WIDE).select("h", "n", "d").repartition("h").sortWithinPartitions("h", "d")
     wide = columns.where((F.col("c") > WIDE) & (F.col("d") != F.col("first")) & _fits("n", "n_first", percent)).select(F.col("first").alias("a"), F.col("d").alias("b"))
-    return narrow.mapInArrow(run, "a bigint, b bigint").unionByName(wide).distinct()
+    return narrow.mapInArrow(lean(run), "a bigint, b bigint").unionByName(wide).distinct()
 
 
 def tiled(postings: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def rest(tiles: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     rows = tiles.select("tile", "n", "d", "c", "p", "side", "sig").repartition("tile").sortWithinPartitions("tile", "d")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def possible(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +262,7 @@ def possible(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
             most = common + np.maximum(n[0] - size[0], n[1] - size[1])
             yield batch.select([0, 1]).filter(pa.array(most * (100 + percent) >= percent * (n[0] + n[1])))
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(lean(compare), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, short: DataFrame, docs: DataFrame, n: int, percent: int, lower: bool, scratch: Scratch) -> DataFrame:
@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, short: DataFrame, docs: DataFrame, n: int, percen
         for keys, sets in _batches_of_sets(pick(batches), n, lower):
             yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
-    sets = scratch.table(docs.select("doc_id", "text", slot("doc_id")).mapInArrow(run, "doc_id bigint, grams binary"))
+    sets = scratch.table(docs.select("doc_id", "text", slot("doc_id")).mapInArrow(lean(run), "doc_id bigint, grams binary"))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").select("a", "b", "grams_a", "grams_b")
 
     def compare(batches):
@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, short: DataFrame, docs: DataFrame, n: int, percen
                 ok.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(lean(compare), "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column_bytes, doc_runs, text_only
+from .common import column_bytes, doc_runs, lean, text_only
 
 #: Blocks of a row of the images made here; a row is a restart interval.
 ROW = 192
@@ -395,7 +395,7 @@ def media_columns(files: DataFrame, key: str, data: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["key", "width", "height", "n_images", "thumb_hash", "thumb_sha256"])
 
-    return files.select(key, data).mapInArrow(run, f"key {kind}, width int, height int, n_images int, thumb_hash string, thumb_sha256 string").withColumnRenamed("key", key)
+    return files.select(key, data).mapInArrow(lean(run), f"key {kind}, width int, height int, n_images int, thumb_hash string, thumb_sha256 string").withColumnRenamed("key", key)
 
 
 def store_as_images(docs: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def store_as_images(docs: DataFrame) -> DataFrame:
             for keys, n, size, images in _stored(batch):
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, media binary")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, media binary")
 
 
 def _stored(batch):
@@ -442,7 +442,7 @@ def stored_features(docs: DataFrame) -> DataFrame:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(size, pa.int64()), *(pa.array(c) for c in cols)], names)
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, doc_runs, text_only
+from .common import column_bytes, doc_runs, lean, text_only
 
 #: Letters told apart, the separator and the unknown letter included.
 ALPHABET = 64
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch, i, j, lang, score in _predicted(batches, 1, model):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -266,7 +266,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         for batch, i, j, lang, _ in _predicted(batches, at, model):
             yield batch.slice(i, j - i).filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:

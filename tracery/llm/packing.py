@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, doc_runs, text_only
+from .common import Scratch, column_bytes, doc_runs, lean, text_only
 from .tokens import encoder, with_end
 
 CAPACITY = 2048
@@ -91,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 own = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], upto]).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(sums, pa.int64()), own.cast(pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return text_only(docs).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
+    return text_only(docs).mapInArrow(lean(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, group: int = 50_000) -> DataFrame:

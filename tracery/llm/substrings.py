@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, mix, rolled, slots_for, text_only, words
+from .common import Scratch, _powers, bitmap, column_bytes, doc_runs, in_bitmap, lean, mix, rolled, slots_for, text_only, words
 from .fm_index import FMIndex
 
 #: Successive words whose hashes choose where a window is sent; the window takes the smallest such hash in it.
@@ -70,7 +70,7 @@ def repeated_anchors(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
         if held:
             yield flush()
 
-    return s.table(docs.mapInArrow(count, "anchor bigint, c bigint").groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1"))
+    return s.table(docs.mapInArrow(lean(count), "anchor bigint, c bigint").groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1"))
 
 
 def _slot_bits(anchors: DataFrame, slots: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def occurrences(docs: DataFrame, window: int, shared) -> DataFrame:
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), keys.take(at), digests.take(at), pa.array((a - first[doc]).astype(np.int32)), own], ["anchor", "doc_id", "t", "start", "words"])
 
-    return docs.mapInArrow(run, "anchor bigint, doc_id bigint, t bigint, start int, words binary")
+    return docs.mapInArrow(lean(run), "anchor bigint, doc_id bigint, t bigint, start int, words binary")
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -182,7 +182,7 @@ def repeated_runs(runs: DataFrame, window: int) -> DataFrame:
             yield flush(joined())
 
     rows = runs.repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "doc_id bigint, t bigint, start int, mask bigint")
+    return rows.mapInArrow(lean(run), "doc_id bigint, t bigint, start int, mask bigint")
 
 
 def _window_digests(h: np.ndarray, a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def first_places(docs: DataFrame, window: int, shared) -> DataFrame:
             lead = order[np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])]
             yield pa.RecordBatch.from_arrays([pa.array(v[lead]) for v in (x, y, doc, place.astype(np.int32))], ["x", "y", "doc_id", "place"])
 
-    rows = docs.mapInArrow(run, "x bigint, y bigint, doc_id bigint, place int")
+    rows = docs.mapInArrow(lean(run), "x bigint, y bigint, doc_id bigint, place int")
     return rows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("at.doc_id", "at.place", F.col("y").alias("tag"))
 
 
@@ -318,7 +318,7 @@ def without_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
 
     carried = [f"carried_{i}" for i in range(len(carry))]
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {all_rows.schema[x].dataType.simpleString()}" for c, x in zip(carry, carried, strict=True))
-    return rows.select("doc_id", "text", "marks", "firsts", "t", *carried).mapInArrow(cut, schema)
+    return rows.select("doc_id", "text", "marks", "firsts", "t", *carried).mapInArrow(lean(cut), schema)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, doc_runs, text_only
+from .common import Scratch, column_bytes, doc_runs, lean, text_only
 from .tokens import encoder, with_end
 
 #: Ids a block holds.
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     rows = text_only(docs)
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
+    rows.mapInArrow(lean(encode), FILE_SCHEMA).write.parquet(path)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 cut = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([names, pa.array(ends - n + base), pa.array(n), cut.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(lean(decode), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, doc_runs, text_only, words
+from .common import column_bytes, doc_runs, lean, text_only, words
 from .langid import held_out
 
 #: All ASCII but letters and digits parts words here; bytes of other letters belong to them.
@@ -66,7 +66,7 @@ def document_features(docs: DataFrame) -> DataFrame:
                 lists = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "features"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, features array<bigint>")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, features array<bigint>")
 
 
 def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 20_000, max_features: int = 4096, least_z: float = 4.0, least_docs: int = 5) -> Ordinal:
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model: Ordinal) -> DataFrame:
                 p = model.at_least(_scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32))], ["doc_id", "p_toxic", "severity", "grade"])
 
-    return text_only(docs).mapInArrow(run, "doc_id bigint, p_toxic double, severity double, grade int")
+    return text_only(docs).mapInArrow(lean(run), "doc_id bigint, p_toxic double, severity double, grade int")
 
 
 def without_toxic(docs: DataFrame, model: Ordinal, most: float = 0.5) -> DataFrame:
@@ -141,7 +141,7 @@ def without_toxic(docs: DataFrame, model: Ordinal, most: float = 0.5) -> DataFra
                 p = model.at_least(_scores(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model))
                 yield batch.slice(i, j - i).filter(pa.array(p[:, 0] < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def grades(labels: DataFrame) -> DataFrame:
