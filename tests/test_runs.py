@@ -300,3 +300,33 @@ def test_compute_once_and_refresh(spark):
     seen = []
     got = incremental.compute_once(queries, ["key"], lambda keys: (seen.append(keys.count()), keys.withColumn("v", F.upper("key")))[1])
     assert sorted((r.id, r.v) for r in got.collect()) == [(1, "A"), (2, "A"), (3, "B")] and seen == [2]
+
+
+def test_generated_rows_end_to_end(spark):
+    body = "/// Sorts all of the rows.\nfn sort_rows() {\n  a\n}\n\nfn other_name() {\n  sort_rows()\n}\n"
+    files = spark.createDataFrame([(r, f"{r}/src/{i}.rs", body) for r in ("one", "two") for i in range(3)], "repo string, path string, content string")
+    symbols = spark.createDataFrame([(r, f"{r}/src/{i}.rs", f"m{i}::{n}", a, b) for r in ("one", "two") for i in range(3) for n, a, b in (("sort_rows", 2, 4), ("other_name", 6, 8))], "repo string, path string, qualified_name string, line_start int, line_end int")
+    repos = spark.createDataFrame([("one", "rust", "train"), ("two", "rust", "val")], "repo string, lang string, split string")
+    rows, counters = generation.generate_training_rows(files, symbols, repos, max_queries=4)
+    got, by = rows.collect(), {r.repo: r for r in counters.collect()}
+    assert {r.repo for r in got} == {"one", "two"} and all(json.loads(r.state)["state"].split("candidate: ")[1].startswith(r.repo) for r in got)
+    assert all(r.id.startswith(r.query_id) and json.loads(r.gold)["relevant"]["label"] == r.label for r in got)
+    for r in by.values():
+        own = [x for x in got if x.repo == r.repo]
+        assert (r.symbols_total, r.queries_generated) == (6, 4) and r.rows_positive == sum(x.label == "A" for x in own) > 0 and r.rows_negative == sum(x.label == "B" for x in own)
+        queries = {x.query_id for x in own}
+        assert len(queries) + r.filtered_early_exit + r.filtered_fallback == 4
+
+
+def test_responses_and_cache_layers(spark):
+    answer = json.dumps({"findings": [{"location": {"path": "a", "line_start": 1}, "snippet": "s"}, {"location": {"path": "b"}}], "stage_exit": "verify", "retrieval_confidence": 7})
+    df = spark.createDataFrame([(1, answer, False), (2, answer, True), (3, "{oops", False), (4, None, False)], "run_id int, response string, is_error boolean")
+    rows, found = runs.parsed_responses(df)
+    assert {(r.run_id, r.response_stage_exit, r.response_confidence) for r in rows.collect()} == {(1, "verify", 7), (2, None, None), (3, None, None), (4, None, None)}
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "a", 1, None, "s"), (1, 1, "b", None, None, None)]
+    entry = "key string, valid boolean, turns int, tokens int"
+    memory, disk = spark.createDataFrame([("a", True, 1, 10), ("b", False, 2, 20)], entry), spark.createDataFrame([("a", True, 9, 90), ("b", True, 3, 30)], entry)
+    got = incremental.classified_hits(spark.createDataFrame([("a",), ("b",), ("c",)], "key string"), memory, disk)
+    assert {tuple(r) for r in got.collect()} == {("a", "l1", 1, 10), ("b", "l2", 3, 30), ("c", "miss", None, None)}
+    calls = spark.createDataFrame([("ok", 5), ("ok", 7), (None, 1)], "outcome string, latency_ms int")
+    assert [tuple(r) for r in runs.outcome_counts(calls, "outcome").collect()] == [("ok", 2, 12)]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_url, short_name, words
+from ..sources.scratch import cut
 from . import labels
+from .ranking import NOTES
 from .retrieval import path_order
 
 # Fixed values.
@@ -169,6 +171,30 @@ def training_rows(rows: DataFrame) -> DataFrame:
     return made.withColumns({"state": F.to_json(F.struct("state")), "questions": F.to_json(asked), "gold": F.to_json(gold)})
 
 
+def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFrame, seed: str = "7", max_queries: int = 400, max_negatives: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(rows, counters): labelled rows for training from files (repo, path, content), symbols and repos (repo, lang, split).
+
+    Each repository's queries are answered within it. Queries that an early exit or the fallback
+    would take give no rows. Of the others, candidates that touch the symbol asked for are
+    positive, and of the rest the first by rank are kept.
+    """
+    from . import retrieval, retrieve
+
+    made = generated_queries(symbols, files, seed, max_queries).withColumn("query_id", F.concat(F.col("repo"), F.lit(":"), F.lpad(F.col("query_index").cast("string"), 6, "0")))
+    made = cut(made)
+    got = retrieve.retrieve(made.select("query_id", F.col("query").alias("text"), "repo"), files, symbols)
+    decisions = cut(got.decisions)
+    asked = made.select("query_id", "repo", "query_index", "query", "query_lang", "template")
+    judged = got.ranked.join(decisions.where("route = 'verify'").select("query_id"), "query_id", "left_semi").where("line_start > 0")
+    truth = made.select("query_id", "path", F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"))
+    picked = labels.capped_negatives(labels.interval_labels(judged, truth), max_negatives)
+    seen = retrieval.body_window(picked.join(asked, "query_id"), files).join(file_outlines(symbols), ["repo", "path"], "left")
+    label = F.create_map(*(F.lit(x) for k, v in NOTES.items() for x in (k, v)))[F.col("kind")]
+    state = rendered_state(F.col("query"), F.col("path"), F.col("line_start"), F.col("line_end"), label, F.col("symbol"), F.col("body"), F.col("snippet"), F.col("outline"))
+    rows = cut(training_rows(seen.withColumn("state", state).withColumn("kind", label).join(repos, "repo").select("repo", "lang", "split", "query_index", "query", "query_lang", "template", "rank", "kind", "label", "state")))
+    return rows, repo_counters(query_symbols(symbols), made.select("repo", "query_id"), decisions, rows)
+
+
 def repo_counters(symbols: DataFrame, queries: DataFrame, decisions: DataFrame, rows: DataFrame) -> DataFrame:
     """(repo, symbols_total, queries_generated, filtered_early_exit, filtered_fallback, queries_with_positive, queries_without_positive, rows_positive, rows_negative) from symbols (repo), queries (repo, query_id), their routes (query_id, route) and labelled rows (repo, query_id, label)."""
     n = symbols.groupBy("repo").agg(F.count("*").alias("symbols_total"))

@@ -90,6 +90,15 @@ def still_valid(entries: DataFrame, deps: DataFrame, files: DataFrame, snapshot:
     return rows.withColumn("valid", F.coalesce(F.col("snapshot") == F.col("now"), F.lit(False)) | by).drop("now", "same")
 
 
+def classified_hits(requests: DataFrame, memory: DataFrame, disk: DataFrame) -> DataFrame:
+    """Requests (key) with layer and what a hit saved (turns, tokens): l1 where memory has a valid entry (key, valid, turns, tokens), l2 where disk has one, else miss."""
+    one = lambda t, name: t.where("valid").groupBy("key").agg(F.max("turns").alias(f"{name}_turns"), F.max("tokens").alias(f"{name}_tokens"))
+    rows = requests.join(one(memory, "l1"), "key", "left").join(one(disk, "l2"), "key", "left")
+    l1, l2 = F.col("l1_turns").isNotNull(), F.col("l2_turns").isNotNull()
+    rows = rows.withColumn("layer", F.when(l1, "l1").when(l2, "l2").otherwise("miss"))
+    return rows.withColumns({f"{c}_saved": F.when(l1, F.col(f"l1_{c}")).when(l2, F.col(f"l2_{c}")) for c in ("turns", "tokens")}).drop(*(f"{x}_{c}" for x in ("l1", "l2") for c in ("turns", "tokens")))
+
+
 def index_covers(changed: DataFrame, index: DataFrame) -> DataFrame:
     """(repo, covered): whether the index knows each changed file (repo, path) as it is: freshness (repo, path, freshness) metadata_match or not_tracked; what it doesn't tell counts as not."""
     rows = changed.join(index, ["repo", "path"], "left")

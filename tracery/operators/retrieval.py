@@ -81,6 +81,11 @@ def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = M
     return (_searched if few else _by_trigram)(lines, patterns, names)
 
 
+def _inside(hits: DataFrame, within: DataFrame | None) -> DataFrame:
+    """Hits of a query in its own repository, where (query_id, repo) tells one."""
+    return hits if within is None else hits.join(within, ["query_id", "repo"])
+
+
 def limited(hits: DataFrame, most: int = LEG_LIMIT) -> DataFrame:
     """The first rows of each query and pattern by path and line, numbered over the query."""
     each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_no")
@@ -88,9 +93,9 @@ def limited(hits: DataFrame, most: int = LEG_LIMIT) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= most).drop("n").withColumn("rank", F.row_number().over(w))
 
 
-def grep_leg(lines: DataFrame, patterns: DataFrame, context: int = 0) -> DataFrame:
+def grep_leg(lines: DataFrame, patterns: DataFrame, context: int = 0, within: DataFrame | None = None) -> DataFrame:
     """Candidates (query_id, raw_seq, path, line_start, line_end, symbol, kind, snippet) of the literal search."""
-    return grep_candidates(substring_hits(lines, patterns), context)
+    return grep_candidates(_inside(substring_hits(lines, patterns), within), context)
 
 
 def grep_candidates(hits: DataFrame, context: int = 0) -> DataFrame:
@@ -99,7 +104,7 @@ def grep_candidates(hits: DataFrame, context: int = 0) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "path", F.greatest(F.lit(1), F.col("line_no") - context).alias("line_start"), (F.col("line_no") + context).alias("line_end"), F.lit(None).cast("string").alias("symbol"), F.lit("ContentHit").alias("kind"), F.col("line").alias("snippet"))
 
 
-def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False) -> DataFrame:
+def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within: DataFrame | None = None) -> DataFrame:
     """Candidates of symbols by name (query_id, name), the first LEG_LIMIT of a query and name by path and line, numbered over the query.
 
     A symbol whose last segment is the name is an exact hit; with fuzzy, one whose qualified name
@@ -111,6 +116,7 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False) -> Dat
         hits = found.join(names.select("query_id", "name", F.lower("name").alias("pattern")).distinct(), ["query_id", "pattern"]).drop("pattern", "line")
     else:
         hits = symbols.withColumn("name", last).join(names.distinct(), "name")
+    hits = _inside(hits, within)
     kind = F.when(last == F.col("name"), "SymbolExact").otherwise("SymbolFuzzy")
     order = [path_order(), "line_start", "qualified_name"]
     each = Window.partitionBy("query_id", "name").orderBy(*order)
@@ -121,11 +127,11 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False) -> Dat
     return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), kind.alias("kind"), F.lit(None).cast("string").alias("snippet"))
 
 
-def body_leg(symbols: DataFrame, files: DataFrame, patterns: DataFrame) -> DataFrame:
+def body_leg(symbols: DataFrame, files: DataFrame, patterns: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Candidates of symbols whose body, the lines from its start to its end, holds a pattern (query_id, pattern): the first LEG_LIMIT of each by path and line."""
-    split = files.select("path", F.split("content", "\n").alias("rows"))
-    bodies = symbols.join(split, "path").withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
-    hits = substring_hits(bodies.select("path", "line_start", "line_end", "qualified_name", "line"), patterns)
+    split = files.select("path", *(["repo"] if within is not None else []), F.split("content", "\n").alias("rows"))
+    bodies = symbols.join(split, ["path", "repo"] if within is not None else "path").withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
+    hits = _inside(substring_hits(bodies.select("path", "line_start", "line_end", "qualified_name", "line", *(["repo"] if within is not None else [])), patterns), within)
     each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_start", "qualified_name")
     w = Window.partitionBy("query_id").orderBy(path_order(), "line_start", "qualified_name", "pattern")
     hits = hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= LEG_LIMIT).withColumn("raw_seq", F.row_number().over(w).cast("long"))
@@ -149,7 +155,7 @@ def union_of_legs(*legs: DataFrame) -> DataFrame:
     return out
 
 
-def file_leg(files: DataFrame, tokens: DataFrame) -> DataFrame:
+def file_leg(files: DataFrame, tokens: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Candidates of files whose names match a token (query_id, token): an equi-join for names with an extension or equal; parts are looked up by their rarest trigram, or by themselves if shorter, and compared. An empty token is part of every name."""
     paths = files.select("path").distinct().withColumn("base", F.element_at(F.split("path", "/"), -1))
     exact = paths.join(tokens.withColumn("base", F.col("token")), "base").select("query_id", "path")
@@ -162,7 +168,10 @@ def file_leg(files: DataFrame, tokens: DataFrame) -> DataFrame:
     first = paths.select("path").orderBy(path_order()).limit(LEG_LIMIT).withColumn("n", F.row_number().over(Window.orderBy(path_order())))
     part = part.union(parts.where("token = ''").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(LEG_LIMIT))).alias("n")).join(first, "n").select("query_id", "path"))
     w = Window.partitionBy("query_id").orderBy(path_order())
-    hits = exact.union(part).distinct().withColumn("raw_seq", F.row_number().over(w).cast("long")).where(F.col("raw_seq") <= LEG_LIMIT)
+    hits = exact.union(part).distinct()
+    if within is not None:
+        hits = _inside(hits.join(files.select("path", "repo").distinct(), "path"), within).drop("repo")
+    hits = hits.withColumn("raw_seq", F.row_number().over(w).cast("long")).where(F.col("raw_seq") <= LEG_LIMIT)
     one, none = F.lit(1), F.lit(None).cast("string")
     return hits.select("query_id", "raw_seq", "path", one.alias("line_start"), one.alias("line_end"), none.alias("symbol"), F.lit("FileNameHit").alias("kind"), none.alias("snippet"))
 

@@ -41,6 +41,19 @@ def without_spec(runs: DataFrame, specs: DataFrame) -> DataFrame:
     return runs.select("repo", "query_id").distinct().join(specs.select("query_id"), "query_id", "left_anti")
 
 
+def parsed_responses(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, findings) from the JSON answers of runs (run_id, response, is_error): their own stage and confidence, and a row for each finding in its order; answers in error or that don't parse have neither."""
+    shape = "struct<findings:array<struct<location:struct<path:string,line_start:int,line_end:int>,snippet:string>>,stage_exit:string,retrieval_confidence:int>"
+    rows = runs.withColumn("parsed", F.when(~F.coalesce("is_error", F.lit(False)), F.from_json("response", shape)))
+    found = rows.select("run_id", F.posexplode("parsed.findings").alias("pos", "f")).select("run_id", "pos", "f.location.path", "f.location.line_start", "f.location.line_end", "f.snippet")
+    return rows.withColumns({"response_stage_exit": F.col("parsed.stage_exit"), "response_confidence": F.col("parsed.retrieval_confidence")}).drop("parsed"), found
+
+
+def outcome_counts(calls: DataFrame, by: str) -> DataFrame:
+    """(value, n, total_ms): how many calls each value of a column has (index status, outcome, route, ..), without null ones."""
+    return calls.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"), F.sum("latency_ms").alias("total_ms"))
+
+
 def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^\./", "")
 

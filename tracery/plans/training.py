@@ -25,12 +25,17 @@ def source_paths(spark, sf):
 
 
 GENERIC = ", ".join(f"'{x}'" for x in gen.GENERIC_NAMES)
-SYMBOLS = f"""{OUTLINE}, good AS (SELECT * FROM symbols WHERE line_end > line_start AND len(name) >= 4 AND lower(name) NOT IN ({GENERIC}))"""
+SYMBOLS = f"""{OUTLINE}, wide AS (SELECT * REPLACE (line_end + line_start % 3 AS line_end) FROM symbols), good AS (SELECT * FROM wide WHERE line_end > line_start AND len(name) >= 4 AND lower(name) NOT IN ({GENERIC}))"""
+
+
+def _sections(spark, sf):
+    """Symbols of the documents' lines, two of three of them longer than a line."""
+    return corpus.outline(_files(spark, sf)).withColumn("line_end", F.col("line_end") + F.col("line_start") % 3)
 
 
 @query(f"WITH {SYMBOLS} SELECT repo, path, qualified_name, line_start, line_end FROM good")
 def query_symbols(spark, sf):
-    return gen.query_symbols(corpus.outline(_files(spark, sf)))
+    return gen.query_symbols(_sections(spark, sf))
 
 
 WORDS = "[lower(w) FOR w IN string_split_regex(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[_-]') IF w <> '']"
@@ -44,7 +49,7 @@ p AS (SELECT *, {DRAWN.format(what='template')} % total AS pick, {DRAWN.format(w
 t AS (SELECT *, CASE WHEN pick < 2 THEN 'define-en' WHEN pick < w2 THEN 'words-en' WHEN pick < w2 + w3 THEN 'doc-en' ELSE 'literal-en' END AS template FROM p)
 SELECT repo, path, line_start, template, CASE template WHEN 'define-en' THEN 'where is '||name||' defined' WHEN 'words-en' THEN CASE wording WHEN 0 THEN 'where is the code that handles ' WHEN 1 THEN 'how does this project ' ELSE 'where do we ' END||array_to_string(parts, ' ') WHEN 'doc-en' THEN 'where is the code that returns the '||name ELSE 'where is the error "cannot open '||name||'" raised' END AS query FROM t""")
 def templated_queries(spark, sf):
-    symbols = gen.query_symbols(corpus.outline(_files(spark, sf)))
+    symbols = gen.query_symbols(_sections(spark, sf))
     name = F.element_at(F.split("qualified_name", r"\."), -1)
     symbols = symbols.where(name.rlike("^[A-Z]?[a-z0-9]+(_[a-z0-9]+)*$"))
     rows = symbols.withColumns({"doc": F.when(F.col("line_start") % 3 == 0, F.concat(F.lit("Returns the "), name, F.lit("."))), "literal": F.when(F.col("line_start") % 4 == 0, F.concat(F.lit("cannot open "), name))})
@@ -172,3 +177,12 @@ def licensed_repos(spark, sf):
     k = F.col("doc_id")
     path = F.when(k % 97 == 0, F.element_at(F.array(*map(F.lit, ("LICENSE", "licence.md", "COPYING"))), (k % 3 + 1).cast("int"))).when(k % 5 == 0, "sub/LICENSE").otherwise(F.concat(F.lit("a"), k.cast("string")))
     return labels.has_licence(_t(spark, sf, "documents").select(F.col("source").alias("repo"), path.alias("path")))
+
+
+@query()
+def generated_rows(spark, sf):
+    """Training rows of all documents seen as files: retrieval within each source, labels from the symbol asked for."""
+    files = _files(spark, sf)
+    repos = files.groupBy("repo").agg(F.min("lang").alias("lang")).withColumn("split", F.when(F.col("repo").isin("src0", "src1"), "val").otherwise("train"))
+    rows, _ = gen.generate_training_rows(files, _sections(spark, sf), repos, max_queries=40)
+    return rows.select("id", "repo", "split", "query", "template", "rank", "kind", "label", "state", "gold")
