@@ -122,13 +122,20 @@ def doc_runs(offsets: np.ndarray, most: int = CHUNK):
         i = j
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(n, U64), np.ones(n, U64)
     up[1:], down[1:] = U64(_P), U64(_P_INV)
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_kept_powers = functools.lru_cache(maxsize=1)(_new_powers)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n or more of each; those for a slice of ordinary rows are kept, those for a longer text aren't."""
+    return _kept_powers(CHUNK) if n <= CHUNK else _new_powers(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads each bit over all."""
     h = (h ^ (h >> U64(33))) * U64(0xFF51AFD7ED558CCD)
@@ -157,7 +164,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray =
 def piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes from each start to its end."""
     n = len(raw)
-    up, down = _powers(max(CHUNK, 1 << int(n - 1).bit_length()) if n > 1 else CHUNK)
+    up, down = _powers(n)
     sums = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])

@@ -79,7 +79,7 @@ def frequent_ngrams(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
         for _, sets in _batches_of_sets(batches, n, lower):
             held += sets
             size += sum(map(len, sets))
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -315,7 +315,8 @@ def jaccard_groups(docs: DataFrame, n: int, percent: int, lower: bool = True) ->
         frequent = frequent_ngrams(docs, n, lower)
         own = s.table(prefixes(docs, n, percent, lower, frequent, s))
         known = own.where("n_shingles > 0 and doc_id is not null")
-        heads = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("d"))
+        # a table of its own, so that Spark can split the join with a group of many copies
+        heads = s.table(known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("d")))
         member = known.select("doc_id", "key", "n_shingles").join(heads, ["key", "n_shingles"]).select("doc_id", "n_shingles", "d")
         member = s.table(member)
         # what stands for the texts of one doc_id is linked

@@ -64,7 +64,7 @@ def repeated_anchors(docs: DataFrame, window: int, s: Scratch) -> DataFrame:
         for *_, (anchor, _, _) in _runs(batches, window):
             held.append(anchor)
             size += len(anchor)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -187,7 +187,7 @@ def repeated_runs(runs: DataFrame, window: int) -> DataFrame:
 
 def _window_digests(h: np.ndarray, a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of the windows that start at words a."""
-    up, down = _powers(max(1 << 20, 1 << len(h).bit_length()))
+    up, down = _powers(len(h))
     out = []
     for x in (h, mix(h ^ _OTHER)):
         sums = np.zeros(len(h) + 1, np.uint64)
