@@ -18,11 +18,12 @@ PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Ordinal:
-    """P(grade >= k) = sigmoid(x . weights - thresholds[k - 1]), x being which features occur."""
+    """P(grade >= k) = sigmoid(x . weights - thresholds[k - 1]), x being which features occur, and last whether any telling one does."""
 
     features: np.ndarray  # sorted word hashes
-    weights: np.ndarray
+    weights: np.ndarray  # one more than features
     thresholds: np.ndarray  # rising
+    telling: np.ndarray  # which features half of whose documents or more are toxic
 
     def at_least(self, scores: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(scores[:, None] - self.thresholds[None, :])))
@@ -85,8 +86,10 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 2
     counts = sample.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("int").alias("y")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("y").alias("c"))
     share = F.col("c") / F.lit(max(1, n0 + n1))
     z = (F.col("c1") / F.lit(max(1, n1)) - (F.col("c") - F.col("c1")) / F.lit(max(1, n0))) / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    top = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f").collect()
-    features = np.sort(np.array([r.f for r in top], np.int64).view(np.uint64))
+    top = counts.where(F.col("c") >= least_docs).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f", (2 * F.col("c1") >= F.col("c")).alias("telling")).collect()
+    features = np.array([r.f for r in top], np.int64).view(np.uint64)
+    telling = np.array([r.telling for r in top], bool)[np.argsort(features)]
+    features = np.sort(features)
     ids_ = np.array([r.doc_id for r in picked], np.int64)
     order = np.argsort(ids_)
     rows = cols = np.zeros(0, np.int64)
@@ -96,8 +99,11 @@ def fit(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_rows: int = 2
         rows = order[np.searchsorted(ids_[order], hits.column(0).to_numpy())]
         cols = np.searchsorted(features, hits.column(1).to_numpy().view(np.uint64))
     grade = np.array([min(max(r.grade, 0), n_grades - 1) for r in picked], np.int64)
-    w, t = fit_ordinal(rows, cols, grade, len(features), n_grades)
-    return Ordinal(features, w, t)
+    # one telling word is much, more of them are little more: so that grades beyond the first don't hold the weights down
+    some = np.unique(rows[telling[cols]]) if len(rows) else rows
+    rows, cols = np.concatenate([rows, some]), np.concatenate([cols, np.full(len(some), len(features))])
+    w, t = fit_ordinal(rows, cols, grade, len(features) + 1, n_grades)
+    return Ordinal(features, w, t, telling)
 
 
 def _scores(raw: np.ndarray, offsets: np.ndarray, m: Ordinal) -> np.ndarray:
@@ -108,7 +114,8 @@ def _scores(raw: np.ndarray, offsets: np.ndarray, m: Ordinal) -> np.ndarray:
         hit = np.flatnonzero(m.features[at] == h)
         doc = np.searchsorted(first, hit, "right") - 1
         pair = np.unique(doc * len(m.features) + at[hit])
-        score = np.bincount(pair // len(m.features), m.weights[pair % len(m.features)], len(score))
+        doc, own = pair // len(m.features), pair % len(m.features)
+        score = np.bincount(doc, m.weights[own], len(score)) + m.weights[-1] * (np.bincount(doc, m.telling[own], len(score)) > 0)
     return score
 
 
