@@ -122,6 +122,18 @@ def doc_runs(offsets: np.ndarray, most: int = CHUNK):
         i = j
 
 
+def spans(raw: np.ndarray, space: np.ndarray, most: int = CHUNK):
+    """Start and end of slices of one long text, of ``most`` bytes or to the end of a longer word; none parts a word."""
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(at + most, n)
+        while end < n and not space[raw[end - 1]]:
+            gap = np.flatnonzero(space[raw[end : end + most]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + most, n)
+        yield at, end
+        at = end
+
+
 def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(n, U64), np.ones(n, U64)
     up[1:], down[1:] = U64(_P), U64(_P_INV)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from . import sharding
 from .bpe import op6_bpe
 from .embeddings import op4_near_duplicates
+from .filter_audit import op12_filters
+from .importance import op13_importance
 from .jaccard import op10_jaccard
 from .jpeg import op7_media
 from .langid import op1_language
+from .neighbours import op11_neighbours
 from .packing import op5_packing
 from .sharding import op8_sharding
 from .substrings import op3_substrings
@@ -16,7 +19,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    ops = [op1_language, op2_token_files, op3_substrings, op4_near_duplicates, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity, op10_jaccard]
+    ops = [op1_language, op2_token_files, op3_substrings, op4_near_duplicates, op5_packing, op6_bpe, op7_media, op8_sharding, op9_toxicity, op10_jaccard, op11_neighbours, op12_filters, op13_importance]
     return {f.__name__: f for f in ops}
 
 
@@ -42,6 +45,20 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n)
 linked AS (SELECT a, b FROM c WHERE 100 * common >= 85 * (na + nb - common)), links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked), {REACH}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON node = d.doc_id"""
 
+OP11 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len([y FOR y IN x IF y IS NULL OR NOT isfinite(y)]) = 0 AND len([y FOR y IN x IF y <> 0]) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce([(q.x[i] - c.x[i]) * (q.x[i] - c.x[i]) FOR i IN range(1, len(q.x) + 1)], (a, b) -> a + b)) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+e AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+b AS (SELECT doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(ws) < 50)::INT AS a, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT AS b, (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(doc_id > least, false)::INT AS e FROM e LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+m AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT p.x||q.x||r.x||s.x||t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM l p, l q, l r, l s, l t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+k AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+s AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, k GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM s"""
+
 
 def op8_sql() -> str:
     """The table of slots as one string, a character a slot."""
@@ -51,4 +68,4 @@ SELECT doc_id, source, n_bytes, slot, 'shard-'||lpad((ascii(substr('{table}', sl
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": OP3, "op4_near_duplicates": OP4, "op8_sharding": op8_sql(), "op10_jaccard": OP10}
+    return {"op3_substrings": OP3, "op4_near_duplicates": OP4, "op8_sharding": op8_sql(), "op10_jaccard": OP10, "op11_neighbours": OP11, "op12_filters": OP12}
