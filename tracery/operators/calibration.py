@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from .ranges import dealt, with_offsets
 
 # What a model has to reach.
 GATES = {"query_top1": (">=", 0.90), "auroc": (">=", 0.90), "ece": ("<=", 0.10), "precision": (">=", 0.85)}
@@ -17,20 +17,15 @@ GATES = {"query_top1": (">=", 0.90), "auroc": (">=", 0.90), "ece": ("<=", 0.10),
 def auroc(scored: DataFrame, by: str | None = None) -> DataFrame:
     """Pairs won over pairs, ties half; null with one class only; one row, or one for each value of by.
 
-    Scores are counted first. Without by, distinct scores are dealt out by range: a task sums its
-    own, and the sums of the ranges below come from one row a range, so that no task orders all.
+    Scores are counted first, then distinct ones are dealt out by range: a task sums its own, and
+    the sums below come from one row a key and range, so that no task orders all, of no key either.
     """
     key = [by] if by else []
     counts = scored.groupBy(*key, "p").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
-    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    if by:
-        below = F.coalesce(F.sum("neg").over(frame(Window.partitionBy(by).orderBy("p"))), F.lit(0))
-    else:
-        counts = cut(counts.repartitionByRange("p").withColumn("part", F.spark_partition_id()))
-        parts = counts.groupBy("part").agg(F.sum("neg").alias("in_part"))
-        parts = parts.select("part", F.coalesce(F.sum("in_part").over(frame(Window.orderBy("part"))), F.lit(0)).alias("before"))
-        counts = counts.join(F.broadcast(parts), "part")
-        below = F.col("before") + F.coalesce(F.sum("neg").over(frame(Window.partitionBy("part").orderBy("p"))), F.lit(0))
+    rows, sizes = dealt(counts, key, ["p"], F.col("neg"))
+    own = F.sum("neg").over(Window.partitionBy(*key, "_range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = with_offsets(rows, sizes, key, "_before")
+    below = F.col("_before") + F.coalesce(own, F.lit(0))
     won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return won.groupBy(*key).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 

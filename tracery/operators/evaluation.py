@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
+
 Z = 1.959963984540054
 
 
@@ -18,9 +20,9 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column, Column]:
 
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, p50 and p95 by nearest rank; nulls don't count."""
-    pct = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"))
+    """(by.., n, mean, p50, p95), exact, by nearest rank; nulls don't count. No group's values lie in one task."""
+    got = quantiles(df, by, value, {"p50": 0.5, "p95": 0.95}, F.avg(value).alias("mean"))
+    return got.select(*by, "n", "mean", "p50", "p95")
 
 
 def cost_per_query(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_url, short_name, words
+from ..functions.text import short_name, words
 from ..sources.scratch import cut
 from . import labels
+from .ranges import numbered
 from .ranking import NOTES
-from .retrieval import path_order
 
 # Fixed values.
 EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "mjs", "go", "java", "kt"]
@@ -234,17 +234,7 @@ def write_manifest(row: DataFrame, path: str) -> None:
 
 
 def shuffled(queries: DataFrame, passes: int) -> DataFrame:
-    """(pass, place, query_id): the order in which each pass takes the queries, the same in every run."""
+    """(pass, place, query_id): the order in which each pass takes the queries, the same in every run. No task orders a whole pass."""
     rows = queries.select(F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"), "query_id")
     draw = F.md5(F.concat_ws("|", F.col("pass").cast("string"), F.col("query_id").cast("string")))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("pass").orderBy(draw, "query_id")))
-
-
-def same_source(a: Column, b: Column) -> Column:
-    """Whether two addresses name one repository."""
-    return normalize_url(a) == normalize_url(b)
-
-
-def ordered_paths(files: DataFrame) -> DataFrame:
-    """(repo, path, nth): source paths of each repository in their order."""
-    return files.where(is_source_path(F.col("path"))).select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy(path_order())).alias("nth"))
+    return numbered(rows.withColumn("draw", draw), ["draw", "query_id"], "place", ["pass"]).select("pass", "place", "query_id")

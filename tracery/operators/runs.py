@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .evaluation import wilson
+from .evaluation import distribution, wilson
+from .ranges import quantiles
 
 # Fixed values.
 STAGES = ("early-exit", "verify", "fallback", "cache")
@@ -205,17 +206,12 @@ def leg_health(done: DataFrame, failed: DataFrame) -> DataFrame:
     """
     leg = F.coalesce("leg", F.lit("?")).alias("leg")
     rows = done.select(leg, (F.coalesce("hits", F.lit(0)) > 0).cast("int").alias("hit"), F.lit(0).alias("bad"), F.coalesce("duration_ms", F.lit(0)).cast("double").alias("ms")).unionByName(failed.select(leg, F.lit(0).alias("hit"), F.lit(1).alias("bad"), F.lit(None).cast("double").alias("ms")))
-    by = rows.groupBy("leg").agg(F.count("*").alias("runs"), F.sum("bad").alias("failed"), F.sum("hit").alias("with_hits"), _upper_median("ms").alias("median_ms"))
+    by = quantiles(rows, ["leg"], "ms", {"median_ms": lambda n: F.floor(n / 2) + 1}, F.count("*").alias("runs"), F.sum("bad").alias("failed"), F.sum("hit").alias("with_hits")).select("leg", "runs", "failed", "with_hits", "median_ms")
     memory = F.col("leg").isin(*MEMORY_LEGS)
     dead = by.agg((F.count_if(memory) > 0).alias("ran"), F.coalesce(F.sum(F.when(memory, F.col("with_hits"))), F.lit(0)).alias("found"))
     return by.crossJoin(F.broadcast(dead)).withColumn("memory_dead", F.col("ran") & (F.col("found") == 0)).drop("ran", "found")
 
 
-def _upper_median(c: str) -> Column:
-    """The value at half the count, counted from 0 in ascending order: the count and the ranks of the values are enough, no list of them."""
-    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{c})")
-
-
 def cost_report(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """One row: usd, priced calls, calls by model without a price, rows fully priced, rows, usd a query (null if any call has no price).
 
@@ -286,14 +282,13 @@ def cache_savings(rows: DataFrame) -> DataFrame:
 
 def efficiency_report(scored: DataFrame) -> DataFrame:
     """(metric, value): distributions of latency, calls and tokens (those of rows with calls apart) and shares of stages, one pass each, with no row where there is nothing to tell."""
-    pct = lambda c, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
+    measured = ("latency_ms", "llm_calls", "tokens", "tokens_llm")
     with_calls = scored.withColumn("tokens_llm", F.when(F.col("llm_calls") > 0, F.col("tokens")))
-    named = [f"{c}.{m}" for c in ("latency_ms", "llm_calls", "tokens", "tokens_llm") for m in ("n", "mean", "p50", "p95")]
-    parts = []
-    for c in ("latency_ms", "llm_calls", "tokens", "tokens_llm"):
-        parts += [F.count(c).cast("double"), F.avg(c), pct(c, 0.5).cast("double"), pct(c, 0.95).cast("double")]
-    row = with_calls.agg(*(x.alias(n.replace(".", "__")) for x, n in zip(parts, named, strict=True)))
-    flat = row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n.replace(".", "__")).alias("value")) for n in named))).alias("m")).select("m.*").where("value is not null")
+    stacked = with_calls.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in measured))).alias("m")).select("m.*")
+    by = distribution(stacked, ["name"], "x").withColumn("n", F.col("n").cast("double"))
+    # a measure is told of even if there are no rows at all
+    names = scored.sparkSession.createDataFrame([(c,) for c in measured], "name string").join(by, "name", "left").fillna(0.0, ["n"])
+    flat = names.select("name", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in ("n", "mean", "p50", "p95")))).alias("v")).select(F.concat_ws(".", "name", "v.m").alias("metric"), "v.value").where("value is not null")
     total = scored.agg(F.count("*").alias("all"))
     stages = scored.groupBy(F.coalesce("stage", F.lit("<none>")).alias("stage")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
     return flat.unionByName(stages.select(F.concat(F.lit("stage_exit."), "stage").alias("metric"), (F.col("n") / F.col("all")).alias("value")))

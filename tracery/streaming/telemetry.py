@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import quantiles
 from ..sources.scratch import folder
 
-
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -18,10 +18,14 @@ def rollup(events: DataFrame, width: str = "1 hour", late: str = "1 day", slide:
     later than ``late`` are dropped, and so is the state of windows that are done. In complete
     mode nothing is dropped and all windows stay in the state.
     """
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    quantile = (lambda q: F.percentile_approx("value", q, 10_000)) if events.isStreaming else (lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)"))
-    by = rows.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
-    return by.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"), "p50", "p95")
+    total = F.round(F.sum("value"), 2).alias("total")
+    if not events.isStreaming:
+        rows = events.select(F.window("ts", width, slide).start.alias("window_start"), "event_type", "value")
+        got = quantiles(rows, ["window_start", "event_type"], "value", {"p50": 0.5, "p95": 0.95}, F.count("*").alias("rows"), total)
+        return got.select("window_start", "event_type", F.col("rows").alias("n"), "total", "p50", "p95")
+    quantile = lambda q: F.percentile_approx("value", q, 10_000)
+    by = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), total, quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
+    return by.select(F.col("w.start").alias("window_start"), "event_type", "n", "total", "p50", "p95")
 
 
 def run_available(stream: DataFrame, mode: str = "complete", state_store: bool = False) -> DataFrame:
