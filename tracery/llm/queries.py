@@ -46,7 +46,7 @@ linked AS (SELECT a, b FROM c WHERE 100 * common >= 85 * (na + nb - common)), li
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON node = d.doc_id"""
 
 OP11 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len([y FOR y IN x IF y IS NULL OR NOT isfinite(y)]) = 0 AND len([y FOR y IN x IF y <> 0]) > 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce([(q.x[i] - c.x[i]) * (q.x[i] - c.x[i]) FOR i IN range(1, len(q.x) + 1)], (a, b) -> a + b)) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce([(q.x[i] - c.x[i]) * (q.x[i] - c.x[i]) FOR i IN range(1, len(q.x) + 1)], lambda a, b: a + b)) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
