@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 import tempfile
 
@@ -181,12 +182,23 @@ def test_literal_search_of_repeated_lines_and_both_ways(spark):
         assert sorted(map(tuple, retrieval.substring_hits(lines, patterns, most).collect())) == want
 
 
-def test_bm25_both_ways(spark):
+def test_bm25_against_plain_scores(spark):
     rng = random.Random(6)
-    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for i in range(60)], "doc_id long, text string")
+    texts = {i: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "a B c"), (2, "h"), (3, "zz"), (4, "")], "query_id long, text string")
-    one, two = (sorted(map(tuple, retrieval.bm25(docs, queries, 5, most_terms=n).collect())) for n in (100, 1))
-    assert one == two and len(one) == 10
+    mean = sum(map(len, texts.values())) / 60
+    want = []
+    for q, terms in ((1, "abc"), (2, "h")):
+        score = {}
+        for x in terms:
+            df = sum(x in t for t in texts.values())
+            for i, t in texts.items():
+                if x in t:
+                    score[i] = score.get(i, 0) + math.log(1 + (60 - df + 0.5) / (df + 0.5)) * t.count(x) * 2.2 / (t.count(x) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted(((-round(s, 6), i) for i, s in score.items()))[:5]
+        want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, retrieval.bm25(docs, queries, 5).collect())) == sorted(want)
 
 
 def test_symbol_and_body_legs(spark):

@@ -145,10 +145,16 @@ def scope_escapes(scope: Column) -> Column:
     return F.coalesce(F.startswith(scope, F.lit("/")) | (depth < 0), F.lit(False))
 
 
+def scope_folder(scope: Column) -> Column:
+    """The folder that a scope names, without leading ./ and trailing /; empty where it is null, empty or escapes and so holds everything."""
+    clean = F.regexp_replace(F.regexp_replace(scope, r"^(\./)+", ""), "/+$", "")
+    return F.coalesce(F.when((clean == ".") | scope_escapes(scope), F.lit("")).otherwise(clean), F.lit(""))
+
+
 def in_scope(path: Column, scope: Column) -> Column:
     """Whether a path lies in a scope, by whole components; a null, empty or escaping scope holds everything."""
-    clean = F.regexp_replace(F.regexp_replace(scope, r"^(\./)+", ""), "/+$", "")
-    return F.coalesce((clean == "") | (clean == ".") | scope_escapes(scope) | (path == clean) | F.startswith(path, F.concat(clean, F.lit("/"))), F.lit(True))
+    folder = scope_folder(scope)
+    return F.coalesce((folder == "") | (path == folder) | F.startswith(path, F.concat(folder, F.lit("/"))), F.lit(True))
 
 
 def length_prefixed(*parts: Column) -> Column:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import glob_match, last_segment, smart_contains
+from ..functions.text import glob_match, in_scope, last_segment, scope_folder, words
+from ..sources.scratch import cut
 
-#: Rows of a leg for each query.
+#: Rows of a leg for each query and pattern.
 LEG_LIMIT = 20
-GRAMS = r"(?=([\s\S]{3}))"
-#: Patterns that travel with a scan of the lines, in one automaton: some 10 MB at most for ordinary ones.
-MOST_PATTERNS = 20_000
+#: Patterns that travel with a scan of the lines, in one automaton, and their bytes together.
+MOST_PATTERNS, MOST_BYTES = 20_000, 4 << 20
+#: Hits that a task holds before it passes them on.
+HELD = 20_000
 
 
 def path_order(path: str = "path"):
@@ -19,89 +24,130 @@ def path_order(path: str = "path"):
     return F.split(path, "/")
 
 
-def _searched(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFrame:
-    """All matches by one pass over the lines: an automaton of all patterns, made once a task."""
-    rows = patterns.select("query_id", "pattern", F.lower("pattern").alias("low"), F.col("pattern").rlike(r"\p{Lu}").alias("exact")).collect()
-    by_low: dict[str, list[tuple]] = {}
-    for r in rows:
-        by_low.setdefault(r.low, []).append((r.query_id, r.pattern, r.exact))
-    kinds = dict(patterns.dtypes)
+def narrowed(asked: DataFrame, within: DataFrame | None) -> DataFrame:
+    """What is asked with the repo and the scope, if any, of its query (within: query_id, repo, scope): the legs look no farther."""
+    return asked if within is None else asked.join(within, "query_id")
+
+
+def _own(asked: DataFrame) -> list[str]:
+    """The key that keeps a search to a repository."""
+    return ["repo"] if "repo" in asked.columns else []
+
+
+def _inside(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits in the scope of their query, which is dropped."""
+    return hits.where(in_scope(F.col("path"), F.col("scope"))).drop("scope") if "scope" in asked.columns else hits
+
+
+def _nth(asked: DataFrame):
+    """The place of a pattern among its query's; all are equal where none is given."""
+    return F.col("nth") if "nth" in asked.columns else F.lit(0)
+
+
+def _searched(lines: DataFrame, asked: DataFrame, rows: list) -> DataFrame:
+    """All matches by one pass over the lines: automata of all patterns, one over lines as they are and one over lower-cased ones, made once a task."""
+    spark, own = lines.sparkSession, _own(asked)
+    at: dict[bool, dict[str, dict]] = {True: {}, False: {}}
+    for i, r in enumerate(rows):
+        at[r["_cased"]].setdefault(r["_key"], {}).setdefault(r.repo if own else None, []).append(i)
     columns = lines.columns
-    own = "bigint" if kinds["query_id"] in ("bigint", "int") else "string"
-    schema = ", ".join([f"query_id {own}", "pattern string", *(f"`{c}` {t}" for c, t in lines.dtypes)])
+    name = next(n for n in itertools.chain(["_low"], (f"_low{i}" for i in itertools.count())) if n not in columns)
+    schema = ", ".join(["_p int", *(f"`{c}` {t}" for c, t in lines.dtypes)])
 
     def run(batches):
         import ahocorasick
         import pyarrow as pa
 
-        tree = ahocorasick.Automaton()
-        for low in by_low:
-            tree.add_word(low, low)
-        tree.make_automaton()
-        at_line = columns.index("line")
+        trees = {}
+        for cased, keys in at.items():
+            if keys:
+                trees[cased] = ahocorasick.Automaton()
+                for key in keys:
+                    trees[cased].add_word(key, key)
+                trees[cased].make_automaton()
         for batch in batches:
-            queries, found, row = [], [], []
-            for i, (low, line) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(at_line).to_pylist(), strict=True)):
-                for hit in {x for _, x in tree.iter(low)} if low else ():
-                    for query, pattern, exact in by_low[hit]:
-                        if not exact or pattern in line:
-                            queries.append(query)
-                            found.append(pattern)
-                            row.append(i)
-            kept = batch.select(range(len(columns))).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64() if own == "bigint" else pa.string()), pa.array(found, pa.string()), *kept.columns], ["query_id", "pattern", *columns])
-
-    if not by_low:
-        return lines.limit(0).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.lit(None).cast("string").alias("pattern"), *columns)
-    return lines.withColumn("_low", F.lower("line")).mapInArrow(run, schema).withColumn("query_id", F.col("query_id").cast(kinds["query_id"])).select(names)
-
-
-def _by_trigram(lines: DataFrame, patterns: DataFrame, names: list[str]) -> DataFrame:
+            texts = {True: batch.column(columns.index("line")).to_pylist(), False: batch.column(len(columns)).to_pylist()}
+            repos = batch.column(columns.index("repo")).to_pylist() if own else [None] * len(batch)
+
+            def flush(p, row, kept=batch.select(range(len(columns)))):
+                return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *kept.take(pa.array(row, pa.int64())).columns], ["_p", *columns])
+
+            found, row = [], []
+            for cased, tree in trees.items():
+                for i, text in enumerate(texts[cased]):
+                    for key in {x for _, x in tree.iter(text)} if text else ():
+                        hits = at[cased][key].get(repos[i], ())
+                        found += hits
+                        row += [i] * len(hits)
+                    if len(found) >= HELD:
+                        yield flush(found, row)
+                        found, row = [], []
+            yield flush(found, row)
+
+    kinds = [f for f in asked.schema if not f.name.startswith("_") and f.name not in own]
+    names = [f.name for f in kinds]
+    told = spark.createDataFrame([(i, *(r[n] for n in names)) for i, r in enumerate(rows)], T.StructType([T.StructField("_p", T.IntegerType()), *kinds]))
+    # no more than MOST_PATTERNS rows
+    return lines.withColumn(name, F.lower("line")).mapInArrow(run, schema).join(F.broadcast(told), "_p").drop("_p")
+
+
+def _by_trigram(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """All matches by equi-joins: each pattern is looked up by its rarest trigram, and what shares it is compared."""
-    gram = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(GRAMS), F.lit(1)))
-    some = F.when(F.char_length("pattern") >= 3, gram("pattern")).otherwise(F.array(F.lower("pattern")))
-    wanted = patterns.select("query_id", "pattern", F.explode(some).alias("gram"))
-    low = F.lower("line")
-    each = F.concat(gram("line"), *(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))) for n in (1, 2)))
-    posts = lines.select(*lines.columns, F.explode(each).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    best = wanted.join(posts.groupBy("gram").count(), "gram").groupBy("query_id", "pattern").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    return posts.join(best, "gram").where(smart_contains(F.col("line"), F.col("pattern"))).select(names)
+    own = _own(asked)
+    keys = ["_cased", "_gram", *own]
+    gram = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1)))
+    sized = asked.withColumn("_size", F.least(F.lit(3), F.char_length("_key")))
+    kinds = [(r["_cased"], r["_size"]) for r in sized.select("_cased", "_size").distinct().collect()]
+    if not kinds:
+        return lines.limit(0).join(asked.drop("_cased", "_key"), own or F.lit(False))
+    wanted = sized.withColumn("_gram", F.explode(F.coalesce(*(F.when(F.col("_size") == n, gram(F.col("_key"), n)) for n in (1, 2, 3)))))
+    marked = lambda cased: lambda g: F.struct(F.lit(cased).alias("_cased"), g.alias("_gram"))
+    posts = [F.transform(gram(F.col("line") if cased else F.lower("line"), n), marked(cased)) for cased, n in kinds]
+    posts = lines.where(F.col("line").isNotNull()).select(*lines.columns, F.explode(F.concat(*posts)).alias("_g")).select(*lines.columns, "_g._cased", "_g._gram").join(wanted.select(keys).distinct(), keys, "left_semi")
+    best = wanted.join(posts.groupBy(keys).count(), keys).groupBy(*(c for c in sized.columns if c != "_size")).agg(F.min_by("_gram", F.struct("count", "_gram")).alias("_gram"))
+    held = F.when(F.col("_cased"), F.contains("line", F.col("_key"))).otherwise(F.contains(F.lower("line"), F.col("_key")))
+    return posts.join(best, keys).where(held).drop("_cased", "_gram", "_key")
 
 
 def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
-    """Rows of lines joined with the distinct patterns (query_id, pattern) that they contain, by smart case.
+    """Rows of lines joined with the distinct patterns (query_id, pattern) that they contain, by smart case: a pattern with an upper-case letter is looked for as it stands, another in lower-cased lines.
 
-    Up to most_patterns patterns travel with the scan, which finds all of them in one pass and
-    shuffles nothing; more are joined by trigrams. Equal lines are hits of their own. Empty
-    patterns find nothing.
+    Patterns may have a repo, outside of which they find nothing, a scope, that paths have to lie
+    in, and nth, which is passed on. Up to most_patterns patterns of MOST_BYTES together travel
+    with the scan, which finds all of them in one pass and shuffles nothing; more are joined by
+    trigrams, with the same rows. Equal lines are hits of their own. Empty and null patterns and
+    lines find nothing. Columns of lines by the name of query_id, pattern or nth are replaced.
     """
-    patterns = patterns.where("pattern <> ''").distinct()
-    names = ["query_id", "pattern", *lines.columns]
-    few = len(patterns.limit(most_patterns + 1).select(F.lit(1).alias("one")).collect()) <= most_patterns
-    return (_searched if few else _by_trigram)(lines, patterns, names)
-
-
-def _inside(hits: DataFrame, within: DataFrame | None) -> DataFrame:
-    """Hits of a query in its own repository, where (query_id, repo) tells one."""
-    return hits if within is None else hits.join(within, ["query_id", "repo"])
-
-
-def limited(hits: DataFrame, most: int = LEG_LIMIT) -> DataFrame:
-    """The first rows of each query and pattern by path and line, numbered over the query."""
-    each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_no")
-    w = Window.partitionBy("query_id").orderBy(path_order(), "line_no", "pattern")
-    return hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= most).drop("n").withColumn("rank", F.row_number().over(w))
+    lines = lines.drop("query_id", "pattern", "nth")
+    more = [c for c in ("scope",) if c in patterns.columns]
+    own = _own(patterns)
+    cased = F.col("pattern").rlike(r"\p{Lu}")
+    asked = patterns.where("pattern <> ''").groupBy("query_id", "pattern", *own, *more).agg(F.min(_nth(patterns)).alias("nth"))
+    asked = asked.where("repo is not null") if own else asked
+    asked = asked.withColumns({"_cased": cased, "_key": F.when(cased, F.col("pattern")).otherwise(F.lower("pattern"))})
+    rows = asked.limit(most_patterns + 1).collect()
+    few = len(rows) <= most_patterns and sum(len(r["_key"].encode()) for r in rows) <= MOST_BYTES
+    found = _inside(_searched(lines, asked, rows) if few else _by_trigram(lines, asked), patterns)
+    return found.select("query_id", "pattern", *(["nth"] if "nth" in patterns.columns else []), *lines.columns)
+
+
+def limited(hits: DataFrame, order: list | None = None, by: str = "pattern", most: int = LEG_LIMIT) -> DataFrame:
+    """The first rows of each query and pattern by path and line, numbered (raw_seq) over the query: pattern after pattern where these have a place (nth)."""
+    order = order or [path_order(), F.col("line_no")]
+    each = Window.partitionBy("query_id", by).orderBy(*order)
+    first = hits.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= most).drop("_n")
+    w = Window.partitionBy("query_id").orderBy(*([F.col("nth")] if "nth" in hits.columns else []), *order, by)
+    return first.withColumn("raw_seq", F.row_number().over(w).cast("long"))
 
 
 def grep_leg(lines: DataFrame, patterns: DataFrame, context: int = 0, within: DataFrame | None = None) -> DataFrame:
     """Candidates (query_id, raw_seq, path, line_start, line_end, symbol, kind, snippet) of the literal search."""
-    return grep_candidates(_inside(substring_hits(lines, patterns), within), context)
+    return grep_candidates(substring_hits(lines, narrowed(patterns, within)), context)
 
 
 def grep_candidates(hits: DataFrame, context: int = 0) -> DataFrame:
     """The same from hits that were found before."""
-    hits = limited(hits)
-    return hits.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "path", F.greatest(F.lit(1), F.col("line_no") - context).alias("line_start"), (F.col("line_no") + context).alias("line_end"), F.lit(None).cast("string").alias("symbol"), F.lit("ContentHit").alias("kind"), F.col("line").alias("snippet"))
+    return limited(hits).select("query_id", "raw_seq", "path", F.greatest(F.lit(1), F.col("line_no") - context).alias("line_start"), (F.col("line_no") + context).alias("line_end"), F.lit(None).cast("string").alias("symbol"), F.lit("ContentHit").alias("kind"), F.col("line").alias("snippet"))
 
 
 def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within: DataFrame | None = None) -> DataFrame:
@@ -111,17 +157,16 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within
     holds the name, whatever the case, is a fuzzy one.
     """
     last = last_segment(F.col("qualified_name"))
+    asked = narrowed(names, within)
+    own, more = _own(asked), [c for c in ("scope", "nth") if c in asked.columns]
     if fuzzy:
-        found = substring_hits(symbols.withColumn("line", F.lower("qualified_name")), names.select("query_id", F.lower("name").alias("pattern")))
-        hits = found.join(names.select("query_id", "name", F.lower("name").alias("pattern")).distinct(), ["query_id", "pattern"]).drop("pattern", "line")
+        low = asked.withColumn("pattern", F.lower("name"))
+        found = substring_hits(symbols.withColumn("line", F.lower("qualified_name")), low.drop("name", "nth"))
+        hits = found.join(low.select("query_id", "name", "pattern", *(["nth"] if "nth" in more else [])).distinct(), ["query_id", "pattern"]).drop("pattern", "line")
     else:
-        hits = symbols.withColumn("name", last).join(names.distinct(), "name")
-    hits = _inside(hits, within)
+        hits = _inside(symbols.withColumn("name", last).join(asked.select("query_id", "name", *own, *more).distinct(), ["name", *own]), asked)
     kind = F.when(last == F.col("name"), "SymbolExact").otherwise("SymbolFuzzy")
-    order = [path_order(), "line_start", "qualified_name"]
-    each = Window.partitionBy("query_id", "name").orderBy(*order)
-    w = Window.partitionBy("query_id").orderBy(*order, "name")
-    hits = hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= LEG_LIMIT).withColumn("raw_seq", F.row_number().over(w).cast("long"))
+    hits = limited(hits, [path_order(), F.col("line_start"), F.col("qualified_name")], "name")
     if not fuzzy:
         hits = hits.where(F.col("raw_seq") <= LEG_LIMIT)
     return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), kind.alias("kind"), F.lit(None).cast("string").alias("snippet"))
@@ -129,21 +174,22 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within
 
 def body_leg(symbols: DataFrame, files: DataFrame, patterns: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Candidates of symbols whose body, the lines from its start to its end, holds a pattern (query_id, pattern): the first LEG_LIMIT of each by path and line."""
-    split = files.select("path", *(["repo"] if within is not None else []), F.split("content", "\n").alias("rows"))
-    bodies = symbols.join(split, ["path", "repo"] if within is not None else "path").withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
-    hits = _inside(substring_hits(bodies.select("path", "line_start", "line_end", "qualified_name", "line", *(["repo"] if within is not None else [])), patterns), within)
-    each = Window.partitionBy("query_id", "pattern").orderBy(path_order(), "line_start", "qualified_name")
-    w = Window.partitionBy("query_id").orderBy(path_order(), "line_start", "qualified_name", "pattern")
-    hits = hits.withColumn("n", F.row_number().over(each)).where(F.col("n") <= LEG_LIMIT).withColumn("raw_seq", F.row_number().over(w).cast("long"))
+    asked = narrowed(patterns, within)
+    key = ["path", *_own(asked)]
+    split = files.select(*key, F.split("content", "\n").alias("rows"))
+    bodies = symbols.join(split, key).withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
+    hits = substring_hits(bodies.select(*key, "line_start", "line_end", "qualified_name", "line"), asked)
+    hits = limited(hits, [path_order(), F.col("line_start"), F.col("qualified_name")])
     return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
 
 
 def bm25_leg(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidates of the symbols whose names suit a query's words best."""
-    names = symbols.withColumn("doc_id", F.xxhash64("path", "line_start", "qualified_name"))
-    best = bm25(names.select("doc_id", F.regexp_replace("qualified_name", "_", " ").alias("text")), queries.select("query_id", F.regexp_replace("text", "_", " ").alias("text")))
-    hits = best.join(names, "doc_id")
-    return hits.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+    """Candidates of the symbols whose names suit a query's words best, in its repository and scope where it has these. Names fall into words at _, -, other marks and changes of case; ties go by path, line and name."""
+    parts = lambda c: F.array_join(words(F.col(c)), " ")
+    place = F.struct(path_order().alias("parts"), "line_start", "qualified_name", "line_end", "path")
+    key = [c for c in ("repo",) if c in queries.columns]
+    best = bm25(symbols.select(place.alias("doc_id"), *key, parts("qualified_name").alias("text")).distinct(), queries.withColumn("text", parts("text")), path=F.col("doc_id.path"))
+    return best.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "doc_id.path", "doc_id.line_start", "doc_id.line_end", F.col("doc_id.qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
 
 
 def union_of_legs(*legs: DataFrame) -> DataFrame:
@@ -156,90 +202,72 @@ def union_of_legs(*legs: DataFrame) -> DataFrame:
 
 
 def file_leg(files: DataFrame, tokens: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """Candidates of files whose names match a token (query_id, token): an equi-join for names with an extension or equal; parts are looked up by their rarest trigram, or by themselves if shorter, and compared. An empty token is part of every name."""
-    paths = files.select("path").distinct().withColumn("base", F.element_at(F.split("path", "/"), -1))
-    exact = paths.join(tokens.withColumn("base", F.col("token")), "base").select("query_id", "path")
-    parts = tokens.where(~F.contains("token", F.lit("."))).select("query_id", "token")
+    """Candidates of files whose names match a token (query_id, token), the first LEG_LIMIT of each by path: an equi-join for names with an extension or equal; parts are looked up by their rarest trigram, or by themselves if shorter, and compared. An empty token is part of every name."""
+    asked = narrowed(tokens, within)
+    own, more = _own(asked), [c for c in ("scope", "nth") if c in asked.columns]
+    asked = asked.select("query_id", "token", *own, *more).distinct()
+    paths = files.select("path", *own).distinct().withColumn("base", F.element_at(F.split("path", "/"), -1))
+    names = ["query_id", "token", "path", *more]
+    exact = paths.join(asked.withColumn("base", F.col("token")), ["base", *own]).select(names)
+    parts = asked.where(~F.contains("token", F.lit(".")))
     gram = lambda c, n: F.regexp_extract_all(F.col(c), F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
-    wanted = parts.where("token <> ''").select("query_id", "token", F.explode(F.when(F.char_length("token") < 3, F.array("token")).otherwise(F.array_distinct(gram("token", 3)))).alias("gram"))
-    posts = paths.select("path", F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    best = wanted.join(posts.groupBy("gram").count(), "gram").groupBy("query_id", "token").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    part = posts.join(best, "gram").where(glob_match(F.col("token"), F.col("path"))).select("query_id", "path")
-    first = paths.select("path").orderBy(path_order()).limit(LEG_LIMIT).withColumn("n", F.row_number().over(Window.orderBy(path_order())))
-    part = part.union(parts.where("token = ''").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(LEG_LIMIT))).alias("n")).join(first, "n").select("query_id", "path"))
-    w = Window.partitionBy("query_id").orderBy(path_order())
-    hits = exact.union(part).distinct()
-    if within is not None:
-        hits = _inside(hits.join(files.select("path", "repo").distinct(), "path"), within).drop("repo")
-    hits = hits.withColumn("raw_seq", F.row_number().over(w).cast("long")).where(F.col("raw_seq") <= LEG_LIMIT)
+    wanted = parts.where("token <> ''").withColumn("gram", F.explode(F.when(F.char_length("token") < 3, F.array("token")).otherwise(F.array_distinct(gram("token", 3)))))
+    keys = ["gram", *own]
+    posts = paths.select("path", *own, F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")).join(wanted.select(keys).distinct(), keys, "left_semi")
+    best = wanted.join(posts.groupBy(keys).count(), keys).groupBy("query_id", "token", *own, *more).agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    part = posts.join(best, keys).where(glob_match(F.col("token"), F.col("path"))).select(names)
+    hits = _inside(exact.union(part).union(_all_names(paths, parts.where("token = ''"), names)).distinct(), asked)
+    hits = limited(hits, [path_order()], "token")
     one, none = F.lit(1), F.lit(None).cast("string")
     return hits.select("query_id", "raw_seq", "path", one.alias("line_start"), one.alias("line_end"), none.alias("symbol"), F.lit("FileNameHit").alias("kind"), none.alias("snippet"))
 
 
+def _all_names(paths: DataFrame, asked: DataFrame, names: list[str]) -> DataFrame:
+    """The first LEG_LIMIT paths for each empty token: of each repository and folder that is asked for, found once and then joined to the queries."""
+    own = _own(asked)
+    if "scope" in asked.columns:
+        asked = asked.withColumn("folder", scope_folder(F.col("scope")))
+        own = ["folder", *own]
+        steps = F.split("path", "/")
+        folders = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+        paths = paths.withColumn("folder", F.explode(folders))
+    inside = paths.join(asked.select(*own).distinct(), own, "left_semi") if own else paths.orderBy(path_order()).limit(LEG_LIMIT)
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(path_order()))
+    few = asked.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(LEG_LIMIT))))
+    return inside.withColumn("_n", first).where(F.col("_n") <= LEG_LIMIT).join(few, ["_n", *own]).select(names)
+
+
 def _terms(c: str):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, most_terms: int = 200_000) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, path=None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents (doc_id, text) for each query (query_id, text).
 
-    Up to most_terms terms of queries travel with the scan: a task scores whole documents and
-    keeps its k best of each query, so that only these are shuffled. More are joined by term.
+    Where queries have a repo, documents of it alone are ranked, by its own counts of documents,
+    lengths and terms; where they have a scope, documents whose path (a column) lies in it. Ids
+    may be of any type; rows of one doc_id are one document, rows without one are left out. Only
+    terms that are asked for leave the scan; what a document has of them is counted once, for the
+    frequencies and for the scores.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(_terms("text"))).alias("term"))
-    split = docs.select("doc_id", _terms("text").alias("terms")).withColumn("len", F.size("terms"))
-    stats = split.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = asked.groupBy("term").agg(F.collect_set("query_id").alias("queries"))
-    each = split.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term"), "term", "left_semi")
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    own = _own(queries)
+    docs = docs.where("doc_id is not null")
+    asked = queries.select("query_id", *own, F.explode(F.array_distinct(_terms("text"))).alias("term")).distinct()
+    split = docs.select("doc_id", *own, _terms("text").alias("terms"))
+    lens = split.groupBy("doc_id", *own).agg(F.sum(F.greatest(F.lit(0), F.size("terms"))).alias("len"))
+    each = split.select("doc_id", *own, F.explode("terms").alias("term")).join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi")
+    tf = cut(each.groupBy("doc_id", *own, "term").agg(F.count("*").alias("tf")).repartition("doc_id"))
+    lens = cut(lens)
+    stats = lens.groupBy(*own).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = asked.limit(most_terms + 1).toArrow().to_pydict()
+    known = df.join(stats, own) if own else df.crossJoin(F.broadcast(stats))
+    known = known.withColumn("idf", idf).join(asked, [*own, "term"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    total = tf.join(lens, ["doc_id", *own]).join(known, [*own, "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    if "scope" in queries.columns and path is not None:
+        total = total.join(queries.select("query_id", "scope").distinct(), "query_id").where(in_scope(path, F.col("scope"))).drop("scope")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    if len(rows["term"]) > most_terms:
-        tf = split.select("doc_id", "len", F.explode("terms").alias("term")).join(wanted.select("term"), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-        scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-        total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-        return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    weights = {r.term: r.idf for r in df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf")).collect()}
-    mean = stats.head().avg_len or 1.0
-    kind = dict(queries.dtypes)["query_id"]
-    own = "bigint" if kind in ("bigint", "int") else "string"
-    ids = sorted(set(rows["query_id"]))
-    place = {q: i for i, q in enumerate(ids)}
-    by_term: dict[str, list[int]] = {}
-    for q, t in zip(rows["query_id"], rows["term"], strict=True):
-        if t in weights:
-            by_term.setdefault(t, []).append(place[q])
-
-    def best(batches):
-        import heapq
-
-        import pyarrow as pa
-
-        heaps: list[list] = [[] for _ in ids]
-        for batch in batches:
-            for doc, terms, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tf: dict[str, int] = {}
-                for t in terms or ():
-                    if t in by_term:
-                        tf[t] = tf.get(t, 0) + 1
-                score: dict[int, float] = {}
-                for t, c in tf.items():
-                    part = weights[t] * c * (k1 + 1) / (c + k1 * (1 - b + b * n / mean))
-                    for q in by_term[t]:
-                        score[q] = score.get(q, 0.0) + part
-                for q, x in score.items():
-                    item = (round(x, 6), -doc)
-                    if len(heaps[q]) < k:
-                        heapq.heappush(heaps[q], item)
-                    elif item > heaps[q][0]:
-                        heapq.heapreplace(heaps[q], item)
-        found = [(ids[q], -d, x) for q, heap in enumerate(heaps) for x, d in heap]
-        cols = zip(*found, strict=True) if found else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64() if own == "bigint" else pa.string(), pa.int64(), pa.float64()), strict=True)], ["query_id", "doc_id", "score"])
-
-    total = split.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "len").mapInArrow(best, f"query_id {own}, doc_id bigint, score double").withColumn("query_id", F.col("query_id").cast(kind))
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -38,12 +38,13 @@ def keys_of(patterns: DataFrame) -> DataFrame:
 
 
 def candidates_of(queries: DataFrame, patterns: DataFrame, files: DataFrame, symbols: DataFrame, legs: tuple[str, ...] = LEGS) -> DataFrame:
-    """The candidates of the legs asked for, in the order of LEGS. queries may have a scope, which limits paths, and a repo, to which the search keeps (bm25 ranks over all, and others' symbols go then)."""
+    """The candidates of the legs asked for, in the order of LEGS. queries may have a scope, which limits paths, and a repo: each leg searches these alone, before its limits."""
     p = F.col("p")
-    each = lambda xs, name: patterns.select("query_id", F.explode(xs).alias(name)).distinct()
+    each = lambda xs, name: patterns.select("query_id", F.posexplode(xs).alias("nth", name)).groupBy("query_id", name).agg(F.min("nth").alias("nth"))
     body_words = F.concat(F.slice(p.literals, 1, BODY_WORDS), fn.leg_identifiers(p, F.greatest(F.lit(0), F.lit(BODY_WORDS) - F.size(p.literals))))
     name = lambda t: F.element_at(F.split(t, "/"), -1)
-    within = queries.select("query_id", "repo") if "repo" in queries.columns else None
+    place = [c for c in ("repo", "scope") if c in queries.columns]
+    within = queries.select("query_id", *place).distinct() if place else None
     made = {
         "symbol": lambda: retrieval.symbol_leg(symbols, each(fn.leg_identifiers(p, F.lit(SYMBOL_WORDS)), "name"), fuzzy=True, within=within),
         "bm25": lambda: retrieval.bm25_leg(symbols, queries),
@@ -51,16 +52,11 @@ def candidates_of(queries: DataFrame, patterns: DataFrame, files: DataFrame, sym
         "grep": lambda: retrieval.grep_leg(corpus_lines(files), each(p.grep_patterns, "pattern"), within=within),
         "file": lambda: retrieval.file_leg(files, each(F.transform(F.slice(p.path_tokens, 1, FILE_WORDS), name), "token"), within),
     }
-    found = retrieval.union_of_legs(*(made[x]() for x in LEGS if x in legs))
-    if within is not None:
-        found = found.join(within, "query_id").join(files.select("path", "repo").distinct(), ["path", "repo"], "left_semi").drop("repo")
-    if "scope" in queries.columns:
-        found = found.join(queries.select("query_id", "scope"), "query_id").where(fn.in_scope(F.col("path"), F.col("scope"))).drop("scope")
-    return found
+    return retrieval.union_of_legs(*(made[x]() for x in LEGS if x in legs))
 
 
 def retrieve(queries: DataFrame, files: DataFrame, symbols: DataFrame, top_k: int = 12, legs: tuple[str, ...] = LEGS) -> Retrieved:
-    """Answers queries (query_id, text, and a scope if there is one) from files and symbols.
+    """Answers queries (query_id, text, and a repo and a scope if there are any) from files and symbols.
 
     What the legs find is written once and read for all that follows. A query without words to
     search by has no candidates, confidence 0 and the route fallback.

@@ -212,26 +212,39 @@ def hit_at_k(spark, sf):
     return evaluation.hit_at_k(cut(_ranked(spark, sf, hits)), _truth(hits), _items(spark, sf))
 
 
-RETRIEVE = f"""{OUTLINE}, qs AS (SELECT item_id AS query_id, upper(w[1])||lower(w[2:]) AS w FROM (SELECT item_id, regexp_extract(text, '^([A-Za-z]+)', 1) AS w FROM benchmark)),
-ids AS (SELECT query_id, unnest([x FOR x IN [w, 'handled'] IF lower(x) NOT IN ({', '.join(f"'{x}'" for x in fn.STOPWORDS)}) AND (len(x) >= 4 OR len(x) = 3 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]'))]) AS name FROM qs),
+INSIDE = "(folder = '' OR path = folder OR starts_with(path, folder||'/'))"
+RETRIEVE = f"""{OUTLINE}, qs AS (SELECT item_id AS query_id, upper(w[1])||lower(w[2:]) AS w, 'src'||(item_id % 10) AS repo, CASE WHEN item_id % 3 > 0 THEN 'src'||(item_id % 10)||CASE WHEN item_id % 2 = 0 THEN '/en' ELSE '/de' END ELSE '' END AS folder FROM (SELECT item_id, regexp_extract(text, '^([A-Za-z]+)', 1) AS w FROM benchmark)),
+ia AS (SELECT query_id, repo, folder, [x FOR x IN [w, 'handled'] IF lower(x) NOT IN ({', '.join(f"'{x}'" for x in fn.STOPWORDS)}) AND (len(x) >= 4 OR len(x) = 3 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]'))] AS names FROM qs),
+ids AS (SELECT query_id, repo, folder, unnest(names) AS name, unnest(range(len(names))) AS nth FROM ia),
 n_ids AS (SELECT query_id, count(*) AS n_original FROM ids GROUP BY 1),
-sy AS (SELECT i.query_id, i.name AS asked, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM symbols s JOIN ids i ON contains(lower(qualified_name), lower(i.name))),
+sy AS (SELECT i.query_id, i.name AS asked, nth, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM symbols s JOIN ids i ON s.repo = i.repo AND contains(lower(qualified_name), lower(i.name)) WHERE {INSIDE}),
+bw AS (SELECT *, [t FOR t IN regexp_split_to_array(lower(regexp_replace(regexp_replace(qualified_name, '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')), '[^\\p{{L}}\\p{{N}}]+') IF t <> ''] AS terms FROM symbols),
+bs AS (SELECT repo, count(*) AS n, avg(len(terms)) AS al FROM bw GROUP BY 1),
+bf AS (SELECT repo, path, line_start, line_end, qualified_name, any_value(len(terms)) AS len, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM bw) GROUP BY repo, path, line_start, line_end, qualified_name, term),
+bd AS (SELECT repo, term, count(*) AS df FROM bf GROUP BY 1, 2),
+bq AS (SELECT DISTINCT query_id, repo, folder, unnest(['where', 'is', lower(w), 'handled', 'in', 'src', query_id::VARCHAR]) AS term FROM qs),
+bx AS (SELECT query_id, path, line_start, line_end, qualified_name, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))), 6) AS score FROM bf JOIN bd USING (repo, term) JOIN bs USING (repo) JOIN bq USING (repo, term) WHERE {INSIDE} GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, string_split(path, '/'), line_start, qualified_name) AS n FROM bx),
 bodies AS (SELECT s.*, array_to_string(list_slice(f.p, line_start, line_end), chr(10)) AS body FROM symbols s JOIN f USING (path)),
-bo AS (SELECT i.query_id, i.name AS asked, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM bodies s JOIN ids i ON CASE WHEN i.name = 'handled' THEN contains(lower(body), 'handled') ELSE contains(body, i.name) END),
-gr AS (SELECT i.query_id, i.name AS asked, l.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_no) AS n FROM lines l JOIN ids i ON CASE WHEN i.name = 'handled' THEN contains(lower(line), 'handled') ELSE contains(line, i.name) END),
-fi AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/')) AS n FROM (SELECT DISTINCT q.query_id, f.path FROM f JOIN qs q ON contains(string_split(f.path, '/')[-1], q.query_id::VARCHAR))),
-c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start, qualified_name, asked) AS raw_seq, path, line_start AS s, line_end AS e, qualified_name AS symbol, CASE WHEN name = asked THEN 'SymbolExact' ELSE 'SymbolFuzzy' END AS kind, NULL::VARCHAR AS snippet FROM sy WHERE n <= 20
-UNION ALL SELECT query_id, 1000000 + row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start, qualified_name, asked), path, line_start, line_end, qualified_name, 'SemanticHit', NULL FROM bo WHERE n <= 20
-UNION ALL SELECT query_id, 2000000 + row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_no, asked), path, line_no, line_no, NULL, 'ContentHit', line FROM gr WHERE n <= 20
-UNION ALL SELECT query_id, 3000000 + n, path, 1, 1, NULL, 'FileNameHit', NULL FROM fi WHERE n <= 20),
+bo AS (SELECT i.query_id, i.name AS asked, nth, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM bodies s JOIN ids i ON s.repo = i.repo AND CASE WHEN i.name = 'handled' THEN contains(lower(body), 'handled') ELSE contains(body, i.name) END WHERE {INSIDE}),
+gr AS (SELECT i.query_id, i.name AS asked, nth, l.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_no) AS n FROM lines l JOIN ids i ON l.repo = i.repo AND CASE WHEN i.name = 'handled' THEN contains(lower(line), 'handled') ELSE contains(line, i.name) END WHERE {INSIDE}),
+fi AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/')) AS n FROM (SELECT DISTINCT q.query_id, f.path FROM f JOIN qs q ON f.repo = q.repo AND contains(string_split(f.path, '/')[-1], q.query_id::VARCHAR) WHERE {INSIDE})),
+c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY nth, string_split(path, '/'), line_start, qualified_name) AS raw_seq, path, line_start AS s, line_end AS e, qualified_name AS symbol, CASE WHEN name = asked THEN 'SymbolExact' ELSE 'SymbolFuzzy' END AS kind, NULL::VARCHAR AS snippet FROM sy WHERE n <= 20
+UNION ALL SELECT query_id, 1000000 + n, path, line_start, line_end, qualified_name, 'SemanticHit', NULL FROM bm WHERE n <= 20
+UNION ALL SELECT query_id, 2000000 + row_number() OVER (PARTITION BY query_id ORDER BY nth, string_split(path, '/'), line_start, qualified_name), path, line_start, line_end, qualified_name, 'SemanticHit', NULL FROM bo WHERE n <= 20
+UNION ALL SELECT query_id, 3000000 + row_number() OVER (PARTITION BY query_id ORDER BY nth, string_split(path, '/'), line_no), path, line_no, line_no, NULL, 'ContentHit', line FROM gr WHERE n <= 20
+UNION ALL SELECT query_id, 4000000 + n, path, 1, 1, NULL, 'FileNameHit', NULL FROM fi WHERE n <= 20),
 kk AS (SELECT query_id, list(lower(name)) AS keys, []::VARCHAR[] AS strong FROM ids WHERE len(name) >= 4 GROUP BY 1), {MERGED}"""
 
 
 def _retrieved(spark, sf):
-    w = F.regexp_extract("text", "^([A-Za-z]+)", 1)
-    asked = F.concat(F.lit("where is "), F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.char_length(w))), F.lit(" handled in src/"), F.col("query_id").cast("string"))
-    queries = _items(spark, sf).select("query_id", asked.alias("text"))
-    return retrieve_job.retrieve(queries, _files(spark, sf), cut(corpus.outline(_files(spark, sf))), legs=("symbol", "semantic", "grep", "file"))
+    """Every item's first word as a question to one repository, two of three with a scope in it."""
+    w, k = F.regexp_extract("text", "^([A-Za-z]+)", 1), F.col("query_id")
+    asked = F.concat(F.lit("where is "), F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.char_length(w))), F.lit(" handled in src/"), k.cast("string"))
+    repo = F.concat(F.lit("src"), (k % 10).cast("string"))
+    scope = F.when(k % 3 > 0, F.concat(F.when(k % 5 == 0, "./").otherwise(""), repo, F.when(k % 2 == 0, "/en").otherwise("/de/"))).when(k % 2 == 0, "../up")
+    queries = _items(spark, sf).select("query_id", asked.alias("text"), repo.alias("repo"), scope.alias("scope"))
+    return retrieve_job.retrieve(queries, _files(spark, sf), cut(corpus.outline(_files(spark, sf))))
 
 
 @query(f"WITH {RETRIEVE} SELECT * FROM ranked")
