@@ -252,7 +252,8 @@ def _requests(spark, sf):
 
 
 def _request_stream(spark, sf):
-    return telemetry.event_stream(spark, f"{sf}/events.parquet").select(F.concat("event_type", F.lit(":"), (F.col("user_id") % 20).cast("string")).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.when(F.col("value") < 95, F.floor(F.col("value") / 48).cast("string")).alias("fingerprint"))
+    rows = telemetry.event_stream(spark, f"{sf}/events.parquet").select(F.concat("event_type", F.lit(":"), (F.col("user_id") % 20).cast("string")).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.when(F.col("value") < 95, F.floor(F.col("value") / 48).cast("string")).alias("fingerprint"))
+    return telemetry.ended(rows, "at")
 
 
 TRUST = """rq AS (SELECT event_type||':'||(user_id % 20) AS key, ts AS met, event_id AS request_id, CASE WHEN value < 95 THEN floor(value / 48)::INT::VARCHAR END AS fingerprint, row_number() OVER (PARTITION BY event_type||':'||(user_id % 20) ORDER BY ts, event_id) AS n FROM events)"""
