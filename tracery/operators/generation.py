@@ -122,9 +122,23 @@ def with_query(symbols: DataFrame, seed: str) -> DataFrame:
     return rows.withColumn("template", template).withColumns({"query": text, "query_lang": F.lit("en")}).drop("pick", "wording", *(f"w{i}" for i in range(len(WEIGHTS))))
 
 
+def source_files(files: DataFrame) -> DataFrame:
+    """The files that queries are made of: source paths alone."""
+    return files.where(is_source_path(F.col("path")))
+
+
+def sampled_symbols(symbols: DataFrame, seed: str = "7", max_queries: int = 400) -> DataFrame:
+    """Of each repository a seeded sample of its symbols worth a query, three times as many as there may be queries, numbered in their order (query_index)."""
+    return labels.sampled(query_symbols(symbols), 3 * max_queries, seed)
+
+
 def generated_queries(symbols: DataFrame, files: DataFrame, seed: str = "7", max_queries: int = 400) -> DataFrame:
-    """Of each repository up to max_queries symbols with a query, numbered in their order: a seeded sample of three times as many, of which the first are taken."""
-    picked = labels.sampled(query_symbols(symbols), 3 * max_queries, seed).where(F.col("query_index") < max_queries)
+    """Of each repository up to max_queries symbols with a query, numbered in their order: the first of the sample."""
+    return queries_of(sampled_symbols(symbols, seed, max_queries), files, seed, max_queries)
+
+
+def queries_of(sampled: DataFrame, files: DataFrame, seed: str, max_queries: int) -> DataFrame:
+    picked = sampled.where(F.col("query_index") < max_queries)
     split = files.select("repo", "path", F.transform(F.split("content", "\n"), lambda t: F.regexp_replace(t, r"\r\z", "")).alias("rows"))
     start, end = F.col("line_start").cast("int"), F.col("line_end").cast("int")
     rows = picked.join(split, ["repo", "path"]).withColumns({"doc": doc_sentence(F.col("rows"), start, end, F.endswith("path", F.lit(".py"))), "literal": error_literal(F.col("rows"), start, end)}).drop("rows")
@@ -171,17 +185,20 @@ def training_rows(rows: DataFrame) -> DataFrame:
     return made.withColumns({"state": F.to_json(F.struct("state")), "questions": F.to_json(asked), "gold": F.to_json(gold)})
 
 
-def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFrame, seed: str = "7", max_queries: int = 400, max_negatives: int = 4) -> tuple[DataFrame, DataFrame]:
+def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFrame, seed: str = "7", max_queries: int = 400, max_negatives: int = 4, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, counters): labelled rows for training from files (repo, path, content), symbols and repos (repo, lang, split).
 
-    Each repository's queries are answered within it. Queries that an early exit or the fallback
-    would take give no rows. Of the others, candidates that touch the symbol asked for are
-    positive, and of the rest the first by rank are kept.
+    Queries are made of the symbols of source files and answered within their repository, all
+    files of it. Queries that an early exit or the fallback would take give no rows. Of the
+    others, candidates that touch the symbol asked for are positive, and of the rest the first by
+    rank are kept. failed (repo, path) are files whose outline could not be had; they are counted.
     """
     from . import retrieval, retrieve
 
-    made = generated_queries(symbols, files, seed, max_queries).withColumn("query_id", F.concat(F.col("repo"), F.lit(":"), F.lpad(F.col("query_index").cast("string"), 6, "0")))
-    made = cut(made)
+    walked = source_files(files)
+    worth = cut(query_symbols(symbols.join(walked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")))
+    sampled = cut(labels.sampled(worth, 3 * max_queries, seed))
+    made = cut(queries_of(sampled, files, seed, max_queries).withColumn("query_id", F.concat(F.col("repo"), F.lit(":"), F.lpad(F.col("query_index").cast("string"), 6, "0"))))
     got = retrieve.retrieve(made.select("query_id", F.col("query").alias("text"), "repo"), files, symbols)
     decisions = cut(got.decisions)
     asked = made.select("query_id", "repo", "query_index", "query", "query_lang", "template")
@@ -192,22 +209,50 @@ def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFram
     label = F.create_map(*(F.lit(x) for k, v in NOTES.items() for x in (k, v)))[F.col("kind")]
     state = rendered_state(F.col("query"), F.col("path"), F.col("line_start"), F.col("line_end"), label, F.col("symbol"), F.col("body"), F.col("snippet"), F.col("outline"))
     rows = cut(training_rows(seen.withColumn("state", state).withColumn("kind", label).join(repos, "repo").select("repo", "lang", "split", "query_index", "query", "query_lang", "template", "rank", "kind", "label", "state")))
-    return rows, repo_counters(query_symbols(symbols), made.select("repo", "query_id"), decisions, rows)
+    return rows, repo_counters(walked, worth, sampled, made, decisions, rows, failed)
+
 
+def repo_counters(files: DataFrame, symbols: DataFrame, sampled: DataFrame, queries: DataFrame, decisions: DataFrame, rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row for each repository with a file: what went in and what came of it, zeros included.
 
-def repo_counters(symbols: DataFrame, queries: DataFrame, decisions: DataFrame, rows: DataFrame) -> DataFrame:
-    """(repo, symbols_total, queries_generated, filtered_early_exit, filtered_fallback, queries_with_positive, queries_without_positive, rows_positive, rows_negative) from symbols (repo), queries (repo, query_id), their routes (query_id, route) and labelled rows (repo, query_id, label)."""
-    n = symbols.groupBy("repo").agg(F.count("*").alias("symbols_total"))
-    seen = queries.join(decisions.select("query_id", "route"), "query_id", "left").groupBy("repo").agg(F.count("*").alias("queries_generated"), F.count_if(F.col("route").isin("confidence", "unique-symbol")).alias("filtered_early_exit"), F.count_if(F.col("route") == "fallback").alias("filtered_fallback"))
+    (repo, files, outline_errors, symbols_total, symbols_sampled, queries_generated,
+    filtered_early_exit, filtered_fallback, queries_with_positive, queries_without_positive,
+    rows_positive, rows_negative, templates), the last a map of queries by template, from source
+    files (repo, path), symbols and those sampled (repo), queries (repo, query_id, template), their
+    routes (query_id, route), labelled rows (repo, query_id, label) and files that failed (repo, path).
+    A query of the route verify without rows has no positive.
+    """
+    count = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
+    walked = files.select("repo", "path").distinct()
+    got = count(walked, "files")
+    bad = count(failed.select("repo", "path").distinct().join(walked, ["repo", "path"], "left_semi"), "outline_errors") if failed is not None else got.select("repo", F.lit(0).cast("long").alias("outline_errors"))
     by = rows.groupBy("repo", "query_id").agg(F.count_if(F.col("label") == "A").alias("pos"), F.count_if(F.col("label") != "A").alias("neg"))
-    got = by.groupBy("repo").agg(F.count_if(F.col("pos") > 0).alias("queries_with_positive"), F.count_if(F.col("pos") == 0).alias("queries_without_positive"), F.sum("pos").alias("rows_positive"), F.sum("neg").alias("rows_negative"))
-    return n.join(seen, "repo", "left").join(got, "repo", "left").fillna(0)
+    routed = queries.select("repo", "query_id").join(decisions.select("query_id", "route"), "query_id", "left").join(by.drop("repo"), "query_id", "left")
+    pos, judged = F.coalesce("pos", F.lit(0)), F.col("route") == "verify"
+    seen = routed.groupBy("repo").agg(F.count("*").alias("queries_generated"), F.count_if(F.col("route").isin("confidence", "unique-symbol")).alias("filtered_early_exit"), F.count_if(F.col("route") == "fallback").alias("filtered_fallback"), F.count_if(judged & (pos > 0)).alias("queries_with_positive"), F.count_if(judged & (pos == 0)).alias("queries_without_positive"), F.sum(pos).alias("rows_positive"), F.sum(F.coalesce("neg", F.lit(0))).alias("rows_negative"))
+    for more in (bad, count(symbols, "symbols_total"), count(sampled, "symbols_sampled"), seen, template_map(queries, "repo")):
+        got = got.join(more, "repo", "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return got.fillna(0).withColumn("templates", F.coalesce("templates", none))
+
+
+def template_map(queries: DataFrame, by: str) -> DataFrame:
+    """(by, templates): the queries of each template as a map in the order of their names; templates are few."""
+    n = queries.groupBy(by, "template").agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template", "n")))).alias("templates"))
 
 
 def totals_by_split(counters: DataFrame, repos: DataFrame) -> DataFrame:
-    """Counters of all repositories of each split (repo, split), summed."""
-    numbers = [c for c in counters.columns if c != "repo"]
-    return counters.join(repos.select("repo", "split"), "repo").groupBy("split").agg(F.count("*").alias("repos"), *(F.sum(c).alias(c) for c in numbers))
+    """Counters of all repositories of each split (repo, split), summed, templates by their names."""
+    numbers = [c for c, t in counters.dtypes if c != "repo" and not t.startswith("map")]
+    rows = counters.join(repos.select("repo", "split"), "repo")
+    out = rows.groupBy("split").agg(F.count("*").alias("repos"), *(F.sum(c).alias(c) for c in numbers))
+    if "templates" not in counters.columns:
+        return out
+    n = rows.select("split", F.explode("templates").alias("template", "n")).groupBy("split", "template").agg(F.sum("n").alias("n"))
+    maps = n.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template", "n")))).alias("templates"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return out.join(maps, "split", "left").withColumn("templates", F.coalesce("templates", none))
 
 
 def count_maps(rows: DataFrame) -> DataFrame:

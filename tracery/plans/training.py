@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import generation as gen
 from ..operators import labels
 from ..sources import corpus
+from ..sources.scratch import cut
 from .queries import LINES, OUTLINE, SCORED, _files, _scored, _t, query
 
 PATHS = "pt AS (SELECT p_partkey, ['src/', 'tests/', 'lib/Docs/', 'a/vendor/', ''][(p_partkey % 5 + 1)::INT]||'m'||p_partkey||['.rs', '.PY', '.txt', '.test.ts', '_test.go', '.min.js', '.kt'][(p_partkey % 7 + 1)::INT] AS path FROM part)"
@@ -88,27 +89,47 @@ def count_maps(spark, sf):
     return gen.count_maps(_labelled_rows(spark, sf).withColumn("query_lang", F.when(F.col("lang") == "de", "de").otherwise("en")))
 
 
-COUNTERS = f"""{OUTLINE}, n AS (SELECT repo, count(*) AS symbols_total FROM symbols GROUP BY 1), gq AS (SELECT source AS repo, count(*) AS queries_generated, count(*) FILTER (doc_id % 5 = 0) AS filtered_early_exit, count(*) FILTER (doc_id % 5 = 1) AS filtered_fallback FROM documents GROUP BY 1),
-gr AS (SELECT source AS repo, count(*) FILTER (quality = 1) AS queries_with_positive, count(*) FILTER (quality <> 1) AS queries_without_positive, count(*) FILTER (quality = 1) AS rows_positive, count(*) FILTER (quality <> 1) AS rows_negative FROM labels JOIN documents USING (doc_id) GROUP BY 1),
-counters AS (SELECT repo, symbols_total, coalesce(queries_generated, 0) AS queries_generated, coalesce(filtered_early_exit, 0) AS filtered_early_exit, coalesce(filtered_fallback, 0) AS filtered_fallback, coalesce(queries_with_positive, 0) AS queries_with_positive, coalesce(queries_without_positive, 0) AS queries_without_positive, coalesce(rows_positive, 0) AS rows_positive, coalesce(rows_negative, 0) AS rows_negative FROM n LEFT JOIN gq USING (repo) LEFT JOIN gr USING (repo))"""
+NUMBERS = "files outline_errors symbols_total symbols_sampled queries_generated filtered_early_exit filtered_fallback queries_with_positive queries_without_positive rows_positive rows_negative".split()
+COUNTERS = f"""{OUTLINE}, wf AS (SELECT doc_id, source AS repo, source||'/'||lang||'/'||doc_id AS path FROM documents WHERE doc_id % 6 > 0 AND doc_id % 5 > 1),
+fn AS (SELECT repo, count(*) AS files, count(*) FILTER (doc_id % 13 = 0) AS outline_errors FROM wf GROUP BY 1), n AS (SELECT s.repo, count(*) AS symbols_total, least(count(*), 30) AS symbols_sampled FROM symbols s JOIN wf USING (path) GROUP BY 1),
+lb AS (SELECT doc_id, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM labels GROUP BY 1),
+gq AS (SELECT source AS repo, count(*) AS queries_generated, count(*) FILTER (doc_id % 5 = 0) AS filtered_early_exit, count(*) FILTER (doc_id % 5 = 1) AS filtered_fallback, count(*) FILTER (doc_id % 5 > 1 AND coalesce(pos, 0) > 0) AS queries_with_positive, count(*) FILTER (doc_id % 5 > 1 AND coalesce(pos, 0) = 0) AS queries_without_positive, coalesce(sum(pos), 0) AS rows_positive, coalesce(sum(neg), 0) AS rows_negative,
+ count(*) FILTER (doc_id % 3 = 0) AS t0, count(*) FILTER (doc_id % 3 > 0) AS t1 FROM documents LEFT JOIN lb USING (doc_id) GROUP BY 1),
+counters AS (SELECT repo, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in NUMBERS)}, coalesce(t0, 0) AS t0, coalesce(t1, 0) AS t1 FROM fn LEFT JOIN n USING (repo) LEFT JOIN gq USING (repo))"""
+TEMPLATES = "CASE WHEN t0 > 0 THEN 'define-en='||t0 ELSE '' END||CASE WHEN t0 > 0 AND t1 > 0 THEN ',' ELSE '' END||CASE WHEN t1 > 0 THEN 'words-en='||t1 ELSE '' END AS templates"
+
+
+def _source_path(k):
+    """A path for each document: some in a folder of others' code, some no source, some tests."""
+    return F.concat(F.col("source"), F.when(k % 6 == 0, "/vendor/").otherwise("/core/"), F.lit("d"), k.cast("string"), F.when(k % 5 == 0, ".txt").when(k % 5 == 1, "_test.go").otherwise(".rs"))
 
 
 def _counters(spark, sf):
-    docs = _t(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("query_id"))
-    routes = docs.select("query_id", F.when(F.col("query_id") % 5 == 0, "confidence").when(F.col("query_id") % 5 == 1, "fallback").otherwise("verify").alias("route"))
-    rows = _t(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("label")).join(docs, "query_id")
-    return gen.repo_counters(corpus.outline(_files(spark, sf)), docs, routes, rows)
+    k = F.col("doc_id")
+    rows = _t(spark, sf, "documents").select("doc_id", "source", F.concat_ws("/", "source", "lang", k.cast("string")).alias("old"), _source_path(k).alias("path"))
+    files = gen.source_files(rows.select("doc_id", F.col("source").alias("repo"), "path", "old"))
+    symbols = corpus.outline(_files(spark, sf)).join(files.select(F.col("old").alias("path"), F.col("path").alias("new")), "path").drop("path").withColumnRenamed("new", "path")
+    sampled = labels.sampled(symbols, 30, "7")
+    queries = rows.select(F.col("source").alias("repo"), F.col("doc_id").alias("query_id"), F.when(k % 3 == 0, "define-en").otherwise("words-en").alias("template"))
+    routes = queries.select("query_id", F.when(F.col("query_id") % 5 == 0, "confidence").when(F.col("query_id") % 5 == 1, "fallback").otherwise("verify").alias("route"))
+    labelled = _t(spark, sf, "labels").select(k.alias("query_id"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("label")).join(queries.select("repo", "query_id"), "query_id")
+    return gen.repo_counters(files, symbols, sampled, queries, routes, labelled, files.where(k % 13 == 0).select("repo", "path"))
 
 
-@query(f"WITH {COUNTERS} SELECT * FROM counters")
+def _told(df):
+    """A map of templates as text."""
+    return df.withColumn("templates", F.array_join(F.transform(F.map_entries("templates"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ","))
+
+
+@query(f"WITH {COUNTERS} SELECT repo, {', '.join(NUMBERS)}, {TEMPLATES} FROM counters")
 def repo_counters(spark, sf):
-    return _counters(spark, sf)
+    return _told(_counters(spark, sf))
 
 
-@query(f"WITH {COUNTERS} SELECT CASE WHEN repo IN ('src0', 'src1') THEN 'val' ELSE 'train' END AS split, count(*) AS repos, sum(symbols_total) AS symbols_total, sum(queries_generated) AS queries_generated, sum(filtered_early_exit) AS filtered_early_exit, sum(filtered_fallback) AS filtered_fallback, sum(queries_with_positive) AS queries_with_positive, sum(queries_without_positive) AS queries_without_positive, sum(rows_positive) AS rows_positive, sum(rows_negative) AS rows_negative FROM counters GROUP BY 1")
+@query(f"WITH {COUNTERS}, t AS (SELECT CASE WHEN repo IN ('src0', 'src1') THEN 'val' ELSE 'train' END AS split, count(*) AS repos, {', '.join(f'sum({c})::BIGINT AS {c}' for c in NUMBERS)}, sum(t0)::BIGINT AS t0, sum(t1)::BIGINT AS t1 FROM counters GROUP BY 1) SELECT split, repos, {', '.join(NUMBERS)}, {TEMPLATES} FROM t")
 def totals_by_split(spark, sf):
     counters = _counters(spark, sf)
-    return gen.totals_by_split(counters, counters.select("repo", F.when(F.col("repo").isin("src0", "src1"), "val").otherwise("train").alias("split")))
+    return _told(gen.totals_by_split(counters, counters.select("repo", F.when(F.col("repo").isin("src0", "src1"), "val").otherwise("train").alias("split"))))
 
 
 @query("""WITH s AS (SELECT source AS repo, source||'/'||lang||'/'||doc_id AS path, sha256(text) AS d FROM documents), b AS (SELECT repo, substr(md5(path), 1, 2) AS k, sha256(string_agg(path||':'||d, chr(10) ORDER BY path||':'||d)) AS part FROM s GROUP BY ALL), r AS (SELECT repo, sha256(string_agg(k||':'||part, chr(10) ORDER BY k)) AS digest FROM b GROUP BY 1), c AS (SELECT source AS repo, count(*) AS files FROM documents GROUP BY 1)
@@ -181,8 +202,11 @@ def licensed_repos(spark, sf):
 
 @query()
 def generated_rows(spark, sf):
-    """Training rows of all documents seen as files: retrieval within each source, labels from the symbol asked for."""
-    files = _files(spark, sf)
+    """Training rows of all documents seen as files: retrieval within each source, queries from the symbols of source files, labels from the symbol asked for."""
+    docs = _t(spark, sf, "documents")
+    paths = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), _source_path(F.col("doc_id")).alias("new"))
+    moved = lambda df: df.join(paths, "path").drop("path").withColumnRenamed("new", "path")
+    files = moved(_files(spark, sf))
     repos = files.groupBy("repo").agg(F.min("lang").alias("lang")).withColumn("split", F.when(F.col("repo").isin("src0", "src1"), "val").otherwise("train"))
-    rows, _ = gen.generate_training_rows(files, _sections(spark, sf), repos, max_queries=40)
+    rows, _ = gen.generate_training_rows(cut(files), cut(moved(_sections(spark, sf))), repos)
     return rows.select("id", "repo", "split", "query", "template", "rank", "kind", "label", "state", "gold")
