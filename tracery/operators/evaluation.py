@@ -41,6 +41,23 @@ def hit_at_k(ranked: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFra
     return queries.select("query_id").join(first, "query_id", "left").select("query_id", "file_rank", F.coalesce(rank <= 1, F.lit(False)).alias("hit_1"), F.coalesce(rank <= 3, F.lit(False)).alias("hit_3"), rank.isNotNull().alias("hit_any"))
 
 
+def naive_search(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, path, n, rank): what a plain search finds by hand: lines that hold the whole query or one of its words, whatever the case, files ranked by how many such lines a word.
+
+    A word that repeats in a query is searched once, and one that several queries have once for
+    all of them: lines are counted by word and file before they meet the queries.
+    """
+    from .retrieval import substring_hits
+
+    words = F.array_distinct(F.filter(F.concat(F.array(F.trim(F.lower("text"))), F.split(F.lower("text"), r"\s+")), lambda w: w != ""))
+    asked = queries.select("query_id", F.explode(words).alias("pattern"))
+    low = lines.select("path", F.lower("line").alias("line"))
+    found = substring_hits(low, asked.select(F.lit(0).alias("query_id"), "pattern").distinct())
+    counts = found.groupBy("pattern", "path").agg(F.count("*").alias("n"))
+    by = asked.join(counts, "pattern").groupBy("query_id", "path").agg(F.sum("n").alias("n"))
+    return by.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path")))
+
+
 def files_by_hits(hits: DataFrame) -> DataFrame:
     """(query_id, path, n, rank): files by how often a plain search hits them."""
     by = hits.groupBy("query_id", "path").agg(F.count("*").alias("n"))

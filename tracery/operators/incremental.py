@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change) of two tables (path, digest): added, deleted or modified."""
@@ -64,8 +66,6 @@ def conversation_budget(turns: DataFrame, budget: int) -> DataFrame:
 
 def path_trace(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, hops) reachable from start (node) over edges (src, dst) in at most depth hops, each at its least; lineage is cut at every hop."""
-    from ..sources.scratch import cut
-
     seen = start.select("node", F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -75,6 +75,62 @@ def path_trace(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _grown(frontier: DataFrame, edges: DataFrame, seen: DataFrame, hop: int) -> DataFrame:
+    """(pair, came, node, hops): all links by which a frontier (pair, node) reaches nodes that its pair has not seen."""
+    steps = frontier.join(edges, frontier.node == edges.src).select("pair", F.col("node").alias("came"), F.col("dst").alias("node")).distinct()
+    return cut(steps.join(seen, ["pair", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+
+
+def path_between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(pair, hops, path) of pairs (pair, src, dst) joined by a path of at most depth edges (src, dst): the shortest, of these the first by its nodes.
+
+    All pairs search at once, from both ends in turn, each side keeping the links that it came
+    by; a pair stops where its sides meet, so that each side goes half the way. The links on
+    shortest paths are then marked from the nodes met, and one path is read along them. Lineage
+    is cut at every hop. A node is joined to itself by no edge.
+    """
+    edges = edges.select("src", "dst").distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    sides = []
+    for end, graph in (("src", edges), ("dst", back)):
+        first = pairs.select("pair", F.col(end).alias("node")).distinct()
+        sides.append({"graph": graph, "seen": first.withColumn("hops", F.lit(0)), "front": first, "links": []})
+    met = None
+    for step in range(depth + 1):
+        # a pair meets first where its sides' hops add up to the least
+        a, b = (s["seen"].withColumnRenamed("hops", h) for s, h in zip(sides, ("there", "back"), strict=True))
+        now = a.join(b, ["pair", "node"])
+        now = cut(now if met is None else now.join(met.select("pair").distinct(), "pair", "left_anti"))
+        met = now if met is None else met.unionByName(now)
+        if step == depth:
+            break
+        side = sides[step % 2]
+        front = side["front"].join(met.select("pair").distinct(), "pair", "left_anti")
+        links = _grown(front, side["graph"], side["seen"].select("pair", "node"), len(side["links"]) + 1)
+        side["links"].append(links)
+        side["front"] = links.select("pair", "node").distinct()
+        side["seen"] = side["seen"].unionByName(links.select("pair", "node", "hops").distinct())
+    met = cut(met)
+    on = []
+    for side, hops in zip(sides, ("there", "back"), strict=True):
+        marked = met.select("pair", "node", F.col(hops).alias("hops"))
+        for hop in range(len(side["links"]), 0, -1):
+            own = cut(side["links"][hop - 1].join(marked.where(F.col("hops") == hop), ["pair", "node", "hops"], "left_semi"))
+            on.append(own.select("pair", "came", "node") if side is sides[0] else own.select("pair", F.col("node").alias("came"), F.col("came").alias("node")))
+            marked = marked.where(F.col("hops") < hop).unionByName(own.select("pair", F.col("came").alias("node"), F.lit(hop - 1).alias("hops"))).distinct()
+    hops = met.groupBy("pair").agg(F.min(F.col("there") + F.col("back")).alias("hops"))
+    rows = pairs.join(hops, "pair").select("pair", "hops", F.col("src").alias("node"), F.array("src").alias("path"))
+    if not on:
+        return rows.select("pair", "hops", "path")
+    links = on[0]
+    for more in on[1:]:
+        links = links.unionByName(more)
+    following = cut(links.groupBy("pair", F.col("came").alias("node")).agg(F.min("node").alias("next")))
+    for _ in range(depth):
+        rows = cut(rows.join(following, ["pair", "node"], "left").select("pair", "hops", F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path")))
+    return rows.select("pair", "hops", "path")
+
+
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; a struct minimum combines before the shuffle, so hot keys cost nothing."""
     others = [c for c in rows.columns if c not in key and c not in order]
@@ -141,10 +197,31 @@ def written_through(old: DataFrame, new: DataFrame, schema_version: int, budget:
 
 
 def write_cache(entries: DataFrame, path: str) -> None:
-    """Cache rows, a folder a version."""
+    """Cache rows as a whole, a folder a version; ``upsert`` replaces single keys."""
     entries.write.partitionBy("schema_version").mode("overwrite").parquet(path)
 
 
+def upsert(rows: DataFrame, path: str, key: list[str], order: list[str], buckets: int = 256) -> None:
+    """Puts rows into a table at path, a folder for each of a number of buckets of keys: of a key the row of the greatest order stays.
+
+    Only the folders of the keys that came are read and written anew, from a table apart, so
+    that a run that fails can be run again, with the same result; the others keep their files.
+    Columns that an older table lacks are null there, and the other way round.
+    """
+    spark = rows.sparkSession
+    new = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = spark.read.parquet(path).where(F.col("bucket").isin(touched)).unionByName(new, allowMissingColumns=True)
+    rest = [c for c in new.columns if c not in (*key, "bucket")]
+    best = new.groupBy("bucket", *key).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("row")).select(*key, "row.*", "bucket")
+    # a folder is one task's
+    cut(best).repartition(min(len(touched), buckets), "bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, n) of a graph of nodes (node, label) and edges (src, dst, type): nodes by label, edges by type, edges that reach each Package, and Functions that nothing calls."""
     labels = nodes.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n")

@@ -260,6 +260,25 @@ def location_subtypes(scored: DataFrame, findings: DataFrame) -> DataFrame:
     return rows.groupBy("stage").agg(*(F.count_if(F.col("hallucination") == x).alias(x) for x in ("range_outside_file", "misaligned_snippet")))
 
 
+#: What a judge tells of itself: kinds that are counted, and numbers.
+JUDGE_KINDS = ("judge_mode", "fallback_mode", "judge_outcome", "shadow_agreement")
+JUDGE_NUMBERS = ("judge_ms", "judge_candidates", "judge_selected", "judge_max_p")
+
+
+def judge_report(rows: DataFrame) -> DataFrame:
+    """(metric, value): how often each mode, fallback, outcome and agreement of a judge was told, the distributions of its numbers, and the share of its selections that met the model's.
+
+    What no row tells has no metric, which is not 0: a run without a judge reports nothing.
+    """
+    kinds = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("x")) for c in JUDGE_KINDS))).alias("k")).select("k.*").where("x is not null")
+    counted = kinds.groupBy("name", "x").agg(F.count("*").cast("double").alias("value")).select(F.concat_ws(".", "name", "x").alias("metric"), "value")
+    numbers = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in JUDGE_NUMBERS))).alias("k")).select("k.*").where("x is not null")
+    by = distribution(numbers, ["name"], "x").withColumn("n", F.col("n").cast("double"))
+    spread = by.select("name", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in ("n", "mean", "p50", "p95")))).alias("v")).select(F.concat_ws(".", "name", "v.m").alias("metric"), "v.value")
+    rate = judge_agreement(rows).where("rate is not null").select(F.lit("shadow_agreement_rate").alias("metric"), F.col("rate").alias("value"))
+    return counted.unionByName(spread).unionByName(rate)
+
+
 def judge_agreement(rows: DataFrame) -> DataFrame:
     """One row: how often a judge's selection (shadow_agreement: exact, overlap, disjoint) met the model's; null if it never ran."""
     n = lambda x: F.count_if(F.col("shadow_agreement") == x)
@@ -305,9 +324,29 @@ def promoted(agreement: DataFrame, errors: DataFrame, least: float = 0.8) -> Dat
     return agreement.select("rate").crossJoin(F.broadcast(errors.select("n"))).select("rate", F.col("n").alias("errors"), (F.coalesce(F.col("rate") >= least, F.lit(False)) & (F.col("n") == 0)).alias("promoted"))
 
 
+# The columns of the metrics file, in their order.
+METRICS_COLUMNS = """run_id repo pass query_id cat stage early_exit_route llm_calls tokens prompt_tokens completion_tokens reasoning_tokens
+cache_read_tokens cache_write_tokens cost_usd latency_ms total_ms confidence candidate_count brief_tokens orientation_calls_in_loop cache_layer
+turns_saved_by_cache tokens_saved_by_cache cited_candidate_ids judge_mode fallback_mode judge_outcome judge_ms judge_candidates judge_selected
+judge_max_p shadow_agreement""".split()
+
+
+def metrics_rows(rows: DataFrame) -> DataFrame:
+    """Rows with the columns of the metrics file alone, as text and in their order: what is missing is empty, costs have six digits, lists are joined by a blank."""
+    kinds = dict(rows.dtypes)
+
+    def text(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("")
+        x = F.format_string("%.6f", F.col(c).cast("double")) if c == "cost_usd" else F.array_join(F.col(c).cast("array<string>"), " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+        return F.when(F.col(c).isNull(), "").otherwise(x)
+
+    return rows.select(*(text(c).alias(c) for c in METRICS_COLUMNS))
+
+
 def write_metrics_csv(rows: DataFrame, report: DataFrame, path: str) -> None:
-    """Two CSV folders with headers: a row a run, and metric,value."""
-    rows.write.option("header", True).mode("overwrite").csv(f"{path}/runs")
+    """Two CSV folders with headers: a row a run with the fixed columns, and metric,value."""
+    metrics_rows(rows).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(f"{path}/runs")
     report.select("metric", "value").write.option("header", True).mode("overwrite").csv(f"{path}/aggregate")
 
 

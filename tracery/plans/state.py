@@ -128,10 +128,23 @@ def overlapping_findings(spark, sf):
     return retrieval.legs_overlap(rows.select("query_id", "path", "line_start", "line_end", "rank"), spans).select("query_id", "path", "rank")
 
 
-@query("""WITH h AS (SELECT user_id % 10 AS query_id, event_type AS path, count(*) AS n FROM events GROUP BY ALL) SELECT query_id, path, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, path) AS rank FROM h""")
+@query(f"""WITH {LINES}, i AS (SELECT item_id AS query_id, lower(text) AS t FROM benchmark), w AS (SELECT DISTINCT query_id, unnest([trim(t)] || string_split_regex(t, '\\s+')) AS word FROM i),
+c AS (SELECT word, path, count(*) AS n FROM (SELECT DISTINCT word FROM w WHERE word <> '') JOIN lines ON contains(lower(line), word) GROUP BY 1, 2),
+h AS (SELECT query_id, path, sum(n)::BIGINT AS n FROM w JOIN c USING (word) GROUP BY 1, 2) SELECT query_id, path, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, path) AS rank FROM h""")
 def naive_baseline(spark, sf):
-    hits = _t(spark, sf, "events").select((F.col("user_id") % 10).alias("query_id"), F.col("event_type").alias("path"))
-    return evaluation.files_by_hits(hits)
+    return evaluation.naive_search(_lines(spark, sf), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+JUDGED_EVENTS = "je AS (SELECT CASE event_id % 7 WHEN 0 THEN 'shadow' WHEN 1 THEN 'active' END AS judge_mode, CASE WHEN event_id % 11 = 0 THEN 'offline' END AS fallback_mode, event_type AS judge_outcome, CASE event_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'overlap' WHEN 2 THEN 'disjoint' END AS shadow_agreement, value AS judge_ms, event_id % 12 AS judge_candidates, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS judge_selected, NULL::DOUBLE AS judge_max_p FROM events)"
+_KINDS = " UNION ALL ".join(f"SELECT '{c}.'||{c} AS metric, count(*)::DOUBLE AS value FROM je WHERE {c} IS NOT NULL GROUP BY 1" for c in run_ops.JUDGE_KINDS)
+_NUMBERS = " UNION ALL ".join(f"SELECT '{c}.'||m, v FROM (SELECT unnest(['n', 'mean', 'p50', 'p95']) AS m, unnest([count({c})::DOUBLE, avg({c}), quantile_disc({c}, 0.5)::DOUBLE, quantile_disc({c}, 0.95)::DOUBLE]) AS v FROM je HAVING count({c}) > 0)" for c in run_ops.JUDGE_NUMBERS)
+
+
+@query(f"WITH {JUDGED_EVENTS} SELECT metric, round(value, 6) AS value FROM ({_KINDS} UNION ALL {_NUMBERS} UNION ALL SELECT 'shadow_agreement_rate', count(*) FILTER (shadow_agreement IN ('exact', 'overlap')) / count(shadow_agreement)::DOUBLE FROM je)")
+def judge_report(spark, sf):
+    k = F.col("event_id")
+    rows = _t(spark, sf, "events").select(F.when(k % 7 == 0, "shadow").when(k % 7 == 1, "active").alias("judge_mode"), F.when(k % 11 == 0, "offline").alias("fallback_mode"), F.col("event_type").alias("judge_outcome"), F.when(k % 5 == 0, "exact").when(k % 5 == 1, "overlap").when(k % 5 == 2, "disjoint").alias("shadow_agreement"), F.col("value").alias("judge_ms"), (k % 12).alias("judge_candidates"), F.when(k % 3 > 0, k % 5).alias("judge_selected"), F.lit(None).cast("double").alias("judge_max_p"))
+    return run_ops.judge_report(rows).withColumn("value", F.round("value", 6))
 
 
 DEPS = """en AS (SELECT o_orderkey AS key, o_custkey % 7 AS repo, CASE WHEN o_orderkey % 3 = 0 THEN 's1' ELSE 's0' END AS snapshot FROM orders), sn AS (SELECT DISTINCT o_custkey % 7 AS repo, 's1' AS now FROM orders WHERE o_custkey % 7 < 6),
@@ -194,6 +207,23 @@ def _graph(spark, sf):
     return nodes, edges
 
 
+@query(f"""WITH RECURSIVE {GRAPH}, e AS (SELECT DISTINCT src, dst FROM edges UNION SELECT 'n'||n_nationkey, 'r'||n_regionkey FROM nation),
+p AS (SELECT 's'||s_suppkey||'>'||t AS pair, 's'||s_suppkey AS src, t AS dst FROM supplier, (SELECT 'n'||n_nationkey AS t FROM nation UNION ALL SELECT 'r'||r_regionkey FROM region) WHERE s_suppkey <= 10),
+w AS (SELECT DISTINCT src AS start, src AS node, [src] AS path FROM p UNION ALL SELECT start, dst, list_append(path, dst) FROM w JOIN e ON node = src WHERE len(path) < 4 AND NOT list_contains(path, dst)),
+f AS (SELECT pair, path, row_number() OVER (PARTITION BY pair ORDER BY len(path), path) AS n FROM p JOIN w ON start = src AND node = dst)
+SELECT pair, (len(path) - 1)::INT AS hops, array_to_string(path, '>') AS path FROM f WHERE n = 1""")
+def path_between(spark, sf):
+    _, edges = _graph(spark, sf)
+    nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    tag = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    edges = edges.select("src", "dst").union(nation.select(tag("n", "n_nationkey"), tag("r", "n_regionkey")))
+    ends = nation.select(tag("n", "n_nationkey").alias("dst")).union(region.select(tag("r", "r_regionkey")))
+    starts = _t(spark, sf, "supplier").where("s_suppkey <= 10").select(tag("s", "s_suppkey").alias("src"))
+    # the pairs asked for: ten nodes and the thirty that stand for places
+    pairs = starts.crossJoin(F.broadcast(ends)).select(F.concat_ws(">", "src", "dst").alias("pair"), "src", "dst")
+    return incremental.path_between(edges, pairs, 3).withColumn("path", F.array_join("path", ">"))
+
+
 @query(f"""WITH {GRAPH} SELECT 'label' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'fan_in', node, (SELECT count(*) FROM edges WHERE dst = node) FROM nodes WHERE label = 'Package' UNION ALL SELECT 'entry', node, 1 FROM nodes WHERE label = 'Function' AND node NOT IN (SELECT dst FROM edges WHERE type = 'CALLS')""")
 def architecture(spark, sf):
     return incremental.architecture(*_graph(spark, sf))
