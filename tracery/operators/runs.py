@@ -8,17 +8,20 @@ stage_expected), candidates (run_id, path, rank, kind), files (path, content).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from .evaluation import distribution, wilson
 from .ranges import quantiles
 
 # Fixed values.
 STAGES = ("early-exit", "verify", "fallback", "cache")
 MEMORY_LEGS = ("symbol", "semantic", "bm25")
-ELISION = r"(?i)^(\.\.\.|…)\s*(\(truncated\)|\[truncated\])?$"
-TRUNCATED = r"…\[truncated(?:[^\]]*)?\]\s*$"
+# What stands for lines left out, alone or with a word after it, and what ends a line that was cut.
+DOTS, SAYS, CUT_MARK = ("...", "…"), ("", "(truncated)", "[truncated]"), "…[truncated"
 
 
 def read_run_rows(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -63,6 +66,12 @@ def folded(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
+def left_out(line: Column) -> Column:
+    """Whether a line stands for others: dots, and no more than a word that says so."""
+    low = F.lower(line)
+    return F.exists(F.array(*map(F.lit, DOTS)), lambda d: F.startswith(low, d) & F.ltrim(F.substring(low, F.char_length(d) + 1, F.char_length(low))).isin(*SAYS))
+
+
 def snippet_chunks(snippet: Column) -> Column:
     """Quoted lines in runs that belong together: parted where the quote leaves lines out; a blank line in a run matches any."""
     lines = F.transform(F.split(snippet, r"\r?\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
@@ -70,11 +79,11 @@ def snippet_chunks(snippet: Column) -> Column:
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("now"))
 
     def step(a, t):
-        real = F.regexp_replace(F.regexp_replace(t, TRUNCATED, ""), r"\s+$", "")
+        real = F.regexp_replace(F.regexp_replace(t, re.escape(CUT_MARK) + r"[^\]]*\]\s*$", ""), r"\s+$", "")
         closed = F.struct(F.when(F.size(a.now) > 0, F.concat(a.done, F.array(a.now))).otherwise(a.done).alias("done"), none.alias("now"))
         blank = F.struct(a.done.alias("done"), F.when(F.size(a.now) > 0, F.concat(a.now, F.array(F.lit("")))).otherwise(a.now).alias("now"))
         more = F.struct(a.done.alias("done"), F.concat(a.now, F.array(F.regexp_replace(real, r"\s+", " "))).alias("now"))
-        return F.when(t == "", blank).when(t.rlike(ELISION) | (real == ""), closed).otherwise(more)
+        return F.when(t == "", blank).when(left_out(t) | (real == ""), closed).otherwise(more)
 
     return F.aggregate(lines, start, step, lambda a: F.when(F.size(a.now) > 0, F.concat(a.done, F.array(a.now))).otherwise(a.done))
 
@@ -119,35 +128,51 @@ def schema_valid(stage_exit: Column, confidence: Column) -> Column:
     return F.when(stage_exit.isNotNull() | confidence.isNotNull(), ok)
 
 
+def goals_by_path(targets: DataFrame) -> DataFrame:
+    """(query_id, path, primary, equivalent, distractor, n_primary, n_equivalent, spans) of targets: what a file is to a query; spans are those of its targets that have one."""
+    n = lambda role: F.count_if(F.col("role") == role)
+    span = F.when((F.col("role") != "distractor") & F.col("span_start").isNotNull(), F.struct("span_start", "span_end"))
+    by = targets.groupBy("query_id", "path").agg(n("primary").alias("n_primary"), n("equivalent").alias("n_equivalent"), (n("distractor") > 0).alias("distractor"), F.collect_set(span).alias("spans"))
+    return by.withColumns({"primary": F.col("n_primary") > 0, "equivalent": F.col("n_equivalent") > 0})
+
+
 def expected_matches(runs: DataFrame, findings: DataFrame, targets: DataFrame, specs: DataFrame) -> DataFrame:
     """(run_id, n_findings, file_hit_1, file_hit_3, file_hit_any, range_hit, recall, twin_confusion, dedupe_defect, is_negative, negative_ok) of every run."""
-    f = findings.withColumn("path", plain_path(F.col("path")))
-    files = f.groupBy("run_id", "path").agg(F.min("pos").alias("first"))
-    files = files.withColumn("file_rank", F.row_number().over(Window.partitionBy("run_id").orderBy("first", "path"))).join(runs.select("run_id", "query_id"), "run_id")
-    by_role = targets.groupBy("query_id", "path").agg(F.bool_or(F.col("role") == "primary").alias("primary"), F.bool_or(F.col("role") == "equivalent").alias("equivalent"), F.bool_or(F.col("role") == "distractor").alias("distractor"))
-    members = targets.where("role = 'equivalent'").groupBy("query_id", "path").agg(F.count("*").alias("members"))
+    return _matches(runs.join(specs.select("query_id", "primary_mode"), "query_id"), findings, goals_by_path(targets))
+
+
+def _matches(runs: DataFrame, findings: DataFrame, goals: DataFrame) -> DataFrame:
+    """The same of runs with their primary_mode: findings meet what their file is to the query, then are grouped by file and by run."""
+    f = findings.withColumn("path", plain_path(F.col("path"))).join(runs.select("run_id", "query_id"), "run_id").join(goals, ["query_id", "path"], "left")
+    start, end = F.col("line_start"), F.col("line_end")
+    in_range = F.exists("spans", lambda s: (start <= s.span_end) & (s.span_start <= end) & range_length_ok(start, end, s.span_start, s.span_end))
+    files = f.groupBy("run_id", "path").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.bool_or(F.coalesce(in_range, F.lit(False))).alias("in_range"), *(F.first(c).alias(c) for c in ("primary", "equivalent", "distractor", "n_equivalent")))
+    files = files.withColumn("file_rank", F.row_number().over(Window.partitionBy("run_id").orderBy("first", "path")))
     goal = F.col("primary") | F.col("equivalent")
-    seen = files.join(by_role, ["query_id", "path"]).join(members, ["query_id", "path"], "left")
-    hits = seen.groupBy("run_id").agg(F.min(F.when(goal, F.col("file_rank"))).alias("best"), F.count_if("primary").alias("primaries"), F.bool_or("distractor").alias("twin"), F.sum(F.coalesce("members", F.lit(0))).alias("members"))
-    spans = targets.where("role <> 'distractor' and span_start is not null")
-    ranges = f.where("line_start is not null and line_end is not null").join(runs.select("run_id", "query_id"), "run_id").join(spans.select("query_id", "path", "span_start", "span_end"), ["query_id", "path"])
-    ranges = ranges.where((F.col("line_start") <= F.col("span_end")) & (F.col("span_start") <= F.col("line_end")) & range_length_ok(F.col("line_start"), F.col("line_end"), F.col("span_start"), F.col("span_end"))).select("run_id").distinct().withColumn("range_hit", F.lit(True))
-    known = targets.groupBy("query_id").agg(F.count_if(F.col("role") == "primary").alias("n_primary"), F.count_if(F.col("role") == "equivalent").alias("n_equivalent"))
-    number = f.groupBy("run_id").agg(F.count("*").alias("n_findings"))
-    rows = runs.select("run_id", "query_id").join(specs.select("query_id", "primary_mode"), "query_id").join(known, "query_id", "left").join(hits, "run_id", "left").join(ranges, "run_id", "left").join(number, "run_id", "left")
+    hits = files.groupBy("run_id").agg(F.min(F.when(goal, F.col("file_rank"))).alias("best"), F.count_if("primary").alias("primaries"), F.bool_or("distractor").alias("twin"), F.sum("n_equivalent").alias("members"), F.bool_or("in_range").alias("range_hit"), F.sum("n").alias("n_findings"))
+    rows = runs.select("run_id", "query_id", "primary_mode").join(known_goals(goals), "query_id", "left").join(hits, "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     n, any_, negative = zero("n_findings"), F.col("best").isNotNull(), (zero("n_primary") == 0) & (zero("n_equivalent") == 0)
     recall = F.when((F.col("primary_mode") == "all") & (zero("n_primary") > 0), zero("primaries") / F.col("n_primary")).when(any_ | negative & (n == 0), 1.0).otherwise(0.0)
     return rows.select("run_id", n.alias("n_findings"), F.coalesce(F.col("best") == 1, F.lit(False)).alias("file_hit_1"), F.coalesce(F.col("best") <= 3, F.lit(False)).alias("file_hit_3"), any_.alias("file_hit_any"), F.coalesce("range_hit", F.lit(False)).alias("range_hit"), recall.alias("recall"), F.coalesce("twin", F.lit(False)).alias("twin_confusion"), (zero("members") >= 2).alias("dedupe_defect"), negative.alias("is_negative"), F.when(negative, F.when(n == 0, 1.0).otherwise(0.5)).alias("negative_ok"))
 
 
+def known_goals(goals: DataFrame) -> DataFrame:
+    """(query_id, n_primary, n_equivalent) of all targets of a query."""
+    return goals.groupBy("query_id").agg(F.sum("n_primary").alias("n_primary"), F.sum("n_equivalent").alias("n_equivalent"))
+
+
 def candidate_recall(runs: DataFrame, candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """(run_id, cand_recall, cand_rank, cand_kind): whether a target was among the candidates, its best rank and kind; null without targets or candidates."""
-    goals = targets.where("role <> 'distractor'").select("query_id", "path").distinct()
+    return _recalled(runs, candidates, goals_by_path(targets))
+
+
+def _recalled(runs: DataFrame, candidates: DataFrame, goals: DataFrame) -> DataFrame:
+    own = goals.where(F.col("primary") | F.col("equivalent"))
     c = candidates.withColumn("path", plain_path(F.col("path"))).join(runs.select("run_id", "query_id"), "run_id")
-    listed = c.select("run_id").distinct().join(runs.select("run_id", "query_id"), "run_id").join(goals.select("query_id").distinct(), "query_id", "left_semi")
-    best = c.join(goals, ["query_id", "path"]).groupBy("run_id").agg(F.min("rank").alias("cand_rank"), F.min_by("kind", F.struct("rank", "kind")).alias("cand_kind"))
-    return listed.select("run_id").join(best, "run_id", "left").withColumn("cand_recall", F.col("cand_rank").isNotNull())
+    c = c.join(own.select("query_id", "path", F.lit(True).alias("goal")), ["query_id", "path"], "left")
+    by = c.groupBy("run_id", "query_id").agg(F.min(F.when(F.col("goal"), F.col("rank"))).alias("cand_rank"), F.min_by(F.when(F.col("goal"), F.col("kind")), F.when(F.col("goal"), F.struct("rank", "kind"))).alias("cand_kind"))
+    return by.join(own.select("query_id").distinct(), "query_id", "left_semi").select("run_id", F.col("cand_rank").isNotNull().alias("cand_recall"), "cand_rank", "cand_kind")
 
 
 def attribution_class() -> Column:
@@ -167,9 +192,11 @@ def attribution_class() -> Column:
 
 def score_run(runs: DataFrame, findings: DataFrame, targets: DataFrame, specs: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Every run of a known query with its scores: hits, hallucinations, recall of candidates, stage checks and failure class. Findings of rows in error don't count."""
-    live = findings.join(runs.where("not is_error").select("run_id"), "run_id", "left_semi")
+    # runs with their query and what its files are, and findings that count, are written once for all that reads them
+    runs, goals = cut(runs.join(specs, "query_id")), cut(goals_by_path(targets))
+    live = cut(findings.join(runs.where("not is_error").select("run_id"), "run_id", "left_semi"))
     judged = scored_findings(live, files).groupBy("run_id").agg(F.bool_and("path_valid").alias("path_valid_all"), F.count("hallucination").alias("n_hallucinations"), F.count_if(F.col("hallucination").isin("fabricated_path", "fabricated_snippet")).alias("n_made_up"))
-    rows = runs.join(specs, "query_id").join(expected_matches(runs, live, targets, specs), "run_id").join(candidate_recall(runs, candidates, targets), "run_id", "left").join(judged, "run_id", "left")
+    rows = runs.join(_matches(runs, live, goals), "run_id").join(_recalled(runs, candidates, goals), "run_id", "left").join(judged, "run_id", "left")
     rows = rows.withColumns({"path_valid_all": F.coalesce("path_valid_all", F.lit(True)), "n_hallucinations": F.coalesce("n_hallucinations", F.lit(0)), "n_made_up": F.coalesce("n_made_up", F.lit(0))})
     return rows.withColumns({
         "hallucinated": F.col("n_hallucinations") > 0,

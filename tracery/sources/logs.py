@@ -2,47 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The escape sequences of terminals, the request in a line, what names a line, and its fields.
+# The escape sequences of terminals, the request in a line, and the messages by which a line is known, each with its kind; where a word goes on, those in WHOLE aren't met.
 ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
-REQUEST = r"explore\{req_id=([0-9a-f]+)-(\d+)\}:"
-KINDS = {
-    "cache": r"exploration served from query cache",
-    "complete": r"exploration complete\b",
-    "retrieval_complete": r"retrieval pre-stage complete\b",
-    "retrieval_patterns": r"retrieval patterns\b",
-    "leg_done": r"retrieval leg done\b",
-    "leg_failed": r"retrieval leg failed\b",
-    "candidates": r"retrieval candidates\b",
-    "index_status": r"index status\b",
-    "provider_call": r"provider call(?!\s+(?:succeeded|failed))",
-    "verify_action": r"verify action\b",
-    "fallback_turn": r"fallback turn\b",
-    "escalated": r"verification escalated to the fallback loop",
-    "exploration_failed": r"exploration failed\b",
-    "early_exit_fallthrough": r"early-exit produced no filesystem-verified candidate; falling through to verification",
-    "early_exit_dropped": r"early-exit dropped an unverifiable candidate",
+REQUEST = r"explore\{req_id=[0-9a-f]+-\d+\}:"
+MESSAGES = {
+    "exploration served from query cache": "cache",
+    "exploration complete": "complete",
+    "retrieval pre-stage complete": "retrieval_complete",
+    "retrieval patterns": "retrieval_patterns",
+    "retrieval leg done": "leg_done",
+    "retrieval leg failed": "leg_failed",
+    "retrieval candidates": "candidates",
+    "index status": "index_status",
+    "provider call": "provider_call",
+    "verify action": "verify_action",
+    "fallback turn": "fallback_turn",
+    "verification escalated to the fallback loop": "escalated",
+    "exploration failed": "exploration_failed",
+    "early-exit produced no filesystem-verified candidate; falling through to verification": "early_exit_fallthrough",
+    "early-exit dropped an unverifiable candidate": "early_exit_dropped",
 }
-FIELD = r'(\w+)=("(?:[^"\\]|\\.)*"|\[.*?\]|\{.*?\}|\S+)'
+WHOLE = ("complete", "retrieval_complete", "retrieval_patterns", "leg_done", "leg_failed", "candidates", "index_status", "verify_action", "fallback_turn", "exploration_failed")
+#: How a provider's call ended is told in lines of their own, which are of no kind.
+OUTCOMES = r"provider call\s+(?:succeeded|failed)"
+#: A name and its value: text in quotes with escapes, a list, an object, or what comes before the next blank.
+QUOTED, LISTED, OBJECT, BARE = r'"(?:\\.|[^"\\])*"', r"\[[^\]]*\]", r"\{[^}]*\}", r"\S+"
+PAIR = rf"\w+=(?:{QUOTED}|{LISTED}|{OBJECT}|{BARE})"
 
 
 def line_kind(line: Column) -> Column:
-    """The first kind whose message the line has; null for other lines."""
-    out = None
-    for kind, pattern in KINDS.items():
-        out = F.when(line.rlike(pattern), kind) if out is None else out.when(line.rlike(pattern), kind)
-    return out
+    """The first kind, in the order of MESSAGES, whose message the line has; null for other lines. One pass finds all messages of a line."""
+    any_ = "|".join([OUTCOMES, *(re.escape(m).replace(r"\ ", " ") + (r"\b" if k in WHOLE else "") for m, k in MESSAGES.items())])
+    found = F.regexp_extract_all(line, F.lit(f"({any_})"), F.lit(1))
+    place = F.array_min(F.transform(found, lambda m: F.nullif(F.array_position(F.array(*map(F.lit, MESSAGES)), m), F.lit(0))))
+    return F.get(F.array(*map(F.lit, MESSAGES.values())), (place - 1).cast("int"))
 
 
 def fields(line: Column) -> Column:
-    """map of the key=value pairs, of a repeated key the last; quotes around values are off."""
-    names, values = (F.regexp_extract_all(line, F.lit(FIELD), F.lit(i)) for i in (1, 2))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y.k == x.k))
-    bare = F.transform(last, lambda x: F.struct(x.k.alias("key"), F.when(x.v.rlike(r'^".*"$') & (F.char_length(x.v) >= 2), F.substring(x.v, F.lit(2), F.char_length(x.v) - 2)).otherwise(x.v).alias("value")))
-    return F.map_from_entries(bare)
+    """map of the name=value pairs, of a repeated name the last; quotes around values are off."""
+    pairs = F.reverse(F.regexp_extract_all(line, F.lit(f"({PAIR})"), F.lit(1)))
+    names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    raw = F.transform(pairs, lambda p: F.substring(p, F.char_length(F.substring_index(p, "=", 1)) + 2, F.char_length(p)))
+    values = F.transform(raw, lambda v: F.when(v.rlike(r'^".*"$') & (F.char_length(v) >= 2), F.substring(v, F.lit(2), F.char_length(v) - 2)).otherwise(v))
+    known = F.array_distinct(names)
+    return F.map_from_arrays(known, F.transform(known, lambda k: F.element_at(values, F.array_position(names, k).cast("int"))))
 
 
 def value_kind(raw: Column) -> Column:
@@ -52,10 +60,13 @@ def value_kind(raw: Column) -> Column:
 
 def log_events(lines: DataFrame) -> DataFrame:
     """(process, request, kind, f, line, ..): lines (line, and any others) that belong to a request and have a known message, with their fields."""
-    rows = lines.withColumn("line", F.regexp_replace("line", ANSI, ""))
-    rows = rows.withColumns({"kind": line_kind(F.col("line")), "process": F.regexp_extract("line", REQUEST, 1), "request": F.regexp_extract("line", REQUEST, 2).try_cast("long")})
-    known = rows.where("kind is not null and request is not null")
-    return known.withColumn("f", fields(F.regexp_replace("line", REQUEST, "")))
+    # a row of one element is a border that filters don't cross: what is found in a line is found once
+    once = lambda df, x, name: df.withColumn(name, F.explode(F.array(x)))
+    rows = once(lines, F.regexp_replace("line", ANSI, ""), "line")
+    marked = once(rows, F.struct(line_kind(F.col("line")).alias("kind"), F.regexp_extract("line", REQUEST, 0).alias("request")), "_m").where("_m.kind is not null and _m.request <> ''")
+    key = F.substring_index(F.substring_index(F.col("_m.request"), "}", 1), "=", -1)
+    named = marked.withColumns({"kind": F.col("_m.kind"), "process": F.substring_index(key, "-", 1), "request": F.substring_index(key, "-", -1).try_cast("long")})
+    return named.where("request is not null").withColumn("f", fields(F.replace(F.col("line"), F.col("_m.request"), F.lit("")))).drop("_m")
 
 
 def request_fields() -> list[Column]:
