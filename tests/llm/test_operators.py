@@ -230,6 +230,56 @@ def test_op3_common_passages_repeated_and_missing_ids(spark, monkeypatch, most):
     assert sorted(x[1] for x in got if x[0] is None) == sorted(t or "" for _, t in lost)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_op3_searches_runs_in_rounds(monkeypatch, rounds):
+    monkeypatch.setattr(substrings, "ROUNDS", rounds)
+    rng = random.Random(13)
+    runs = []
+    for anchor in range(12):
+        base = [anchor * 50 + rng.randrange(6) for _ in range(50)]
+        for _ in range(rng.choice([1, 2, 9])):
+            words = [x if rng.random() > 0.02 else anchor * 50 + 9 for x in base][rng.randrange(5) : rng.choice([25, 40, 50])]
+            runs.append((anchor, rng.randrange(30), rng.randrange(200), words + words[:22] if rng.random() < 0.2 else words))
+    runs = [(a, d, s, w[:60]) for a, d, s, w in runs if len(w) >= 20]
+    rng.shuffle(runs)
+    data = [b"".join(int(x).to_bytes(substrings.WIDTH, "little") for x in w) for *_, w in runs]
+    anchor, doc, start = (np.array([r[i] for r in runs]) for i in range(3))
+    got = substrings._searched(anchor, doc, start, data, 20)
+    first = {}
+    for _, d, s, w in runs:
+        for i in range(len(w) - 19):
+            q = tuple(w[i : i + 20])
+            first[q] = min(first.get(q, (d, s + i)), (d, s + i))
+    want = [sum(((d, s + i) > first[tuple(w[i : i + 20])]) << i for i in range(len(w) - 19)) for _, d, s, w in runs]
+    assert got.tolist() == want and any(want)
+
+
+def test_op3_streams_copies_against_an_index_without_them(monkeypatch):
+    seen = []
+
+    class Spy(fm_index.FMIndex):
+        def __init__(self, text, depth, places):
+            super().__init__(text, depth, places)
+            self.places = set(places.tolist())
+
+        def statistics(self, streams, ends, lengths):
+            seen.append((self.n, len(lengths)))
+            return super().statistics(streams, ends, lengths)
+
+    monkeypatch.setattr(substrings, "FMIndex", Spy)
+    data = [b"".join(int(x).to_bytes(substrings.WIDTH, "little") for x in range(26))] * 1000
+    got = substrings._searched(np.zeros(1000, np.int64), np.arange(1000), np.zeros(1000, np.int64), data, 20)
+    # one run is indexed, and all thousand are read against it
+    assert seen == [(27, 1000)] and got[0] == 0 and (got[1:] == 127).all()
+
+
+def test_op7_every_image_counts_in_the_feature(spark):
+    long = "a" * (jpeg.ROW * jpeg.ROWS) + "b" * 5000
+    docs = spark.createDataFrame([(1, long), (2, long[:-3000] + "\x7f" * 3000), (3, long)], "doc_id long, text string")
+    got = by_id(jpeg.stored_features(docs))
+    assert got[1].feature == got[3].feature != got[2].feature
+
+
 def test_fm_index_statistics_of_other_texts():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 4, 400)

@@ -382,6 +382,12 @@ def average_hash(pixels: np.ndarray) -> str:
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 
+def joint_hash(images: list) -> str:
+    """The average hash of one image; of several, that of the first and a digest of all of theirs, so that each image counts."""
+    each = [average_hash(p) for _, p in images]
+    return each[0] if len(each) == 1 else f"{each[0]}{hashlib.sha256(''.join(each).encode()).hexdigest()[:16]}"
+
+
 def media_columns(files: DataFrame, key: str, data: str) -> DataFrame:
     """(key, width, height, n_images, thumb_hash, thumb_sha256) of binary files; a null, empty or unreadable one has nulls (n_images 0), and spoils no other. Keys may repeat or be null."""
     kind = files.schema[key].dataType.simpleString()
@@ -391,7 +397,7 @@ def media_columns(files: DataFrame, key: str, data: str) -> DataFrame:
             rows = []
             read = thumbnails([x or b"" for x in batch.column(1).to_pylist()], strict=False)
             for k, got in zip(batch.column(0).to_pylist(), read, strict=True):
-                rows.append((k, got[0][0].width, got[0][0].height, len(got), average_hash(got[0][1]), hashlib.sha256(b"".join(p.tobytes() for _, p in got)).hexdigest()) if got else (k, None, None, 0, None, None))
+                rows.append((k, got[0][0].width, got[0][0].height, len(got), joint_hash(got), hashlib.sha256(b"".join(p.tobytes() for _, p in got)).hexdigest()) if got else (k, None, None, 0, None, None))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["key", "width", "height", "n_images", "thumb_hash", "thumb_sha256"])
 
@@ -438,7 +444,7 @@ def stored_features(docs: DataFrame) -> DataFrame:
                 for x, got in zip(media, thumbnails(media), strict=True):
                     payload = b"".join(p.tobytes() for _, p in got)
                     image = got[0][0]
-                    for c, v in zip(cols, (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), f"{image.width}x{image.height}x{len(got)}:{average_hash(got[0][1])}"), strict=True):
+                    for c, v in zip(cols, (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), f"{image.width}x{image.height}x{len(got)}:{joint_hash(got)}"), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(size, pa.int64()), *(pa.array(c) for c in cols)], names)
 

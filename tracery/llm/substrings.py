@@ -18,6 +18,8 @@ PLACE = np.uint64(28)
 WIDTH = 5
 #: Words that one index holds at least (anchors that follow one another share an index), and places of one anchor above which its windows are told apart by digests instead.
 SHARD, MOST = 300_000, 4_000
+#: Rounds in which a shard's runs are searched for in the earliest of their anchor, before the rest is indexed together.
+ROUNDS = 4
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -111,34 +113,50 @@ def _numbers(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _searched(doc: np.ndarray, start: np.ndarray, parts: list[bytes], window: int) -> np.ndarray:
+def _laid(symbols: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs one after another, a 0 after each, and the end of each."""
+    ends = np.cumsum(n + 1) - 1
+    text = np.zeros(int(n.sum()) + len(n), np.int64)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    text[np.repeat(ends - n, n) + step] = symbols[np.repeat(begin, n) + step]
+    return text, ends
+
+
+def _searched(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: list[bytes], window: int) -> np.ndarray:
     """Of runs with their places: bits of the windows whose words also occur at an earlier place.
 
-    Each distinct run is indexed once, at its first place. Every document's runs are then searched
-    for in the index: the interval that a window matches knows the earliest place of its words.
+    In rounds, the earliest open run of each anchor is indexed, and all open runs are streamed
+    against it as symbols: a window that matches an interval with an earlier place is late. A run
+    is open until it was indexed or all its windows are late, so each is searched for in all
+    earlier ones that tell more. What is open after ROUNDS is indexed at once. Only the intervals
+    of the search say what is equal.
     """
-    known: dict[bytes, int] = {}
-    own = np.array([known.setdefault(x, len(known)) for x in parts])
+    n = np.array([len(x) // WIDTH for x in parts])
+    begin, many = np.cumsum(n) - n, n - window + 1
+    _, ids = np.unique(_numbers(b"".join(parts)), return_inverse=True)
     _, rank = np.unique(doc, return_inverse=True)
     place = (rank.astype(np.int64) << 32) + start
-    lead = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(lead, own, place)
-    n = np.array([len(x) // WIDTH for x in known])
-    _, ids = np.unique(_numbers(b"".join(known)), return_inverse=True)
-    text = np.zeros(int(n.sum()) + len(n), np.int64)
-    ends = np.cumsum(n + 1) - 1
-    text[np.repeat(ends - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = ids + 1
-    index = FMIndex(text, window, np.repeat(lead - (ends - n), n + 1) + np.arange(len(text)))
-    least = np.zeros(len(text), np.int64)
-    for _, at, block in index.statistics(text, ends, n):
-        least[at] = index.least[block]
-    # windows of every run, against the earliest place of the words at that distance in its text
-    many = n[own] - window + 1
-    row = np.repeat(np.arange(len(own)), many)
-    shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    late = least[(ends - n)[own][row] + shift] < place[row] + shift
-    mask = np.zeros(len(own), np.int64)
-    np.bitwise_or.at(mask, row[late], np.int64(1) << shift[late])
+    mask, full = np.zeros(len(n), np.int64), (np.int64(1) << many) - 1
+    left = np.lexsort((place, anchor))
+    for step in range(ROUNDS + 1):
+        new = np.concatenate([[True], anchor[left][1:] != anchor[left][:-1]]) | (step == ROUNDS)
+        heads = left[new]
+        text, ends = _laid(ids + 1, begin[heads], n[heads])
+        known, text = np.unique(text, return_inverse=True)
+        index = FMIndex(text, window, np.repeat(place[heads] - (ends - n[heads]), n[heads] + 1) + np.arange(len(text)))
+        number = np.zeros(int(ids.max()) + 2, np.int64)
+        number[known] = np.arange(len(known))
+        text, ends = _laid(number[ids + 1], begin[left], n[left])
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        for _, at, block in index.statistics(text, ends, n[left]):
+            least[at] = index.least[block]
+        row = np.repeat(np.arange(len(left)), many[left])
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(many[left]) - many[left], many[left])
+        late = least[(ends - n[left])[row] + shift] < place[left][row] + shift
+        np.bitwise_or.at(mask, left[row[late]], np.int64(1) << shift[late])
+        left = left[~new & (mask[left] != full[left])]
+        if not len(left):
+            break
     return mask
 
 
@@ -154,7 +172,7 @@ def repeated_runs(runs: DataFrame, window: int) -> DataFrame:
 
         def flush(cols):
             anchor, doc, t, start, data = cols
-            mask = _searched(doc, start, data, window)
+            mask = _searched(anchor, doc, start, data, window)
             hit = np.flatnonzero(mask)
             return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(t[hit]), pa.array(start[hit].astype(np.int32)), pa.array(mask[hit])], ["doc_id", "t", "start", "mask"])
 
