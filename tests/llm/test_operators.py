@@ -832,3 +832,17 @@ def test_pipeline_as_a_whole(spark, sf):
         blank = spark.createDataFrame([], base.schema)
         assert stage(spark, blank, path).count() == 0, name
     del empty
+
+
+def test_op1_slices_and_lanes_change_nothing(monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdeé ßΣ.,1") for _ in range(n)) for n in (0, 1, 7, 900, 5000)] + ["  . ", "x" * 2000]
+    letters = "abcdeéß"
+    table = langid.symbol_table(letters)
+    model = langid.Model(letters, ["p", "q"], [bytes(rng.choice([1, 2, 3]) for _ in range(300)), bytes(rng.choice([0, 4, 5]) for _ in range(80))])
+    whole = [langid.symbols(x, table).tolist() for x in texts]
+    bits = model.bits([np.array(x, np.uint8) for x in whole])
+    monkeypatch.setattr(langid, "SLICE", 3)
+    monkeypatch.setattr(langid, "LANES", 4)
+    assert [langid.symbols(x, table).tolist() for x in texts] == whole
+    assert np.allclose(model.bits([np.array(x, np.uint8) for x in whole]), bits)

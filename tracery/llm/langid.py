@@ -6,7 +6,6 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ ALPHABET = 64
 UNKNOWN = ALPHABET - 1
 #: A parse starts anew after so many symbols, so that long texts are parsed in parallel.
 BLOCK = 512
+#: Characters of a text read at once, and parses, by language and block, that go side by side.
+SLICE, LANES = 1 << 20, 1 << 20
 #: Bits of a letter by itself, and of one that the language's text lacks.
 LITERAL, ESCAPE = math.log2(ALPHABET), 12.0
 
@@ -28,18 +29,23 @@ def _letters() -> np.ndarray:
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """Symbols of a text: letters in lower case by the table, each run of anything else as one 0."""
-    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keep = s != 0
-    keep[1:] |= s[:-1] != 0
-    s = s[keep]
-    if s.dtype != np.uint8:
-        # six bits a symbol, the first ones lowest; a 0 within a code is no symbol
-        s = (s[:, None] >> np.arange(0, 30, 6)) & (ALPHABET - 1)
-        used = s != 0
-        used[:, 0] = True
-        s = s[used].astype(np.uint8)
-    return s
+    """Symbols of a text: letters in lower case by the table, each run of anything else as one 0; a long text is read slice by slice."""
+    low, parts, gap = text.lower(), [], True
+    for a in range(0, len(low), SLICE):
+        s = table[np.frombuffer(low[a : a + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = s != 0
+        keep[1:] |= s[:-1] != 0
+        keep[0] |= not gap
+        gap = bool(s[-1] == 0)
+        s = s[keep]
+        if s.dtype != np.uint8:
+            # six bits a symbol, the first ones lowest; a 0 within a code is no symbol
+            s = (s[:, None] >> np.arange(0, 30, 6)) & (ALPHABET - 1)
+            used = s != 0
+            used[:, 0] = True
+            s = s[used].astype(np.uint8)
+        parts.append(s)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
 def symbol_table(letters: str) -> np.ndarray:
@@ -152,28 +158,31 @@ class Model:
         flat = np.concatenate(seqs)
         start = np.cumsum(size) - size
         order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        state = np.repeat(roots[:, None], len(order), 1)
-        length = np.zeros(state.shape, np.int32)
-        total = np.zeros(state.shape, np.float32)
-        active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # blocks longer than the step
-        for step, k in enumerate(active.tolist()):
-            c = flat[start[:k] + step]
-            u = used[state[:, :k]]
-            bit = np.uint64(1) << c.astype(np.uint64)
-            on = (u & bit) != 0
-            to = target[first[state[:, :k]] + np.bitwise_count(u & (bit - np.uint64(1)))]
-            i, j = np.nonzero(~on)
-            new = lang[i, 0] + c[j]
-            to[i, j] = anew[new]
-            total[i, j] += cost[row[i, 0] + np.minimum(length[i, j], longest)] + lost[new]
-            length[:, :k] += 1
-            length[i, j] = begun[new]
-            state[:, :k] = to
-        total += cost[row + np.minimum(length, longest)]
         out = np.zeros((len(self.langs), len(seqs)))
-        for i in range(len(self.langs)):
-            out[i] = np.bincount(owner[order], total[i], len(seqs))
+        step = max(1, LANES // len(self.langs))
+        for a in range(0, len(order), step):
+            own = order[a : a + step]
+            begin, long = start[own], size[own]
+            state = np.repeat(roots[:, None], len(own), 1)
+            length = np.zeros(state.shape, np.int32)
+            total = np.zeros(state.shape, np.float32)
+            active = np.searchsorted(-long, -np.arange(int(long[0])), "left")  # blocks longer than the step
+            for at_symbol, k in enumerate(active.tolist()):
+                c = flat[begin[:k] + at_symbol]
+                u = used[state[:, :k]]
+                bit = np.uint64(1) << c.astype(np.uint64)
+                on = (u & bit) != 0
+                to = target[first[state[:, :k]] + np.bitwise_count(u & (bit - np.uint64(1)))]
+                i, j = np.nonzero(~on)
+                new = lang[i, 0] + c[j]
+                to[i, j] = anew[new]
+                total[i, j] += cost[row[i, 0] + np.minimum(length[i, j], longest)] + lost[new]
+                length[:, :k] += 1
+                length[i, j] = begun[new]
+                state[:, :k] = to
+            total += cost[row + np.minimum(length, longest)]
+            for i in range(len(self.langs)):
+                out[i] += np.bincount(owner[own], total[i], len(seqs))
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -216,20 +225,25 @@ def fit(docs: DataFrame, docs_per_lang: int = 200, symbols_per_lang: int = 40_00
     chars = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count().orderBy(F.desc("count"), "c")
     letters = "".join(r.c for r in chars.collect() if len(r.c) == 1)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def shortened(batches):
+        """Of each text the first symbols_per_lang symbols, which is all that may be used of one."""
         table = _table(letters)
+        for batch in batches:
+            seqs = [symbols(x, table)[:symbols_per_lang].tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(seqs, pa.binary())], ["lang", "h", "doc_id", "seq"])
+
+    def join(rows: pa.Table) -> pa.Table:
         parts, n = [], 0
-        for text in pdf.sort_values(["h", "doc_id", "text"]).text:
-            s = symbols(text, table)
+        for seq in rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("seq", "ascending")]).column("seq").to_pylist():
+            s = np.frombuffer(seq, np.uint8)
             if n < symbols_per_lang and s.any():
                 parts += [s[: symbols_per_lang - n], np.zeros(1, np.uint8)]
                 n += len(parts[-2])
-        if not parts:
-            return pd.DataFrame({"lang": [], "seq": []})
-        seq = np.concatenate(parts)
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "seq": [seq[seq != UNKNOWN].tobytes()]})
+        seq = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return pa.table({"lang": rows.column("lang").slice(0, len(parts) and 1), "seq": pa.array([seq[seq != UNKNOWN].tobytes()][: len(parts) and 1], pa.binary())})
 
-    found = {r.lang: bytes(r.seq) for r in sample.groupBy("lang").applyInPandas(join, "lang string, seq binary").collect()}
+    short = sample.select("lang", "h", "doc_id", "text").mapInArrow(lean(shortened), "lang string, h bigint, doc_id bigint, seq binary")
+    found = {r.lang: bytes(r.seq) for r in short.groupBy("lang").applyInArrow(join, "lang string, seq binary").collect()}
     langs = [x for x in langs if x in found]
     return Model(letters, langs, [found[x] for x in langs])
 
