@@ -407,4 +407,4 @@ def sessions(spark, sf):
     return telemetry.sessions(_t(spark, sf, "events"))
 
 
-from . import runs, state, statistics, training  # noqa: E402, F401
+from . import answers, runs, state, statistics, training  # noqa: E402, F401
