@@ -9,7 +9,7 @@ from ..functions import text as fn
 from ..operators import calibration, incremental, ranking
 from ..sources import logs
 from ..streaming import telemetry
-from .queries import _t, query
+from .queries import SCORED, _scored, _t, query
 
 
 @query("""WITH t AS (SELECT doc_id, translate(replace(replace(coalesce(text, ''), '. ', '" '), ', ', '` '), '''', ' ') AS t FROM documents), l AS (SELECT doc_id, [trim(x[2:-2]) FOR x IN regexp_extract_all(t, '"[^"]*"|`[^`]*`')] AS xs FROM t)
@@ -118,3 +118,19 @@ def first_findings_stream(spark, sf):
     """Of a stream of events the first of each user and kind."""
     rows = telemetry.event_stream(spark, f"{sf}/events.parquet")
     return telemetry.run_available(telemetry.first_findings(rows, ["user_id", "event_type"], "400 days"), "append").select("user_id", "event_type")
+
+
+GATE = f"""{SCORED}, z AS (SELECT query_id, rank, positive, rank % 2 AS half, ln(greatest(0.001, least(0.999, p)) / (1 - greatest(0.001, least(0.999, p)))) AS z FROM scored),
+tg AS (SELECT unnest(range(50, 501)) AS t100), tx AS (SELECT t100, CASE WHEN positive = 1 THEN z ELSE -z END / (t100 / 100::DOUBLE) AS s FROM z, tg WHERE half = 0), tl AS (SELECT t100, round(avg(ln(1 + exp(-abs(s))) + greatest(-s, 0)), 9) AS nll FROM tx GROUP BY 1), tt AS (SELECT t100 / 100::DOUBLE AS t FROM tl ORDER BY nll, t100 LIMIT 1),
+pp AS (SELECT query_id, rank, positive, half, 1 / (1 + exp(-z / t)) AS p FROM z, tt), tau AS (SELECT coalesce(min(tau), 90) / 100::DOUBLE AS tau FROM (SELECT tau FROM pp, (SELECT unnest(range(30, 95, 5)) AS tau) WHERE half = 0 AND p >= tau / 100::DOUBLE GROUP BY 1 HAVING avg(positive) >= 0.9)),
+te AS (SELECT * FROM pp WHERE half = 1), m1 AS (SELECT avg(t) AS v FROM (SELECT max(positive) AS m, arg_min(positive, (-p, rank)) AS t FROM te GROUP BY query_id) WHERE m = 1),
+m2 AS (SELECT sum(pos * (below + neg / 2::DOUBLE)) / (sum(pos) * sum(neg)) AS v FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, sum(positive) AS pos, sum(1 - positive) AS neg FROM te GROUP BY 1))),
+m3 AS (SELECT sum(n * abs(c - a)) / sum(n) AS v FROM (SELECT count(*) AS n, avg(p) AS c, avg(positive) AS a FROM te GROUP BY greatest(0, least(14, ceil(p * 15) - 1)))), m4 AS (SELECT sum(positive) / nullif(count(*), 0)::DOUBLE AS v FROM te, tau WHERE p >= tau)"""
+
+
+@query(f"""WITH {GATE} SELECT 'query_top1' AS metric, round(v, 9) AS value, '>= 0.90' AS threshold, coalesce(v >= 0.9, false) AS passed FROM m1 UNION ALL SELECT 'auroc', round(v, 9), '>= 0.90', coalesce(v >= 0.9, false) FROM m2 UNION ALL SELECT 'ece', round(v, 9), '<= 0.10', coalesce(v <= 0.1, false) FROM m3 UNION ALL SELECT 'precision', round(v, 9), '>= 0.85', coalesce(v >= 0.85, false) FROM m4""")
+def calibrated_gate(spark, sf):
+    """Temperature and threshold from one half of the scored rows, the gate on the other."""
+    p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("p")))
+    rows = _scored(spark, sf).withColumns({"z": F.log(p / (1 - p)), "half": F.col("rank") % 2})
+    return calibration.calibrated_gate(rows.where("half = 0"), rows.where("half = 1")).withColumn("value", F.round("value", 9))
