@@ -125,38 +125,44 @@ def _laid(symbols: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.nda
 def _searched(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: list[bytes], window: int) -> np.ndarray:
     """Of runs with their places: bits of the windows whose words also occur at an earlier place.
 
-    In rounds, the earliest open run of each anchor is indexed, and all open runs are streamed
-    against it as symbols: a window that matches an interval with an earlier place is late. A run
-    is open until it was indexed or all its windows are late, so each is searched for in all
-    earlier ones that tell more. What is open after ROUNDS is indexed at once. Only the intervals
-    of the search say what is equal.
+    In rounds, the earliest open run of each anchor is indexed, and the other open runs are
+    streamed against it as symbols: a window that matches an interval with an earlier place is
+    late. A run is open until it was indexed or all its windows are late, so each is searched for
+    in all earlier ones that tell more. A run that is alone with its anchor has no other to be
+    found in. Only one that may repeat itself is streamed against its own index: as many repeated words as a
+    window has leave it so many fewer distinct ones. What is open after ROUNDS is indexed at once. Only the
+    intervals of the search say what is equal.
     """
     n = np.array([len(x) // WIDTH for x in parts])
     begin, many = np.cumsum(n) - n, n - window + 1
     _, ids = np.unique(_numbers(b"".join(parts)), return_inverse=True)
     _, rank = np.unique(doc, return_inverse=True)
     place = (rank.astype(np.int64) << 32) + start
+    pairs = np.unique(np.repeat(np.arange(len(n)), n) << 32 | ids)
+    again = np.bincount(pairs >> 32, minlength=len(n)) <= n - window
     mask, full = np.zeros(len(n), np.int64), (np.int64(1) << many) - 1
     left = np.lexsort((place, anchor))
     for step in range(ROUNDS + 1):
+        new = np.concatenate([[True], anchor[left][1:] != anchor[left][:-1]]) if len(left) else np.zeros(0, bool)
+        left = left[~(new & np.append(new[1:], True)) | again[left]]
+        if not len(left):
+            break
         new = np.concatenate([[True], anchor[left][1:] != anchor[left][:-1]]) | (step == ROUNDS)
-        heads = left[new]
+        heads, read = left[new], left[~new | again[left] | (step == ROUNDS)]
         text, ends = _laid(ids + 1, begin[heads], n[heads])
         known, text = np.unique(text, return_inverse=True)
         index = FMIndex(text, window, np.repeat(place[heads] - (ends - n[heads]), n[heads] + 1) + np.arange(len(text)))
         number = np.zeros(int(ids.max()) + 2, np.int64)
         number[known] = np.arange(len(known))
-        text, ends = _laid(number[ids + 1], begin[left], n[left])
+        text, ends = _laid(number[ids + 1], begin[read], n[read])
         least = np.full(len(text), np.iinfo(np.int64).max)
-        for _, at, block in index.statistics(text, ends, n[left]):
+        for _, at, block in index.statistics(text, ends, n[read]):
             least[at] = index.least[block]
-        row = np.repeat(np.arange(len(left)), many[left])
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(many[left]) - many[left], many[left])
-        late = least[(ends - n[left])[row] + shift] < place[left][row] + shift
-        np.bitwise_or.at(mask, left[row[late]], np.int64(1) << shift[late])
+        row = np.repeat(np.arange(len(read)), many[read])
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(many[read]) - many[read], many[read])
+        late = least[(ends - n[read])[row] + shift] < place[read][row] + shift
+        np.bitwise_or.at(mask, read[row[late]], np.int64(1) << shift[late])
         left = left[~new & (mask[left] != full[left])]
-        if not len(left):
-            break
     return mask
 
 
