@@ -40,3 +40,13 @@ def test_a_query_without_rows_counts_as_without_positive(spark):
     assert r.templates == {"define-en": 1, "doc-en": 3} and s.files == 1 and s.queries_generated == 0 and s.templates == {} and s.outline_errors == 0
     assert generation.repo_counters(files.limit(0), one, one, queries, routes, rows).count() == 0
     assert generation.template_map(queries.withColumn("x", F.lit(1)), "x").head().templates == r.templates
+
+
+def test_long_texts_in_quotes(spark):
+    long = "word " * 60_000
+    rows = spark.createDataFrame([(1, f"bail!(\"{long}\")", f"find '{long}it's there' and 'x'", f'leg="{long}" hits=3 error="a\\"b"')], "i int, code string, ask string, line string")
+    from tracery.functions import text
+    from tracery.sources import logs
+
+    got = rows.select(generation.error_literal(F.array("code"), F.lit(1), F.lit(1)).alias("e"), text.literals(F.col("ask")).alias("l"), logs.fields(F.col("line")).alias("f")).head()
+    assert got.e is None and got.l == [f"{long}it's there", "x"] and got.f == {"leg": long, "hits": "3", "error": 'a\\"b'}

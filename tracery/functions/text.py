@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Words that are no identifiers.
 STOPWORDS = """the and for that this with where what when which does how are was were will would should could into from
 used uses using have has been there find show code file files function method class der die das und wird wie welche wo""".split()
+# Possessive, so that the pattern library doesn't recurse by character on long texts.
 # Fixed value: quoted literals (double quotes, backticks, and single quotes not inside a word).
-LITERAL = r"""\"([^\"]*)\"|`([^`]*)`|(?<![\p{L}\p{N}_])'((?:[^']|(?<=[\p{L}\p{N}_])'(?=[\p{L}\p{N}_]))*)(?:(?<![\p{L}\p{N}_])'|'(?![\p{L}\p{N}_]))"""
+LITERAL = r"""\"([^\"]*)\"|`([^`]*)`|(?<![\p{L}\p{N}_])'([^']*+(?:(?<=[\p{L}\p{N}_])'(?=[\p{L}\p{N}_])[^']*+)*+)(?:(?<![\p{L}\p{N}_])'|'(?![\p{L}\p{N}_]))"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -87,7 +87,7 @@ def error_literal(rows: Column, start: Column, end: Column) -> Column:
     """The first quoted message of 12 to 120 characters and two words or more on a line that raises an error; null if there is none."""
     own = F.slice(rows, F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0)))
     marked = F.filter(own, lambda t: F.reduce(F.array(*map(F.lit, ERROR_MARKS)), F.lit(False), lambda a, m: a | F.contains(t, m)))
-    texts = F.transform(marked, lambda t: F.regexp_extract(t, r'^[^"]*"((?:[^"\\]|\\.)*)"', 1))
+    texts = F.transform(marked, lambda t: F.regexp_extract(t, r'^[^"]*"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1))
     good = F.filter(texts, lambda t: F.char_length(t).between(12, 120) & (F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= 2))
     return F.get(good, F.lit(0))
 

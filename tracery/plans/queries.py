@@ -144,10 +144,12 @@ def confidence(spark, sf):
     return ranking.route(ranking.confidence(_ranked(spark, sf), _items(spark, sf)))
 
 
-@query(f"""WITH {OUTLINE}, n AS (SELECT item_id AS query_id, regexp_extract(text, '^(\\w+)', 1) AS name FROM benchmark WHERE regexp_extract(text, '^(\\w+)', 1) <> '')
-SELECT * FROM (SELECT query_id, path, line_start, line_end, qualified_name AS symbol, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start) AS raw_seq FROM symbols JOIN n USING (name)) WHERE raw_seq <= 20""")
+@query(f"""WITH {OUTLINE}, n AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark)
+SELECT * FROM (SELECT query_id, path, line_start, line_end, qualified_name AS symbol, row_number() OVER (PARTITION BY query_id ORDER BY string_split(path, '/'), line_start, qualified_name, name) AS raw_seq FROM symbols JOIN n USING (name)) WHERE raw_seq <= 20""")
 def symbol_hits(spark, sf):
-    names = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\w+)", 1).alias("name")).where("name <> ''")
+    """Symbols named by any word of an item."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))))
+    names = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("name"))
     return retrieval.symbol_leg(corpus.outline(_files(spark, sf)), names).select("query_id", "path", "line_start", "line_end", "symbol", "raw_seq")
 
 

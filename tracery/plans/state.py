@@ -77,11 +77,11 @@ def body_windows(spark, sf):
     return rows.select("query_id", "rank", "body")
 
 
-@query(f"""WITH {OUTLINE} SELECT qualified_name AS name, path, line_start, line_end, array_to_string(list_slice(string_split(text, chr(10)), line_start, line_end), chr(10)) AS body FROM symbols JOIN f USING (path) WHERE line_start % 7 = 1""")
+@query(f"""WITH {OUTLINE} SELECT qualified_name AS name, path, line_start, line_end, array_to_string(list_slice(string_split(text, chr(10)), line_start, line_end), chr(10)) AS body FROM symbols JOIN f USING (path)""")
 def symbol_snippets(spark, sf):
     symbols = corpus.outline(_files(spark, sf)).drop("repo")
-    wanted = symbols.where("line_start % 7 = 1").select(F.col("qualified_name").alias("name")).distinct()
-    return retrieval.snippets(wanted, symbols.where("line_start % 7 = 1"), _files(spark, sf)).select("name", "path", "line_start", "line_end", "body")
+    wanted = symbols.select(F.col("qualified_name").alias("name")).distinct()
+    return retrieval.snippets(wanted, symbols, _files(spark, sf)).select("name", "path", "line_start", "line_end", "body")
 
 
 CITED = """reg AS (SELECT l_orderkey AS query_id, l_linenumber AS candidate_id, min('p'||(l_partkey % 9)) AS path, min(l_partkey % 30 + 1) AS c_start, min(l_partkey % 30 + 1) + 10 AS c_end FROM lineitem GROUP BY 1, 2),

@@ -39,12 +39,11 @@ def query_symbols(spark, sf):
     return gen.query_symbols(_sections(spark, sf))
 
 
-WORDS = "[lower(w) FOR w IN string_split_regex(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[_-]') IF w <> '']"
+WORDS = "[lower(w) FOR w IN string_split_regex(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '[_-]') IF w <> '']"
 DRAWN = "('0x'||substr(md5('7|{what}|'||repo||'|'||path||'|'||line_start||'|'||qualified_name), 1, 12))::BIGINT"
 
 
-@query(f"""WITH {SYMBOLS}, plain AS (SELECT * FROM good WHERE regexp_matches(name, '^[A-Z]?[a-z0-9]+(_[a-z0-9]+)*$')),
-w AS (SELECT *, {WORDS} AS parts, CASE WHEN line_start % 3 = 0 THEN 'Returns the '||name||'.' END AS doc, CASE WHEN line_start % 4 = 0 THEN 'cannot open '||name END AS literal FROM plain),
+@query(f"""WITH {SYMBOLS}, w AS (SELECT *, {WORDS} AS parts, CASE WHEN line_start % 3 = 0 THEN 'Returns the '||name||'.' END AS doc, CASE WHEN line_start % 4 = 0 THEN 'cannot open '||name END AS literal FROM good),
 d AS (SELECT *, 2 + CASE WHEN len(parts) >= 2 THEN 6 ELSE 0 END + CASE WHEN doc IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN literal IS NOT NULL THEN 4 ELSE 0 END AS total FROM w),
 p AS (SELECT *, {DRAWN.format(what='template')} % total AS pick, {DRAWN.format(what='wording')} % 3 AS wording, CASE WHEN len(parts) >= 2 THEN 8 ELSE 2 END AS w2, CASE WHEN doc IS NOT NULL THEN 6 ELSE 0 END AS w3 FROM d),
 t AS (SELECT *, CASE WHEN pick < 2 THEN 'define-en' WHEN pick < w2 THEN 'words-en' WHEN pick < w2 + w3 THEN 'doc-en' ELSE 'literal-en' END AS template FROM p)
@@ -52,20 +51,23 @@ SELECT repo, path, line_start, template, CASE template WHEN 'define-en' THEN 'wh
 def templated_queries(spark, sf):
     symbols = gen.query_symbols(_sections(spark, sf))
     name = F.element_at(F.split("qualified_name", r"\."), -1)
-    symbols = symbols.where(name.rlike("^[A-Z]?[a-z0-9]+(_[a-z0-9]+)*$"))
     rows = symbols.withColumns({"doc": F.when(F.col("line_start") % 3 == 0, F.concat(F.lit("Returns the "), name, F.lit("."))), "literal": F.when(F.col("line_start") % 4 == 0, F.concat(F.lit("cannot open "), name))})
     return gen.with_query(rows, "7").select("repo", "path", "line_start", "template", "query")
 
 
-@query("""WITH w AS (SELECT doc_id, array_to_string(regexp_extract_all(translate(coalesce(text, ''), '"\\', ''), '[^ \\t\\n\\r\\f\\v]+')[1:6], ' ') AS q FROM documents WHERE lang = 'en'),
-x AS (SELECT doc_id, q, len(string_split(q, ' ')) AS n, 'cannot read '||q AS e FROM w)
-SELECT doc_id, CASE WHEN n BETWEEN 4 AND 25 AND NOT regexp_matches(q, 'TODO|FIXME|^@|^#|^[/*!]') THEN CASE WHEN contains(q, '. ') THEN q[1:instr(q, '. ')] ELSE q END END AS doc, CASE WHEN len(e) BETWEEN 12 AND 120 THEN e END AS literal FROM x WHERE NOT regexp_matches(q, '^[@#/*!]') AND NOT regexp_matches(q, '\\*/$')""")
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), '"\\', ''), '. ')) AS s, unnest(range(len(string_split(translate(coalesce(text, ''), '"\\', ''), '. ')))) AS sentence FROM documents),
+w AS (SELECT doc_id, sentence, array_to_string(regexp_extract_all(s, '[^ \\t\\n\\r\\f\\v]+'), ' ') AS q FROM s),
+x AS (SELECT doc_id, sentence, q, len(string_split(q, ' ')) AS n, 'cannot read '||q AS e FROM w)
+SELECT doc_id, sentence::INT AS sentence, CASE WHEN n BETWEEN 4 AND 25 AND NOT regexp_matches(q, 'TODO|FIXME') THEN CASE WHEN contains(q, '. ') THEN q[1:instr(q, '. ')] ELSE q END END AS doc, CASE WHEN len(e) BETWEEN 12 AND 120 THEN e END AS literal FROM x WHERE NOT regexp_matches(q, '^[@#/*!]') AND NOT regexp_matches(q, '\\*/$')""")
 def doc_sentences(spark, sf):
-    text = F.array_join(F.slice(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), '"\\', ""), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)), 1, 6), " ")
-    rows = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", text.alias("q")).where(~F.col("q").rlike(r"^[@#/*!]") & ~F.col("q").rlike(r"\*/$"))
+    """Every sentence of every document as the comment and the message of a definition."""
+    said = F.translate(F.coalesce("text", F.lit("")), '"\\', "")
+    each = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split(said, r"\. ")).alias("sentence", "s"))
+    q = F.array_join(F.regexp_extract_all("s", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)), " ")
+    rows = each.select("doc_id", "sentence", q.alias("q")).where(~F.col("q").rlike(r"^[@#/*!]") & ~F.col("q").rlike(r"\*/$"))
     code = F.array(F.lit("let x = 1;"), F.concat(F.lit("  // "), F.col("q")), F.lit("#[inline]"), F.lit("fn read() {"), F.lit('log("not an error here");'), F.concat(F.lit('  bail!("cannot read '), F.col("q"), F.lit('")')), F.lit("}"))
     four, seven = F.lit(4), F.lit(7)
-    return rows.select("doc_id", gen.doc_sentence(code, four, seven, F.lit(False)).alias("doc"), gen.error_literal(code, four, seven).alias("literal"))
+    return rows.select("doc_id", "sentence", gen.doc_sentence(code, four, seven, F.lit(False)).alias("doc"), gen.error_literal(code, four, seven).alias("literal"))
 
 
 LABELLED = f"""{SCORED}, lr AS (SELECT s.*, CASE WHEN d.lang = 'en' THEN 'train' WHEN d.lang = 'de' THEN 'val' ELSE 'test' END AS split, d.source AS repo, d.lang, CASE WHEN s.positive = 1 THEN 'A' ELSE 'B' END AS label, CASE WHEN s.rank % 4 = 0 THEN 'define-en' ELSE 'words-en' END AS template FROM scored s JOIN documents d ON d.doc_id = s.rank)"""

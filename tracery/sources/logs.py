@@ -31,7 +31,7 @@ WHOLE = ("complete", "retrieval_complete", "retrieval_patterns", "leg_done", "le
 #: How a provider's call ended is told in lines of their own, which are of no kind.
 OUTCOMES = r"provider call\s+(?:succeeded|failed)"
 #: A name and its value: text in quotes with escapes, a list, an object, or what comes before the next blank.
-QUOTED, LISTED, OBJECT, BARE = r'"(?:\\.|[^"\\])*"', r"\[[^\]]*\]", r"\{[^}]*\}", r"\S+"
+QUOTED, LISTED, OBJECT, BARE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"\[[^\]]*\]", r"\{[^}]*\}", r"\S+"
 PAIR = rf"\w+=(?:{QUOTED}|{LISTED}|{OBJECT}|{BARE})"
 
 
