@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 20 words or more that occur earlier; texts that lose none stay as they are, texts that lose all go."""
+    """Texts without passages of 20 words or more that occur earlier; texts that lose none stay as they are, texts that lose all go. Rows that repeat a doc_id are one document: what stands at the same place of two of them is no repeat; rows without one lose nothing."""
     rows = substrings.without_repeats(docs, carry=("text", "lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
@@ -43,7 +43,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens. Null and empty texts have the end id alone; rows that repeat a doc_id, or have none, are packed one by one."""
     import public_tokenizers
 
     return packing.packed(spark, docs, public_tokenizers.path(TOKENIZER))
