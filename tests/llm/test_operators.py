@@ -847,3 +847,21 @@ def test_op1_slices_and_lanes_change_nothing(monkeypatch):
     monkeypatch.setattr(langid, "LANES", 4)
     assert [langid.symbols(x, table).tolist() for x in texts] == whole
     assert np.allclose(model.bits([np.array(x, np.uint8) for x in whole]), bits)
+
+
+def test_pipeline_stages_leave_clashing_columns_and_odd_ids_alone(spark, sf):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"one {passage}"), (2, f"two and more words {passage} at the end of it"), (2, f"two and more words {passage} at the end of it"), (None, passage), (None, "a lone text"), (3, None), (4, "fine words of plain text")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
+    clash = docs.withColumns({c: F.lit("x") for c in ("component_id", "kept", "n_removed", "n_words", "anchor", "marks", "t", "h", "grade", "piece", "sequence_id", "shard", "carried_0")}).repartition(3)
+    for name, stage in cp.STAGES:
+        plain, more = stage(spark, docs, sf), stage(spark, clash, sf)
+        drop = [c for c in ("sequence_id", "offset") if c in plain.columns]
+        assert plain.columns == more.columns and sorted(map(str, plain.drop(*drop).collect())) == sorted(map(str, more.drop(*drop).collect())), name
+        assert stage(spark, clash.limit(0), sf).count() == 0
+    cut = cp.passages(spark, clash, sf).collect()
+    # the second document loses the passage in both of its rows, rows without an id keep it
+    assert sorted(r.text for r in cut if r.doc_id == 2) == ["two and more words at the end of it"] * 2
+    assert sorted(r.text for r in cut if r.doc_id is None) == ["a lone text", passage]

@@ -19,7 +19,7 @@ WIDTH = 5
 #: Words that one index holds at least (anchors that follow one another share an index), and places of one anchor above which its windows are told apart by digests instead.
 SHARD, MOST = 300_000, 4_000
 #: Rounds in which a shard's runs are searched for in the earliest of their anchor, before the rest is indexed together.
-ROUNDS = 4
+ROUNDS = 2
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
