@@ -58,12 +58,6 @@ def naive_search(lines: DataFrame, queries: DataFrame) -> DataFrame:
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path")))
 
 
-def files_by_hits(hits: DataFrame) -> DataFrame:
-    """(query_id, path, n, rank): files by how often a plain search hits them."""
-    by = hits.groupBy("query_id", "path").agg(F.count("*").alias("n"))
-    return by.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path")))
-
-
 def pass_classes(runs: DataFrame) -> DataFrame:
     """(query_id, n, passed, class) of repeated runs (query_id, ok)."""
     got = runs.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
