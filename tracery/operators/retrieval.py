@@ -6,7 +6,6 @@ import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import glob_match, in_scope, last_segment, scope_folder, words
 from ..sources.scratch import cut
@@ -44,15 +43,17 @@ def _nth(asked: DataFrame):
     return F.col("nth") if "nth" in asked.columns else F.lit(0)
 
 
-def _searched(lines: DataFrame, asked: DataFrame, rows: list) -> DataFrame:
-    """All matches by one pass over the lines: automata of all patterns, one over lines as they are and one over lower-cased ones, made once a task."""
-    spark, own = lines.sparkSession, _own(asked)
+def _searched(lines: DataFrame, asked: DataFrame, rows) -> DataFrame:
+    """All matches by one pass over the lines: automata of all patterns (rows, an Arrow table of asked), one over lines as they are and one over lower-cased ones, made once a task. What a pattern carries is put beside its hits there."""
+    own = _own(asked)
     at: dict[bool, dict[str, dict]] = {True: {}, False: {}}
-    for i, r in enumerate(rows):
-        at[r["_cased"]].setdefault(r["_key"], {}).setdefault(r.repo if own else None, []).append(i)
+    for i, r in enumerate(rows.to_pylist()):
+        at[r["_cased"]].setdefault(r["_key"], {}).setdefault(r["repo"] if own else None, []).append(i)
     columns = lines.columns
+    kinds = [f for f in asked.schema if not f.name.startswith("_") and f.name not in own]
+    told = rows.select([f.name for f in kinds]).combine_chunks()
     name = next(n for n in itertools.chain(["_low"], (f"_low{i}" for i in itertools.count())) if n not in columns)
-    schema = ", ".join(["_p int", *(f"`{c}` {t}" for c, t in lines.dtypes)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), *(f"`{c}` {t}" for c, t in lines.dtypes)])
 
     def run(batches):
         import ahocorasick
@@ -70,7 +71,8 @@ def _searched(lines: DataFrame, asked: DataFrame, rows: list) -> DataFrame:
             repos = batch.column(columns.index("repo")).to_pylist() if own else [None] * len(batch)
 
             def flush(p, row, kept=batch.select(range(len(columns)))):
-                return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *kept.take(pa.array(row, pa.int64())).columns], ["_p", *columns])
+                own_columns = [c.combine_chunks() for c in told.take(pa.array(p, pa.int64())).columns]
+                return pa.RecordBatch.from_arrays([*own_columns, *kept.take(pa.array(row, pa.int64())).columns], [*told.column_names, *columns])
 
             found, row = [], []
             for cased, tree in trees.items():
@@ -84,11 +86,7 @@ def _searched(lines: DataFrame, asked: DataFrame, rows: list) -> DataFrame:
                         found, row = [], []
             yield flush(found, row)
 
-    kinds = [f for f in asked.schema if not f.name.startswith("_") and f.name not in own]
-    names = [f.name for f in kinds]
-    told = spark.createDataFrame([(i, *(r[n] for n in names)) for i, r in enumerate(rows)], T.StructType([T.StructField("_p", T.IntegerType()), *kinds]))
-    # no more than MOST_PATTERNS rows
-    return lines.withColumn(name, F.lower("line")).mapInArrow(run, schema).join(F.broadcast(told), "_p").drop("_p")
+    return lines.withColumn(name, F.lower("line")).mapInArrow(run, schema)
 
 
 def _by_trigram(lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -125,8 +123,8 @@ def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = M
     asked = patterns.where("pattern <> ''").groupBy("query_id", "pattern", *own, *more).agg(F.min(_nth(patterns)).alias("nth"))
     asked = asked.where("repo is not null") if own else asked
     asked = asked.withColumns({"_cased": cased, "_key": F.when(cased, F.col("pattern")).otherwise(F.lower("pattern"))})
-    rows = asked.limit(most_patterns + 1).collect()
-    few = len(rows) <= most_patterns and sum(len(r["_key"].encode()) for r in rows) <= MOST_BYTES
+    rows = asked.limit(most_patterns + 1).toArrow()
+    few = rows.num_rows <= most_patterns and rows.column("_key").nbytes <= MOST_BYTES
     found = _inside(_searched(lines, asked, rows) if few else _by_trigram(lines, asked), patterns)
     return found.select("query_id", "pattern", *(["nth"] if "nth" in patterns.columns else []), *lines.columns)
 
@@ -258,10 +256,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
     each = split.select("doc_id", *own, F.explode("terms").alias("term")).join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi")
     tf = cut(each.groupBy("doc_id", *own, "term").agg(F.count("*").alias("tf")).repartition("doc_id"))
     lens = cut(lens)
-    stats = lens.groupBy(*own).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    measures = F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")
     df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = df.join(stats, own) if own else df.crossJoin(F.broadcast(stats))
+    if own:
+        known = df.join(lens.groupBy(*own).agg(*measures), own)
+    else:
+        one = lens.agg(*measures).head()
+        known = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in (("n_docs", "long"), ("avg_len", "double"))})
     known = known.withColumn("idf", idf).join(asked, [*own, "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     total = tf.join(lens, ["doc_id", *own]).join(known, [*own, "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
