@@ -28,9 +28,9 @@ _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 _MUL = [U64(int(x) | 1) for x in _RNG.integers(2**62, 2**63, 8, dtype=np.int64)]
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of a batch that goes to Python; its buffers on both sides are a few times this.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
