@@ -31,3 +31,32 @@ def test_entry(spark):
 
     assert e.entry(spark).columns[:2] == ["query_id", "path"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture
+def cased(spark, tmp_path):
+    """Names that fall into words where a run of capitals ends."""
+    spark.createDataFrame([(7, "XAb one\nplain two\n", "de", "src1"), (8, "Xab one\n", "de", "src1"), (9, "XYAbAb one\n", "de", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Ab is asked for")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def _sql_of(spark, sf, name):
+    from oracle import plain
+
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    got = con.execute(SQL[name])
+    names = [d[0] for d in got.description]
+    df = QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    key = lambda rows: sorted((tuple(map(plain, r)) for r in rows), key=str)
+    return key(df.select(names).collect()), key(got.fetchall())
+
+
+def test_sql_of_retrieve_parts_names_at_changes_of_case(spark, cased):
+    have, want = _sql_of(spark, cased, "retrieve")
+    assert have == want and {r[1] for r in want} == {"src1/de/7", "src1/de/9"}

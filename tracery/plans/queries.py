@@ -220,7 +220,7 @@ ia AS (SELECT query_id, repo, folder, [x FOR x IN [w, 'handled'] IF lower(x) NOT
 ids AS (SELECT query_id, repo, folder, unnest(names) AS name, unnest(range(len(names))) AS nth FROM ia),
 n_ids AS (SELECT query_id, count(*) AS n_original FROM ids GROUP BY 1),
 sy AS (SELECT i.query_id, i.name AS asked, nth, s.*, row_number() OVER (PARTITION BY i.query_id, i.name ORDER BY string_split(path, '/'), line_start, qualified_name) AS n FROM symbols s JOIN ids i ON s.repo = i.repo AND contains(lower(qualified_name), lower(i.name)) WHERE {INSIDE}),
-bw AS (SELECT *, [t FOR t IN regexp_split_to_array(lower(regexp_replace(regexp_replace(qualified_name, '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')), '[^\\p{{L}}\\p{{N}}]+') IF t <> ''] AS terms FROM symbols),
+bw AS (SELECT *, [t FOR t IN regexp_split_to_array(lower(regexp_replace(regexp_replace(qualified_name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')), '[^\\p{{L}}\\p{{N}}]+') IF t <> ''] AS terms FROM symbols),
 bs AS (SELECT repo, count(*) AS n, avg(len(terms)) AS al FROM bw GROUP BY 1),
 bf AS (SELECT repo, path, line_start, line_end, qualified_name, any_value(len(terms)) AS len, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM bw) GROUP BY repo, path, line_start, line_end, qualified_name, term),
 bd AS (SELECT repo, term, count(*) AS df FROM bf GROUP BY 1, 2),
