@@ -342,3 +342,14 @@ def test_responses_and_cache_layers(spark):
     assert {tuple(r) for r in got.collect()} == {("a", "l1", 1, 10), ("b", "l2", 3, 30), ("c", "miss", None, None)}
     calls = spark.createDataFrame([("ok", 5), ("ok", 7), (None, 1)], "outcome string, latency_ms int")
     assert [tuple(r) for r in runs.outcome_counts(calls, "outcome").collect()] == [("ok", 2, 12)]
+
+
+@pytest.mark.parametrize("name", ["score_run", "answer_rates", "query_summary", "category_hits", "location_subtypes"])
+def test_no_run_table_goes_through_the_driver(spark, sf, name):
+    """Small files of many rows look small enough to be sent to all; only the files' lines and single rows are."""
+    import re
+
+    from tracery.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"BroadcastHashJoin \[(?!path)\w+", plan) and "SortMergeJoin" in plan
