@@ -105,14 +105,14 @@ def category_hits(spark, sf):
 SELECT count(valid) AS schema_judged, round(avg(valid::INT), 9) AS schema_valid_rate, round(avg(agree::INT), 9) AS log_agreement, any_value(n_findings) AS n_findings, any_value(fabricated_paths) AS fabricated_paths, round(any_value(fabricated_paths) / any_value(n_findings)::DOUBLE, 9) AS hallucinated_path_rate FROM v, f""".replace("any_value(n_findings)", "any_value(f.n_findings)"))
 def answer_rates(spark, sf):
     runs = _runs(spark, sf)
-    found = op.scored_findings(_findings(spark, sf).join(runs.where("not is_error").select("run_id"), "run_id", "left_semi"), _run_files(spark, sf))
+    found = op.scored_findings(op.live_findings(_findings(spark, sf), runs), _run_files(spark, sf))
     rows = op.answer_rates(_scored(spark, sf), found)
     return rows.select("schema_judged", "n_findings", "fabricated_paths", *(F.round(c, 9).alias(c) for c in ("schema_valid_rate", "log_agreement", "hallucinated_path_rate")))
 
 
 @query(f"""WITH {JUDGED} SELECT coalesce(stage, '<none>') AS stage, count(*) FILTER (hallucination = 'range_outside_file') AS range_outside_file, 0 AS misaligned_snippet FROM hal JOIN runs USING (run_id) WHERE hallucination = 'range_outside_file' GROUP BY 1""")
 def location_subtypes(spark, sf):
-    found = op.scored_findings(_findings(spark, sf).join(_runs(spark, sf).where("not is_error").select("run_id"), "run_id", "left_semi"), _run_files(spark, sf))
+    found = op.scored_findings(op.live_findings(_findings(spark, sf), _runs(spark, sf)), _run_files(spark, sf))
     return op.location_subtypes(_runs(spark, sf), found)
 
 
