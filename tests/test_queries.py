@@ -60,3 +60,9 @@ def _sql_of(spark, sf, name):
 def test_sql_of_retrieve_parts_names_at_changes_of_case(spark, cased):
     have, want = _sql_of(spark, cased, "retrieve")
     assert have == want and {r[1] for r in want} == {"src1/de/7", "src1/de/9"}
+
+
+def test_calls_do_not_meet_by_model(spark, sf):
+    """Neither are the calls of a model shuffled to one task nor the orders sent to all."""
+    plan = QUERIES["cost_by_priority"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [model") == 1 and plan.count("BroadcastHashJoin") == 1 and "hashpartitioning(model" not in plan

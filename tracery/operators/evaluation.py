@@ -26,8 +26,8 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def cost_per_query(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """(query_id, calls, priced_calls, tokens, usd) from calls (query_id, model, tokens) and prices (model, usd_per_1m); usd is null if any model has no price. prices is one row a model; Spark broadcasts it if its size allows."""
-    rows = calls.join(prices, "model", "left")
+    """(query_id, calls, priced_calls, tokens, usd) from calls (query_id, model, tokens) and prices (model, usd_per_1m); usd is null if any model has no price. prices is one row a model and sent to all calls: joined by shuffles, the calls of a model would meet in one task."""
+    rows = calls.join(F.broadcast(prices), "model", "left")
     usd = F.sum(F.col("tokens") * F.col("usd_per_1m") / 1e6)
     return rows.groupBy("query_id").agg(F.count("*").alias("calls"), F.count("usd_per_1m").alias("priced_calls"), F.sum("tokens").alias("tokens"), F.when(F.bool_and(F.col("usd_per_1m").isNotNull()), usd).alias("usd"))
 

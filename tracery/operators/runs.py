@@ -256,7 +256,7 @@ def cost_report(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     usd = (zero("prompt_tokens") * F.col("usd_in") + (zero("completion_tokens") + zero("reasoning_tokens")) * F.col("usd_out")) / 1e6
-    rows = calls.join(prices, "model", "left").withColumn("usd", usd)
+    rows = calls.join(F.broadcast(prices), "model", "left").withColumn("usd", usd)
     by_model = rows.groupBy("model").agg(F.count("*").alias("n"), F.count("usd").alias("priced"), F.sum("usd").alias("usd"))
     total = by_model.agg(F.sum("usd").alias("usd_total_priced"), F.sum("priced").alias("priced_calls"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("priced") == 0, F.concat("model", F.lit("="), F.col("n").cast("string"))))), ",").alias("unpriced"))
     by_run = rows.groupBy("run_id").agg(F.bool_and(F.col("usd").isNotNull()).alias("full")).agg(F.count_if("full").alias("rows_fully_priced"), F.count("*").alias("n_rows"))

@@ -282,7 +282,7 @@ SELECT o_orderpriority AS cat, count(*) AS queries, sum(calls) AS calls, sum(pri
 def cost_by_priority(spark, sf):
     calls = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("model"), F.col("l_quantity").alias("tokens"))
     prices = spark.createDataFrame([("A", 3.0), ("R", 15.0)], "model string, usd_per_1m double")
-    cost = evaluation.cost_per_query(calls, prices).join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("cat")), "query_id")
+    cost = evaluation.cost_per_query(calls, prices).join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("cat")).hint("merge"), "query_id")
     return cost.groupBy("cat").agg(F.count("*").alias("queries"), F.sum("calls").alias("calls"), F.sum("priced_calls").alias("priced_calls"), F.count("usd").alias("rows_fully_priced"), F.round(F.sum("usd"), 6).alias("usd"))
 
 
