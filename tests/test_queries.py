@@ -66,3 +66,10 @@ def test_calls_do_not_meet_by_model(spark, sf):
     """Neither are the calls of a model shuffled to one task nor the orders sent to all."""
     plan = QUERIES["cost_by_priority"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin [model") == 1 and plan.count("BroadcastHashJoin") == 1 and "hashpartitioning(model" not in plan
+
+
+@pytest.mark.parametrize("name, work", [("snippet_check", "transform(rows#"), ("doc_sentences", "regexp_extract_all(")])
+def test_what_a_row_is_read_by_is_found_once(spark, sf, name, work):
+    """An expression named twice is worked out twice a row, and one named in a loop over lines once a line."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(work) == 1

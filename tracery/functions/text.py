@@ -14,6 +14,11 @@ LITERAL = r"""\"([^\"]*)\"|`([^`]*)`|(?<![\p{L}\p{N}_])'([^']*+(?:(?<=[\p{L}\p{N
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def once(x: Column, f) -> Column:
+    """f of a value that is found once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 

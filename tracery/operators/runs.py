@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.scratch import cut
 from .evaluation import distribution, wilson
 from .ranges import quantiles
@@ -100,6 +101,11 @@ def snippet_chunks(snippet: Column) -> Column:
 
 def snippet_status(rows: Column, line_start: Column, line_end: Column, snippet: Column) -> Column:
     """ok, misaligned or not_found: a quote against a file's lines (folded). Near is within four lines of the range; a range as long as the file is near everything, an unknown one too."""
+    return once(rows, lambda lines: once(snippet_chunks(snippet), lambda chunks: _status(lines, line_start, line_end, chunks)))
+
+
+def _status(rows: Column, line_start: Column, line_end: Column, chunks: Column) -> Column:
+    """The same of lines and of the quote's chunks, both found."""
     n = F.size(rows)
     whole = line_start.isNotNull() & line_end.isNotNull() & (line_end - line_start >= n - 2)
     bounded = line_start.isNotNull() & (line_start > 0) & ~whole
@@ -107,12 +113,13 @@ def snippet_status(rows: Column, line_start: Column, line_end: Column, snippet:
 
     def places(chunk):
         at = F.when(n >= F.size(chunk), F.sequence(F.lit(0), n - F.size(chunk))).otherwise(F.array().cast("array<int>"))
-        return F.filter(at, lambda i: F.forall(F.sequence(F.lit(0), F.size(chunk) - 1), lambda j: F.contains(F.get(rows, i + j), F.get(chunk, j))))
+        rest = F.slice(chunk, 2, F.size(chunk))
+        return F.filter(at, lambda i: F.contains(F.get(rows, i), F.get(chunk, F.lit(0))) & F.forall(F.transform(rest, lambda t, j: F.contains(F.get(rows, i + j + 1), t)), lambda x: x))
 
     # 2: nowhere, 1: only elsewhere, 0: fine
     one = lambda at: F.when(F.size(at) == 0, 2).when(line_start.isNull() | whole | F.exists(at, lambda i: F.coalesce(bounded & (i >= low) & (i < high), F.lit(False))), 0).otherwise(1)
-    worst = F.array_max(F.transform(F.transform(snippet_chunks(snippet), places), one))
-    return F.when(worst == 2, "not_found").when(worst == 1, "misaligned").otherwise("ok")
+    worst = F.array_max(F.transform(F.transform(chunks, places), one))
+    return once(worst, lambda w: F.when(w == 2, "not_found").when(w == 1, "misaligned").otherwise("ok"))
 
 
 def scored_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
