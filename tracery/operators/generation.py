@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import short_name, words
+from ..functions.text import once, short_name, words
 from ..sources.scratch import cut
 from . import labels
 from .ranges import numbered
@@ -68,15 +68,20 @@ def doc_sentence(rows: Column, start: Column, end: Column, python: Column) -> Co
     above = F.reverse(F.transform(F.slice(rows, F.lit(1), F.greatest(start - 1, F.lit(0))), _stripped))
     plain = F.filter(above, lambda t: ~t.rlike(r"^(#\[|#!|@)"))
     is_comment = lambda t: t.rlike(r"^(//|/\*|\*|#)")
-    stop = F.array_position(F.transform(plain, lambda t: is_comment(t)), False)
-    block = F.reverse(F.when(stop > 0, F.slice(plain, F.lit(1), (stop - 1).cast("int"))).otherwise(plain))
-    bare = F.transform(block, lambda t: _stripped(F.regexp_replace(_stripped(F.regexp_replace(t, r"\*/$", "")), r"^(///|//!|/\*\*|//|/\*|\*|#)", "")))
+    upto = lambda lines: once(F.array_position(F.transform(lines, is_comment), False), lambda stop: F.reverse(F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)))
+    bare = F.transform(once(plain, upto), lambda t: _stripped(F.regexp_replace(_stripped(F.regexp_replace(t, r"\*/$", "")), r"^(///|//!|/\*\*|//|/\*|\*|#)", "")))
     comment = F.filter(bare, lambda t: (t != "") & ~F.startswith(t, F.lit("@")))
     body = F.filter(F.transform(F.slice(rows, start + 1, F.greatest(end - start, F.lit(0))), _stripped), lambda t: t != "")
     first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
     quoted = _stripped(F.regexp_replace(F.regexp_extract(first, r"^(\"\"\"|''')(.*)$", 2), r"(\"\"\"|''').*$", ""))
-    docstring = F.when(python & (quoted != ""), F.array(quoted)).otherwise(F.array().cast("array<string>"))
-    text = _stripped(F.regexp_replace(F.array_join(F.when(F.size(comment) > 0, comment).otherwise(docstring), " "), r"\s+", " "))
+    none = F.array().cast("array<string>")
+    docstring = F.when(python, once(quoted, lambda q: F.when(q != "", F.array(q)).otherwise(none))).otherwise(none)
+    said = once(comment, lambda c: F.array_join(F.when(F.size(c) > 0, c).otherwise(docstring), " "))
+    return once(_stripped(F.regexp_replace(said, r"\s+", " ")), _first_sentence)
+
+
+def _first_sentence(text: Column) -> Column:
+    """Of documentation in one line; null unless it has 4 to 25 words."""
     count = F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
     good = count.between(4, 25) & ~text.rlike(r"TODO|FIXME|^@|^#")
     cut = F.locate(". ", text)

@@ -64,7 +64,8 @@ def doc_sentences(spark, sf):
     said = F.translate(F.coalesce("text", F.lit("")), '"\\', "")
     each = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split(said, r"\. ")).alias("sentence", "s"))
     q = F.array_join(F.regexp_extract_all("s", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)), " ")
-    rows = each.select("doc_id", "sentence", q.alias("q")).where(~F.col("q").rlike(r"^[@#/*!]") & ~F.col("q").rlike(r"\*/$"))
+    # a row of one element is a border that filters don't cross: a sentence is put together once
+    rows = each.select("doc_id", "sentence", F.explode(F.array(q)).alias("q")).where(~F.col("q").rlike(r"^[@#/*!]") & ~F.col("q").rlike(r"\*/$"))
     code = F.array(F.lit("let x = 1;"), F.concat(F.lit("  // "), F.col("q")), F.lit("#[inline]"), F.lit("fn read() {"), F.lit('log("not an error here");'), F.concat(F.lit('  bail!("cannot read '), F.col("q"), F.lit('")')), F.lit("}"))
     four, seven = F.lit(4), F.lit(7)
     return rows.select("doc_id", "sentence", gen.doc_sentence(code, four, seven, F.lit(False)).alias("doc"), gen.error_literal(code, four, seven).alias("literal"))
