@@ -131,7 +131,7 @@ def scored_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     exists, known = F.col("rows").isNotNull(), F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
     valid = F.when(exists & known, (F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")) & (F.col("line_end") <= F.size("rows")))
     status = F.when(exists & (F.col("snippet") != ""), snippet_status(F.transform("rows", folded), F.col("line_start"), F.col("line_end"), F.col("snippet")))
-    made_up = F.when(~exists, "fabricated_path").when(~F.coalesce(valid, F.lit(True)), "range_outside_file").when(status == "not_found", "fabricated_snippet").when(status == "misaligned", "misaligned_snippet")
+    made_up = F.when(~exists, "fabricated_path").when(~F.coalesce(valid, F.lit(True)), "range_outside_file").otherwise(once(status, lambda x: F.when(x == "not_found", "fabricated_snippet").when(x == "misaligned", "misaligned_snippet")))
     return f.withColumns({"path_valid": exists, "line_valid": valid, "symbol_only": F.col("line_start").isNull(), "hallucination": made_up}).drop("rows")
 
 
