@@ -73,3 +73,8 @@ def test_what_a_row_is_read_by_is_found_once(spark, sf, name, work):
     """An expression named twice is worked out twice a row, and one named in a loop over lines once a line."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(work) == 1
+
+
+def test_sql_of_retrieve_routes_parts_names_at_changes_of_case(spark, cased):
+    have, want = _sql_of(spark, cased, "retrieve_routes")
+    assert have == want and want[0][1] == 26
