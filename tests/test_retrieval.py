@@ -89,3 +89,20 @@ def test_tokens_keep_their_order_within_a_leg(spark):
     queries = spark.createDataFrame([(1, "alpha_two zeta_one"), (2, "zeta_one alpha_two")], "query_id long, text string")
     found = job.candidates_of(queries, job.patterns_of(queries), files, symbols, ("symbol",))
     assert [(r.query_id, r.symbol) for r in found.orderBy("query_id", "raw_seq").collect()] == [(1, "alpha_two"), (1, "zeta_one"), (2, "zeta_one"), (2, "alpha_two")]
+
+
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_scores_documents_where_they_are(spark, monkeypatch):
+    """Pairs of query and document are summed in the task that holds the document: only a task's best are shuffled; more terms than are sent to all give the same rows."""
+    texts = spark.createDataFrame([(i, "the " * (1 + i % 3) + f"w{i % 7} v{i % 5}") for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"the w{q} v{q % 5}") for q in range(7)], "query_id long, text string")
+    sent = retrieval.bm25(texts, queries, 5)
+    plan = _nodes(sent)
+    assert plan.count("hashpartitioning(query_id") == 1 and plan.index("WindowGroupLimit") < plan.index("hashpartitioning(query_id") < plan.rindex("WindowGroupLimit") < plan.index("HashAggregate")
+    assert "BroadcastHashJoin [term" in plan
+    want = rows(sent)
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 3)
+    assert rows(retrieval.bm25(texts, queries, 5)) == want and len(want) == 35

@@ -16,6 +16,8 @@ LEG_LIMIT = 20
 MOST_PATTERNS, MOST_BYTES = 20_000, 4 << 20
 #: Hits that a task holds before it passes them on.
 HELD = 20_000
+#: Terms of queries that are sent to all documents, the parts that documents of a term are dealt to where there are more, and pairs of query and document that a task scores.
+MOST_TERMS, TERM_PARTS, PAIRS = 200_000, 32, 1_000_000
 
 
 def path_order(path: str = "path"):
@@ -239,6 +241,14 @@ def _terms(c: str):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
+def _of_terms(rows: DataFrame, terms: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Rows of documents joined with terms: a few terms are sent to all rows, more are joined by shuffles that part the documents of a term, since a frequent one has nearly all."""
+    if few:
+        return rows.join(F.broadcast(terms), keys, how)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1)))
+    return rows.withColumn("_part", F.pmod(F.hash("doc_id"), F.lit(TERM_PARTS))).join(terms.withColumn("_part", parts).hint("merge"), [*keys, "_part"], how).drop("_part")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, path=None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents (doc_id, text) for each query (query_id, text).
 
@@ -246,16 +256,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
     lengths and terms; where they have a scope, documents whose path (a column) lies in it. Ids
     may be of any type; rows of one doc_id are one document, rows without one are left out. Only
     terms that are asked for leave the scan; what a document has of them is counted once, for the
-    frequencies and for the scores.
+    frequencies and for the scores. Up to MOST_TERMS terms of queries are sent to all documents,
+    and only a task's best leave it.
     """
     own = _own(queries)
     docs = docs.where("doc_id is not null")
-    asked = queries.select("query_id", *own, F.explode(F.array_distinct(_terms("text"))).alias("term")).distinct()
+    asked = cut(queries.select("query_id", *own, F.explode(F.array_distinct(_terms("text"))).alias("term")).distinct())
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     split = docs.select("doc_id", *own, _terms("text").alias("terms"))
-    lens = split.groupBy("doc_id", *own).agg(F.sum(F.greatest(F.lit(0), F.size("terms"))).alias("len"))
-    each = split.select("doc_id", *own, F.explode("terms").alias("term")).join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi")
-    tf = cut(each.groupBy("doc_id", *own, "term").agg(F.count("*").alias("tf")).repartition("doc_id"))
-    lens = cut(lens)
+    lens = cut(split.groupBy("doc_id", *own).agg(F.sum(F.greatest(F.lit(0), F.size("terms"))).alias("len")))
+    each = _of_terms(split.select("doc_id", *own, F.explode("terms").alias("term")), asked.select(*own, "term").distinct(), [*own, "term"], few, "left_semi")
+    tf = cut(each.groupBy("doc_id", *own, "term").agg(F.count("*").alias("tf")).join(lens.hint("merge"), ["doc_id", *own]))
     measures = F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")
     df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -266,9 +277,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
         known = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in (("n_docs", "long"), ("avg_len", "double"))})
     known = known.withColumn("idf", idf).join(asked, [*own, "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    total = tf.join(lens, ["doc_id", *own]).join(known, [*own, "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # documents are dealt once: what they have of all queries is summed and cut to the best in the task that holds them
+    n = max(tf.sparkSession.sparkContext.defaultParallelism, lens.count() * asked.select("query_id").distinct().count() // PAIRS)
+    total = _of_terms(tf.repartition(n, "doc_id"), known, [*own, "term"], few).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     if "scope" in queries.columns and path is not None:
-        total = total.join(queries.select("query_id", "scope").distinct(), "query_id").where(in_scope(path, F.col("scope"))).drop("scope")
+        scopes = queries.select("query_id", "scope").distinct()
+        total = total.join(F.broadcast(scopes) if few else scopes, "query_id").where(in_scope(path, F.col("scope"))).drop("scope")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
