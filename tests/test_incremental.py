@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tracery.operators import evaluation, incremental, runs
+from tracery.operators import evaluation, incremental, retrieval, runs
 
 
 def plain_path(edges, a, b, depth):
@@ -85,3 +85,15 @@ def test_naive_search(spark):
     assert {k: v for k, v in got.items() if k[0] == 5} == {(5, "a"): (4, 1), (5, "b"): (2, 3), (5, "d"): (3, 2)}
     assert {k[1] for k in got if k[0] == 2} == {"a", "b", "d"} and not {k for k in got if k[0] in (3, 4)}
     assert evaluation.naive_search(lines, queries.where(F.lit(False))).count() == 0
+
+
+def test_naive_search_counts_in_the_scan(spark, monkeypatch):
+    """No line leaves the scan and no query's files lie in one task; more words than travel with the scan give the same rows."""
+    lines = spark.createDataFrame([(f"f{i % 9}", w) for i in range(60) for w in ("The cat", "a CAT sat", None, f"x{i % 4} the")] + [(None, "cat")], "path string, line string").repartition(3)
+    queries = spark.createDataFrame([(1, "the cat"), (2, "cat x1 cat"), (2, "cat"), (None, "a x3"), (4, None), (5, "nowhere")], "query_id long, text string")
+    got = evaluation.naive_search(lines, queries)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "Window" in plan
+    have = sorted(map(tuple, got.collect()), key=str)
+    monkeypatch.setattr(retrieval, "MOST_PATTERNS", 1)
+    assert sorted(map(tuple, evaluation.naive_search(lines, queries).collect()), key=str) == have and {r[0] for r in have} == {1, 2, None}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import quantiles
+from .ranges import numbered, quantiles
 
 Z = 1.959963984540054
+#: Words of queries that travel with a scan, repeats counted, and rows that a task holds before it passes them on.
+MOST_ASKED, MOST_HELD = 1_000_000, 100_000
 
 
 def wilson(hits: Column, n: Column) -> tuple[Column, Column, Column]:
@@ -45,17 +50,83 @@ def naive_search(lines: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path, n, rank): what a plain search finds by hand: lines that hold the whole query or one of its words, whatever the case, files ranked by how many such lines a word.
 
     A word that repeats in a query is searched once, and one that several queries have once for
-    all of them: lines are counted by word and file before they meet the queries.
+    all of them. Up to MOST_PATTERNS words travel with the scan, which counts a file's lines by
+    word and hands on what they come to for each query, no line; more are searched by
+    ``substring_hits`` and counted by word and file before they meet the queries. Files are
+    numbered by ranges.
     """
-    from .retrieval import substring_hits
+    from . import retrieval
 
     words = F.array_distinct(F.filter(F.concat(F.array(F.trim(F.lower("text"))), F.split(F.lower("text"), r"\s+")), lambda w: w != ""))
     asked = queries.select("query_id", F.explode(words).alias("pattern"))
     low = lines.select("path", F.lower("line").alias("line"))
-    found = substring_hits(low, asked.select(F.lit(0).alias("query_id"), "pattern").distinct())
-    counts = found.groupBy("pattern", "path").agg(F.count("*").alias("n"))
-    by = asked.join(counts, "pattern").groupBy("query_id", "path").agg(F.sum("n").alias("n"))
-    return by.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path")))
+    known = asked.select("pattern").distinct().limit(retrieval.MOST_PATTERNS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("size")).head()
+    if known.n <= retrieval.MOST_PATTERNS and (known.size or 0) <= retrieval.MOST_BYTES and asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        by = _counted(low, asked)
+    else:
+        found = retrieval.substring_hits(low, asked.select(F.lit(0).alias("query_id"), "pattern").distinct())
+        by = asked.join(found.groupBy("pattern", "path").agg(F.count("*").alias("n")), "pattern")
+    by = by.groupBy("query_id", "path").agg(F.sum("n").alias("n"))
+    return numbered(by, [F.desc("n"), "path"], "rank", ["query_id"]).withColumn("rank", F.col("rank").cast("int"))
+
+
+def _counted(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, path, n) of lines (path, line): over the words asked for (query_id, pattern), how many of a file's lines hold them; a file whose lines lie apart has several rows."""
+    rows = asked.toArrow()
+    patterns = {p: i for i, p in enumerate(dict.fromkeys(rows.column("pattern").to_pylist()))}
+    ids, place = rows.column("query_id").combine_chunks(), {}
+    of: list[list[int]] = [[] for _ in patterns]
+    for i, (q, p) in enumerate(zip(ids.to_pylist(), rows.column("pattern").to_pylist(), strict=True)):
+        of[patterns[p]].append(place.setdefault(repr(q), i))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, path string, n long"
+
+    def run(batches):
+        import ahocorasick
+        import numpy as np
+        import pyarrow as pa
+
+        tree = ahocorasick.Automaton()
+        for p, i in patterns.items():
+            tree.add_word(p, i)
+        if patterns:
+            tree.make_automaton()
+        queries = [np.array(q, np.int64) for q in of]
+        second, counts, at, found, paths, sums, held = itemgetter(1), Counter(), None, [], [], [], 0
+
+        def close():
+            nonlocal held
+            if counts:
+                n = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(queries[i]) for i in counts])
+                q, back = np.unique(np.concatenate([queries[i] for i in counts]), return_inverse=True)
+                found.append(q)
+                sums.append(np.bincount(back, n).astype(np.int64))
+                paths.append((at, len(q)))
+                held += len(q)
+                counts.clear()
+
+        def flush():
+            nonlocal held
+            names = pa.array([p for p, _ in paths], pa.string()).take(pa.array(np.repeat(np.arange(len(paths)), [n for _, n in paths])))
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(found))), names, pa.array(np.concatenate(sums))], ["query_id", "path", "n"])
+            for x in (found, paths, sums):
+                x.clear()
+            held = 0
+            return out
+
+        for batch in batches if patterns else ():
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path != at:
+                    close()
+                    at = path
+                    if held >= MOST_HELD:
+                        yield flush()
+                if text:
+                    counts.update(set(map(second, tree.iter(text))))
+        close()
+        if held:
+            yield flush()
+
+    return lines.mapInArrow(run, schema)
 
 
 def pass_classes(runs: DataFrame) -> DataFrame:
