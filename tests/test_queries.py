@@ -78,3 +78,20 @@ def test_what_a_row_is_read_by_is_found_once(spark, sf, name, work):
 def test_sql_of_retrieve_routes_parts_names_at_changes_of_case(spark, cased):
     have, want = _sql_of(spark, cased, "retrieve_routes")
     assert have == want and want[0][1] == 26
+
+
+@pytest.fixture
+def odd_items(spark, tmp_path):
+    """Items without a text, without a first word, and with one that the question has itself; documents whose names and lines hold it."""
+    text = "Handled here\nhandled there\nPlain line handled\n\nWhere it is\nAbc def\n"
+    spark.createDataFrame([(d, text, lang, f"src{k}") for k in range(1, 8) for d, lang in ((k, "de"), (k + 10, "en"), (k + 100, "fr"))], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, None), (2, ""), (3, "ñadir"), (4, "HANDLED by"), (5, "handled by"), (6, "abc"), (7, "Plain text")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["retrieve", "retrieve_routes"])
+def test_items_without_a_word_and_with_that_of_the_question(spark, odd_items, name):
+    """A missing text asks as an empty one does, and a key that two spellings share counts once."""
+    have, want = _sql_of(spark, odd_items, name)
+    assert have == want and len({r[0] for r in have}) == 7

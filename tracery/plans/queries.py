@@ -236,12 +236,12 @@ UNION ALL SELECT query_id, 1000000 + n, path, line_start, line_end, qualified_na
 UNION ALL SELECT query_id, 2000000 + row_number() OVER (PARTITION BY query_id ORDER BY nth, string_split(path, '/'), line_start, qualified_name), path, line_start, line_end, qualified_name, 'SemanticHit', NULL FROM bo WHERE n <= 20
 UNION ALL SELECT query_id, 3000000 + row_number() OVER (PARTITION BY query_id ORDER BY nth, string_split(path, '/'), line_no), path, line_no, line_no, NULL, 'ContentHit', line FROM gr WHERE n <= 20
 UNION ALL SELECT query_id, 4000000 + n, path, 1, 1, NULL, 'FileNameHit', NULL FROM fi WHERE n <= 20),
-kk AS (SELECT query_id, list(lower(name)) AS keys, []::VARCHAR[] AS strong FROM ids WHERE len(name) >= 4 GROUP BY 1), {MERGED}"""
+kk AS (SELECT query_id, list(DISTINCT lower(name)) AS keys, []::VARCHAR[] AS strong FROM ids WHERE len(name) >= 4 GROUP BY 1), {MERGED}"""
 
 
 def _retrieved(spark, sf):
-    """Every item's first word as a question to one repository, two of three with a scope in it."""
-    w, k = F.regexp_extract("text", "^([A-Za-z]+)", 1), F.col("query_id")
+    """Every item's first word, if it has one, as a question to one repository, two of three with a scope in it."""
+    w, k = F.coalesce(F.regexp_extract("text", "^([A-Za-z]+)", 1), F.lit("")), F.col("query_id")
     asked = F.concat(F.lit("where is "), F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.char_length(w))), F.lit(" handled in src/"), k.cast("string"))
     repo = F.concat(F.lit("src"), (k % 10).cast("string"))
     scope = F.when(k % 3 > 0, F.concat(F.when(k % 5 == 0, "./").otherwise(""), repo, F.when(k % 2 == 0, "/en").otherwise("/de/"))).when(k % 2 == 0, "../up")
