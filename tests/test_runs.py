@@ -353,3 +353,16 @@ def test_no_run_table_goes_through_the_driver(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"BroadcastHashJoin \[(?!path)\w+", plan) and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["score_run", "category_hits"])
+def test_no_run_table_that_is_written_first_goes_through_the_driver(spark, sf, name, monkeypatch):
+    """Nor in the tables that a query writes on its way: that of runs with their specs met all customers in one broadcast."""
+    import re
+
+    from tracery.plans.queries import QUERIES
+
+    plans, cut = [], runs.cut
+    monkeypatch.setattr(runs, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    plans.append(QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and not [x for p in plans for x in re.findall(r"BroadcastHashJoin \[(?!path)\w+", p)]
