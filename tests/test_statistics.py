@@ -170,3 +170,12 @@ def test_blind_export(spark):
     again = {r.row_id: r.run_id for r in statistics.blind_export(rows.repartition(5), ["query"], ["run_id", "arm"], "1")[1].collect()}
     other = {r.row_id: r.run_id for r in statistics.blind_export(rows, ["query"], ["run_id", "arm"], "2")[1].collect()}
     assert again == {k: r.run_id for k, r in b.items()} != other
+
+
+@pytest.mark.parametrize("name", ["ranking_quality", "pass_variance"])
+def test_no_run_table_goes_through_the_driver(spark, sf, name):
+    """Neither runs nor their findings and targets, which small files hold many of."""
+    from tracery.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
