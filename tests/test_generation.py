@@ -50,3 +50,21 @@ def test_long_texts_in_quotes(spark):
 
     got = rows.select(generation.error_literal(F.array("code"), F.lit(1), F.lit(1)).alias("e"), text.literals(F.col("ask")).alias("l"), logs.fields(F.col("line")).alias("f")).head()
     assert got.e is None and got.l == [f"{long}it's there", "x"] and got.f == {"leg": long, "hits": "3", "error": 'a\\"b'}
+
+
+def test_generated_rows_neither_joins_nor_writes_its_files(spark, sf, monkeypatch):
+    """Paths are made in the scan; of the lines only their first words are shuffled for the outline."""
+    from tracery.plans import training
+
+    seen = []
+    monkeypatch.setattr(training, "cut", lambda df: (seen.append(df), df)[1])
+    monkeypatch.setattr(generation, "generate_training_rows", lambda files, symbols, repos: (seen.append(files), (files.select("path").withColumns({c: F.lit(1) for c in ("id", "repo", "split", "query", "template", "rank", "kind", "label", "state", "gold")}), None))[1])
+    training.generated_rows(spark, sf)
+    symbols, files = seen
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(files) and "Exchange" not in plan(files) and "documents.parquet" in plan(files)
+    assert "Join" not in plan(symbols) and plan(symbols).count("Exchange") == 1
+    old = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat_ws('/', source, lang, doc_id) AS old", "doc_id", "source AS repo", "text").withColumn("path", training._source_path(F.col("doc_id"), "repo"))
+    assert files.select("repo", "path", "content").exceptAll(old.select("repo", "path", "text")).isEmpty() and files.count() == old.count()
+    moved = training._sections(spark, sf).join(old.select(F.col("path").alias("new"), F.col("old").alias("path")), "path").select("repo", F.col("new").alias("path"), "qualified_name", "line_start", "line_end")
+    assert symbols.select(*moved.columns).exceptAll(moved).isEmpty() and symbols.count() == moved.count()

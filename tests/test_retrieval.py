@@ -106,3 +106,64 @@ def test_bm25_scores_documents_where_they_are(spark, monkeypatch):
     want = rows(sent)
     monkeypatch.setattr(retrieval, "MOST_TERMS", 3)
     assert rows(retrieval.bm25(texts, queries, 5)) == want and len(want) == 35
+
+
+def test_bm25_makes_tasks_for_the_pairs_that_meet(spark, monkeypatch):
+    """Not for all documents times all queries: a repository's queries meet its own documents alone, and of these the ones that hold a term."""
+    import re
+
+    texts = spark.createDataFrame([(f"r{i % 20}", i, f"w{i % 40} all" if i < 20 else f"w{i % 40}") for i in range(400)], "repo string, doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"r{q % 20}", f"w{q % 40} all") for q in range(200)], "query_id long, repo string, text string")
+    want = rows(retrieval.bm25(texts, queries, 5))
+    monkeypatch.setattr(retrieval, "PAIRS", 100)
+    monkeypatch.setattr(retrieval, "SHARED", 100, raising=False)
+    found = retrieval.bm25(texts, queries, 5)
+    # 400 x 200 pairs would be 800 tasks; ten documents of a repository hold a query's word, one holds all
+    met = 200 * (10 + 1)
+    tasks = int(re.search(r"RepartitionByExpression \[doc_id[^\n]*?\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())[1])
+    assert tasks == met // 100 and rows(found) == want and len(want) == 1000
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_bm25_of_one_row_a_document(spark, single):
+    texts = spark.createDataFrame([("r", 1, "a b b"), ("r", 2, "a c"), ("s", 1, "b"), ("s", 3, None), ("s", 4, "")], "repo string, doc_id long, text string")
+    queries = spark.createDataFrame([(1, "r", "a b"), (2, "s", "b c")], "query_id long, repo string, text string")
+    got = [(r.query_id, r.doc_id, r["rank"]) for r in retrieval.bm25(texts, queries, 5, single=single).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+
+
+def test_bodies_are_found_by_their_lines(spark):
+    """As in the text of each body: nested ones, long ones, equal symbols, files of one path, and patterns across line ends."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: "\n".join(rng.choice(["", "ab", "Cd", "xÄy", "é"]) + rng.choice(["", "ab", "q"]) + rng.choice(["", "\r"]) for _ in range(n))
+    files = [("r", "a", text(150)), ("r", "a", text(20)), ("s", "a", text(90)), ("s", "b/c", None), ("s", "d", "")]
+    spans = [("r", "a", f"n{i}", s := rng.randint(1, 160), s + rng.choice([-2, 0, 1, 5, 40, 130])) for i in range(60)] + [("s", "a", "all", 1, 90), ("s", "a", "all", 1, 90), ("s", "d", "d", 1, 1), ("s", "b/c", "n", 1, 2)]
+    asked = [(q, w, "rs"[q % 2]) for q in range(4) for w in ("ab", "Cd", "äy", "Äy", "q\r\n", "b\nC", "é", "", "none")]
+    hit = lambda p, t: p in t if any(c.isupper() for c in p) else p in t.lower()
+    body = lambda t, a, b: "\n".join(t.split("\n")[a - 1 : max(a, b)])
+    want = []
+    for q, w, repo in asked:
+        found = sorted((a, name, b) for r, p, t in files for r2, p2, name, a, b in spans if (r, p) == (r2, p2) and r == repo and t is not None and w and hit(w, body(t, a, b)))
+        want += [(q, *x) for x in found[:20]]
+    leg = retrieval.body_leg(spark.createDataFrame(spans, SYMBOLS), spark.createDataFrame(files, FILES), spark.createDataFrame([x[:2] for x in asked], "query_id int, pattern string"), spark.createDataFrame([(q, "rs"[q % 2]) for q in range(4)], "query_id int, repo string"))
+    assert sorted((r.query_id, r.line_start, r.symbol, r.line_end) for r in leg.collect()) == sorted(want) and want
+
+
+def test_no_text_is_shuffled_to_search_bodies(spark):
+    files = spark.createDataFrame([("r", "a", "one\ntwo")], FILES)
+    symbols = spark.createDataFrame([("r", "a", "m::two", 1, 2)], SYMBOLS)
+    leg = retrieval.body_leg(symbols, files, spark.createDataFrame([(1, "two")], "query_id int, pattern string"))
+    plan = _nodes(leg)
+    assert "MapInArrow" in plan and "array_join" not in plan and "split(content" not in plan[: plan.index("MapInArrow")]
+    assert [r.symbol for r in leg.collect()] == ["m::two"]
+
+
+def test_rows_among_few_and_many_keys(spark, monkeypatch):
+    some = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "path string, n int")
+    asked = spark.createDataFrame([("b",), ("b",), ("c",), (None,)], "path string")
+    sent = retrieval.among(some, asked, ["path"])
+    assert "BroadcastHashJoin" in _nodes(sent) and sorted(map(tuple, sent.collect())) == [("b", 2), ("b", 3)]
+    monkeypatch.setattr(retrieval, "MOST_KEYS", 1)
+    assert rows(retrieval.among(some, asked, ["path"])) == rows(sent)

@@ -10,6 +10,7 @@ from ..sources.scratch import cut
 from . import labels
 from .ranges import numbered
 from .ranking import NOTES
+from .retrieval import among, body_window
 
 # Fixed values.
 EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "mjs", "go", "java", "kt"]
@@ -139,12 +140,13 @@ def sampled_symbols(symbols: DataFrame, seed: str = "7", max_queries: int = 400)
 
 def generated_queries(symbols: DataFrame, files: DataFrame, seed: str = "7", max_queries: int = 400) -> DataFrame:
     """Of each repository up to max_queries symbols with a query, numbered in their order: the first of the sample."""
-    return queries_of(sampled_symbols(symbols, seed, max_queries), files, seed, max_queries)
+    return queries_of(cut(sampled_symbols(symbols, seed, max_queries)), files, seed, max_queries)
 
 
 def queries_of(sampled: DataFrame, files: DataFrame, seed: str, max_queries: int) -> DataFrame:
     picked = sampled.where(F.col("query_index") < max_queries)
-    split = files.select("repo", "path", F.transform(F.split("content", "\n"), lambda t: F.regexp_replace(t, r"\r\z", "")).alias("rows"))
+    own = among(files, picked, ["repo", "path"])
+    split = own.select("repo", "path", F.transform(F.split("content", "\n"), lambda t: F.regexp_replace(t, r"\r\z", "")).alias("rows"))
     start, end = F.col("line_start").cast("int"), F.col("line_end").cast("int")
     rows = picked.join(split, ["repo", "path"]).withColumns({"doc": doc_sentence(F.col("rows"), start, end, F.endswith("path", F.lit(".py"))), "literal": error_literal(F.col("rows"), start, end)}).drop("rows")
     return with_query(rows, seed)
@@ -198,7 +200,7 @@ def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFram
     others, candidates that touch the symbol asked for are positive, and of the rest the first by
     rank are kept. failed (repo, path) are files whose outline could not be had; they are counted.
     """
-    from . import retrieval, retrieve
+    from . import retrieve
 
     walked = source_files(files)
     worth = cut(query_symbols(symbols.join(walked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")))
@@ -209,8 +211,10 @@ def generate_training_rows(files: DataFrame, symbols: DataFrame, repos: DataFram
     asked = made.select("query_id", "repo", "query_index", "query", "query_lang", "template")
     judged = got.ranked.join(decisions.where("route = 'verify'").select("query_id"), "query_id", "left_semi").where("line_start > 0")
     truth = made.select("query_id", "path", F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"))
-    picked = labels.capped_negatives(labels.interval_labels(judged, truth), max_negatives)
-    seen = retrieval.body_window(picked.join(asked, "query_id"), files).join(file_outlines(symbols), ["repo", "path"], "left")
+    picked = cut(labels.capped_negatives(labels.interval_labels(judged, truth), max_negatives))
+    # bodies and outlines are made of the files that candidates lie in alone
+    near = lambda df: among(df, picked, ["path"])
+    seen = body_window(picked.join(asked, "query_id"), near(files)).join(file_outlines(near(symbols)), ["repo", "path"], "left")
     label = F.create_map(*(F.lit(x) for k, v in NOTES.items() for x in (k, v)))[F.col("kind")]
     state = rendered_state(F.col("query"), F.col("path"), F.col("line_start"), F.col("line_end"), label, F.col("symbol"), F.col("body"), F.col("snippet"), F.col("outline"))
     rows = cut(training_rows(seen.withColumn("state", state).withColumn("kind", label).join(repos, "repo").select("repo", "lang", "split", "query_index", "query", "query_lang", "template", "rank", "kind", "label", "state")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_match, in_scope, last_segment, scope_folder, words
+from ..sources.corpus import corpus_lines
 from ..sources.scratch import cut
 
 #: Rows of a leg for each query and pattern.
@@ -16,8 +17,12 @@ LEG_LIMIT = 20
 MOST_PATTERNS, MOST_BYTES = 20_000, 4 << 20
 #: Hits that a task holds before it passes them on.
 HELD = 20_000
-#: Terms of queries that are sent to all documents, the parts that documents of a term are dealt to where there are more, and pairs of query and document that a task scores.
-MOST_TERMS, TERM_PARTS, PAIRS = 200_000, 32, 1_000_000
+#: Terms of queries that are sent to all documents, the parts that documents of a term are dealt to where there are more, and pairs of query and document that a task scores, or terms that both have where these are fewer.
+MOST_TERMS, TERM_PARTS, PAIRS, SHARED = 200_000, 32, 1_000_000, 500_000
+#: Lines of a block, in which symbols meet the lines that they span.
+BLOCK = 32
+#: Keys of rows asked for (files, parts of names) that are sent to all rows.
+MOST_KEYS = 100_000
 
 
 def path_order(path: str = "path"):
@@ -30,6 +35,13 @@ def narrowed(asked: DataFrame, within: DataFrame | None) -> DataFrame:
     return asked if within is None else asked.join(within, "query_id")
 
 
+def among(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among those of asked, which should be cheap to read twice: up to MOST_KEYS of these are sent to all rows, so that rows stay where they are; more are joined by a shuffle."""
+    wanted = asked.select(*keys).distinct()
+    few = wanted.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return rows.join(F.broadcast(wanted) if few else wanted, keys, "left_semi")
+
+
 def _own(asked: DataFrame) -> list[str]:
     """The key that keeps a search to a repository."""
     return ["repo"] if "repo" in asked.columns else []
@@ -45,17 +57,18 @@ def _nth(asked: DataFrame):
     return F.col("nth") if "nth" in asked.columns else F.lit(0)
 
 
-def _searched(lines: DataFrame, asked: DataFrame, rows) -> DataFrame:
-    """All matches by one pass over the lines: automata of all patterns (rows, an Arrow table of asked), one over lines as they are and one over lower-cased ones, made once a task. What a pattern carries is put beside its hits there."""
+def _searched(lines: DataFrame, asked: DataFrame, rows, columns: list[str]) -> DataFrame:
+    """All matches by one pass over the lines: automata of all patterns (rows, an Arrow table of asked), one over lines as they are and one over lower-cased ones, made once a task. What a pattern carries is put beside its hits there, and columns of the lines."""
     own = _own(asked)
     at: dict[bool, dict[str, dict]] = {True: {}, False: {}}
     for i, r in enumerate(rows.to_pylist()):
         at[r["_cased"]].setdefault(r["_key"], {}).setdefault(r["repo"] if own else None, []).append(i)
-    columns = lines.columns
     kinds = [f for f in asked.schema if not f.name.startswith("_") and f.name not in own]
     told = rows.select([f.name for f in kinds]).combine_chunks()
-    name = next(n for n in itertools.chain(["_low"], (f"_low{i}" for i in itertools.count())) if n not in columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), *(f"`{c}` {t}" for c, t in lines.dtypes)])
+    name = next(n for n in itertools.chain(["_low"], (f"_low{i}" for i in itertools.count())) if n not in lines.columns)
+    types = dict(lines.dtypes)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), *(f"`{c}` {types[c]}" for c in columns)])
+    sent = [*columns, *(c for c in ("line", *own) if c not in columns)]
 
     def run(batches):
         import ahocorasick
@@ -69,8 +82,9 @@ def _searched(lines: DataFrame, asked: DataFrame, rows) -> DataFrame:
                     trees[cased].add_word(key, key)
                 trees[cased].make_automaton()
         for batch in batches:
-            texts = {True: batch.column(columns.index("line")).to_pylist(), False: batch.column(len(columns)).to_pylist()}
-            repos = batch.column(columns.index("repo")).to_pylist() if own else [None] * len(batch)
+            line = batch.column(sent.index("line")).to_pylist()
+            texts = {True: line, False: [t.lower() if t and low is None else low for t, low in zip(line, batch.column(len(sent)).to_pylist())]}
+            repos = batch.column(sent.index("repo")).to_pylist() if own else [None] * len(batch)
 
             def flush(p, row, kept=batch.select(range(len(columns)))):
                 own_columns = [c.combine_chunks() for c in told.take(pa.array(p, pa.int64())).columns]
@@ -88,7 +102,9 @@ def _searched(lines: DataFrame, asked: DataFrame, rows) -> DataFrame:
                         found, row = [], []
             yield flush(found, row)
 
-    return lines.withColumn(name, F.lower("line")).mapInArrow(run, schema)
+    # of ASCII, lower case is the same everywhere and is found in the task
+    low = F.when(F.octet_length("line") != F.char_length("line"), F.lower("line"))
+    return lines.select(*sent, low.alias(name)).mapInArrow(run, schema)
 
 
 def _by_trigram(lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def _by_trigram(lines: DataFrame, asked: DataFrame) -> DataFrame:
     return posts.join(best, keys).where(held).drop("_cased", "_gram", "_key")
 
 
-def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = MOST_PATTERNS, with_line: bool = True) -> DataFrame:
     """Rows of lines joined with the distinct patterns (query_id, pattern) that they contain, by smart case: a pattern with an upper-case letter is looked for as it stands, another in lower-cased lines.
 
     Patterns may have a repo, outside of which they find nothing, a scope, that paths have to lie
@@ -117,6 +133,7 @@ def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = M
     with the scan, which finds all of them in one pass and shuffles nothing; more are joined by
     trigrams, with the same rows. Equal lines are hits of their own. Empty and null patterns and
     lines find nothing. Columns of lines by the name of query_id, pattern or nth are replaced.
+    Without with_line the hits lack the line, which long ones are spared to carry.
     """
     lines = lines.drop("query_id", "pattern", "nth")
     more = [c for c in ("scope",) if c in patterns.columns]
@@ -127,8 +144,9 @@ def substring_hits(lines: DataFrame, patterns: DataFrame, most_patterns: int = M
     asked = asked.withColumns({"_cased": cased, "_key": F.when(cased, F.col("pattern")).otherwise(F.lower("pattern"))})
     rows = asked.limit(most_patterns + 1).toArrow()
     few = rows.num_rows <= most_patterns and rows.column("_key").nbytes <= MOST_BYTES
-    found = _inside(_searched(lines, asked, rows) if few else _by_trigram(lines, asked), patterns)
-    return found.select("query_id", "pattern", *(["nth"] if "nth" in patterns.columns else []), *lines.columns)
+    columns = [c for c in lines.columns if with_line or c != "line"]
+    found = _inside(_searched(lines, asked, rows, columns) if few else _by_trigram(lines, asked), patterns)
+    return found.select("query_id", "pattern", *(["nth"] if "nth" in patterns.columns else []), *columns)
 
 
 def limited(hits: DataFrame, order: list | None = None, by: str = "pattern", most: int = LEG_LIMIT) -> DataFrame:
@@ -161,8 +179,8 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within
     own, more = _own(asked), [c for c in ("scope", "nth") if c in asked.columns]
     if fuzzy:
         low = asked.withColumn("pattern", F.lower("name"))
-        found = substring_hits(symbols.withColumn("line", F.lower("qualified_name")), low.drop("name", "nth"))
-        hits = found.join(low.select("query_id", "name", "pattern", *(["nth"] if "nth" in more else [])).distinct(), ["query_id", "pattern"]).drop("pattern", "line")
+        found = substring_hits(symbols.withColumn("line", F.lower("qualified_name")), low.drop("name", "nth"), with_line=False)
+        hits = found.join(low.select("query_id", "name", "pattern", *(["nth"] if "nth" in more else [])).distinct(), ["query_id", "pattern"]).drop("pattern")
     else:
         hits = _inside(symbols.withColumn("name", last).join(asked.select("query_id", "name", *own, *more).distinct(), ["name", *own]), asked)
     kind = F.when(last == F.col("name"), "SymbolExact").otherwise("SymbolFuzzy")
@@ -173,23 +191,52 @@ def symbol_leg(symbols: DataFrame, names: DataFrame, fuzzy: bool = False, within
 
 
 def body_leg(symbols: DataFrame, files: DataFrame, patterns: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """Candidates of symbols whose body, the lines from its start to its end, holds a pattern (query_id, pattern): the first LEG_LIMIT of each by path and line."""
+    """Candidates of symbols whose body, the lines from its start to its end, holds a pattern (query_id, pattern): the first LEG_LIMIT of each by path and line.
+
+    Lines are searched where they lie, and their hits meet the symbols that span them, so that no
+    text is shuffled. Only patterns with a line end are looked for in bodies.
+    """
     asked = narrowed(patterns, within)
+    ends = F.col("pattern").rlike(r"[\r\n]")
+    hits = _spanned(symbols, files, asked.where(~ends))
+    if not (across := asked.where(ends)).isEmpty():
+        hits = hits.unionByName(_in_bodies(symbols, files, across))
+    hits = limited(hits, [path_order(), F.col("line_start"), F.col("qualified_name")])
+    return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+
+
+def _spanned(symbols: DataFrame, files: DataFrame, asked: DataFrame) -> DataFrame:
+    """Symbols (with query_id, pattern and nth) that span a line which holds a pattern, once each; equal symbols and files of one path count as they come."""
+    key = ["path", *_own(asked)]
+    block = lambda c: F.floor(c / BLOCK)
+    files = files if "repo" in files.columns else files.withColumn("repo", F.lit(None).cast("string"))
+    lines = corpus_lines(files.withColumn("_file", F.monotonically_increasing_id()), "_file")
+    found = substring_hits(lines.select(*key, "line_no", "line", "_file"), asked, with_line=False).withColumn("_block", block(F.col("line_no")))
+    last = F.greatest("line_start", "line_end")
+    spans = symbols.select(*key, "line_start", "line_end", "qualified_name", F.monotonically_increasing_id().alias("_symbol"))
+    spans = spans.withColumn("_block", F.explode(F.sequence(block(F.col("line_start")), block(last))))
+    hits = found.join(spans, [*key, "_block"]).where(F.col("line_no").between(F.col("line_start"), last))
+    return hits.drop("line_no", "_block").distinct().drop("_file", "_symbol")
+
+
+def _in_bodies(symbols: DataFrame, files: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same from the text of each body."""
     key = ["path", *_own(asked)]
     split = files.select(*key, F.split("content", "\n").alias("rows"))
     bodies = symbols.join(split, key).withColumn("line", F.array_join(F.slice("rows", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))), "\n")).drop("rows")
-    hits = substring_hits(bodies.select(*key, "line_start", "line_end", "qualified_name", "line"), asked)
-    hits = limited(hits, [path_order(), F.col("line_start"), F.col("qualified_name")])
-    return hits.select("query_id", "raw_seq", "path", "line_start", "line_end", F.col("qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+    return substring_hits(bodies.select(*key, "line_start", "line_end", "qualified_name", "line"), asked, with_line=False)
 
 
 def bm25_leg(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates of the symbols whose names suit a query's words best, in its repository and scope where it has these. Names fall into words at _, -, other marks and changes of case; ties go by path, line and name."""
     parts = lambda c: F.array_join(words(F.col(c)), " ")
-    place = F.struct(path_order().alias("parts"), "line_start", "qualified_name", "line_end", "path")
+    place = F.struct(path_order().alias("parts"), "line_start", "qualified_name", "line_end")
+    path = F.array_join("doc_id.parts", "/")
     key = [c for c in ("repo",) if c in queries.columns]
-    best = bm25(symbols.select(place.alias("doc_id"), *key, parts("qualified_name").alias("text")).distinct(), queries.withColumn("text", parts("text")), path=F.col("doc_id.path"))
-    return best.select("query_id", F.col("rank").cast("long").alias("raw_seq"), "doc_id.path", "doc_id.line_start", "doc_id.line_end", F.col("doc_id.qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
+    each = symbols.select("path", "line_start", "qualified_name", "line_end", *key).distinct()
+    docs = cut(each.select(place.alias("doc_id"), *key, parts("qualified_name").alias("text")))
+    best = bm25(docs, queries.withColumn("text", parts("text")), path=path, single=True)
+    return best.select("query_id", F.col("rank").cast("long").alias("raw_seq"), path.alias("path"), "doc_id.line_start", "doc_id.line_end", F.col("doc_id.qualified_name").alias("symbol"), F.lit("SemanticHit").alias("kind"), F.lit(None).cast("string").alias("snippet"))
 
 
 def union_of_legs(*legs: DataFrame) -> DataFrame:
@@ -213,7 +260,7 @@ def file_leg(files: DataFrame, tokens: DataFrame, within: DataFrame | None = Non
     gram = lambda c, n: F.regexp_extract_all(F.col(c), F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
     wanted = parts.where("token <> ''").withColumn("gram", F.explode(F.when(F.char_length("token") < 3, F.array("token")).otherwise(F.array_distinct(gram("token", 3)))))
     keys = ["gram", *own]
-    posts = paths.select("path", *own, F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")).join(wanted.select(keys).distinct(), keys, "left_semi")
+    posts = among(paths.select("path", *own, F.explode(F.array_distinct(F.concat(*(gram("base", n) for n in (1, 2, 3))))).alias("gram")), wanted, keys)
     best = wanted.join(posts.groupBy(keys).count(), keys).groupBy("query_id", "token", *own, *more).agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
     part = posts.join(best, keys).where(glob_match(F.col("token"), F.col("path"))).select(names)
     hits = _inside(exact.union(part).union(_all_names(paths, parts.where("token = ''"), names)).distinct(), asked)
@@ -249,7 +296,13 @@ def _of_terms(rows: DataFrame, terms: DataFrame, keys: list[str], few: bool, how
     return rows.withColumn("_part", F.pmod(F.hash("doc_id"), F.lit(TERM_PARTS))).join(terms.withColumn("_part", parts).hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, path=None) -> DataFrame:
+def _parts(pairs: int, known: DataFrame) -> int:
+    """Tasks for the pairs of query and document: no more of these meet than the terms that both have (known: a row for each term of a query, with the documents that have it, df), which are far fewer than all where queries have a repository or rare terms."""
+    met = known.agg(F.sum("df")).head()[0] or 0
+    return max(known.sparkSession.sparkContext.defaultParallelism, min(pairs // PAIRS, met // SHARED))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.2, b: float = 0.75, path=None, single: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents (doc_id, text) for each query (query_id, text).
 
     Where queries have a repo, documents of it alone are ranked, by its own counts of documents,
@@ -257,16 +310,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
     may be of any type; rows of one doc_id are one document, rows without one are left out. Only
     terms that are asked for leave the scan; what a document has of them is counted once, for the
     frequencies and for the scores. Up to MOST_TERMS terms of queries are sent to all documents,
-    and only a task's best leave it.
+    and only a task's best leave it. With single, docs is a table with one row a document (of a
+    repository), so that each row tells its own length.
     """
     own = _own(queries)
     docs = docs.where("doc_id is not null")
     asked = cut(queries.select("query_id", *own, F.explode(F.array_distinct(_terms("text"))).alias("term")).distinct())
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     split = docs.select("doc_id", *own, _terms("text").alias("terms"))
-    lens = cut(split.groupBy("doc_id", *own).agg(F.sum(F.greatest(F.lit(0), F.size("terms"))).alias("len")))
-    each = _of_terms(split.select("doc_id", *own, F.explode("terms").alias("term")), asked.select(*own, "term").distinct(), [*own, "term"], few, "left_semi")
-    tf = cut(each.groupBy("doc_id", *own, "term").agg(F.count("*").alias("tf")).join(lens.hint("merge"), ["doc_id", *own]))
+    size = F.greatest(F.lit(0), F.size("terms")).cast("long")
+    lens = split.select("doc_id", *own, size.alias("len")) if single else cut(split.groupBy("doc_id", *own).agg(F.sum(size).alias("len")))
+    told = [size.alias("len")] if single else []
+    each = _of_terms(split.select("doc_id", *own, *told, F.explode("terms").alias("term")), asked.select(*own, "term").distinct(), [*own, "term"], few, "left_semi")
+    tf = each.groupBy("doc_id", *own, *(["len"] if single else []), "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf if single else tf.join(lens.hint("merge"), ["doc_id", *own]))
     measures = F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")
     df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -275,11 +332,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = LEG_LIMIT, k1: float = 1.
     else:
         one = lens.agg(*measures).head()
         known = df.withColumns({c: F.lit(one[c]).cast(t) for c, t in (("n_docs", "long"), ("avg_len", "double"))})
-    known = known.withColumn("idf", idf).join(asked, [*own, "term"])
+    known = cut(known.withColumn("idf", idf).join(asked, [*own, "term"]))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     # documents are dealt once: what they have of all queries is summed and cut to the best in the task that holds them
-    n = max(tf.sparkSession.sparkContext.defaultParallelism, lens.count() * asked.select("query_id").distinct().count() // PAIRS)
-    total = _of_terms(tf.repartition(n, "doc_id"), known, [*own, "term"], few).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    total = _of_terms(tf.repartition(_parts(lens.count() * asked.select("query_id").distinct().count(), known), "doc_id"), known, [*own, "term"], few).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     if "scope" in queries.columns and path is not None:
         scopes = queries.select("query_id", "scope").distinct()
         total = total.join(F.broadcast(scopes) if few else scopes, "query_id").where(in_scope(path, F.col("scope"))).drop("scope")

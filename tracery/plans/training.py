@@ -102,9 +102,9 @@ counters AS (SELECT repo, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in
 TEMPLATES = "CASE WHEN t0 > 0 THEN 'define-en='||t0 ELSE '' END||CASE WHEN t0 > 0 AND t1 > 0 THEN ',' ELSE '' END||CASE WHEN t1 > 0 THEN 'words-en='||t1 ELSE '' END AS templates"
 
 
-def _source_path(k):
+def _source_path(k, repo="source"):
     """A path for each document: some in a folder of others' code, some no source, some tests."""
-    return F.concat(F.col("source"), F.when(k % 6 == 0, "/vendor/").otherwise("/core/"), F.lit("d"), k.cast("string"), F.when(k % 5 == 0, ".txt").when(k % 5 == 1, "_test.go").otherwise(".rs"))
+    return F.concat(F.col(repo), F.when(k % 6 == 0, "/vendor/").otherwise("/core/"), F.lit("d"), k.cast("string"), F.when(k % 5 == 0, ".txt").when(k % 5 == 1, "_test.go").otherwise(".rs"))
 
 
 def _counters(spark, sf):
@@ -206,10 +206,10 @@ def licensed_repos(spark, sf):
 @query()
 def generated_rows(spark, sf):
     """Training rows of all documents seen as files: retrieval within each source, queries from the symbols of source files, labels from the symbol asked for."""
-    docs = _t(spark, sf, "documents")
-    paths = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), _source_path(F.col("doc_id")).alias("new"))
-    moved = lambda df: df.join(paths, "path").drop("path").withColumnRenamed("new", "path")
+    # a path ends with its document's number, of which the new one is made
+    number = F.element_at(F.split("path", "/"), -1).try_cast("long")
+    moved = lambda df: df.withColumn("path", _source_path(number, "repo"))
     files = moved(_files(spark, sf))
     repos = files.groupBy("repo").agg(F.min("lang").alias("lang")).withColumn("split", F.when(F.col("repo").isin("src0", "src1"), "val").otherwise("train"))
-    rows, _ = gen.generate_training_rows(cut(files), cut(moved(_sections(spark, sf))), repos)
+    rows, _ = gen.generate_training_rows(files, cut(moved(_sections(spark, sf))), repos)
     return rows.select("id", "repo", "split", "query", "template", "rank", "kind", "label", "state", "gold")

@@ -19,11 +19,12 @@ def corpus_files(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"), "lang")
 
 
-def corpus_lines(files: DataFrame) -> DataFrame:
-    """(repo, path, line_no, line): lines from 1, without line ends; a last empty line is none."""
+def corpus_lines(files: DataFrame, *more: str) -> DataFrame:
+    """(repo, path, line_no, line) and more columns of the files: lines from 1, without line ends; a last empty line is none."""
     parts = F.split("content", "\n")
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select("repo", "path", F.posexplode(parts).alias("p", "line")).select("repo", "path", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+    bare = F.when(F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.char_length("line") - 1)).otherwise(F.col("line"))
+    return files.select("repo", "path", *more, F.posexplode(parts).alias("p", "line")).select("repo", "path", (F.col("p") + 1).alias("line_no"), bare.alias("line"), *more)
 
 
 def file_stats(files: DataFrame) -> DataFrame:
@@ -71,9 +72,9 @@ def outline(files: DataFrame) -> DataFrame:
     """(repo, path, qualified_name, line_start, line_end): a symbol for each line that begins a section, up to the line before the next."""
     from pyspark.sql import Window
 
-    lines = corpus_lines(files).where(F.trim("line") != "")
-    name = F.regexp_extract("line", r"^(\w+)", 1)
+    # a line's first word is all of it that is shuffled
+    lines = corpus_lines(files).where(F.trim("line") != "").select("repo", "path", "line_no", F.regexp_extract("line", r"^(\w+)", 1).alias("name"))
     w = Window.partitionBy("repo", "path").orderBy("line_no")
-    rows = lines.withColumn("line_end", F.lead("line_no").over(w) - 1).where(name != "")
+    rows = lines.withColumn("line_end", F.lead("line_no").over(w) - 1).where("name <> ''")
     doc = F.element_at(F.split("path", "/"), -1)
-    return rows.select("repo", "path", F.concat_ws(".", "repo", doc, name).alias("qualified_name"), F.col("line_no").alias("line_start"), F.coalesce("line_end", "line_no").alias("line_end"))
+    return rows.select("repo", "path", F.concat_ws(".", "repo", doc, "name").alias("qualified_name"), F.col("line_no").alias("line_start"), F.coalesce("line_end", "line_no").alias("line_end"))
